@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from folioloom.llm import simhash
+from folioloom.llm import packing, piece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
+    "op4_packing": packing.op4,
+    "op7_sentencepiece": piece_codec.op7,
 }
 
 ORACLE: dict[str, str] = {}
