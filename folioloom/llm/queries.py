@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from folioloom.llm import packing, piece_codec, simhash
+from folioloom.llm import chat, packing, piece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
+    "op2_chat": chat.op2,
     "op4_packing": packing.op4,
     "op7_sentencepiece": piece_codec.op7,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_chat": chat.OP2_SQL,
+}
