@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from folioloom.llm import chat, packing, piece_codec, simhash
+from folioloom.llm import chat, covertree, hnsw, packing, piece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_chat": chat.op2,
     "op4_packing": packing.op4,
+    "op5_hnsw": hnsw.op5,
     "op7_sentencepiece": piece_codec.op7,
+    "op8_cover_tree": covertree.op8,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
+    "op8_cover_tree": covertree.OP8_SQL,
 }
