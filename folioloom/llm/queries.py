@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioloom.llm import chat, covertree, hnsw, packing, piece_codec, simhash
+from folioloom.llm import chat, covertree, hnsw, packing, pii, piece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_hnsw": hnsw.op5,
     "op7_sentencepiece": piece_codec.op7,
     "op8_cover_tree": covertree.op8,
+    "op9_pii": pii.op9,
 }
 
 ORACLE: dict[str, str] = {
