@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioloom.llm import chat, covertree, hnsw, packing, pii, piece_codec, simhash
+from folioloom.llm import chat, covertree, hnsw, katz, packing, pii, piece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_chat": chat.op2,
+    "op3_katz": katz.op3,
     "op4_packing": packing.op4,
     "op5_hnsw": hnsw.op5,
     "op7_sentencepiece": piece_codec.op7,
