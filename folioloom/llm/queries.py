@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioloom.llm import chat, covertree, hnsw, katz, packing, pii, piece_codec, simhash
+from folioloom.llm import chat, covertree, hnsw, katz, packing, pii, piece_codec, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_sentencepiece": piece_codec.op7,
     "op8_cover_tree": covertree.op8,
     "op9_pii": pii.op9,
+    "op10_quality": quality.op10,
 }
 
 ORACLE: dict[str, str] = {
