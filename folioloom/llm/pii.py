@@ -265,8 +265,8 @@ def _chosen(kind: str, trees: list[tuple[float, tuple]], threshold: float):
     return test
 
 
-def detect(docs: DataFrame, precision: float = 0.97) -> DataFrame:
-    """doc_id, text, base and spans: arrays of struct<s, o, kind, e> sorted by start, then kind as listed; spans are base
+def detect(docs: DataFrame, precision: float = 0.97, keep: bool = False) -> DataFrame:
+    """doc_id, text, base and spans (with keep: docs as it is and _spans): arrays of struct<s, o, kind, e> sorted by start, then kind as listed; spans are base
     and the chosen candidates that overlap no base span and no chosen one before. Map side, SQL functions only.
 
     A null text is empty; an empty text has no spans. Starts and ends are code points, end exclusive. Rows of null or
@@ -274,7 +274,11 @@ def detect(docs: DataFrame, precision: float = 0.97) -> DataFrame:
     """
     trees, thresholds = fit(docs.sparkSession, precision=precision)
     none = F.array().cast(SPANS)
-    df = texts(docs).withColumn("digit", F.col("text").rlike("[0-9]"))
+    if keep:  # docs as one struct beside the working columns, whose names can't clash with its own
+        df = docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    else:
+        df = texts(docs)
+    df = df.withColumn("digit", F.col("text").rlike("[0-9]"))
     guard = {"email": F.col("text").contains("@"), "ip": F.col("digit"), "card": F.col("digit"), "phone": F.col("text").contains("+")}
     for k in KINDS:
         df = df.withColumn(f"_{k}", F.when(guard[k], located(F.col("text"), BASE[k])))
@@ -288,7 +292,8 @@ def detect(docs: DataFrame, precision: float = 0.97) -> DataFrame:
     extra = F.filter(F.concat(*found), lambda c: ~F.exists("base", lambda b: (b.s < c.e) & (c.s < b.e))) if found else none
     df = df.withColumn("_extra", F.array_sort(extra))
     apart = F.aggregate("_extra", none, lambda acc, c: F.when(F.exists(acc, lambda b: (b.s < c.e) & (c.s < b.e)), acc).otherwise(F.concat(acc, F.array(c)).cast(SPANS)))
-    return df.withColumn("spans", F.array_sort(F.concat("base", apart))).select("doc_id", "text", "base", "spans")
+    df = df.withColumn("spans", F.array_sort(F.concat("base", apart)))
+    return df.select("_row.*", F.col("spans").alias("_spans")) if keep else df.select("doc_id", "text", "base", "spans")
 
 
 def listed(spans: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioloom.llm import chat, covertree, hnsw, katz, packing, pii, piece_codec, quality, simhash
+from folioloom.llm import chat, covertree, hnsw, katz, packing, pii, piece_codec, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_katz": katz.op3,
     "op4_packing": packing.op4,
     "op5_hnsw": hnsw.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_sentencepiece": piece_codec.op7,
     "op8_cover_tree": covertree.op8,
     "op9_pii": pii.op9,
