@@ -15,7 +15,8 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def uploads(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> DataFrame:
     """document_id (sha256 of the content), source_filename, content of files as they arrive."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    known = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(known).format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select(F.sha2("content", 256).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("source_filename"), "content")
 
 

@@ -14,7 +14,7 @@ def page(n, texts, boxes):
     return ("d", n, texts, [0.9] * len(texts), boxes, [], 600, 800, "p.png")
 
 
-def test_ingest_to_answer(spark):
+def test_ingest_to_answer(spark, tmp_path):
     pages = spark.createDataFrame(
         [page(1, ["Revenue", "grew in total by 12 percent", "x 1", "y 2"], [[0.0, 0.0, 90.0, 15.0], [0.0, 40.0, 190.0, 55.0], [0.0, 100.0, 50.0, 115.0], [60.0, 100.0, 120.0, 115.0]]), page(2, ["Weather", "it rained all day"], [[0.0, 0.0, 90.0, 15.0], [0.0, 40.0, 190.0, 55.0]]), page(3, [], [])],
         "document_id string, page_number int, rec_texts array<string>, rec_scores array<double>, rec_boxes array<array<double>>, dt_polys array<array<array<double>>>, image_width int, image_height int, page_image_path string",
@@ -23,7 +23,8 @@ def test_ingest_to_answer(spark):
         [("d", 1, 0, "title", 0.9, [0.0, 0.0, 100.0, 20.0]), ("d", 1, 1, "text", 0.9, [0.0, 30.0, 200.0, 60.0]), ("d", 1, 2, "table", 0.9, [0.0, 90.0, 200.0, 160.0]), ("d", 2, 0, "title", 0.9, [0.0, 0.0, 100.0, 20.0]), ("d", 2, 1, "text", 0.9, [0.0, 30.0, 200.0, 60.0])],
         "document_id string, page_number int, pos int, label string, score double, coordinate array<double>",
     )
-    made = ingest.ingest(pages, boxes)
+    files.export(ingest.ingest(pages, boxes), f"{tmp_path}/run")  # each table is written once and read from there
+    made = {name: spark.read.parquet(f"{tmp_path}/run/{name}") for name in os.listdir(f"{tmp_path}/run")}
     assert [r.text for r in made["page_texts"].orderBy("page_number").collect()] == ["Revenue\ngrew in total by 12 percent\nx 1 y 2", "Weather\nit rained all day"]
     chunks = {r.page_number: r for r in made["chunks"].collect()}
     assert chunks[1].chunk_id == "d:chunk:1" and chunks[1].region_types == ["table", "text_block"] and chunks[1].parent_title == "Revenue" and chunks[2].parent_title == "Weather"
@@ -33,14 +34,16 @@ def test_ingest_to_answer(spark):
     index = ingest.index_rows(made)
     assert {r.document_id for r in index.collect()} == {"d"}
     order = made["chunks"].select("chunk_id", F.col("chunk_no").cast("long").alias("ord"), "region_types", "parent_title", "parent_subtitle", "source_region_ids", "document_id")
-    corpus = index.select("chunk_id", "text", "embedding").join(order, "chunk_id")
+    index.select("chunk_id", "text", "embedding").join(order, "chunk_id").write.parquet(f"{tmp_path}/corpus")
+    corpus = spark.read.parquet(f"{tmp_path}/corpus")
     plan = ask.Ask(corpus)
     questions = spark.createDataFrame([(1, "how much did revenue grow in the table", ["d:chunk:1"]), (2, "when has it rained", ["d:chunk:2"])], "query_id int, question string, relevant array<string>")
     got = {r.query_id: r for r in plan.answer(questions).collect()}
+    hits = plan.retrieve(questions)
     assert got[1].sources[0].chunk_id == "d:chunk:1" and got[1].answer.startswith("Revenue") and got[2].sources[0].chunk_id == "d:chunk:2"
     means = {r.metric: r["mean"] for r in plan.evaluate(questions).collect()}
     assert means["mrr"] == 1.0 and means["precision_at_k"] == 0.5
-    routed = {r.query_id: r for r in plan.route(questions, plan.retrieve(questions), corpus, made["visual_summaries"]).collect()}
+    routed = {r.query_id: r for r in plan.route(questions, hits, corpus, made["visual_summaries"]).collect()}
     assert routed[1].use_table_agent and routed[1].table_regions == ["region_3"] and not routed[2].use_table_agent
 
 
