@@ -28,12 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, by partition_by; its blocks outlive executors."""
+def stored_at(df: DataFrame, name: str, *partition_by: str) -> tuple[str, DataFrame]:
+    """(folder, table): df as a Parquet table in the shared folder, by partition_by; its blocks outlive executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/folioloom-{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    return stored_at(df, name, *partition_by)[1]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,6 +48,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and Python; the session's own setting if that's less.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are of BATCH_BYTES at most: two of them and what is made of them are held by
+    every task. The setting stays, as df is only run later."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    raw = str(conf.get(key, "67108864b")).lower().removesuffix("b")
+    if not raw.isdigit() or not 0 < int(raw) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null texts as empty ones: the columns that a scan then reads."""
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return small_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

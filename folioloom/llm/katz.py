@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.llm import utf8
-from folioloom.llm.cluster import partitions, stored, table, texts
+from folioloom.llm.cluster import partitions, stored, stored_at, table, texts
 
 #: Hashes of what isn't a word: the end of a text and the context before its first token.
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0xB391B391B391B391)
 #: Tokens of texts gathered before they are sent on.
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 1_500_000
+#: Contexts are regrouped and documents scored in so many turns, each one's shuffle files gone before the next: what is on
+#: disk at once is the tables and a turn's share.
+TURNS = 3
 #: Counts up to this are discounted.
 KATZ_K = 5
 
@@ -148,24 +152,24 @@ def normalise(stats: Stats, c: np.ndarray, cw: np.ndarray, head: np.ndarray) ->
 
 @contextmanager
 def _released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a finished job go at once, so that only one step's are on disk at a time."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    """Shuffle files of a finished job go at once, so that only one step's are on disk at a time; Arrow batches are small."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def _remove(df: DataFrame) -> None:
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shards_for(docs: DataFrame, megabytes: int = 32) -> int:
+def shards_for(docs: DataFrame, megabytes: int = 8) -> int:
     """A power of two: a shard for so many MB of input, as Spark estimates it, at least 4."""
     estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = estimate / (megabytes << 20) if estimate < 1 << 55 else 4 * partitions(docs.sparkSession)
@@ -183,7 +187,7 @@ def _batches(batches: Iterator[pa.RecordBatch], learn: bool) -> Iterator[tuple[n
     for b in batches:
         buf, at = utf8.column(b, "text")
         own = b.column(0).to_pylist()
-        for i, j in utf8.chunks(at, 6_000_000):
+        for i, j in utf8.chunks(at):
             for k in range(i, j, 10_000):
                 m = min(j, k + 10_000)
                 name = own[k:m]
@@ -213,7 +217,7 @@ class Model:
 
 
 def _count(docs: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, blob): u: word counts; b: bigrams for a shard of contexts; s: counts of counts."""
+    """(kind, turn, shard, blob): u: word counts; b: bigrams for a shard of contexts; s: counts of counts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, h, _, _ in _batches(batches, True):
@@ -229,6 +233,7 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
     def meet(t: pa.Table) -> pa.Table:
+        utf8.trim()
         w, h, c = [], [], []
         for raw in t.column("blob").to_pylist():
             wu, size, hh, cc = load(raw)
@@ -245,7 +250,7 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
         hd = heads(w)
         cw = np.add.reduceat(c, hd) if len(hd) else np.zeros(0, np.int64)
         known = lambda x: np.bincount(np.minimum(x, KATZ_K + 2), minlength=KATZ_K + 3)
-        kinds, to, blobs = ["u", "s"], [t.column("shard")[0].as_py(), 0], [dump(w[hd], cw.astype(np.uint32)), dump(np.r_[cw.sum(), len(cw), known(cw), known(c)].astype(np.int64))]
+        kinds, turns, to, blobs = ["u", "s"], [0, 0], [t.column("shard")[0].as_py(), 0], [dump(w[hd], cw.astype(np.uint32)), dump(np.r_[cw.sum(), len(cw), known(cw), known(c)].astype(np.int64))]
         cws = np.repeat(cw, sizes(hd, len(w))).astype(np.uint32)
         order = np.argsort(h)
         w, h, c, cws = w[order], h[order], c[order].astype(np.uint32), cws[order]
@@ -256,12 +261,13 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
             ww = w[a:z][order]
             hd = heads(ww)
             kinds.append("b")
+            turns.append(s % TURNS)
             to.append(s)
             blobs.append(dump(ww[hd], cws[a:z][order][hd], sizes(hd, z - a).astype(np.uint32), h[a:z][order], c[a:z][order]))
-        return pa.table({"kind": pa.array(kinds), "shard": pa.array(to, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"kind": pa.array(kinds), "turn": pa.array(turns, pa.int32()), "shard": pa.array(to, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     sent = texts(docs).mapInArrow(gather, "shard int, blob binary")
-    return sent.groupBy("shard").applyInArrow(meet, "kind string, shard int, blob binary")
+    return sent.groupBy("shard").applyInArrow(meet, "kind string, turn int, shard int, blob binary")
 
 
 def fit(docs: DataFrame, shards: int | None = None) -> Model:
@@ -269,7 +275,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
     spark = docs.sparkSession
     shards = shards or shards_for(docs)
     with _released(spark):
-        counted = stored(_count(docs, shards), "katz-counts", "kind")
+        folder, counted = stored_at(_count(docs, shards), "katz-counts", "kind", "turn")
     width = KATZ_K + 3
     total = np.zeros(2 + 2 * width, np.int64)
     for r in counted.where("kind = 's'").select("blob").toLocalIterator():  # a row of 18 numbers a shard
@@ -277,6 +283,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
     stats = Stats(int(total[0]), int(total[1]), tuple(total[2 : 2 + width].tolist()), tuple(total[2 + width :].tolist()))
 
     def regroup(t: pa.Table) -> pa.Table:
+        utf8.trim()
         h, w, c, cw = [], [], [], []
         for raw in t.column("blob").to_pylist():
             wu, cwu, size, hh, cc = load(raw)
@@ -291,12 +298,15 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
         _, bow = normalise(stats, c.astype(np.int64), cw.astype(np.int64), hd)
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "blob": pa.array([dump(h[hd], sizes(hd, len(h)).astype(np.uint32), bow, w, c, cw)], pa.binary())})
 
-    pairs = counted.where("kind = 'b'").select("shard", "blob").groupBy("shard").applyInArrow(regroup, "shard int, blob binary")
+    made = []
     with _released(spark):
         words = stored(counted.where("kind = 'u'").select("shard", "blob"), "katz-words")
-        made = stored(pairs, "katz-pairs")
-    _remove(counted)
-    return Model(words, made, stats, shards)
+        for turn in range(TURNS):
+            pairs = counted.where(f"kind = 'b' and turn = {turn}").select("shard", "blob").groupBy("shard").applyInArrow(regroup, "shard int, blob binary")
+            made.append(stored(pairs, "katz-pairs"))
+            _remove(spark, f"{folder}/kind=b/turn={turn}")
+    _remove(spark, folder)
+    return Model(words, reduce(DataFrame.unionByName, made), stats, shards)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -336,6 +346,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return dump(on.astype(np.uint16), sums[0][on], sums[1][on], sums[2][on].astype(np.uint32))
 
     def look_up(sent: pa.Table, tables: pa.Table) -> pa.Table:
+        utf8.trim()
         kinds, keys, blobs = [], [], []
         hu, size, bow, w, c, cw = load(tables.column("blob")[0].as_py()) if tables.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
         p, _ = normalise(stats, c.astype(np.int64), cw.astype(np.int64), np.cumsum(size, dtype=np.int64) - size)
@@ -385,6 +396,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table({"kind": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def back_off(sent: pa.Table, tables: pa.Table) -> pa.Table:
+        utf8.trim()
         w, cw = load(tables.column("blob")[0].as_py()) if tables.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         keys, blobs = [], []
         for raw in sent.column("blob").to_pylist():
@@ -416,15 +428,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     s[doc] += x
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=none.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1] - n * flat), "score": pa.array(sums[0])})
 
-    spark = docs.sparkSession
-    sent = texts(docs).mapInArrow(gather, "shard int, flush long, docs boolean, blob binary")
-    found = sent.groupBy("shard").cogroup(model.pairs.groupBy("shard")).applyInArrow(look_up, "kind string, key long, blob binary")
-    with _released(spark):
-        found = stored(found, "katz-found", "kind")
-    unseen = found.where("kind = 'w'").select(F.col("key").cast("int").alias("shard"), "blob")
-    second = unseen.groupBy("shard").cogroup(model.words.groupBy("shard")).applyInArrow(back_off, "kind string, key long, blob binary")
-    first = found.where("kind in ('p', 'd')").select("kind", "key", "blob")
-    return first.unionByName(second).groupBy("key").applyInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    spark, kinds, out = docs.sparkSession, "kind string, key long, blob binary", []
+    for turn in range(TURNS):
+        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)) == turn)
+        sent = texts(own).mapInArrow(gather, "shard int, flush long, docs boolean, blob binary")
+        found = sent.groupBy("shard").cogroup(model.pairs.groupBy("shard")).applyInArrow(look_up, kinds)
+        with _released(spark):
+            folder, found = stored_at(found, "katz-found", "kind")
+            unseen = found.where("kind = 'w'").select(F.col("key").cast("int").alias("shard"), "blob")
+            second = unseen.groupBy("shard").cogroup(model.words.groupBy("shard")).applyInArrow(back_off, kinds)
+            first = found.where("kind in ('p', 'd')").select("kind", "key", "blob")
+            scored = first.unionByName(second).groupBy("key").applyInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+            out.append(stored(scored, "katz-scores"))
+            _remove(spark, folder)
+    return reduce(DataFrame.unionByName, out)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -22,8 +22,24 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+
+    found = ctypes.CDLL(None)
+    return found if hasattr(found, "malloc_trim") else None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: allocators keep what a batch's arrays took, and a worker lives for long."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
+    trim()
     col = batch.column(batch.schema.get_field_index(name))
     col = pc.fill_null(col, "").cast(pa.large_string())
     if isinstance(col, pa.ChunkedArray):
