@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, window: int = 8_
         for b in batches:
             buf, at = utf8.column(b, "text")
             doc = b.column(0).cast(pa.int64())
-            for i, j in utf8.chunks(at, 6_000_000):
+            for i, j in utf8.chunks(at, 4_000_000):
                 got, n = encode(buf[at[i] : at[j]], at[i : j + 1] - at[i], tokenizer)
                 # END_ID after each text
                 n1 = n + 1

@@ -207,7 +207,7 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFra
         for b in batches:
             buf, at = utf8.column(b, "text")
             doc = b.column(0).cast(pa.int64())
-            for i, j in utf8.chunks(at, 6_000_000):
+            for i, j in utf8.chunks(at, 4_000_000):
                 ids, n = c.encode(buf[at[i] : at[j]], at[i : j + 1] - at[i])
                 text, size = c.decode(ids, n)
                 raw, line = memoryview(ids.astype("<u4").tobytes()), memoryview(text.tobytes())

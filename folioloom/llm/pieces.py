@@ -33,7 +33,7 @@ def cut_words(buf: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarra
 class Memo:
     """Encodes each distinct piece once per worker: hash -> ids, held in flat arrays, dropped when over most ids."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 6_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 2_000_000):
         self.encode, self.most = encode, most
         self.clear()
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from folioloom.llm import utf8
-from folioloom.llm.cluster import cut, table
+from folioloom.llm.cluster import cut, small_batches, table
 
 #: Categories in the order of the chain, each with the words that tell it in a document labelled toxic (fixed values). The
 #: chain's last link is the label itself.
@@ -47,7 +47,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 150) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.03, rounds: int = 150) -> np.ndarray:
     """Weights of a logistic regression, the bias last and not shrunk: accelerated gradient steps."""
     n, d = x.shape
     xb = np.c_[x, np.ones(n)].astype(np.float32)
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
             tell = [[bool(np.isin(s, w).any()) for w in own] for s in seeds.values()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(whole.view(np.int64)), b.column(2), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64())), *[pa.array(t, pa.bool_()) for t in tell]], names=["doc_id", "whole", "toxic", "words", *seeds])
 
-    spelled = cut(sample.mapInArrow(run, "doc_id long, whole long, toxic int, words array<long>" + "".join(f", {k} boolean" for k in seeds)).dropDuplicates(["whole", "toxic"]))  # copies teach once
+    spelled = cut(small_batches(sample).mapInArrow(run, "doc_id long, whole long, toxic int, words array<long>" + "".join(f", {k} boolean" for k in seeds)).dropDuplicates(["whole", "toxic"]))  # copies teach once
     n1, n0 = spelled.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") != 1, 1))).first()
     by = spelled.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") != 1, 1)).alias("b")).where("a + b >= 6")
     n = n1 + n0
@@ -195,7 +195,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
         for b in batches:
             buf, at = utf8.column(b, "text")
             p = np.zeros((len(at) - 1, len(names)))
-            for i, j in utf8.chunks(at, 6_000_000):
+            for i, j in utf8.chunks(at):
                 h, n = word_hashes(buf[at[i] : at[j]], at[i : j + 1] - at[i])
                 doc, word = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if len(chain.words):
@@ -207,7 +207,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
                 p[i:j] = chain.probabilities(doc, word, j - i)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(c)) for c in p.T], pa.array(p[:, -1] >= chain.threshold)], names=[*b.schema.names, *names, "toxic"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(k, DoubleType()) for k in names], StructField("toxic", BooleanType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *[StructField(k, DoubleType()) for k in names], StructField("toxic", BooleanType())]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
