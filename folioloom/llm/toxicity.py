@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
     by = spelled.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") != 1, 1)).alias("b")).where("a + b >= 6")
     n = n1 + n0
     chi = F.pow(F.col("a") * n0 - F.col("b") * n1, 2) / ((F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b") + 1.0))
-    picked = by.select("w", chi.alias("chi")).orderBy(F.desc("chi"), "w").limit(features)
+    # only what chance gives less often than once in a thousand: chi square over 10.83
+    picked = by.select("w", chi.alias("chi")).where(F.col("chi") * n >= 10.83 * n1 * n0).orderBy(F.desc("chi"), "w").limit(features)
     words = np.array(sorted(np.array([r.w for r in picked.collect()], np.int64).view(np.uint64).tolist()), np.uint64)
     asked = F.array(*[F.lit(int(w)) for w in words.view(np.int64).tolist()]) if len(words) else F.array().cast("array<long>")
     got = sorted(spelled.select("doc_id", "whole", "toxic", F.array_intersect("words", asked).alias("words"), *seeds).collect(), key=lambda r: (r.doc_id, r.whole))  # at most sample_rows rows of at most `features`
