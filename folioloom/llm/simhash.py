@@ -88,7 +88,6 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray
     out = np.zeros(len(count), np.uint64)
     full = np.flatnonzero(made)
     ones = np.zeros((len(full), 64), np.int64)
-    at = np.cumsum(made[full]) - made[full]
     step = 200_000  # shingles whose bits are unpacked at once
     text_of = np.repeat(np.arange(len(full)), made[full])
     for i in range(0, len(h), step):
@@ -96,7 +95,6 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray
         own = text_of[i : i + step]
         heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         ones[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
-    del at
     packed = np.packbits(ones * 2 > made[full][:, None], axis=1)
     out[full] = packed.view(">u8")[:, 0].astype(np.uint64)
     return out
