@@ -70,9 +70,9 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
     return out
 
 
-def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit fingerprint of each text: shingles of width words, lower-cased A-Z, space-joined; a text of fewer words is
-    one shingle, one without words has 0. A bit is 1 where more than half of the shingles' XXH64 have it."""
+def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of the shingles of all texts, how many each text has): width words, lower-cased A-Z, space-joined; a text of
+    fewer words is one shingle, one without words has none."""
     buf = utf8.LOWER[buf]
     starts, ends, count = utf8.words(buf, offsets)
     sizes = ends - starts
@@ -84,8 +84,14 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray
     first = np.cumsum(count) - count
     head = utf8.flat(first, made)
     tail = head + np.repeat(np.minimum(count, width), made) - 1
-    h = xxh64(line, place[head], place[tail] + sizes[tail] - place[head])
-    out = np.zeros(len(count), np.uint64)
+    return xxh64(line, place[head], place[tail] + sizes[tail] - place[head]), made
+
+
+def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit fingerprint of each text's shingles, 0 for a text without words. A bit is 1 where more than half of the
+    shingles' XXH64 have it."""
+    h, made = shingles(buf, offsets, width)
+    out = np.zeros(len(made), np.uint64)
     full = np.flatnonzero(made)
     ones = np.zeros((len(full), 64), np.int64)
     step = 200_000  # shingles whose bits are unpacked at once
