@@ -564,11 +564,18 @@ def lenient_json(spark, d):
     return got.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["summary"].alias("summary"), F.coalesce(F.col("m")["parse_error"] == "true", F.lit(False)).alias("parse_error"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, '1. ' || coalesce(nullif(trim(role), ''), 'x') || chr(10) || chr(10) || '2) ' || "text" AS raw FROM conversations WHERE NOT contains("text", chr(10)) AND trim("text") = "text" AND length("text") > 0 AND NOT regexp_matches("text", '^[0-9]+[.)]'))
-  SELECT conv_id, turn, [split_part(raw, chr(10), 1)[4:], split_part(raw, chr(10), 3)[4:]][p] AS part, CAST(p AS INTEGER) AS pos FROM c, (SELECT unnest([1, 2]) AS p)""")
+_STRIP = r"regexp_replace({}, '^[\t-\r\x{{85}}\pZ]+|[\t-\r\x{{85}}\pZ]+$', '', 'g')"
+_LINE = _STRIP.format(f"regexp_replace({_STRIP.format('x')}, '^[0-9]+[.)]', '')")
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, coalesce("text", '') AS body, '1. ' || coalesce(role, '') || chr(10) || chr(10) || '2) ' || coalesce("text", '') AS raw FROM conversations),
+  k AS (SELECT conv_id, turn, body, [y FOR y IN [{_LINE} FOR x IN string_split_regex(raw, '\r\n|[\n-\r\x{{85}}\x{{2028}}\x{{2029}}]')] IF length(y) > 0] AS p FROM c),
+  w AS (SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN p ELSE [body] END AS p FROM k)
+  SELECT conv_id, turn, unnest(p) AS part, CAST(generate_subscripts(p, 1) AS INTEGER) AS pos FROM w""")
 def decompose_parse(spark, d):
-    c = _t(spark, d, "conversations").where(~F.col("text").contains("\n") & (F.trim("text") == F.col("text")) & (F.length("text") > 0) & ~F.col("text").rlike(r"^[0-9]+[.)]"))
-    raw = F.concat(F.lit("1. "), F.col("role"), F.lit("\n\n2) "), F.col("text"))
+    """Every turn, its whole text; a null one is empty."""
+    c = _t(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    raw = F.concat(F.lit("1. "), F.coalesce("role", F.lit("")), F.lit("\n\n2) "), F.col("text"))
     return c.select("conv_id", "turn", F.posexplode(T.sub_queries(raw, F.col("text"))).alias("pos", "part")).select("conv_id", "turn", "part", (F.col("pos") + 1).alias("pos"))
 
 
@@ -590,10 +597,10 @@ def rerank_parse(spark, d):
     return retrieval.apply_ranking(found, verdicts).withColumn("score", _six("score"))
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'UNFAITHFUL' ELSE 'FAITHFUL' END AS verdict, CASE event_id % 3 WHEN 0 THEN round(value / 1000, 6) ELSE 1.0 END AS confidence, event_id % 3 = 0 AS correct, CAST(CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_claims FROM events WHERE value <> 0""")
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'UNFAITHFUL' ELSE 'FAITHFUL' END AS verdict, CASE event_id % 3 WHEN 0 THEN CASE WHEN coalesce(value, 0) = 0 THEN 1.0 ELSE round(value / 1000, 6) END ELSE 1.0 END AS confidence, event_id % 3 = 0 AS correct, CAST(CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_claims FROM events""")
 def faithfulness_parse(spark, d):
-    e = _t(spark, d, "events").where("value <> 0")
-    full = F.concat(F.lit('Result: {"claims": [{"claim_text": "a", "status": "SUPPORTED"}, {"claim_text": "b"}], "overall_verdict": "UNFAITHFUL", "confidence_score": '), (F.col("value") / 1000).cast("string"), F.lit("} end"))
+    e = _t(spark, d, "events")
+    full = F.concat(F.lit('Result: {"claims": [{"claim_text": "a", "status": "SUPPORTED"}, {"claim_text": "b"}], "overall_verdict": "UNFAITHFUL", "confidence_score": '), F.coalesce((F.col("value") / 1000).cast("string"), F.lit("null")), F.lit("} end"))
     raw = F.when(F.col("event_id") % 3 == 0, full).when(F.col("event_id") % 3 == 1, '{"confidence_score": 0.0}').otherwise("garbage")
     got = e.select("event_id", L.faithfulness(raw).alias("f"))
     return got.select("event_id", F.col("f.overall_verdict").alias("verdict"), _six("f.confidence_score").alias("confidence"), L.needs_correction(F.col("f")).alias("correct"), F.size("f.claims").alias("n_claims"))
