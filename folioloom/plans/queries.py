@@ -405,7 +405,7 @@ def confidence_summary(spark, d):
 
 # ---- evaluation
 
-_EVAL = f"""q AS (SELECT item_id AS query_id, "text"[1:60] AS question FROM benchmark),
+_EVAL = f"""q AS (SELECT item_id AS query_id, "text" AS question FROM benchmark),
   {_bm25_sql('true', 8)}, rel AS (SELECT q.query_id, coalesce(list(d.doc_id) FILTER (d.doc_id IS NOT NULL), []) AS relevant FROM q LEFT JOIN documents d ON contains(d."text", q.question) GROUP BY q.query_id),
   got AS (SELECT query_id, list(chunk_id ORDER BY rank) AS g FROM r GROUP BY query_id),
   sc AS (SELECT query_id, len(relevant) > 0 AS known, coalesce(g, []) AS g, relevant, [x FOR x IN coalesce(g, []) IF list_contains(relevant, x)] AS h FROM rel LEFT JOIN got USING (query_id)),
@@ -414,7 +414,7 @@ _EVAL = f"""q AS (SELECT item_id AS query_id, "text"[1:60] AS question FROM benc
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("question"))
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = _t(spark, d, "documents").select("doc_id", "text")
     small = F.broadcast(asked) if asked.count() <= retrieval.QUERY_BLOCK else asked
     found = docs.join(small, F.col("text").contains(F.col("question"))).groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant"))

@@ -44,3 +44,15 @@ def test_faithfulness_parse(spark, tmp_path):
     want = [(i, "FAITHFUL", 1.0, False, 0) if i % 3 else (i, "UNFAITHFUL", (v or 1000) / 1000, True, 2) for i, v in enumerate(values)]
     assert got == want
     assert duck_rows(tmp_path, "faithfulness_parse", "event_id, verdict, CAST(confidence AS DOUBLE), correct, n_claims") == want
+
+
+def test_retrieval_metrics_whole_passages(spark, tmp_path):
+    opening = "the same sixty characters open both of these passages, word by word, and then "
+    passage = opening + "zebras graze"
+    table(tmp_path, "benchmark", item_id=[1, 2], text=[passage, "nowhere at all"])
+    docs = [opening + "lions sleep", "before " + passage + " after", opening + "zebras run", "zebras graze"]
+    table(tmp_path, "documents", doc_id=list(range(4)), text=docs, source=["s"] * 4, lang=["en"] * 4)
+    got = {r.query_id: r for r in plans.retrieval_metrics(spark, str(tmp_path)).collect()}
+    assert (got[1].hit_rate, got[1].mrr, got[1].precision_at_k, got[1].recall_at_k) == (1.0, 1.0, 0.25, 1.0)
+    assert got[2].hit_rate is None and got[2].recall_at_k is None
+    assert {r.metric: r["mean"] for r in plans.evaluation_summary(spark, str(tmp_path)).collect()}["precision_at_k"] == 0.25
