@@ -24,8 +24,9 @@ def scoped(corpus: DataFrame, documents: list | None, column: str = "document_id
 
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, score: the k highest cosines of each query (query_id, q) with corpus (chunk_id, ord,
-    embedding), ties in the order of ord. Queries are a stated set: up to QUERY_BLOCK go to all tasks as one block; more
+    embedding), ties in the order of ord; rows without a vector on either side are left out. Queries are a stated set: up to QUERY_BLOCK go to all tasks as one block; more
     are searched block by block, each block of bounded size."""
+    queries, corpus = queries.where("q is not null"), corpus.where("embedding is not null")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
     for b in range(blocks):
@@ -53,6 +54,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = terms.select("term").distinct()
+    if queries.count() <= QUERY_BLOCK:  # else every token of the corpus may be shuffled to meet them
+        wanted = F.broadcast(wanted)
     toks = F.filter(T.tokens(F.coalesce("text", F.lit(""))), lambda t: t.isNotNull())
     base = corpus if statistics is None else statistics
     sized = base.select("chunk_id", toks.alias("toks")).select("chunk_id", "toks", F.size("toks").alias("dl"))
@@ -137,8 +140,8 @@ def union_sub_queries(results: DataFrame) -> DataFrame:
 
 def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 4, threshold: int = 2) -> DataFrame:
     """query_id, rank, chunk_id, score of queries (query_id, question, q): 3k dense and 3k BM25 hits, fused, scored up by region,
-    cut to k, sections expanded. corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title,
-    parent_subtitle)."""
+    cut to k, sections expanded; chunks without an embedding, and questions without a q, take part in all but the dense half.
+    corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title, parent_subtitle)."""
     fused = fuse(dense_top_k(corpus, queries, 3 * k), bm25(corpus, queries, 3 * k))
     known = fused.join(corpus.select("chunk_id", "region_types"), "chunk_id").join(F.broadcast(queries.select("query_id", "question")) if queries.count() <= QUERY_BLOCK else queries.select("query_id", "question"), "query_id")
     top = boost(known).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

@@ -176,7 +176,7 @@ def bm25_scoped(spark, d):
 
 # ---- fusion and what follows it; the query's vector is that of vec_id = query_id
 
-_FUSED = f"""{_Q_SQL}, {_VEC}, {_bm25_sql('doc_id IN (SELECT vec_id FROM embeddings)', 12, 'sp')},
+_FUSED = f"""{_Q_SQL}, {_VEC}, {_bm25_sql('true', 12, 'sp')},
   dn AS (SELECT q.query_id, d.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(v.e, d.e) DESC, d.vec_id) AS rank
          FROM q JOIN v ON v.vec_id = q.query_id CROSS JOIN (SELECT * FROM v WHERE vec_id IN (SELECT doc_id FROM documents)) d QUALIFY rank <= 12),
   fu AS (SELECT coalesce(dn.query_id, sp.query_id) AS query_id, coalesce(dn.chunk_id, sp.chunk_id) AS chunk_id, dn.rank AS dr, sp.rank AS sr,
@@ -187,9 +187,10 @@ _ANY = lambda terms: "(" + " OR ".join(f"contains(lower(question), '{t}')" for t
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents and questions, with their vectors where they have one."""
     v = _t(spark, d, "embeddings").select("vec_id", "embedding")
-    corpus = _corpus(spark, d).join(v, F.col("chunk_id") == F.col("vec_id")).drop("vec_id")
-    asked = _questions(spark).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "question", F.col("embedding").alias("q"))
+    corpus = _corpus(spark, d).join(v, F.col("chunk_id") == F.col("vec_id"), "left").drop("vec_id")
+    asked = _questions(spark).join(v, F.col("query_id") == F.col("vec_id"), "left").select("query_id", "question", F.col("embedding").alias("q"))
     return corpus, asked
 
 
@@ -217,7 +218,7 @@ def region_boost(spark, d):
 def _expanded(source: str, k: int) -> str:
     return f"""tp AS (SELECT query_id, rank, chunk_id, s, source, lang FROM {source} JOIN documents ON doc_id = chunk_id WHERE rank <= {k}),
   hi AS (SELECT query_id, source, lang, min(rank) AS first FROM tp WHERE source IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
-  un AS (SELECT query_id, doc_id AS chunk_id, first AS spot, doc_id AS sub, 0.0 AS s FROM hi JOIN documents c ON c.source = hi.source AND c.lang IS NOT DISTINCT FROM hi.lang WHERE doc_id IN (SELECT vec_id FROM embeddings)
+  un AS (SELECT query_id, doc_id AS chunk_id, first AS spot, doc_id AS sub, 0.0 AS s FROM hi JOIN documents c ON c.source = hi.source AND c.lang IS NOT DISTINCT FROM hi.lang
          UNION ALL SELECT query_id, chunk_id, rank, -1, s FROM tp WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.query_id = tp.query_id AND hi.source = tp.source AND hi.lang IS NOT DISTINCT FROM tp.lang)),
   ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, sub) AS rank FROM un QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY spot, sub) = 1)"""
 

@@ -56,3 +56,18 @@ def test_retrieval_metrics_whole_passages(spark, tmp_path):
     assert (got[1].hit_rate, got[1].mrr, got[1].precision_at_k, got[1].recall_at_k) == (1.0, 1.0, 0.25, 1.0)
     assert got[2].hit_rate is None and got[2].recall_at_k is None
     assert {r.metric: r["mean"] for r in plans.evaluation_summary(spark, str(tmp_path)).collect()}["precision_at_k"] == 0.25
+
+
+def test_hybrid_sees_documents_without_vectors(spark, tmp_path):
+    texts = ["plain words", "other words", "idiot or moron: how many in the table", "more of it", "zzqqzz", "no vector here"]
+    table(tmp_path, "documents", doc_id=list(range(6)), text=texts, source=["a", "b", "c", "d", "e", "e"], lang=["en"] * 6)
+    table(tmp_path, "embeddings", vec_id=[0, 1], embedding=[[1.0, 0.0], [0.6, 0.8]], label=[0, 0])
+    fused = {(r.query_id, r.chunk_id): r.score for r in plans.rrf_fusion(spark, str(tmp_path)).collect()}
+    # question 5 has no vector: only BM25 ranks it, and document 4 has its word
+    assert fused[5, 4] == pytest.approx(1 / 61, abs=1e-6)
+    # question 1 has one; documents 0 and 1 alone have a dense rank
+    assert fused[1, 1] > 1 / 61 and {c for q, c in fused if q == 1} == set(range(6))
+    for name in ("rrf_fusion", "region_boost", "parent_expansion", "hybrid_topk", "lexical_rerank"):
+        got = sorted((r.query_id, r.rank, r.chunk_id) for r in plans.QUERIES[name](spark, str(tmp_path)).collect())
+        assert 4 in {c for _, _, c in got}, name
+        assert got == duck_rows(tmp_path, name, "query_id, rank, chunk_id"), name
