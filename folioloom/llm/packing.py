@@ -62,14 +62,51 @@ def cost(lengths: np.ndarray, linear: float = 1.0, quadratic: float = 1.0 / 4096
     return linear * n + quadratic * n * n
 
 
+class Rooms:
+    """Open sequences by room: a heap of (cost, sequence) for each room, and a tree over rooms of the least of each range,
+    so that the cheapest sequence with at least some room is found in log2(capacity) steps."""
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.least: list[tuple[float, int] | None] = [None] * (2 * self.size)
+
+    def _renew(self, room: int) -> None:
+        node, heap = self.size + room, self.heaps[room]
+        self.least[node] = heap[0] if heap else None
+        while node > 1:
+            node //= 2
+            a, b = self.least[2 * node], self.least[2 * node + 1]
+            self.least[node] = b if a is None or (b is not None and b < a) else a
+
+    def put(self, room: int, cost_: float, sequence: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost_, sequence))
+            self._renew(room)
+
+    def take(self, room: int, of: list[int]) -> tuple[float, int] | None:
+        """The cheapest sequence with at least room, no longer open; of: each sequence's room."""
+        low, high, found = self.size + room, 2 * self.size, None
+        while low < high:
+            if low & 1:
+                x = self.least[low]
+                found = x if found is None or (x is not None and x < found) else found
+                low += 1
+            low //= 2
+            high //= 2
+        if found is not None:
+            heapq.heappop(self.heaps[of[found[1]]])
+            self._renew(of[found[1]])
+        return found
+
+
 def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 4096) -> tuple[list[list[tuple[int, int, int]]], list[float]]:
     """Sequences as lists of (document, start, length), and each one's cost.
 
-    Documents descend by cost and go, whole where they fit, to the sequence of lowest cost with room. ceil(total /
-    capacity) sequences are open, the least that can hold all tokens; what fits nowhere whole is cut to fill the
-    sequences of lowest cost with room, so that at most the last capacity - 1 places of all stay empty."""
+    Documents descend by cost; each goes whole to the sequence of lowest cost among all that have room for it. ceil(total /
+    capacity) sequences are open, the least that can hold all tokens; a document that no sequence has room for is cut to
+    fill the sequences of lowest cost with room, so that at most the last capacity - 1 places of all stay empty."""
     order = np.argsort(-lengths, kind="stable")
-    total = int(lengths.sum())
     bins: list[list[tuple[int, int, int]]] = []
     costs: list[float] = []
     spent = lambda n: linear * n + quadratic * n * n
@@ -84,47 +121,22 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
             todo.append((n - at, d, at))
     first = len(bins)
     todo.sort(key=lambda x: (-x[0], x[1]))
-    count = -(-(total - first * capacity) // capacity)
-    room = [capacity] * count
+    count = -(-(int(lengths.sum()) - first * capacity) // capacity)
+    room, rooms = [capacity] * count, Rooms(capacity)
     bins += [[] for _ in range(count)]
     costs += [0.0] * count
-    # by room, the open sequences in order of cost: the lowest cost among those with room enough
-    heap = [(0.0, k) for k in range(count)]
+    rooms.heaps[capacity] = [(0.0, k) for k in range(count)]
+    rooms._renew(capacity)
     for n, d, at in todo:
-        aside, done = [], False
-        while heap and not done and len(aside) < 32:
-            c, k = heapq.heappop(heap)
-            if c != costs[first + k] or not room[k]:
-                continue
-            if room[k] >= n:
-                bins[first + k].append((d, at, n))
-                room[k] -= n
-                costs[first + k] = c + spent(n)
-                done = True
-                if room[k]:
-                    aside.append((costs[first + k], k))
-            else:
-                aside.append((c, k))
-        if not done:  # nowhere whole among the cheapest: cut
-            left = n
-            aside.sort(reverse=True)
-            while left:
-                if aside:
-                    c, k = aside.pop()
-                else:
-                    c, k = heapq.heappop(heap)
-                if c != costs[first + k] or not room[k]:
-                    continue
-                take = min(left, room[k])
-                bins[first + k].append((d, at, take))
-                room[k] -= take
-                costs[first + k] = c + spent(take)
-                left -= take
-                at += take
-                if room[k]:
-                    heapq.heappush(heap, (costs[first + k], k))
-        for x in aside:
-            heapq.heappush(heap, x)
+        whole = rooms.take(n, room)
+        while n:
+            c, k = whole or rooms.take(1, room)
+            own = min(n, room[k])
+            bins[first + k].append((d, at, own))
+            room[k] -= own
+            costs[first + k] = c + spent(own)
+            rooms.put(room[k], costs[first + k], k)
+            n, at = n - own, at + own
     return bins, costs
 
 
