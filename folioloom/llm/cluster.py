@@ -44,6 +44,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(spark: SparkSession, rows: int, most: int, least: int) -> int:
+    """Into how many shards rows go: none of more than about most, as many as there are partitions to work side by side,
+    none of fewer than about least but for the first rule."""
+    return max(1, -(-rows // most), min(partitions(spark), rows // least))
+
+
+def placed(df: DataFrame, cell: str, cells: int) -> DataFrame:
+    """df with each of the cells 0 .. cells - 1 in a partition of its own; more than 20,000 cells share partitions by hash."""
+    if cells <= 20_000:
+        return df.repartitionById(cells, F.col(cell))
+    return df.repartition(max(20_000, partitions(df.sparkSession)), cell)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioloom.llm.cluster import cut, partitions, table
+from folioloom.llm.cluster import cut, dealt, placed, stored, table
+from folioloom.llm.hnsw import matrix, to_cells
 
 
 class CoverTree:
@@ -18,7 +20,7 @@ class CoverTree:
     every point lies within half the parent's covering radius; so nodes of a level are separated by the radius they
     cover. Leaves hold at most leaf points. radius is measured, not bounded: the farthest point below each centre."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 64, children: int = 12):
+    def __init__(self, points: np.ndarray, leaf: int = 512, children: int = 12):
         self.points = points
         n = len(points)
         self.order = np.arange(n)
@@ -32,6 +34,19 @@ class CoverTree:
         self.centres = np.array(self.centre).reshape(len(self.centre), points.shape[1] if points.ndim == 2 else 0)
         self.radii = np.array(self.radius)
 
+    def dump(self) -> bytes:
+        out, below = io.BytesIO(), [x for b in self.below for x in b]
+        np.savez(out, points=self.points, order=self.order, centres=self.centres, radii=self.radii, span=np.array(self.span, np.int64).reshape(-1, 2), below=np.array(below, np.int64), sizes=np.array([len(b) for b in self.below], np.int64))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> CoverTree:
+        z, made = np.load(io.BytesIO(raw)), cls(np.zeros((0, 0)))
+        made.points, made.order, made.centres, made.radii = z["points"], z["order"], z["centres"], z["radii"]
+        made.span = [tuple(x) for x in z["span"].tolist()]
+        made.below = [x.tolist() for x in np.split(z["below"], np.cumsum(z["sizes"])[:-1])] if len(made.span) else []
+        return made
+
     def _node(self, centre: np.ndarray, a: int, b: int) -> int:
         d = np.sqrt(((self.points[self.order[a:b]] - centre) ** 2).sum(axis=1))
         self.centre.append(centre)
@@ -96,20 +111,27 @@ class Best:
         return np.where(self.have[rows] >= self.k, self.score[rows, -1].astype(np.float64), -np.inf)
 
     def offer(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> None:
+        """score of each of rows (down) with each of ids (across) where ok; only what reaches a row's k-th is sorted."""
         none_s, none_i = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-        s = np.concatenate([self.score[rows], np.where(ok, score, none_s)], axis=1)
-        i = np.concatenate([self.id[rows], np.where(ok, np.broadcast_to(ids, score.shape), none_i)], axis=1)
+        self.have[rows] = np.minimum(self.k, self.have[rows] + ok.sum(axis=1))
+        good = ok & (score >= self.score[rows, -1:])
+        some = good.any(axis=1)
+        cols = good[some].any(axis=0)
+        if not cols.any():
+            return
+        rows, good = rows[some], good[np.ix_(some, cols)]
+        s = np.concatenate([self.score[rows], np.where(good, score[np.ix_(some, cols)], none_s)], axis=1)
+        i = np.concatenate([self.id[rows], np.where(good, ids[cols][None, :], none_i)], axis=1)
         order = np.lexsort((i, ~s), axis=1)[:, : self.k]  # ~s descends without overflow
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        self.have[rows] = np.minimum(self.k, self.have[rows] + ok.sum(axis=1))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, leaf: int = 64) -> tuple[Best, int]:
-    """Best of all queries over all data other than the query's own id, and how many pairs were scored. Node pairs are
+def search(queries: np.ndarray, query_ids: np.ndarray, dt: CoverTree, data_ids: np.ndarray, k: int, leaf: int = 512) -> tuple[Best, int]:
+    """Best of all queries over all of dt's points other than the query's own id, and how many pairs were scored. Node pairs are
     taken in order of their bound and dropped when it's under the group's worst k-th score: for centres c, d and covering
     radii r, s an inner product is at most c.d + r|d| + s|c| + rs."""
     best = Best(len(queries), k)
-    qt, dt = CoverTree(queries, min(leaf, 32)), CoverTree(data, leaf)
+    qt, data = CoverTree(queries, leaf), dt.points
     if not len(queries) or not len(data):
         return best, 0
     norm_q, norm_d = np.sqrt((qt.centres**2).sum(axis=1)), np.sqrt((dt.centres**2).sum(axis=1))
@@ -145,7 +167,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             for at in range(c, d, 4096):
                 cols = dt.order[at : min(d, at + 4096)]
                 score = _integer_scores(queries[rows], data[cols])
-                best.offer(rows, score, data_ids[cols][None, :], query_ids[rows][:, None] != data_ids[cols][None, :])
+                best.offer(rows, score, data_ids[cols], query_ids[rows][:, None] != data_ids[cols][None, :])
                 scored += score.size
     return best, scored
 
@@ -159,51 +181,45 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), rounded.alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 2048, leaf: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, shard_bytes: int = 32 << 20, block_rows: int = 65536, leaf: int = 512, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query, a row whose vec_id is divisible by every, the k highest integer inner
     products of floor(scale * x) with every other row, ties to the smaller vec_id; all candidates, if fewer.
 
-    Rows are dealt into shards of about shard_rows by a hash of vec_id; queries into blocks of at most about block_rows,
-    each block sent to each shard; a task holds one shard and one block, builds both trees and returns k rows a query, and
-    the shards' rows are merged by rank. Exact at any value of these. Vectors that are null, or hold null or non-finite
-    components take no part; nor do rows of null vec_id; an empty vector has inner product 0 and vectors of other length
-    than the query's score over the common components. Of rows with one vec_id each is a candidate of its own, except for a
-    query of that id. An empty table gives no rows. Scores beyond a long are held to its range.
+    Rows are dealt by a hash of vec_id into shards of at most about shard_bytes (or shard_rows rows), whose trees are built
+    once and written to the shared folder; queries into blocks of about block_rows. A task holds one shard's tree and one
+    block, builds the block's tree and returns k rows a query; the shards' rows are merged by rank. Exact at any value of
+    these. Vectors that are null, or hold null or non-finite components take no part; nor do rows of null vec_id; an empty
+    vector has inner product 0 and vectors of other length than the query's score over the common components. Of rows with
+    one vec_id each is a candidate of its own, except for a query of that id. An empty table gives no rows. Scores beyond a
+    long are held to its range.
     """
     spark = vectors.sparkSession
     rows = cut(quantised(vectors, scale=scale).where("vec_id is not null"))
-    n, n_queries = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
-    deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    data = rows.select(deal(shards).alias("shard"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), deal(blocks).alias("block"), "vec_id", "v")
-
-    def matrix(t: pa.Table, dim: int) -> np.ndarray:
-        out = np.zeros((t.num_rows, dim))
-        for i, r in enumerate(t.column("v").to_pylist()):
-            out[i, : len(r)] = r
-        return np.floor(out)
-
-    def width(t: pa.Table) -> int:
-        return max(map(len, t.column("v").to_pylist()), default=0)
-
-    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        dim = max(width(left), width(right))
-        data_ids = right.column("vec_id").to_numpy()
-        points = matrix(right, dim)
-        block, query_ids, asked_ = left.column("block").to_numpy(), left.column("vec_id").to_numpy(), matrix(left, dim)
-        for b in np.unique(block):
-            own = np.flatnonzero(block == b)
-            best, _ = search(asked_[own], query_ids[own], points, data_ids, k, leaf)
+    n, n_queries, width = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.size("v"))).first()
+    shards = dealt(spark, n, shard_rows or max(1024, shard_bytes // (8 * max(1, width or 1))), 4096)
+    blocks = max(1, -(-n_queries // block_rows))
+    deal = lambda m, name: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias(name)
+
+    def plant(t: pa.Table) -> pa.Table:
+        tree = CoverTree(np.floor(matrix(t, width)), leaf)
+        return pa.table({"shard": t.column("shard").slice(0, 1), "ids": pa.array([t.column("vec_id").to_pylist()], pa.list_(pa.int64())), "tree": pa.array([tree.dump()], pa.binary())})
+
+    data = rows.select(deal(shards, "shard"), "vec_id", "v")
+    trees = stored(placed(data, "shard", shards).groupBy("shard").applyInArrow(plant, "shard int, ids array<long>, tree binary"), "cover-trees")
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select(deal(blocks, "block"), "vec_id", "v")
+    queries, held = to_cells(asked, trees, shards, blocks)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cols = [np.zeros(0, np.int64)] * 3
+        if left.num_rows and right.num_rows:
+            ids = left.column("vec_id").to_numpy()
+            data_ids = right.column("ids").combine_chunks().flatten().to_numpy()
+            best, _ = search(np.floor(matrix(left, width)), ids, CoverTree.load(right.column("tree")[0].as_py()), data_ids, k)
             have = np.arange(k)[None, :] < best.have[:, None]
-            found.append((np.repeat(query_ids[own], best.have), best.id[have], best.score[have]))
-        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+            cols = [np.repeat(ids, best.have), best.id[have], best.score[have]]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    parts = max(partitions(spark), 1)
-    near = sent.repartition(parts, "shard").groupBy("shard").cogroup(data.repartition(parts, "shard").groupBy("shard")).applyInArrow(run, "query_id long, vec_id long, score long")
+    near = queries.cogroup(held).applyInArrow(run, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

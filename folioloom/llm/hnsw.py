@@ -6,18 +6,24 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioloom.llm.cluster import cut, partitions, stored, table
-from folioloom.llm.utf8 import mix
+from folioloom.llm.cluster import cut, dealt, placed, stored, table
+from folioloom.llm.utf8 import flat, mix
 
 
 def _distances(points: np.ndarray, norms: np.ndarray, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distances of each query to its own row of ids; ids of -1 are infinitely far."""
-    d = qn[:, None] + norms[ids] - 2 * np.einsum("qd,qmd->qm", q, points[ids], optimize=False)
-    return np.where(ids < 0, np.inf, d)
+    ok = ids >= 0
+    if 3 * np.count_nonzero(ok) > 2 * ok.size:
+        d = qn[:, None] + norms[ids] - 2 * np.einsum("qd,qmd->qm", q, points[ids], optimize=False)
+        return np.where(ok, d, np.float32(np.inf))
+    row, to = np.nonzero(ok)[0], ids[ok]  # most are empty or known
+    out = np.full(ids.shape, np.inf, np.float32)
+    out[ok] = qn[row] + norms[to] - 2 * np.einsum("pd,pd->p", q[row], points[to], optimize=False)
+    return out
 
 
 def _frame(points: np.ndarray) -> tuple[np.ndarray, float]:
@@ -60,9 +66,9 @@ class Graph:
         links, n, rows = self.layers[layer], len(self.points), len(q)
         seen = np.zeros((rows, n), bool)
         at = np.arange(rows)
-        ids = np.full((rows, ef), -1, np.int64)
+        ids, dist = np.full((rows, ef), -1, np.int64), np.full((rows, ef), np.inf, np.float32)
         ids[:, : start.shape[1]] = start
-        dist = _distances(self.points, self.norms, q, qn, ids)
+        dist[:, : start.shape[1]] = _distances(self.points, self.norms, q, qn, start)
         order = np.argsort(dist, axis=1)
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
         seen[np.repeat(at, start.shape[1]), start.ravel()] = True
@@ -87,7 +93,7 @@ class Graph:
             if gain.any():
                 g = live[gain]
                 all_d = np.concatenate([dist[g], d[gain]], axis=1)
-                keep = np.argsort(all_d, axis=1, kind="stable")[:, :ef]
+                keep = np.argsort(all_d, axis=1)[:, :ef]
                 ids[g] = np.take_along_axis(np.concatenate([ids[g], near[gain]], axis=1), keep, 1)
                 dist[g] = np.take_along_axis(all_d, keep, 1)
                 opened[g] = np.take_along_axis(np.concatenate([opened[g], ~ok[gain] | ~np.isfinite(d[gain])], axis=1), keep, 1) | ~np.isfinite(dist[g])
@@ -170,19 +176,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
+def matrix(t: pa.Table, width: int | None = None) -> np.ndarray:
+    """The vectors v of t as rows, shorter ones filled up with zeros to width, or to the longest."""
     col = t.column("v").combine_chunks()
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks)
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    flat_, size = col.flatten().to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy())
+    width = width or int(size.max(initial=0))
+    out = np.zeros((len(col), width))
+    out[np.repeat(np.arange(len(col)), size), flat(np.zeros(len(col), np.int64), size)] = flat_
+    return out
 
 
-def build(vectors: DataFrame, shards: int, m: int = 16, ef: int = 80, keep: int = 11) -> DataFrame:
+def build(vectors: DataFrame, shards: int, width: int, m: int = 16, ef: int = 40, keep: int = 11) -> DataFrame:
     """The index: (shard, graph binary), one row a shard, written to the shared folder. A shard's graph is over its
     distinct vectors; of equal vectors the keep smallest vec_ids are held, which are all that k < keep neighbours can need."""
 
     def run(t: pa.Table) -> pa.Table:
-        points, first, which = np.unique(_matrix(t), axis=0, return_index=True, return_inverse=True)
+        points, first, which = np.unique(matrix(t, width), axis=0, return_index=True, return_inverse=True)
         ids = t.column("vec_id").to_numpy()
         order = np.lexsort((ids, which.ravel()))
         which = which.ravel()[order]
@@ -194,8 +205,8 @@ def build(vectors: DataFrame, shards: int, m: int = 16, ef: int = 80, keep: int
         np.savez(out, points=points, entry=g.entry, ids=ids[order][use], node=which[use], layers=len(g.layers), **{f"layer{k}": x for k, x in enumerate(g.layers)})
         return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "graph": pa.array([out.getvalue()], pa.binary())})
 
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    return stored(dealt.groupBy("shard").applyInArrow(run, "shard int, graph binary"), "hnsw")
+    own = vectors.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
+    return stored(placed(own, "shard", shards).groupBy("shard").applyInArrow(run, "shard int, graph binary"), "hnsw")
 
 
 def _load(raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,54 +221,68 @@ def _load(raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     return g, points, z["ids"], z["node"]
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4096, block_rows: int = 4096, m: int = 16, ef_build: int = 80, ef: int = 96) -> DataFrame:
+def to_cells(queries: DataFrame, index: DataFrame, shards: int, blocks: int) -> tuple[GroupedData, GroupedData]:
+    """queries (block, ...) and index (shard, ...), each block to every shard and each shard to every block, by cell: one
+    block and one shard, a task's work."""
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    cell = (F.col("shard") * F.lit(blocks) + F.col("block")).cast("int").alias("cell")
+    asked = queries.select(every(shards).alias("shard"), "*").select(cell, "*").drop("shard", "block")
+    held = index.select(every(blocks).alias("block"), "*").select(cell, "*").drop("shard", "block")
+    return placed(asked, "cell", shards * blocks).groupBy("cell"), placed(held, "cell", shards * blocks).groupBy("cell")
+
+
+def _hits(raw: bytes, q: np.ndarray, own: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, vec_ids, distances) of the k nearest found of each of q in one graph, scored anew on the vectors."""
+    g, points, ids, node = _load(raw)
+    first = np.searchsorted(node, np.arange(len(points)))
+    held = np.diff(np.r_[first, len(node)])
+    out = []
+    for i in range(0, len(q), 512):
+        near = g.search(q[i : i + 512], max(ef, k + 1))
+        r, c = np.nonzero(near >= 0)
+        at = near[r, c]
+        exact = np.sqrt(((q[i + r] - points[at]) ** 2).sum(axis=1))
+        size = held[at]
+        cand = ids[flat(first[at], size)]
+        row, d = np.repeat(i + r, size), np.repeat(exact, size)
+        ok = cand != own[row]
+        row, d, cand = row[ok], d[ok], cand[ok]
+        order = np.lexsort((cand, d, row))
+        row, d, cand = row[order], d[order], cand[order]
+        heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        top = np.arange(len(row)) - np.repeat(heads, np.diff(np.r_[heads, len(row)])) < k
+        out.append((own[row[top]], cand[top], d[top]))
+    join = lambda j, t: np.concatenate([x[j] for x in out]).astype(t) if out else np.zeros(0, t)
+    return join(0, np.int64), join(1, np.int64), join(2, np.float64)
+
+
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard_bytes: int = 8 << 20, block_rows: int = 65536, m: int = 16, ef_build: int = 40, ef: int = 96, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k nearest found among all other
     rows, by Euclidean distance in double precision, ties to the smaller vec_id; all candidates, if fewer.
 
-    Rows are dealt by a hash of vec_id into shards of about shard_rows, each with a graph of its own; each query, in blocks
-    of about block_rows, is searched in every shard, and the shards' k nearest are merged. What the graphs return is scored
-    anew on the original vectors. Left out: null vec_ids, and vectors that are null, zero, empty or hold null or non-finite
-    components. Vectors must have one length, else ValueError. Repeated rows of one id are one candidate. An empty table
+    Rows are dealt by hash into shards of at most about shard_bytes (or shard_rows rows), each with a graph of its own;
+    queries into blocks of about block_rows. A task holds one shard's graph and one block; the shards' k nearest are merged.
+    What the graphs return is scored anew on the original vectors. Left out: null vec_ids, and vectors that are null, zero,
+    empty or hold null or non-finite components. Shorter vectors count as filled up with zeros. Rows that repeat both id and
+    vector are one candidate; an id with several vectors has a candidate, and as a query a search, for each. An empty table
     gives no rows.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors).dropDuplicates(["vec_id"]))
-    n, asked, low, high = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.min(F.size("v")), F.max(F.size("v"))).first()
-    if low != high:
-        raise ValueError(f"vectors of {low} to {high} components")
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    index = build(rows, shards, m, ef_build, k + 1)
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "vec_id", "v")
+    rows = cut(usable(vectors).dropDuplicates(["vec_id", "v"]))
+    n, asked, width = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.size("v"))).first()
+    shards = dealt(spark, n, shard_rows or max(1024, shard_bytes // (8 * max(1, width or 1))), 4096)
+    blocks = max(1, -(-asked // block_rows))
+    index = build(rows, shards, width, m, ef_build, k + 1)
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    queries, graphs = to_cells(queries, index, shards, blocks)
 
     def run(asked: pa.Table, graphs: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        for raw in graphs.column("graph").to_pylist() if asked.num_rows else []:
-            g, points, ids, node = _load(raw)
-            first = np.searchsorted(node, np.arange(len(points)))
-            held = np.diff(np.r_[first, len(node)])
-            q, own = _matrix(asked), asked.column("vec_id").to_numpy()
-            for i in range(0, len(q), 512):
-                near = g.search(q[i : i + 512], max(ef, k + 1))
-                r, c = np.nonzero(near >= 0)
-                at = near[r, c]
-                exact = np.sqrt(((q[i + r] - points[at]) ** 2).sum(axis=1))
-                size = held[at]
-                cand = ids[np.repeat(first[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-                row, d = np.repeat(i + r, size), np.repeat(exact, size)
-                ok = cand != own[row]
-                row, d, cand = row[ok], d[ok], cand[ok]
-                order = np.lexsort((cand, d, row))
-                row, d, cand = row[order], d[order], cand[order]
-                heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-                top = np.arange(len(row)) - np.repeat(heads, np.diff(np.r_[heads, len(row)])) < k
-                for x, y in zip(out, (own[row[top]], cand[top], d[top]), strict=True):
-                    x.append(y)
-        cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
-
-    parts = partitions(spark)
-    found = sent.repartition(parts, "shard").groupBy("shard").cogroup(index.repartition(parts, "shard").groupBy("shard")).applyInArrow(run, "query_id long, vec_id long, score double")
+        cols = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if asked.num_rows and graphs.num_rows:
+            cols = _hits(graphs.column("graph")[0].as_py(), matrix(asked, width), asked.column("vec_id").to_numpy(), k, ef)
+        return pa.Table.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+
+    found = queries.cogroup(graphs).applyInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
