@@ -1,10 +1,15 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights, sharded tables.
 
-Words are 64-bit hashes throughout. Counts, tables and lookups are dealt into shards by the upper bits of a hash: bigrams are
-first counted where their word lives (so that each learns its word's count), then regrouped where their context lives, which
-is where the backoff weight of a context can be normalised exactly. What moves between tasks are flat arrays, one a shard and
-batch of texts, each distinct bigram of a batch once. No table, count or score of all the corpus comes to the driver or to one
-task; the driver sees counts of counts.
+Words are 64-bit hashes throughout. Words are counted first. Counts, tables and lookups of bigrams are dealt into shards by
+the upper bits of a hash: bigrams are first counted where their word lives (so that each learns its word's count), then
+regrouped where their context lives, which is where the backoff weight of a context can be normalised exactly. What moves
+between tasks are flat arrays, one a shard and batch of texts that has any bigram there, each distinct bigram of a batch once.
+
+Words with a share of 1 / HOT or more of all tokens are hot; there are at most HOT of them, and all tasks know their counts.
+So a hot word's bigrams needn't meet, and are counted where their context lives; a hot context's bigrams are dealt by both
+words, and its normalisation is summed from all shards; bigrams as frequent as that are known to all tasks too, and scored
+where they are read. No table, count or score of all the corpus comes to the driver or to one task; the driver sees counts of
+counts and what is hot.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.llm import utf8
-from folioloom.llm.cluster import partitions, stored, stored_at, table, texts
+from folioloom.llm.cluster import partitions, small_batches, stored, stored_at, table, texts
 
 #: Hashes of what isn't a word: the end of a text and the context before its first token.
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0xB391B391B391B391)
@@ -33,6 +38,8 @@ BATCH_TOKENS = 1_500_000
 TURNS = 3
 #: Counts up to this are discounted.
 KATZ_K = 5
+#: A word or bigram with a share of 1 / HOT of all tokens is hot: at most HOT of each.
+HOT = 65_536
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -208,29 +215,89 @@ def _batches(batches: Iterator[pa.RecordBatch], learn: bool) -> Iterator[tuple[n
         yield np.concatenate(w), np.concatenate(h), np.concatenate(n), ids
 
 
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among sorted keys, whether it's there) of each of wanted."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+@dataclass(frozen=True)
+class Hot:
+    """What all tasks know, each list sorted by its hash, none longer than HOT + 1: hot words and their counts, hot contexts
+    with their totals and backoff weights, hot bigrams with their probabilities and their words' counts."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    totals: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    none: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    bow: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair_p: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    pair_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def route(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The hash by which bigrams are dealt: their context's, where it's hot that of both words."""
+        hot = find(self.contexts, h)[1]
+        out = h.copy()
+        out[hot] = utf8.pair(h[hot], w[hot])
+        return out
+
+
 class Model:
-    """Tables of a fitted model: words (shard, blob of word hashes and counts) and pairs (shard, blob of contexts, their
-    sizes and backoff weights, words, counts, word counts), both by shard; statistics of the whole."""
+    """Tables of a fitted model: words (w, c) and pairs (shard, blob), the blobs of a shard's contexts, their sizes and backoff
+    weights, words, counts, word counts, then the same of hot contexts' bigrams without weights; statistics of the whole
+    and what is hot."""
+
+    def __init__(self, words: DataFrame, pairs: DataFrame, stats: Stats, shards: int, hot: Hot):
+        self.words, self.pairs, self.stats, self.shards, self.hot = words, pairs, stats, shards, hot
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """(w, c): how often each word is learnt, each batch's partial counts summed on both sides of the shuffle."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, _, _, _ in _batches(batches, True):
+            w, c = np.unique(w, return_counts=True)
+            for i in range(0, len(w), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(w[i : i + 100_000].view(np.int64)), pa.array(c[i : i + 100_000])], names=["w", "c"])
+
+    return texts(docs).mapInArrow(gather, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
-    def __init__(self, words: DataFrame, pairs: DataFrame, stats: Stats, shards: int):
-        self.words, self.pairs, self.stats, self.shards = words, pairs, stats, shards
 
+def _counts_of_counts(c: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(c, KATZ_K + 2), minlength=KATZ_K + 3).tolist()
 
-def _count(docs: DataFrame, shards: int) -> DataFrame:
-    """(kind, turn, shard, blob): u: word counts; b: bigrams for a shard of contexts; s: counts of counts."""
+
+def _by_word(w: np.ndarray, h: np.ndarray, c: np.ndarray, cw: np.ndarray | None = None) -> bytes:
+    """Bigrams of a shard, side by side by word: each word (and its count) once."""
+    order = np.argsort(w)
+    w = w[order]
+    hd = heads(w)
+    return dump(w[hd], *([] if cw is None else [cw[order][hd].astype(np.uint32)]), sizes(hd, len(w)).astype(np.uint32), h[order], c[order].astype(np.uint32))
+
+
+def _count(docs: DataFrame, shards: int, hot: Hot) -> DataFrame:
+    """(kind, turn, shard, blob, n): b: bigrams for a shard of contexts, with their words' counts; s: counts of counts n."""
+
+    def split(route: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(order by shard, [(shard, from, to)] of those that have any)."""
+        order = np.argsort(route)
+        cut = by_shard(route[order], shards)
+        return order, [(s, int(cut[s]), int(cut[s + 1])) for s in np.flatnonzero(np.diff(cut)).tolist()]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, h, _, _ in _batches(batches, True):
             _, first, c = np.unique(utf8.pair(h, w), return_index=True, return_counts=True)
             w, h = w[first], h[first]
-            order = np.argsort(w)
-            w, h, c = w[order], h[order], c[order].astype(np.uint32)
-            cut = by_shard(w, shards).tolist()
-            blobs = []
-            for a, z in zip(cut, cut[1:], strict=False):
-                hd = heads(w[a:z])
-                blobs.append(dump(w[a:z][hd], sizes(hd, z - a).astype(np.uint32), h[a:z], c[a:z]))
-            yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+            known = find(hot.words, w)[1]
+            for kind, on in (("w", ~known), ("b", known)):
+                ww, hh, cc = w[on], h[on], c[on]
+                order, cuts = split(ww if kind == "w" else hot.route(hh, ww))
+                ww, hh, cc = ww[order], hh[order], cc[order]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(cuts), pa.string()), pa.array([s for s, _, _ in cuts], pa.int32()), pa.array([_by_word(ww[a:z], hh[a:z], cc[a:z]) for _, a, z in cuts], pa.binary())], names=["kind", "shard", "blob"])
 
     def meet(t: pa.Table) -> pa.Table:
         utf8.trim()
@@ -243,46 +310,29 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
         w, h, c = np.concatenate(w), np.concatenate(h), np.concatenate(c).astype(np.int64)
         order = np.argsort(utf8.pair(h, w))
         w, h, c = w[order], h[order], c[order]
-        hd = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1])]) if len(w) else np.zeros(0, np.int64)
-        w, h, c = w[hd], h[hd], np.add.reduceat(c, hd) if len(hd) else c
-        order = np.argsort(w)
-        w, h, c = w[order], h[order], c[order]
-        hd = heads(w)
-        cw = np.add.reduceat(c, hd) if len(hd) else np.zeros(0, np.int64)
-        known = lambda x: np.bincount(np.minimum(x, KATZ_K + 2), minlength=KATZ_K + 3)
-        kinds, turns, to, blobs = ["u", "s"], [0, 0], [t.column("shard")[0].as_py(), 0], [dump(w[hd], cw.astype(np.uint32)), dump(np.r_[cw.sum(), len(cw), known(cw), known(c)].astype(np.int64))]
-        cws = np.repeat(cw, sizes(hd, len(w))).astype(np.uint32)
-        order = np.argsort(h)
-        w, h, c, cws = w[order], h[order], c[order].astype(np.uint32), cws[order]
-        cut = by_shard(h, shards).tolist()
-        for s, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
-            # side by side by word: each word and its count once
-            order = np.argsort(w[a:z])
-            ww = w[a:z][order]
-            hd = heads(ww)
-            kinds.append("b")
-            turns.append(s % TURNS)
-            to.append(s)
-            blobs.append(dump(ww[hd], cws[a:z][order][hd], sizes(hd, z - a).astype(np.uint32), h[a:z][order], c[a:z][order]))
-        return pa.table({"kind": pa.array(kinds), "turn": pa.array(turns, pa.int32()), "shard": pa.array(to, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    sent = texts(docs).mapInArrow(gather, "shard int, blob binary")
-    return sent.groupBy("shard").applyInArrow(meet, "kind string, turn int, shard int, blob binary")
-
-
-def fit(docs: DataFrame, shards: int | None = None) -> Model:
-    """The bigram model of the texts of docs (doc_id, text) that aren't held out, in tables in the shared folder."""
-    spark = docs.sparkSession
-    shards = shards or shards_for(docs)
-    with _released(spark):
-        folder, counted = stored_at(_count(docs, shards), "katz-counts", "kind", "turn")
-    width = KATZ_K + 3
-    total = np.zeros(2 + 2 * width, np.int64)
-    for r in counted.where("kind = 's'").select("blob").toLocalIterator():  # a row of 18 numbers a shard
-        total += load(bytes(r.blob))[0]
-    stats = Stats(int(total[0]), int(total[1]), tuple(total[2 : 2 + width].tolist()), tuple(total[2 + width :].tolist()))
-
-    def regroup(t: pa.Table) -> pa.Table:
+        hd = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
+        w, h, c = w[hd], h[hd], np.add.reduceat(c, hd)
+        if t.column("kind")[0].as_py() == "w":
+            order = np.argsort(w)
+            w, h, c = w[order], h[order], c[order]
+            hd = heads(w)
+            cw = np.repeat(np.add.reduceat(c, hd), sizes(hd, len(w)))
+            order, cuts = split(hot.route(h, w))
+            w, h, c, cw = w[order], h[order], c[order], cw[order]
+        else:
+            cw, cuts = hot.counts[find(hot.words, w)[0]], [(t.column("shard")[0].as_py(), 0, len(w))]
+        made = [("b", s % TURNS, s, _by_word(w[a:z], h[a:z], c[a:z], cw[a:z]), None) for s, a, z in cuts] + [("s", 0, 0, None, _counts_of_counts(c))]
+        types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), types, strict=True)], names=["kind", "turn", "shard", "blob", "n"])
+
+    sent = texts(docs).mapInArrow(gather, "kind string, shard int, blob binary")
+    return sent.groupBy("kind", "shard").applyInArrow(meet, "kind string, turn int, shard int, blob binary, n array<long>")
+
+
+def _regroup(stats: Stats, hot: Hot, limit: int):
+    """Bigrams of a shard of contexts to a table's blob (kind t), sums of hot contexts (c) and hot bigrams (p)."""
+
+    def run(t: pa.Table) -> pa.Table:
         utf8.trim()
         h, w, c, cw = [], [], [], []
         for raw in t.column("blob").to_pylist():
@@ -294,19 +344,114 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
         h, w, c, cw = (np.concatenate(x) for x in (h, w, c, cw))
         order = np.lexsort((w, h))
         h, w, c, cw = h[order], w[order], c[order], cw[order]
-        hd = heads(h)
-        _, bow = normalise(stats, c.astype(np.int64), cw.astype(np.int64), hd)
-        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "blob": pa.array([dump(h[hd], sizes(hd, len(h)).astype(np.uint32), bow, w, c, cw)], pa.binary())})
-
-    made = []
+        shared = find(hot.contexts, h)[1]
+        blobs = []
+        for on in (~shared, shared):
+            hd = heads(h[on])
+            own = normalise(stats, c[on].astype(np.int64), cw[on].astype(np.int64), hd)[1] if on is not shared else np.zeros(0)
+            blobs.append(dump(h[on][hd], sizes(hd, int(on.sum())).astype(np.uint32), own, w[on], c[on], cw[on]))
+        hd = heads(h[shared])
+        sums = [np.add.reduceat(x, hd) if len(hd) else np.zeros(0) for x in (c[shared].astype(np.int64), stats.discounted(c[shared].astype(np.int64), stats.pairs), stats.p_word(cw[shared].astype(np.int64)))]
+        often = shared & (c >= limit)
+        n1, n2 = len(hd), int(often.sum())
+        col = lambda first, a, b, kind: pa.array([first, *a.tolist(), *b.tolist()], kind)
+        i64 = lambda x: x.view(np.int64)
+        nothing = np.full(n2, None)
+        return pa.Table.from_arrays(
+            [
+                pa.array(["t"] + ["c"] * n1 + ["p"] * n2),
+                pa.array([t.column("shard")[0].as_py()] * (1 + n1 + n2), pa.int32()),
+                pa.array([dump(*load(blobs[0]), *load(blobs[1]))] + [None] * (n1 + n2), pa.binary()),
+                col(None, i64(h[shared][hd]), i64(h[often]), pa.int64()),
+                col(None, np.full(n1, None), i64(w[often]), pa.int64()),
+                col(None, sums[0].astype(np.int64), c[often].astype(np.int64), pa.int64()),
+                col(None, np.full(n1, None), cw[often].astype(np.int64), pa.int64()),
+                col(None, sums[1], nothing, pa.float64()),
+                col(None, sums[2], nothing, pa.float64()),
+            ],
+            names=["kind", "shard", "blob", "h", "w", "c", "cw", "kept", "low"],
+        )
+
+    return run
+
+
+def fit(docs: DataFrame, shards: int | None = None, hot: int = HOT) -> Model:
+    """The bigram model of the texts of docs (doc_id, text) that aren't held out, in tables in the shared folder. hot: the
+    bound on how many words, contexts and bigrams all tasks know."""
+    spark = docs.sparkSession
+    shards = shards or shards_for(docs)
+    small_batches(docs)
+    of_counts = lambda c: [F.count(F.when(F.least(c, F.lit(KATZ_K + 2)) == r, 1)) for r in range(KATZ_K + 3)]
     with _released(spark):
-        words = stored(counted.where("kind = 'u'").select("shard", "blob"), "katz-words")
+        words = stored(_words(docs), "katz-words")
+        n, v, *own = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *of_counts(F.col("c"))).first()
+        limit = max(1, -(-n // hot))
+        top = words.where(F.col("c") >= limit).toArrow()  # at most hot rows
+        w, c = top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy()
+        order = np.argsort(w)
+        w, c = w[order], c[order]
+        known = Hot(w, c, np.sort(np.where(w == END, BEGIN, w)))
+        folder, counted = stored_at(_count(docs, shards, known), "katz-counts", "kind", "turn")
+        pairs = counted.where("kind = 's'").agg(*[F.coalesce(F.sum(F.col("n")[r]), F.lit(0)) for r in range(KATZ_K + 3)]).first()
+        stats = Stats(n, v, tuple(own), tuple(pairs))
+        made = []
         for turn in range(TURNS):
-            pairs = counted.where(f"kind = 'b' and turn = {turn}").select("shard", "blob").groupBy("shard").applyInArrow(regroup, "shard int, blob binary")
-            made.append(stored(pairs, "katz-pairs"))
+            bigrams = counted.where(f"kind = 'b' and turn = {turn}").select("shard", "blob").groupBy("shard")
+            schema = "kind string, shard int, blob binary, h long, w long, c long, cw long, kept double, low double"
+            made.append(stored(bigrams.applyInArrow(_regroup(stats, known, limit), schema), "katz-pairs", "kind"))
             _remove(spark, f"{folder}/kind=b/turn={turn}")
     _remove(spark, folder)
-    return Model(words, reduce(DataFrame.unionByName, made), stats, shards)
+    tables = reduce(DataFrame.unionByName, made)
+    return Model(words, tables.where("kind = 't'").select("shard", "blob"), stats, shards, _heated(known, stats, tables))
+
+
+def _heated(known: Hot, stats: Stats, tables: DataFrame) -> Hot:
+    """known with hot contexts' totals and weights, summed over shards, and the hot bigrams, at most HOT of each."""
+    by = tables.where("kind = 'c'").groupBy("h").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("low").alias("low")).toArrow()
+    h, total, kept, low = (by.column(x).to_numpy() for x in ("h", "c", "kept", "low"))
+    order = np.argsort(h.view(np.uint64))
+    h, total, left, low = h.view(np.uint64)[order], total[order], (1 - kept / total)[order], low[order]
+    none = left <= 1e-12
+    bow = np.where(none, 1 / (total + 1), left) / (1 - low)
+    often = tables.where("kind = 'p'").select("h", "w", "c", "cw").toArrow()
+    a, w, c, cw = (often.column(x).to_numpy() for x in ("h", "w", "c", "cw"))
+    at = find(h, a.view(np.uint64))[0]
+    p = np.where(none[at], c / (total[at] + 1), stats.discounted(c, stats.pairs) / total[at]) if len(c) else np.zeros(0)
+    key = utf8.pair(a.view(np.uint64), w.view(np.uint64))
+    order = np.argsort(key)
+    return Hot(known.words, known.counts, h, total, none, bow, key[order], p[order], cw[order])
+
+
+def _table(stats: Stats, hot: Hot, raw: bytes | None) -> tuple[np.ndarray, ...]:
+    """(bigram keys, log10 p, log10 (word count + 1); contexts, log10 backoff weights) of a shard, hot contexts' included."""
+    key, p, c1, contexts, weights = [], [], [], [hot.contexts], [hot.bow]
+    if raw is not None:
+        parts = load(raw)
+        for own, (h, size, bow, w, c, cw) in ((True, parts[:6]), (False, parts[6:])):
+            c = c.astype(np.int64)
+            each = np.repeat(h, size)
+            if own:
+                q, _ = normalise(stats, c, cw.astype(np.int64), np.cumsum(size, dtype=np.int64) - size)
+                contexts.append(h)
+                weights.append(bow)
+            else:
+                at = find(hot.contexts, each)[0]
+                q = np.where(hot.none[at], c / (hot.totals[at] + 1), stats.discounted(c, stats.pairs) / hot.totals[at]) if len(c) else np.zeros(0)
+            key.append(utf8.pair(each, w))
+            p.append(q)
+            c1.append(cw)
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    key, p, c1, contexts, weights = join(key, np.uint64), join(p, float), join(c1, np.uint32), join(contexts, np.uint64), join(weights, float)
+    order, by = np.argsort(key), np.argsort(contexts)
+    return key[order], np.log10(p[order]), np.log10(c1[order] + 1.0), contexts[by], np.log10(weights[by])
+
+
+def _partial(doc: np.ndarray, occurs: np.ndarray, value: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
+    """Sums a document of what each of its bigrams gives, occurs places of doc after one another each."""
+    n = int(doc.max(initial=0)) + 1
+    sums = [np.bincount(doc, weights=np.repeat(x, occurs), minlength=n) for x in (value, base, known)]
+    on = np.unique(doc)
+    return dump(on.astype(np.uint16), sums[0][on], sums[1][on], sums[2][on].astype(np.uint32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -320,39 +465,38 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark import TaskContext
 
     shards, stats = model.shards, model.stats
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model.hot)  # at most HOT entries of each kind
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = TaskContext.get().partitionId() << 24
+        flush, hot = TaskContext.get().partitionId() << 24, shared.value
+        log_p, log_c = np.log10(hot.pair_p), np.log10(hot.pair_words + 1.0)
         for w, h, n, ids in _batches(batches, False):
             doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-            order = np.lexsort((w, h))
-            w, h, doc = w[order], h[order], doc[order]
-            cut = by_shard(h, shards).tolist()
-            blobs = []
-            for a, z in zip(cut, cut[1:], strict=False):
+            at, often = find(hot.pairs, utf8.pair(h, w))
+            sums = [np.bincount(doc[often], weights=x, minlength=len(n)) for x in (log_p[at[often]], log_c[at[often]], np.ones(int(often.sum())))] if len(hot.pairs) else [np.zeros(len(n))] * 3
+            w, h, doc = w[~often], h[~often], doc[~often]
+            shard = (hot.route(h, w) >> np.uint64(64 - shards.bit_length() + 1)).astype(np.uint32)
+            order = np.lexsort((w, h, shard))
+            w, h, doc, shard = w[order], h[order], doc[order], shard[order]
+            hd = heads(shard)
+            blobs, to = [], shard[hd].tolist()
+            for a, z in zip(hd.tolist(), [*hd[1:].tolist(), len(shard)], strict=False):
                 hh, ww = h[a:z], w[a:z]
-                pd = np.flatnonzero(np.r_[True, (hh[1:] != hh[:-1]) | (ww[1:] != ww[:-1])]) if z > a else np.zeros(0, np.int64)
+                pd = np.flatnonzero(np.r_[True, (hh[1:] != hh[:-1]) | (ww[1:] != ww[:-1])])
                 hp = hh[pd]
-                hd = heads(hp)
-                blobs.append(dump(hp[hd], sizes(hd, len(pd)).astype(np.uint32), ww[pd], sizes(pd, z - a).astype(np.uint32), doc[a:z]))
-            blobs.append(dump(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([*range(shards), flush % shards], pa.int32()), pa.array([flush] * (shards + 1), pa.int64()), pa.array([False] * shards + [True]), pa.array(blobs, pa.binary())], names=["shard", "flush", "docs", "blob"])
+                top = heads(hp)
+                blobs.append(dump(hp[top], sizes(top, len(pd)).astype(np.uint32), ww[pd], sizes(pd, z - a).astype(np.uint32), doc[a:z]))
+            blobs.append(dump(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n.astype(np.int64), *sums))
+            own = len(to)
+            yield pa.RecordBatch.from_arrays([pa.array([*to, flush % shards], pa.int32()), pa.array([flush] * (own + 1), pa.int64()), pa.array([False] * own + [True]), pa.array(blobs, pa.binary())], names=["shard", "flush", "docs", "blob"])
             flush += 1
 
-    def partial(doc: np.ndarray, occurs: np.ndarray, value: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
-        n = int(doc.max(initial=0)) + 1
-        sums = [np.bincount(doc, weights=np.repeat(x, occurs), minlength=n) for x in (value, base, known)]
-        on = np.unique(doc)
-        return dump(on.astype(np.uint16), sums[0][on], sums[1][on], sums[2][on].astype(np.uint32))
-
     def look_up(sent: pa.Table, tables: pa.Table) -> pa.Table:
         utf8.trim()
+        hot = shared.value
         kinds, keys, blobs = [], [], []
-        hu, size, bow, w, c, cw = load(tables.column("blob")[0].as_py()) if tables.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
-        p, _ = normalise(stats, c.astype(np.int64), cw.astype(np.int64), np.cumsum(size, dtype=np.int64) - size)
-        key = utf8.pair(np.repeat(hu, size), w)
-        order = np.argsort(key)
-        key, log_p, log_c, log_bow = key[order], np.log10(p[order]), np.log10(cw[order] + 1.0), np.log10(bow)
+        key, log_p, log_c, contexts, log_bow = _table(stats, hot, tables.column("blob")[0].as_py() if tables.num_rows else None)
         missed: list[tuple] = []
         for flush, is_docs, raw in zip(sent.column("flush").to_pylist(), sent.column("docs").to_pylist(), sent.column("blob"), strict=True):
             raw = raw.as_py()
@@ -362,22 +506,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 blobs.append(raw)
                 continue
             qh, qsize, qw, occurs, doc = load(raw)
-            if not len(qw):
-                continue
-            q = utf8.pair(np.repeat(qh, qsize), qw)
-            if len(key):
-                at = np.minimum(np.searchsorted(key, q), len(key) - 1)
-                seen = key[at] == q
-                hat = np.minimum(np.searchsorted(hu, qh), len(hu) - 1)
-                back = np.repeat(np.where(hu[hat] == qh, log_bow[hat], 0.0), qsize)
-                value, base = np.where(seen, log_p[at], back), np.where(seen, log_c[at], 0.0)
-            else:
-                seen, value, base = np.zeros(len(q), bool), np.zeros(len(q)), np.zeros(len(q))
+            at, seen = find(key, utf8.pair(np.repeat(qh, qsize), qw))
+            value, base, known = np.zeros(len(qw)), np.zeros(len(qw)), seen.astype(np.float64)
+            value[seen], base[seen] = log_p[at[seen]], log_c[at[seen]]
+            if not seen.all():
+                hat, there = find(contexts, qh)
+                back = np.zeros(len(qh))
+                back[there] = log_bow[hat[there]]
+                value[~seen] = np.repeat(back, qsize)[~seen]
+                at, top = find(hot.words, qw)
+                top &= ~seen  # words that all tasks know needn't go on
+                c = hot.counts[at[top]].astype(np.int64)
+                value[top] += np.log10(stats.p_word(c))
+                base[top], known[top] = np.log10(c + 1.0), 1.0
+                on = ~seen & ~top
+                if on.any():
+                    missed.append((qw[on], occurs[on], doc[np.repeat(on, occurs)], flush))
             kinds.append("p")
             keys.append(flush)
-            blobs.append(partial(doc, occurs, value, base, seen.astype(np.float64)))
-            if not seen.all():
-                missed.append((qw[~seen], occurs[~seen], doc[np.repeat(~seen, occurs)], flush))
+            blobs.append(_partial(doc, occurs, value, base, known))
         if missed:
             mw = np.concatenate([m[0] for m in missed])
             mo = np.concatenate([m[1] for m in missed])
@@ -387,24 +534,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             at = np.cumsum(mo, dtype=np.int64) - mo
             md = md[utf8.flat(at[order], mo[order].astype(np.int64))]
             mw, mo, mf = mw[order], mo[order], mf[order]
-            ends, cut = np.r_[0, np.cumsum(mo, dtype=np.int64)], by_shard(mw, shards).tolist()
-            for s, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
-                if z > a:
-                    kinds.append("w")
-                    keys.append(s)
-                    blobs.append(dump(mw[a:z], mf[a:z], mo[a:z], md[ends[a] : ends[z]]))
+            ends, cut = np.r_[0, np.cumsum(mo, dtype=np.int64)], by_shard(mw, shards)
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                a, z = int(cut[s]), int(cut[s + 1])
+                kinds.append("w")
+                keys.append(s)
+                blobs.append(dump(mw[a:z], mf[a:z], mo[a:z], md[ends[a] : ends[z]]))
         return pa.table({"kind": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def back_off(sent: pa.Table, tables: pa.Table) -> pa.Table:
         utf8.trim()
-        w, cw = load(tables.column("blob")[0].as_py()) if tables.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        w, cw = tables.column("w").to_numpy().view(np.uint64), tables.column("c").to_numpy()
+        order = np.argsort(w)
+        w, cw = w[order], cw[order]
         keys, blobs = [], []
         for raw in sent.column("blob").to_pylist():
             qw, flush, occurs, doc = load(raw)
+            at, there = find(w, qw)
             c = np.zeros(len(qw), np.int64)
-            if len(w):
-                at = np.minimum(np.searchsorted(w, qw), len(w) - 1)
-                c = np.where(w[at] == qw, cw[at], 0).astype(np.int64)
+            c[there] = cw[at[there]]
             value, base, known = np.log10(stats.p_word(c)), np.log10(c + 1.0), (c > 0).astype(np.float64)
             order = np.argsort(flush, kind="stable")
             at = np.cumsum(occurs, dtype=np.int64) - occurs
@@ -412,15 +560,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, n in zip(hd.tolist(), sizes(hd, len(order)).tolist(), strict=True):
                 own = order[a : a + n]
                 keys.append(int(flush[own[0]]))
-                blobs.append(partial(doc[utf8.flat(at[own], occurs[own].astype(np.int64))], occurs[own], value[own], base[own], known[own]))
+                blobs.append(_partial(doc[utf8.flat(at[own], occurs[own].astype(np.int64))], occurs[own], value[own], base[own], known[own]))
         return pa.table({"kind": pa.array(["p"] * len(keys), pa.string()), "key": pa.array(keys, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     flat = math.log10(stats.n + stats.v + 1) if stats.n + stats.v else 0.0  # N + 1 * (V + 1) of the add-one model is N + V + 1
 
     def total(t: pa.Table) -> pa.Table:
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob")
-        ids, none, n = load(blobs[kinds.index("d")].as_py())
-        sums = np.zeros((3, len(ids)))
+        ids, none, n, *sums = load(blobs[kinds.index("d")].as_py())
+        sums = np.array(sums)
         for k, raw in zip(kinds, blobs, strict=True):
             if k == "p":
                 doc, value, base, known = load(raw.as_py())
@@ -428,7 +576,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     s[doc] += x
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=none.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1] - n * flat), "score": pa.array(sums[0])})
 
-    spark, kinds, out = docs.sparkSession, "kind string, key long, blob binary", []
+    kinds, out = "kind string, key long, blob binary", []
+    words = model.words.select(F.shiftrightunsigned("w", 64 - shards.bit_length() + 1).cast("int").alias("shard"), "w", "c").groupBy("shard")
     for turn in range(TURNS):
         own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)) == turn)
         sent = texts(own).mapInArrow(gather, "shard int, flush long, docs boolean, blob binary")
@@ -436,7 +585,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         with _released(spark):
             folder, found = stored_at(found, "katz-found", "kind")
             unseen = found.where("kind = 'w'").select(F.col("key").cast("int").alias("shard"), "blob")
-            second = unseen.groupBy("shard").cogroup(model.words.groupBy("shard")).applyInArrow(back_off, kinds)
+            second = unseen.groupBy("shard").cogroup(words).applyInArrow(back_off, kinds)
             first = found.where("kind in ('p', 'd')").select("kind", "key", "blob")
             scored = first.unionByName(second).groupBy("key").applyInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
             out.append(stored(scored, "katz-scores"))

@@ -71,15 +71,16 @@ class Brute:
         return len(ws), sum(w in self.c1 for w in ws), base, total
 
 
-@pytest.mark.parametrize("shards", [4, 16])
-def test_against_dictionaries(spark, shards, monkeypatch):
+@pytest.mark.parametrize(("shards", "hot"), [(4, katz.HOT), (16, 12), (4, 40)])
+def test_against_dictionaries(spark, shards, hot):
     rng = random.Random(shards)
     vocabulary = ["the"] * 30 + ["Ab", "aB", "é"] + [f"w{int(rng.paretovariate(0.7))}" for _ in range(120)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(260)] + [None, "", "  ", "x\ty\n\nZ", "the " * 3000]
     data = [(i, t, "en", 0.5) for i, t in enumerate(texts)] + [(None, "w1 w2 the", "en", 0.5), (5, texts[5], "en", 0.5)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, score double").repartition(3)
     brute = Brute([t for i, t, *_ in data if i is None or zlib.crc32(str(i).encode()) % 7 != 2])
-    model = katz.fit(docs, shards)
+    model = katz.fit(docs, shards, hot)
+    assert len(model.hot.words) <= hot and len(model.hot.pairs) <= hot and len(model.hot.contexts) <= hot + 1
     assert (model.stats.n, model.stats.v) == (brute.n, brute.v)
     got = katz.score(docs, model).collect()
     assert len(got) == len(data)
