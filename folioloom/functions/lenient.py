@@ -12,10 +12,15 @@ def unfenced(raw: Column) -> Column:
     return strip(F.regexp_replace(raw, r"```(?:json)?\s*|\s*```", ""))
 
 
-def json_object(raw: Column) -> Column:
+def unfenced_lines(raw: Column) -> Column:
+    """raw without code fences that open or close a line."""
+    return F.regexp_replace(F.regexp_replace(strip(raw), r"(?dm)^```(?:json)?\s*", ""), r"(?dm)\s*```$", "")
+
+
+def json_object(raw: Column, unfence=unfenced) -> Column:
     """The text of the JSON object in raw: all of it without code fences if that is one, else from the first opening to the
     last closing brace; null if neither is."""
-    whole = unfenced(raw)
+    whole = unfence(raw)
     part = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
     is_object = lambda c: F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{")
     return F.when(is_object(whole), whole).when(is_object(part), part)
@@ -51,12 +56,20 @@ def single_reason(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(values, F.lit(-1)), F.lit(""))
 
 
+def string_list(raw: Column, key: str) -> Column:
+    """array<string> under key of the object in raw: a lone string is a list of one, null or nothing an empty list."""
+    body = json_object(raw)
+    value = F.get_json_object(body, f"$.{key}")
+    listed = F.from_json(value, "array<string>")
+    return F.when(value.isNull(), F.array().cast("array<string>")).when(F.ltrim(value).startswith("["), listed).otherwise(F.array(value))
+
+
 RANKING = "ranking array<string>, scores map<string,double>, dropped array<string>, top_region_type string"
 
 
 def ranking(raw: Column, candidates: Column) -> Column:
     """struct of RANKING: the ranking, candidates where it's missing or empty, and those it leaves out after it."""
-    got = F.from_json(F.coalesce(json_object(raw), F.lit("{}")), RANKING)
+    got = F.from_json(F.coalesce(json_object(raw, unfenced_lines), F.lit("{}")), RANKING)
     named = F.when(F.size(got.ranking) > 0, got.ranking).otherwise(candidates)
     whole = F.concat(named, F.filter(candidates, lambda c: ~F.array_contains(named, c)))
     return F.struct(whole.alias("ranking"), F.coalesce(got.scores, F.create_map().cast("map<string,double>")).alias("scores"), F.coalesce(got.dropped, F.array().cast("array<string>")).alias("dropped"), F.coalesce(F.nullif(got.top_region_type, F.lit("")), F.lit("prose")).alias("top_region_type"))
@@ -67,7 +80,7 @@ FAITHFULNESS = "claims array<struct<claim_text:string,status:string,source_chunk
 
 def faithfulness(raw: Column) -> Column:
     """struct of FAITHFULNESS with its defaults; a confidence of 0 counts as missing, so as 1."""
-    got = F.from_json(F.coalesce(json_object(raw), F.lit("{}")), FAITHFULNESS)
+    got = F.from_json(F.coalesce(json_object(raw, unfenced_lines), F.lit("{}")), FAITHFULNESS)
     none = F.array().cast("array<string>")
     text = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
     claims = F.transform(F.filter(F.coalesce(got.claims, F.array().cast("array<struct<claim_text:string,status:string,source_chunk_ids:array<string>,note:string>>")), lambda c: c.isNotNull()), lambda c: F.struct(F.coalesce(c.claim_text, F.lit("")).alias("claim_text"), text(c.status, "UNSUPPORTED").alias("status"), F.coalesce(c.source_chunk_ids, none).alias("source_chunk_ids"), F.coalesce(c.note, F.lit("")).alias("note")))

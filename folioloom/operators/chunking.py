@@ -10,17 +10,18 @@ from folioloom.functions.text import blank, strip
 
 
 def pack_blocks(made: DataFrame, target: int, overlap: int) -> DataFrame:
-    """document_id, chunk_no, page_number, block_ids, item_ids, source_region_ids, text: blocks (document_id, page_number,
-    reading_order, block_id, text, item_ids, region_ids) of a page packed in order until their texts joined by blank lines
-    would pass target. No block is split; a chunk opens with the last blocks of the one before whose lengths reach overlap.
+    """document_id, chunk_no, page_number, block_ids, item_ids, source_region_ids, bbox_references, text: blocks (document_id,
+    page_number, reading_order, block_id, text, item_ids, region_ids, and bbox where they have one) of a page packed in order
+    until their texts joined by blank lines would pass target. Region ids are sorted; the text is stripped. No block is split; a chunk opens with the last blocks of the one before whose lengths reach overlap.
 
     A fold over a page's blocks, in the JVM; pages are the unit of work. Blank blocks count toward the length but not the text.
     """
-    kind = "struct<pos:int,id:string,len:int,text:string,items:array<string>,regions:array<string>>"
+    kind = "struct<pos:int,id:string,len:int,text:string,items:array<string>,regions:array<string>,box:array<double>>"
     none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
     text = F.coalesce("text", F.lit(""))
     strings = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    block = F.struct(F.col("reading_order").cast("int").alias("pos"), F.col("block_id").alias("id"), F.length(text).alias("len"), text.alias("text"), strings("item_ids").alias("items"), strings("region_ids").alias("regions")).cast(kind)
+    box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")) if "bbox" in made.columns else F.lit(None).cast("array<double>")
+    block = F.struct(F.col("reading_order").cast("int").alias("pos"), F.col("block_id").alias("id"), F.length(text).alias("len"), text.alias("text"), strings("item_ids").alias("items"), strings("region_ids").alias("regions"), box.alias("box")).cast(kind)
     pages = made.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(block)).alias("b"))
 
     def carried(cur: Column) -> Column:
@@ -37,9 +38,9 @@ def pack_blocks(made: DataFrame, target: int, overlap: int) -> DataFrame:
     packed = F.aggregate("b", F.struct(nothing.alias("done"), none.alias("cur")), add, lambda a: F.when(F.size(a.cur) > 0, F.concat(a.done, F.array(a.cur))).otherwise(a.done))
     one = pages.select("document_id", "page_number", F.posexplode(packed).alias("pos", "c"))
     numbered = one.withColumn("chunk_no", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "pos")))
-    joined = F.array_join(F.filter(F.col("c.text"), lambda t: F.length(strip(t)) > 0), "\n\n")
-    distinct = lambda c: F.array_distinct(F.flatten(F.col(c)))
-    return numbered.select("document_id", "chunk_no", "page_number", F.col("c.id").alias("block_ids"), F.flatten("c.items").alias("item_ids"), distinct("c.regions").alias("source_region_ids"), joined.alias("text"))
+    joined = strip(F.array_join(F.filter(F.col("c.text"), lambda t: F.length(strip(t)) > 0), "\n\n"))
+    regions = F.sort_array(F.array_distinct(F.flatten("c.regions")))
+    return numbered.select("document_id", "chunk_no", "page_number", F.col("c.id").alias("block_ids"), F.flatten("c.items").alias("item_ids"), regions.alias("source_region_ids"), F.filter("c.box", lambda b: b.isNotNull()).alias("bbox_references"), joined.alias("text"))
 
 
 def name_chunks(chunks: DataFrame) -> DataFrame:
@@ -47,27 +48,40 @@ def name_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def with_region_attributes(chunks: DataFrame, regions: DataFrame) -> DataFrame:
-    """chunks (document_id, chunk_id, source_region_ids) with region_types, distinct and sorted, crop_references, bbox_references
+    """chunks (document_id, chunk_id, source_region_ids) with region_types, distinct and sorted, crop_references, crop_asset_ids
     and the title and subtitle of the first region that has a parent; unknown regions are ignored. regions: (document_id,
-    region_id, region_type, bbox, crop_path, parent_title, parent_subtitle)."""
+    region_id, region_type, crop_path, parent_title, parent_subtitle)."""
     ids = chunks.select("document_id", "chunk_id", F.posexplode("source_region_ids").alias("pos", "region_id"))
-    known = ids.join(regions.select("document_id", "region_id", "region_type", "bbox", "crop_path", "parent_title", "parent_subtitle"), ["document_id", "region_id"])
+    known = ids.join(regions.select("document_id", "region_id", "region_type", "crop_path", "parent_title", "parent_subtitle"), ["document_id", "region_id"])
     parent = F.when(F.col("parent_title").isNotNull(), F.struct("parent_title", "parent_subtitle"))
-    row = F.struct("pos", "crop_path", F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")).alias("box"))
+    row = F.struct("pos", "crop_path", F.when(F.col("crop_path").isNotNull(), F.concat(F.lit("asset_"), "region_id")).alias("asset"))
     by = known.groupBy("document_id", "chunk_id").agg(F.sort_array(F.collect_set("region_type")).alias("region_types"), F.sort_array(F.collect_list(row)).alias("r"), F.min_by(parent, F.when(parent.isNotNull(), F.col("pos"))).alias("p"))
     fine = lambda c: F.filter(F.col(f"r.{c}"), lambda x: x.isNotNull())
     got = chunks.join(by, ["document_id", "chunk_id"], "left")
-    return got.select(chunks["*"], F.coalesce("region_types", F.array().cast("array<string>")).alias("region_types"), F.coalesce(fine("crop_path"), F.array().cast("array<string>")).alias("crop_references"), F.coalesce(fine("box"), F.array().cast("array<array<double>>")).alias("bbox_references"), F.col("p.parent_title").alias("parent_title"), F.col("p.parent_subtitle").alias("parent_subtitle"))
+    none = F.array().cast("array<string>")
+    return got.select(
+        chunks["*"],
+        F.coalesce("region_types", none).alias("region_types"),
+        F.coalesce(fine("crop_path"), none).alias("crop_references"),
+        F.coalesce(fine("asset"), none).alias("crop_asset_ids"),
+        F.col("p.parent_title").alias("parent_title"),
+        F.col("p.parent_subtitle").alias("parent_subtitle"),
+    )
+
+
+#: Metadata of a chunk that are lists, and the columns that have them.
+LISTS = {"ordered_block_ids": "block_ids", "item_ids": "item_ids", "source_region_ids": "source_region_ids", "region_types": "region_types"}
 
 
 def index_records(chunks: DataFrame) -> DataFrame:
     """chunk_id, text, metadata of chunks (chunk_id, text, page_content, document_id, source_filename, page_number,
     metadata map<string,string>) that aren't blank: page_content or else text; the metadata's own values before the columns';
-    null values dropped."""
+    null values dropped. LISTS among the columns of chunks are metadata too, as JSON."""
     text = F.coalesce(F.nullif("page_content", F.lit("")), F.col("text"))
     own = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-    names = ("document_id", "source_filename", "page_number", "chunk_id")
-    added = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("string") for n in names]))
+    columns = {n: F.col(n).cast("string") for n in ("document_id", "source_filename", "page_number", "chunk_id")}
+    columns |= {n: F.to_json(c) for n, c in LISTS.items() if c in chunks.columns}
+    added = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*columns.values()))
     rest = F.map_filter(added, lambda k, v: ~F.map_contains_key(own, k))
     whole = F.map_filter(F.map_concat(own, rest), lambda k, v: v.isNotNull())
     return chunks.where(~blank(text)).select("chunk_id", text.alias("text"), whole.alias("metadata"))

@@ -26,9 +26,9 @@ def precision(retrieved: Column, relevant: Column) -> Column:
 
 
 def recall(retrieved: Column, relevant: Column) -> Column:
-    """Distinct relevant ones retrieved; 0 if none is relevant."""
+    """Hits, repeats counted, over the distinct relevant ones; 0 if none is relevant."""
     own = F.array_distinct(relevant)
-    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, retrieved)) / F.size(own)).otherwise(0.0)
+    return F.when(F.size(own) > 0, F.size(hits(retrieved, relevant)) / F.size(own)).otherwise(0.0)
 
 
 def score(results: DataFrame, labels: DataFrame) -> DataFrame:

@@ -59,10 +59,18 @@ def detected_regions(boxes: DataFrame) -> DataFrame:
     page_number, pos, label, score, coordinate): known labels, true boxes, near-equal ones once; numbered over the document."""
     typed = boxes.withColumn("region_type", region_type(F.col("label"))).withColumn("bbox", G.from_array(F.col("coordinate"))).where(F.col("region_type").isNotNull() & G.valid(F.col("bbox")))
     numbered = typed.withColumn("ord", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "pos")).cast("bigint"))
-    named = numbered.select("document_id", F.format_string("region_%d", F.col("ord")).alias("region_id"), "region_type", "page_number", "bbox", F.lower("label").alias("label"), F.col("score").alias("confidence"), "ord")
+    named = numbered.select("document_id", F.format_string("region_%d", F.col("ord")).alias("region_id"), "region_type", "page_number", "bbox", strip(F.lower("label")).alias("label"), F.col("score").alias("confidence"), "ord")
     return dedupe_regions(named)
 
 
+def label_counts(boxes: DataFrame) -> DataFrame:
+    """document_id, page_number, region_type, label, n of a detector's boxes: how many of each type, null for labels that are
+    passed over; a missing label is unknown."""
+    label = F.coalesce(F.nullif(strip(F.lower("label")), F.lit("")), F.lit("unknown"))
+    typed = boxes.select("document_id", "page_number", region_type(label).alias("region_type"), label.alias("label"))
+    return typed.groupBy("document_id", "page_number", "region_type", "label").agg(F.count("*").alias("n"))
+
+
 def reading_order(items: DataFrame) -> DataFrame:
     """items (document_id, page_number, bbox, ord) with reading_order from 1 within the page: lines of 18 (half to even), then
     left, then top."""
@@ -136,15 +144,16 @@ def visual_summaries(regions: DataFrame, made: DataFrame, chunks: DataFrame, cap
 
 
 def assign_titles(regions: DataFrame) -> DataFrame:
-    """regions (document_id, page_number, y0, ord, label, text) with parent_title and parent_subtitle: those of the last title
-    and, since then, subtitle above; "untitled" before the first. A title without text is section_ and its number; one of over
-    200 characters is cut. An empty subtitle clears the one before. Titles and subtitles themselves have no parents."""
+    """regions (document_id, region_id, page_number, y0, ord, label, text) with parent_title and parent_subtitle: those of the
+    last title and, since then, subtitle above; "untitled" before the first. A title without text is section_ and its region_id;
+    titles and subtitles of over 200 characters are cut. An empty subtitle clears the one before. Titles and subtitles
+    themselves have no parents."""
     w = W.partitionBy("document_id").orderBy("page_number", "y0", "ord")
     title, sub = F.col("label").isin(*TITLE_LABELS), F.col("label") == "subtitle"
     run = regions.withColumn("_run", F.sum(F.when(title, 1).otherwise(0)).over(w))
-    head = F.coalesce(F.nullif(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit("")), F.format_string("section_%d", F.col("_run")))
+    head = F.coalesce(F.nullif(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit("")), F.concat(F.lit("section_"), "region_id"))
     within = W.partitionBy("document_id", "_run").orderBy("page_number", "y0", "ord")
-    filled = run.withColumn("_title", F.first(F.when(title, head), ignorenulls=True).over(within)).withColumn("_sub", F.last(F.when(sub, F.struct(F.nullif(F.coalesce("text", F.lit("")), F.lit("")).alias("t"))), ignorenulls=True).over(within))
+    filled = run.withColumn("_title", F.first(F.when(title, head), ignorenulls=True).over(within)).withColumn("_sub", F.last(F.when(sub, F.struct(F.nullif(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit("")).alias("t"))), ignorenulls=True).over(within))
     other = ~title & ~sub
     return filled.withColumn("parent_title", F.when(other, F.coalesce("_title", F.lit("untitled")))).withColumn("parent_subtitle", F.when(other, F.col("_sub.t"))).drop("_run", "_title", "_sub")
 
@@ -152,7 +161,7 @@ def assign_titles(regions: DataFrame) -> DataFrame:
 def sections(titled: DataFrame, cap: int = 2000) -> DataFrame:
     """document_id, title, subtitle, text_blocks, tables, charts, figures, page_start, flat_text of regions as assign_titles
     gives them, with region_type: one section a title, wherever its parts stand; the first subtitle. Figures labelled chart or
-    graph are charts."""
+    graph are charts. flat_text: the title and its texts, a line each."""
     body = titled.where("parent_title is not null")
     place = F.struct("page_number", "y0", "ord")
     is_ = lambda c: F.count(F.when(c, 1))
@@ -162,7 +171,7 @@ def sections(titled: DataFrame, cap: int = 2000) -> DataFrame:
         F.min_by(F.struct(F.col("parent_subtitle").alias("s")), place).alias("_s"), is_(F.col("region_type") == "text_block").alias("text_blocks"), is_(F.col("region_type") == "table").alias("tables"),
         is_((F.col("region_type") == "figure") & chart).alias("charts"), is_((F.col("region_type") == "figure") & ~chart).alias("figures"), F.min("page_number").alias("page_start"), texts.alias("_t"),
     )
-    return made.select("document_id", "title", F.col("_s.s").alias("subtitle"), "text_blocks", "tables", "charts", "figures", "page_start", F.substring(F.array_join(F.concat(F.array("title"), "_t"), " "), 1, cap).alias("flat_text"))
+    return made.select("document_id", "title", F.col("_s.s").alias("subtitle"), "text_blocks", "tables", "charts", "figures", "page_start", F.substring(F.array_join(F.concat(F.array("title"), "_t"), "\n"), 1, cap).alias("flat_text"))
 
 
 def chunk_strategy(made: DataFrame, well_structured: DataFrame, chunk_size: int = 1800, overlap: int = 200) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.functions.text import tokens
+from folioloom.functions.text import strip, tokens
 
 
 class Embedder(Protocol):
@@ -19,6 +19,22 @@ class TextModel(Protocol):
     def answer(self, df: DataFrame, prompt: str, out: str) -> DataFrame: ...
 
 
+class PictureModel(Protocol):
+    def describe(self, df: DataFrame, image: str, kind: str, context: str, out: str) -> DataFrame: ...
+
+
+class PageRenderer(Protocol):
+    def render(self, documents: DataFrame) -> DataFrame: ...
+
+
+class PageReader(Protocol):
+    def read(self, pages: DataFrame) -> DataFrame: ...
+
+
+class OrderModel(Protocol):
+    def logits(self, pages: DataFrame) -> DataFrame: ...
+
+
 class HashedEmbedder:
     """Bag of hashed tokens, signed, of unit length: all JVM expressions."""
 
@@ -56,6 +72,51 @@ class ArrowEmbedder:
         return df.mapInArrow(run, schema)
 
 
+class RuledModel:
+    """Answers by a rule, a column of prompts to a column of answers: all JVM expressions, always alike. Null is a failure."""
+
+    def __init__(self, rule: Callable[[Column], Column]):
+        self.rule = rule
+
+    def answer(self, df: DataFrame, prompt: str, out: str) -> DataFrame:
+        return df.withColumn(out, self.rule(F.col(prompt)))
+
+    def describe(self, df: DataFrame, image: str, kind: str, context: str, out: str) -> DataFrame:
+        return df.withColumn(out, self.rule(F.concat_ws("\n", F.col(kind), F.col(context), F.length(image).cast("string"))))
+
+
+class CalledModel:
+    """Answers by any function of a prompt, such as a request to a service, a few prompts at a time beside each other. A call
+    that raises is tried again, then counts as failed: its answer is null, and the job goes on."""
+
+    def __init__(self, function: Callable[[str], str], tries: int = 2, beside: int = 4):
+        self.function, self.tries, self.beside = function, tries, beside
+
+    def answer(self, df: DataFrame, prompt: str, out: str) -> DataFrame:
+        import pyarrow as pa
+        from pyspark.sql.types import StringType, StructField, StructType
+
+        function, tries, beside = self.function, self.tries, self.beside
+
+        def one(text: str | None) -> str | None:
+            for _ in range(tries):
+                try:
+                    return function(text or "")
+                except Exception:  # noqa: BLE001 - whatever a service raises is a failed call
+                    continue
+            return None
+
+        def run(batches: Iterator) -> Iterator:
+            from concurrent.futures import ThreadPoolExecutor
+
+            with ThreadPoolExecutor(beside) as pool:
+                for b in batches:
+                    made = list(pool.map(one, b.column(b.schema.get_field_index(prompt)).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, out])
+
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+
+
 class ExtractiveModel:
     """Answers with the first passage of the prompt: the text after the last "[1]" up to the next blank line."""
 
@@ -72,5 +133,5 @@ def context_prompt(question: Column, passages: Column, cap: int = 600) -> Column
 
 def visual_answer(raw: Column) -> tuple[Column, Column]:
     """(is_meaningful, text) of a picture description: SKIP in any case, with or without white space, says it isn't."""
-    text = F.trim(raw)
+    text = strip(raw)
     return F.upper(text) != "SKIP", text

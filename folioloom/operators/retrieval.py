@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 from folioloom.functions.vectors import cosine
 
-#: Queries up to this many are sent to every task; more are dealt out in blocks of this many.
+#: Queries up to this many are sent to every task; more are dealt out in blocks of about this many.
 QUERY_BLOCK = 2_000
 
 
@@ -22,51 +24,144 @@ def scoped(corpus: DataFrame, documents: list | None, column: str = "document_id
     return corpus if documents is None else corpus.where(F.col(column).isin(list(documents)) if documents else F.lit(False))
 
 
+#: Rows of the corpus that a task of a dense search holds at most.
+SHARD_ROWS = 65_536
+
+
+def _matrix(column, width: int):
+    """(rows of vectors filled up with zeros, their lengths); a missing component is 0."""
+    import numpy as np
+
+    lists = column.combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), width))
+    flat = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False).astype(float), nan=0.0)
+    row = np.repeat(np.arange(len(lists)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out, size
+
+
+def _cosines(q, q_size, v, v_size):
+    """Cosines of all rows of q with all of v over their common lengths, 0 without any; a zero norm counts as 1."""
+    import numpy as np
+
+    dots = q @ v.T
+    norm = lambda m, n: np.where((x := np.sqrt((m[:, :n] ** 2).sum(axis=1))) > 0, x, 1.0)
+    for n in np.unique(q_size):
+        for m in np.unique(v_size):
+            at = np.ix_(q_size == n, v_size == m)
+            both = min(n, m)
+            dots[at] = dots[at] / (norm(q[q_size == n], both)[:, None] * norm(v[v_size == m], both)) if both else 0.0
+    return np.round(dots, 12)  # sums in another order tie alike
+
+
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, score: the k highest cosines of each query (query_id, q) with corpus (chunk_id, ord,
-    embedding), ties in the order of ord; rows without a vector on either side are left out. Queries are a stated set: up to QUERY_BLOCK go to all tasks as one block; more
-    are searched block by block, each block of bounded size."""
-    queries, corpus = queries.where("q is not null"), corpus.where("embedding is not null")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = corpus.select("chunk_id", "ord", "embedding").join(F.broadcast(some.select("query_id", "q")))
-        top = _ranked(pairs.select("query_id", "chunk_id", "ord", cosine(F.col("q"), F.col("embedding")).alias("score")), F.desc("score"), F.col("ord")).where(F.col("rank") <= k)
-        found = top if found is None else found.unionAll(top)
-    return found.select("query_id", "rank", "chunk_id", "score")
+    embedding), ties in the order of ord; rows without a vector on either side are left out.
+
+    The corpus is dealt into shards, queries into blocks of about QUERY_BLOCK, and each shard meets each block in one task:
+    a matrix product, of which k rows a query go on. So a task's memory is bounded whatever the number of either.
+    """
+    spark, kind, name = corpus.sparkSession, queries.schema["query_id"].dataType.simpleString(), corpus.schema["chunk_id"].dataType.simpleString()
+    queries = queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("v"))
+    corpus = corpus.where("embedding is not null").select("chunk_id", F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("v"))
+    n, asked = corpus.count(), queries.count()
+    shards = max(1, -(-n // SHARD_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 512))
+    blocks = max(1, -(-asked // QUERY_BLOCK))
+    deal = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m))
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    cells = shards * blocks
+    held = corpus.select(each(blocks).alias("b"), "*").select((deal("chunk_id", shards) * blocks + F.col("b")).cast("int").alias("cell"), "chunk_id", "ord", "v")
+    sent = queries.select(each(shards).alias("s"), "*").select((F.col("s") * blocks + deal("query_id", blocks)).cast("int").alias("cell"), "query_id", "v")
+    place = lambda df: (df.repartitionById(cells, F.col("cell")) if cells <= 20_000 else df.repartition(20_000, "cell")).groupBy("cell")
+
+    def search(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            none = lambda t, c: t.column(c).slice(0, 0)
+            return pa.table({"query_id": none(left, "query_id"), "chunk_id": none(right, "chunk_id"), "ord": none(right, "ord"), "score": pa.array([], pa.float64())})
+        lists = [t.column("v").combine_chunks() for t in (left, right)]
+        width = max(int(np.diff(x.offsets.to_numpy()).max()) for x in lists)
+        (q, q_size), (v, v_size) = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
+        order = right.column("ord").to_numpy()
+        row, col, score = [], [], []
+        for i in range(0, len(q), 256):
+            found = _cosines(q[i : i + 256], q_size[i : i + 256], v, v_size)
+            floor = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(found), -np.inf)
+            r, c = np.nonzero(found >= floor[:, None])
+            by = np.lexsort((order[c], -found[r, c], r))
+            r, c = r[by], c[by]
+            first = np.r_[True, r[1:] != r[:-1]]
+            place_ = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+            keep = place_ < k
+            row.append(r[keep] + i)
+            col.append(c[keep])
+            score.append(found[r[keep], c[keep]])
+        row, col = pa.array(np.concatenate(row)), pa.array(np.concatenate(col))
+        return pa.table({"query_id": left.column("query_id").take(row), "chunk_id": right.column("chunk_id").take(col), "ord": right.column("ord").take(col), "score": pa.array(np.concatenate(score))})
+
+    found = place(sent).cogroup(place(held)).applyInArrow(search, f"query_id {kind}, chunk_id {name}, ord long, score double")
+    return _ranked(found, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _exploded(corpus: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term): a row a token of corpus (chunk_id, text), and one of term '' a chunk. The length is taken below the
+    explosion, not for each of its rows."""
+    toks = corpus.select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    return toks.select("chunk_id", "toks", F.size("toks").alias("dl")).select("chunk_id", "dl", F.explode(F.concat(F.array(F.lit("")), "toks")).alias("term"))
 
 
 def token_index(corpus: DataFrame) -> DataFrame:
-    """Postings (chunk_id, term, tf, dl) of corpus (chunk_id, text): the table to write once and query often."""
-    exploded = corpus.select("chunk_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
-    tf = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    return tf.join(dl, "chunk_id")
+    """Postings (chunk_id, term, dl, tf) of corpus (chunk_id, text), and for each chunk one of term '' and tf 0: the table to
+    write once, by term, and query often."""
+    return _counted(_exploded(corpus))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, statistics: DataFrame | None = None) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("chunk_id", "term", "dl").agg(F.sum(F.when(F.col("term") == "", 0).otherwise(1)).alias("tf"))
+
+
+def write_postings(corpus: DataFrame, path: str, buckets: int = 256) -> None:
+    """token_index() of corpus in folders by a hash of the term, so that a question reads those of its terms."""
+    rows = token_index(corpus).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    # a term of every chunk lies in many files of its folder
+    rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(32))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: list[str], buckets: int = 256) -> DataFrame:
+    """The postings of terms, and the chunks' own rows, from the folders that hold them."""
+    wanted = spark.createDataFrame([(t,) for t in {"", *terms}], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b"))
+    found = spark.read.schema("chunk_id long, term string, dl int, tf long, bucket int").parquet(path)
+    return found.where(F.col("bucket").isin([r.b for r in wanted.distinct().collect()])).where(F.col("term").isin(["", *terms])).drop("bucket")
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, statistics: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score: Okapi BM25 of queries (query_id, question) over corpus (chunk_id, ord, text).
 
     idf = ln((n - df + 1/2) / (df + 1/2) + 1); a term counts as often as the question has it. Chunks without any term score 0
     and fill up to k in the order of ord; a question without tokens has no rows. Statistics are of the corpus itself, or of
-    statistics (chunk_id, text) where the scope of a filter is narrower than that of the statistics.
+    statistics (chunk_id, text) where the scope of a filter is narrower than that of the statistics. postings: those of the
+    corpus as token_index() or read_postings() has them, so that no text is read.
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = terms.select("term").distinct()
+    wanted = terms.select("term").distinct().unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term")))
     if queries.count() <= QUERY_BLOCK:  # else every token of the corpus may be shuffled to meet them
         wanted = F.broadcast(wanted)
-    toks = F.filter(T.tokens(F.coalesce("text", F.lit(""))), lambda t: t.isNotNull())
-    base = corpus if statistics is None else statistics
-    sized = base.select("chunk_id", toks.alias("toks")).select("chunk_id", "toks", F.size("toks").alias("dl"))
-    total = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # only tokens that some question asks for leave the scan's stage
-    posted = lambda df: df.select("chunk_id", "dl", F.explode("toks").alias("term")).join(wanted, "term").groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = posted(sized).groupBy("term").agg(F.count("*").alias("df"))
-    own = posted(corpus.select("chunk_id", toks.alias("toks")).select("chunk_id", "toks", F.size("toks").alias("dl")))
+
+    def posted(df: DataFrame) -> DataFrame:
+        """token_index() of df, of the terms asked for: only those leave the scan's stage."""
+        return _counted(_exploded(df).join(wanted, "term"))
+
+    own = posted(corpus) if postings is None else postings.join(wanted, "term").select("chunk_id", "term", "dl", "tf")
+    base = own if statistics is None else posted(statistics)  # where it's the same, its one shuffle serves all
+    counts = base.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_dl"))
+    total = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("_dl") / F.col("df")).alias("avgdl"))
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = own.join(df, "term").join(terms, "term").join(F.broadcast(total)).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))  # sums in another order tie alike
+    weighed = counts.where("term <> ''").drop("_dl").join(terms, "term").join(F.broadcast(total))
+    hits = own.where("term <> ''").join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))  # sums in another order tie alike
     order = corpus.select("chunk_id", "ord")
     scored = hits.join(order, "chunk_id")
     # zero scores can only fill what hits leave of the first k: candidates for that are the first k chunks of the corpus and, as
@@ -103,14 +198,14 @@ def expand_parents(top: DataFrame, corpus: DataFrame, threshold: int = 2) -> Dat
     document, title and subtitle, all chunks of that section take the place of the first of them, in the order of ord and with
     score 0; each chunk once. corpus: (chunk_id, ord, document_id, parent_title, parent_subtitle)."""
     key = ["document_id", "parent_title", "parent_subtitle"]
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in key]
+    same = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key])
     placed = top.join(corpus.select("chunk_id", *key), "chunk_id", "left")
     hits = placed.where("parent_title is not null").groupBy("query_id", *key).agg(F.count("*").alias("n"), F.min("rank").alias("first")).where(F.col("n") >= threshold)
     hits = hits.select("query_id", *key, "first")
     c, h = corpus.alias("c"), hits.alias("h")
-    siblings = c.join(h, (F.col("c.document_id") == F.col("h.document_id")) & (F.col("c.parent_title") == F.col("h.parent_title")) & F.col("c.parent_subtitle").eqNullSafe(F.col("h.parent_subtitle"))).select("h.query_id", F.col("c.chunk_id").alias("chunk_id"), F.col("h.first").alias("at"), F.col("c.ord").alias("sub"), F.lit(0.0).alias("score"))
+    siblings = c.join(h, same("c", "h")).select("h.query_id", F.col("c.chunk_id").alias("chunk_id"), F.col("h.first").alias("at"), F.col("c.ord").alias("sub"), F.lit(0.0).alias("score"))
     p = placed.alias("p")
-    rest = p.join(hits.alias("g"), (F.col("p.query_id") == F.col("g.query_id")) & (F.col("p.document_id") == F.col("g.document_id")) & (F.col("p.parent_title") == F.col("g.parent_title")) & F.col("p.parent_subtitle").eqNullSafe(F.col("g.parent_subtitle")), "left_anti").select("query_id", "chunk_id", F.col("rank").alias("at"), F.lit(-1).cast("bigint").alias("sub"), "score")
+    rest = p.join(hits.alias("g"), (F.col("p.query_id") == F.col("g.query_id")) & same("p", "g"), "left_anti").select("query_id", "chunk_id", F.col("rank").alias("at"), F.lit(-1).cast("bigint").alias("sub"), "score")
     both = siblings.select("query_id", "chunk_id", "at", F.col("sub").cast("bigint").alias("sub"), "score").unionByName(rest)
     once = both.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("at", "sub"))).where("_n = 1")
     return _ranked(once, F.col("at"), F.col("sub")).select("query_id", "rank", "chunk_id", "score")
@@ -150,14 +245,20 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 4, threshold: int = 2
 
 def relevant_documents(documents: DataFrame, queries: DataFrame, threshold: float = 0.20) -> DataFrame:
     """query_id, document_id, score of the documents (document_id, summary_embedding) whose cosine with the query reaches the
-    threshold; documents without an embedding are left out. Queries are at most QUERY_BLOCK."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries at once")
+    threshold; documents without an embedding are left out. Queries are a stated set; where they are more than QUERY_BLOCK
+    Spark deals the pairs out instead of sending the queries to all tasks."""
     score = cosine(F.col("q"), F.col("summary_embedding"))
-    pairs = documents.where(F.size("summary_embedding") > 0).join(F.broadcast(queries.select("query_id", "q")))
+    asked = queries.select("query_id", "q")
+    known = documents.where(F.size("summary_embedding") > 0)
+    pairs = known.crossJoin(F.broadcast(asked) if asked.count() <= QUERY_BLOCK else asked)
     return pairs.select("query_id", "document_id", score.alias("score")).where(F.col("score") >= threshold)
 
 
+def described(index: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """descriptors (document_id, summary_embedding, ...) of the documents that the index has chunks of, with an embedding."""
+    return descriptors.where(F.size("summary_embedding") > 0).join(index.select("document_id").distinct(), "document_id", "left_semi")
+
+
 def apply_ranking(candidates: DataFrame, verdicts: DataFrame, drop_below: float = 0.3) -> DataFrame:
     """query_id, rank, chunk_id, score after a model's ranking. candidates: (query_id, rank, chunk_id, score); verdicts:
     (query_id, ranking, scores, dropped). A chunk without a score keeps its own; those below drop_below or dropped go; unknown

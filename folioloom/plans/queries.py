@@ -36,6 +36,9 @@ def _six(c):
     return F.round(c, 6)
 
 
+#: White space off both ends of {}.
+_STRIP = r"regexp_replace({}, '^[\t-\r\x{{85}}\pZ]+|[\t-\r\x{{85}}\pZ]+$', '', 'g')"
+
 # ---- inputs made of the tables, alike in both engines
 
 QUESTIONS = (
@@ -150,7 +153,7 @@ def tokenize_stats(spark, d):
 @query(f"WITH t AS (SELECT doc_id, unnest({_TOK.format('\"text\"')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
 def document_frequency(spark, d):
     postings = retrieval.token_index(_corpus(spark, d))
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _bm25_sql(where: str, k: int, name: str = "r") -> str:
@@ -297,12 +300,14 @@ _LINES = """ln AS (SELECT doc_id, p AS pos, s[p] AS body FROM (SELECT doc_id, s,
     UNION ALL
     SELECT doc_id, l, i + 1, CASE WHEN full_ THEN CASE WHEN back IS NULL THEN s ELSE back END ELSE s END, CASE WHEN full_ THEN c + 1 ELSE c END FROM (
       SELECT *, list_sum(l[s:i]) + 2 * (i - s + 1) + l[i + 1] > 1200 AS full_, list_max([k FOR k IN range(s, i + 1) IF list_sum(l[k:i]) >= 150]) AS back FROM st WHERE i < len(l)))
-  SELECT doc_id, CAST(c AS INTEGER) AS chunk_no, CAST(max(i) - min(s) + 1 AS INTEGER) AS n_blocks, CAST(list_sum(any_value(l)[min(s):max(i)]) + 2 * (max(i) - min(s)) AS INTEGER) AS n_chars FROM st GROUP BY doc_id, c""")
+  SELECT doc_id, chunk_no, n_blocks, md5({_STRIP.format(f"array_to_string([x FOR x IN t[a:b] IF length({_STRIP.format('x')}) > 0], chr(10) || chr(10))")}) AS text_md5,
+    array_to_string(list_sort(list_distinct([CAST((k * 7) % 5 AS VARCHAR) FOR k IN p[a:b]])), ',') AS region_ids
+  FROM (SELECT doc_id, CAST(c AS INTEGER) AS chunk_no, min(s) AS a, max(i) AS b, CAST(max(i) - min(s) + 1 AS INTEGER) AS n_blocks FROM st GROUP BY doc_id, c) JOIN (SELECT doc_id, list(body ORDER BY pos) AS t, list(pos - 1 ORDER BY pos) AS p FROM ln GROUP BY doc_id) USING (doc_id)""")
 def chunk_packing(spark, d):
     lines = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.length("text") > 0)
-    made = lines.select("document_id", F.lit(1).alias("page_number"), F.col("pos").alias("reading_order"), F.col("pos").cast("string").alias("block_id"), "text", F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<string>").alias("region_ids"))
+    made = lines.select("document_id", F.lit(1).alias("page_number"), F.col("pos").alias("reading_order"), F.col("pos").cast("string").alias("block_id"), "text", F.array().cast("array<string>").alias("item_ids"), F.array((F.col("pos") * 7 % 5).cast("string")).alias("region_ids"))
     got = chunking.pack_blocks(made, 1200, 150)
-    return got.select(F.col("document_id").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), F.size("block_ids").alias("n_blocks"), F.length("text").alias("n_chars"))
+    return got.select(F.col("document_id").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), F.size("block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"), F.array_join("source_region_ids", ",").alias("region_ids"))
 
 
 @query(f"WITH {_ITEMS} SELECT document_id, page_number, item_id, CAST(row_number() OVER (PARTITION BY document_id, page_number ORDER BY round_even(y0 / 18, 0), x0, y0, ord) AS INTEGER) AS reading_order FROM items")
@@ -363,19 +368,19 @@ _LABEL = {"title": "doc_title", "h1": "title", "footer": "subtitle", "li": "tabl
 _TAGS = f"""tg AS (SELECT page_id, p AS ord, CASE t[p] {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _LABEL.items())} END AS label, b[p] AS body
     FROM (SELECT *, unnest(range(1, len(t) + 1)) AS p FROM (SELECT page_id, regexp_extract_all(html, '{_TAG}', 1) AS t, regexp_extract_all(html, '{_TAG}', 2) AS b FROM pages))),
   r1 AS (SELECT *, sum(CASE WHEN label IN ('title', 'doc_title', 'paragraph_title') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ord) AS run FROM tg),
-  r2 AS (SELECT *, max(CASE WHEN label IN ('title', 'doc_title', 'paragraph_title') THEN coalesce(nullif(body[1:200], ''), 'section_' || run) END) OVER (PARTITION BY page_id, run) AS ti,
+  r2 AS (SELECT *, max(CASE WHEN label IN ('title', 'doc_title', 'paragraph_title') THEN coalesce(nullif(body[1:200], ''), 'section_r' || ord) END) OVER (PARTITION BY page_id, run) AS ti,
     max(CASE WHEN label = 'subtitle' THEN ord END) OVER (PARTITION BY page_id, run ORDER BY ord) AS so FROM r1),
-  r3 AS (SELECT a.*, CASE WHEN a.label NOT IN ('title', 'doc_title', 'paragraph_title', 'subtitle') THEN coalesce(a.ti, 'untitled') END AS parent_title, CASE WHEN a.label NOT IN ('title', 'doc_title', 'paragraph_title', 'subtitle') THEN nullif(s.body, '') END AS parent_subtitle
+  r3 AS (SELECT a.*, CASE WHEN a.label NOT IN ('title', 'doc_title', 'paragraph_title', 'subtitle') THEN coalesce(a.ti, 'untitled') END AS parent_title, CASE WHEN a.label NOT IN ('title', 'doc_title', 'paragraph_title', 'subtitle') THEN nullif(s.body[1:200], '') END AS parent_subtitle
     FROM r2 a LEFT JOIN tg s ON s.page_id = a.page_id AND s.ord = a.so)"""
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     names, bodies = (F.regexp_extract_all("html", F.lit(_TAG), F.lit(i)) for i in (1, 2))
-    rows = _t(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.posexplode(F.arrays_zip(names.alias("n"), bodies.alias("b"))).alias("pos", "x"))
+    rows = _t(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.posexplode(F.arrays_zip(names.alias("n"), bodies.alias("b"))).alias("pos", "x")).withColumn("region_id", F.concat(F.lit("r"), (F.col("pos") + 1).cast("string")))
     label = F.lit(None).cast("string")
     for a, b in _LABEL.items():
         label = F.when(F.col("x.n") == a, b).otherwise(label)
-    return rows.select("document_id", F.lit(1).alias("page_number"), (F.col("pos") + 1).cast("double").alias("y0"), (F.col("pos") + 1).cast("bigint").alias("ord"), label.alias("label"), F.col("x.b").alias("text")).withColumn("region_type", layout.region_type(F.col("label")))
+    return rows.select("document_id", "region_id", F.lit(1).alias("page_number"), (F.col("pos") + 1).cast("double").alias("y0"), (F.col("pos") + 1).cast("bigint").alias("ord"), label.alias("label"), F.col("x.b").alias("text")).withColumn("region_type", layout.region_type(F.col("label")))
 
 
 @query(f"WITH {_TAGS} SELECT page_id, ord, label, parent_title, parent_subtitle FROM r3")
@@ -384,7 +389,7 @@ def title_fill(spark, d):
 
 
 @query(f"""WITH {_TAGS} SELECT page_id, parent_title AS title, arg_min(struct_pack(s := parent_subtitle), ord).s AS subtitle, count(*) FILTER (label = 'text') AS text_blocks, count(*) FILTER (label = 'table') AS tables, count(*) FILTER (label = 'chart') AS charts, count(*) FILTER (label = 'figure') AS figures,
-  (concat_ws(' ', parent_title, string_agg(body, ' ' ORDER BY ord) FILTER (label = 'text' AND body <> '')))[1:2000] AS flat_text FROM r3 WHERE parent_title IS NOT NULL GROUP BY page_id, parent_title""")
+  (concat_ws(chr(10), parent_title, string_agg(body, chr(10) ORDER BY ord) FILTER (label = 'text' AND body <> '')))[1:2000] AS flat_text FROM r3 WHERE parent_title IS NOT NULL GROUP BY page_id, parent_title""")
 def section_counts(spark, d):
     return layout.sections(layout.assign_titles(_tagged(spark, d))).select(F.col("document_id").alias("page_id"), "title", "subtitle", "text_blocks", "tables", "charts", "figures", "flat_text")
 
@@ -411,7 +416,7 @@ _EVAL = f"""q AS (SELECT item_id AS query_id, "text" AS question FROM benchmark)
   got AS (SELECT query_id, list(chunk_id ORDER BY rank) AS g FROM r GROUP BY query_id),
   sc AS (SELECT query_id, len(relevant) > 0 AS known, coalesce(g, []) AS g, relevant, [x FOR x IN coalesce(g, []) IF list_contains(relevant, x)] AS h FROM rel LEFT JOIN got USING (query_id)),
   ev AS (SELECT query_id, CASE WHEN known THEN CASE WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END END AS hit_rate, CASE WHEN known THEN CASE WHEN len(h) > 0 THEN 1.0 / list_position(g, h[1]) ELSE 0.0 END END AS mrr,
-    CASE WHEN known THEN CASE WHEN len(g) > 0 THEN len(h) / len(g) ELSE 0.0 END END AS precision_at_k, CASE WHEN known THEN len(h) / len(relevant) END AS recall_at_k FROM sc)"""
+    CASE WHEN known THEN CASE WHEN len(g) > 0 THEN len(h) / len(g) ELSE 0.0 END END AS precision_at_k, CASE WHEN known THEN len(h) / len(list_distinct(relevant)) END AS recall_at_k FROM sc)"""
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -505,8 +510,7 @@ def upsert_latest(spark, d):
     first = old.where("doc_id % 3 = 0").select("doc_id", at).select("doc_id", body.alias("text"), "at")
     added = old.where("doc_id % 11 = 0").select("doc_id", at).select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), body.alias("text"), "at")
     new = first.unionAll(added)
-    fresh = new.groupBy("doc_id").agg(F.max_by("text", "at").alias("text"))
-    return store.upsert(old, fresh, "doc_id")
+    return store.upsert(old, new, "doc_id", "at")
 
 
 @query("SELECT doc_id, sha256(\"text\") AS content_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)")
@@ -565,7 +569,6 @@ def lenient_json(spark, d):
     return got.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["summary"].alias("summary"), F.coalesce(F.col("m")["parse_error"] == "true", F.lit(False)).alias("parse_error"))
 
 
-_STRIP = r"regexp_replace({}, '^[\t-\r\x{{85}}\pZ]+|[\t-\r\x{{85}}\pZ]+$', '', 'g')"
 _LINE = _STRIP.format(f"regexp_replace({_STRIP.format('x')}, '^[0-9]+[.)]', '')")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +27,54 @@ class Settings:
     relevance_threshold: float = 0.20
     rrf_k: int = 60
     drop_below: float = 0.3
+    compression_threshold: float = 0.5
     user_id: str | None = None
 
+    @classmethod
+    def of(cls, spark: SparkSession, prefix: str = "folioloom.") -> Settings:
+        """The session's settings: folioloom.top_k and so on, the values above where it has none."""
+        kinds = {"int": int, "float": float}
+        found = {f.name: spark.conf.get(prefix + f.name, None) for f in fields(cls)}
+        return cls(**{f.name: kinds.get(f.type, str)(found[f.name]) for f in fields(cls) if found[f.name] is not None})
+
+    def folder(self, root: str) -> str:
+        """Where a user's own documents and index are; the root itself without a user."""
+        return f"{root}/user_id={self.user_id}" if self.user_id else root
+
 
 def _missing(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)
 
 
+def _glob(suffixes: tuple[str, ...]) -> str:
+    """A pattern of names that end in one of suffixes, in any case."""
+    cased = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    return "*{" + ",".join(cased(s) for s in suffixes) + "}"
+
+
 def documents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """document_id (sha256), source_filename, path, content of the files of a folder with one of suffixes, in any case."""
-    files = spark.read.format("binaryFile").load(folder)
-    kind = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
-    return files.where(kind.isin(*suffixes)).select(F.sha2("content", 256).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("source_filename"), "path", "content")
+    """document_id (sha256), source_filename, path, content of the files of a folder with one of suffixes, in any case; other
+    files are not opened. FileNotFoundError where there's none; rows are in the order of path once sorted by it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(suffixes)).load(folder)
+    if not files.select("path").take(1):
+        raise FileNotFoundError(f"no file with a suffix of {', '.join(suffixes)} in {folder}")
+    return files.select(F.sha2("content", 256).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("source_filename"), "path", "content")
+
+
+def one_document(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """documents() of one file; ValueError if its suffix isn't one of suffixes."""
+    if not path.lower().endswith(suffixes):
+        raise ValueError(f"{path}: not one of {', '.join(suffixes)}")
+    return documents(spark, path, suffixes)
+
+
+def processed_folder(root: str, name_or_path: str) -> str:
+    """The folder of a processed document: a path as it is, a name below root; names that lead elsewhere are refused."""
+    if "/" in name_or_path:
+        return name_or_path
+    if name_or_path in ("", ".", ".."):
+        raise ValueError(f"not a document: {name_or_path!r}")
+    return f"{root}/{name_or_path}"
 
 
 def artifact(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
@@ -71,15 +107,46 @@ def index(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], INDEX)
 
 
+#: Folders of a table that is rewritten by document: each has a share of the documents.
+BUCKETS = 64
+
+
+def replace(rows: DataFrame, path: str, key: str = "document_id", buckets: int = BUCKETS) -> None:
+    """Puts the documents of rows in the table at path in place of what it has of them. Documents are dealt into folders by a
+    hash, as many whatever their number; only folders with a new document are rewritten."""
+    spark, place = rows.sparkSession, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("bucket")
+    new = rows.select("*", place)
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most buckets numbers
+        kept = old.where(F.col("bucket").isin(touched)).join(rows.select(key).distinct(), key, "left_anti")
+        new = kept.unionByName(new)
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def write_index(rows: DataFrame, path: str) -> None:
-    """Puts the documents of rows in the index in place of what it has of them: only their partitions are rewritten."""
-    rows.repartition("document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+    """Puts the documents of rows in the index in place of what it has of them."""
+    replace(rows.select("chunk_id", "text", "document_id", "metadata", "embedding"), path)
+
+
+def rebuild_index(rows: DataFrame, path: str) -> None:
+    """The index of rows alone: what was there goes."""
+    place = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    rows.select("chunk_id", "text", "document_id", "metadata", "embedding", place).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def export(tables: dict[str, DataFrame], folder: str, by: str = "document_id") -> None:
     """Each table as Parquet under its name, by document; documents that aren't in it keep what they have."""
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{folder}/{name}")
+        replace(df, f"{folder}/{name}", by)
+
+
+def exported(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as export() wrote it."""
+    return spark.read.parquet(f"{folder}/{name}").drop("bucket")
 
 
 def manifest(documents_: DataFrame, tables: dict[str, str], version: str = "1") -> DataFrame:
@@ -88,9 +155,13 @@ def manifest(documents_: DataFrame, tables: dict[str, str], version: str = "1")
     return documents_.select("document_id", F.lit(version).alias("schema_version"), F.lit("preprocess").alias("stage"), F.lit("complete").alias("status"), paths.alias("artifacts"), F.current_timestamp().alias("processing_timestamp"))
 
 
-def write_results(results: DataFrame, summary: DataFrame, folder: str) -> None:
+def write_results(results: DataFrame, summary: DataFrame, folder: str, report: str | None = None) -> None:
+    """results and summary as JSON lines, and the report, where there's one, as text."""
     results.write.mode("overwrite").json(f"{folder}/results")
     summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+    if report is not None:
+        spark = results.sparkSession
+        spark.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
 
 
 def sql_table(spark: SparkSession, url: str, name: str, key: str | None = None, parts: int = 1, low: int = 0, high: int = 0) -> DataFrame:

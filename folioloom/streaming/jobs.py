@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -21,7 +23,8 @@ def uploads(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> D
 
 
 def tumbling(events: DataFrame, width: str, late: str, *keys: str) -> DataFrame:
-    """Counts and sums of value by window and keys; a window's row comes once it can no longer change."""
+    """Counts and sums of value by window and keys. In append mode a window's row comes once it can no longer change; in
+    update mode whenever it does."""
     found = events.withWatermark("ts", late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return found.select(F.col("window.start").alias("start"), *keys, "n", "total")
 
@@ -61,10 +64,61 @@ def progress(pages: DataFrame, key: str = "document_id") -> DataFrame:
     return pages.groupBy(key).applyInPandasWithState(step, f"{key} string, pages_done long, total_pages long", "done array<long>, total long", "update", "NoTimeout")
 
 
-def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """What a stream has to give now, as a table in memory: for tests and small reports."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, mode: str, folder: str, *keys: str) -> DataFrame:
+    """What a stream has to give now, written under folder with its checkpoint; nothing comes to the driver. Append mode: all
+    rows; update mode: the last row of each of keys; complete mode: the last batch."""
+    spark, out = df.sparkSession, f"{folder}/rows"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/{n:09d}")
+
+    stream = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    try:
+        found = spark.read.schema(StructType([*df.schema.fields, StructField("_batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(out)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], df.schema)
+    if mode == "update":
+        values = [c for c in df.columns if c not in keys]
+        found = found.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
+    return found.select(df.columns)
+
+
+def rate_limited(hits: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
+    """hits (key, ts, hit_id), as they arrive, with allowed: among those of the key in the last `seconds` up to each, refused
+    ones too, it's within limit. State: a key's times within the window, dropped as they pass out of it."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    span = seconds * 1_000_000
+
+    def step(k, batches, state):
+        kept = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:  # none of its times is within the window any more
+            state.remove()
+            return
+        new = pd.concat(list(batches))
+        new["_us"] = new["ts"].astype("datetime64[us]").astype("int64")
+        new = new.sort_values(["_us", "hit_id"])
+        allowed = []
+        for at in new["_us"].tolist():
+            kept = [t for t in kept if t > at - span] + [at]
+            allowed.append(len(kept) <= limit)
+        state.update((kept,))
+        state.setTimeoutTimestamp(max(kept[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * len(new), "hit_id": new["hit_id"].tolist(), "allowed": allowed})
+
+    kind = hits.schema[key].dataType.simpleString()
+    rows = hits.select(key, "ts", F.col("hit_id").cast("long").alias("hit_id")).withWatermark("ts", f"{seconds} seconds")
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, hit_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def append_log(messages: DataFrame, folder: str, now: bool = True):
+    """Messages, each once, at the end of a Parquet log; restarts go on where the checkpoint is."""
+    writer = messages.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/log").option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(availableNow=True) if now else writer.trigger(processingTime="3 seconds")).start()
 
 
 def each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, now: bool = True):
@@ -73,11 +127,30 @@ def each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(availableNow=True) if now else writer.trigger(processingTime="3 seconds")).start()
 
 
-def ingest(handle_document: Callable[[DataFrame], DataFrame], done: Callable[[SparkSession], DataFrame], sink: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A batch handler for uploads(): documents already done are passed over, so a repeated delivery changes nothing."""
+STATES = "document_id string, status string, error string"
+
+
+def ingest(handle_document: Callable[[DataFrame], DataFrame], done: Callable[[SparkSession], DataFrame], sink: Callable[[DataFrame], None], states: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch handler for uploads(): documents already done are passed over, so a repeated delivery changes nothing. states
+    gets STATES rows as a batch goes on: preprocessing, indexing, then ready, or error and why; a batch that fails doesn't
+    end the stream where states are kept."""
 
     def handle(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(["document_id"]).join(done(batch.sparkSession).select("document_id"), "document_id", "left_anti")
-        sink(handle_document(fresh))
+        if states is None:
+            sink(handle_document(fresh))
+            return
+        ids = fresh.select("document_id").persist()
+        told = lambda status, error=None: states(ids.select("document_id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error")))
+        try:
+            told("preprocessing")
+            made = handle_document(fresh)
+            told("indexing")
+            sink(made)
+            told("ready")
+        except Exception as e:  # noqa: BLE001 - any failure is the document's state
+            told("error", str(e)[:500])
+        finally:
+            ids.unpersist()
 
     return handle

@@ -28,27 +28,31 @@ def _events(spark, d: str) -> DataFrame:
     return reader.parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """In the shared folder where the cluster names one: a stream's state is read by other executors after a loss."""
-    spark, name = df.sparkSession, f"folioloom_{uuid.uuid4().hex}"
+def _drained(df: DataFrame, mode: str, *keys: str) -> DataFrame:
+    """In the shared folder that the cluster names: a stream's state is read by other executors after a loss."""
+    spark = df.sparkSession
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        df = df.writeStream.option("checkpointLocation", f"{shared}/{name}")
-    else:
-        df = df.writeStream
-    df.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    if not shared:
+        import atexit
+        import shutil
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="folioloom-stream-")  # one machine is all there is
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return jobs.drain(df, mode, f"{shared}/folioloom-stream-{uuid.uuid4().hex}", *keys)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_daily_windows(spark, d):
-    got = _drained(jobs.tumbling(_events(spark, d), "1 day", "1 day", "event_type"), "complete")
+    got = _drained(jobs.tumbling(_events(spark, d), "1 day", "1 day", "event_type"), "update", "start", "event_type")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS s FROM events) GROUP BY s")
 def stream_sliding_windows(spark, d):
-    got = _drained(jobs.sliding(_events(spark, d), "2 days", "1 day", "1 day"), "complete")
+    got = _drained(jobs.sliding(_events(spark, d), "2 days", "1 day", "1 day"), "update", "start")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -60,9 +64,29 @@ def stream_sessions(spark, d):
 
 @query("SELECT user_id, s.e AS event_type, s.v AS value FROM (SELECT user_id, arg_max(struct_pack(e := event_type, v := value), struct_pack(t := ts, i := event_id)) AS s FROM events GROUP BY user_id)")
 def stream_latest_state(spark, d):
-    return _drained(jobs.latest(_events(spark, d), "user_id", "event_type", "value"), "complete")
+    return _drained(jobs.latest(_events(spark, d), "user_id", "event_type", "value"), "update", "user_id")
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_once(spark, d):
     return _drained(jobs.once(_events(spark, d), "user_id", "400 days").select("user_id"), "append")
+
+
+@query("""WITH e AS (SELECT *, epoch_us(ts) AS us FROM events), n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 432000000000 - 1 PRECEDING AND CURRENT ROW) - (row_number() OVER (PARTITION BY user_id, us ORDER BY event_id DESC) - 1) AS n FROM e)
+  SELECT event_id AS hit_id, user_id, n <= 3 AS allowed FROM n""")
+def stream_rate_limit(spark, d):
+    hits = _events(spark, d).select("user_id", "ts", F.col("event_id").alias("hit_id"))
+    return _drained(jobs.rate_limited(hits, "user_id", 3, 5 * 86_400), "append")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_append_log(spark, d):
+    return _drained(_events(spark, d).select("event_id", "user_id", "event_type"), "append")
+
+
+@query("SELECT 'd' || (page_id % 50) AS document_id, count(DISTINCT page_id) AS pages_done, CAST(max(page_id % 50 + 10) AS BIGINT) AS total_pages FROM pages GROUP BY page_id % 50")
+def stream_progress(spark, d):
+    schema = spark.read.parquet(f"{d}/pages.parquet").schema
+    pages = spark.readStream.schema(schema).parquet(f"{d}/pages.parque[t]")
+    rows = pages.select(F.concat(F.lit("d"), (F.col("page_id") % 50).cast("string")).alias("document_id"), F.col("page_id").cast("int").alias("page_number"), (F.col("page_id") % 50 + 10).cast("int").alias("total_pages"))
+    return _drained(jobs.progress(rows), "update", "document_id")

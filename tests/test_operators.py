@@ -102,18 +102,17 @@ def test_payloads(spark):
 
 def test_titles_and_sections(spark):
     rng = random.Random(2)
-    rows = [("d", 1 + i // 40, float(i), i, rng.choice(["title", "doc_title", "subtitle", "text", "table", "chart", "image"]), rng.choice(["", "t%d" % i, "x" * 250])) for i in range(160)]
-    df = spark.createDataFrame(rows, "document_id string, page_number int, y0 double, ord long, label string, text string").withColumn("region_type", layout.region_type(F.col("label")))
+    rows = [("d", f"r{i}", 1 + i // 40, float(i), i, rng.choice(["title", "doc_title", "subtitle", "text", "table", "chart", "image"]), rng.choice(["", "t%d" % i, "x" * 250])) for i in range(160)]
+    df = spark.createDataFrame(rows, "document_id string, region_id string, page_number int, y0 double, ord long, label string, text string").withColumn("region_type", layout.region_type(F.col("label")))
     titled = layout.assign_titles(df)
     got = {r.ord: (r.parent_title, r.parent_subtitle) for r in titled.collect()}
-    title, sub, n, want, secs = "untitled", None, 0, {}, {}
-    for _, page, y, o, label, text in rows:
+    title, sub, want, secs = "untitled", None, {}, {}
+    for _, region, page, y, o, label, text in rows:
         if label in ("title", "doc_title"):
-            n += 1
-            title, sub = text[:200] or f"section_{n}", None
+            title, sub = text[:200] or f"section_{region}", None
             want[o] = (None, None)
         elif label == "subtitle":
-            sub, want[o] = text or None, (None, None)
+            sub, want[o] = text[:200] or None, (None, None)
         else:
             want[o] = (title, sub)
             s = secs.setdefault(title, {"sub": sub, "text": 0, "table": 0, "chart": 0, "image": 0, "page": page, "t": [title]})
@@ -123,7 +122,7 @@ def test_titles_and_sections(spark):
     assert got == want
     for r in layout.sections(titled).collect():
         s = secs[r.title]
-        assert (r.subtitle, r.text_blocks, r.tables, r.charts, r.figures, r.page_start, r.flat_text) == (s["sub"], s["text"], s["table"], s["chart"], s["image"], s["page"], " ".join(s["t"])[:2000])
+        assert (r.subtitle, r.text_blocks, r.tables, r.charts, r.figures, r.page_start, r.flat_text) == (s["sub"], s["text"], s["table"], s["chart"], s["image"], s["page"], "\n".join(s["t"])[:2000])
 
 
 def test_strategy(spark):

@@ -76,7 +76,7 @@ def test_progress_and_delivery_streams(spark, tmp_path):
     folder = f"{tmp_path}/pages"
     spark.createDataFrame([("d", 1, 4), ("d", 2, 4), ("d", 2, 4), ("e", 1, 1)], "document_id string, page_number int, total_pages int").write.parquet(folder)
     pages = spark.readStream.schema("document_id string, page_number int, total_pages int").parquet(folder)
-    got = jobs.drain(jobs.progress(pages), "progress", "update", f"{tmp_path}/ck1").collect()
+    got = jobs.drain(jobs.progress(pages), "update", f"{tmp_path}/ck1", "document_id").collect()
     assert {r.document_id: (r.pages_done, r.total_pages) for r in got} == {"d": (2, 4), "e": (1, 1)}
     os.makedirs(f"{tmp_path}/up")
     for n, body in (("a.pdf", b"1"), ("copy.pdf", b"1"), ("b.pdf", b"2")):
