@@ -75,16 +75,28 @@ def ranking(raw: Column, candidates: Column) -> Column:
     return F.struct(whole.alias("ranking"), F.coalesce(got.scores, F.create_map().cast("map<string,double>")).alias("scores"), F.coalesce(got.dropped, F.array().cast("array<string>")).alias("dropped"), F.coalesce(F.nullif(got.top_region_type, F.lit("")), F.lit("prose")).alias("top_region_type"))
 
 
-FAITHFULNESS = "claims array<struct<claim_text:string,status:string,source_chunk_ids:array<string>,note:string>>, overall_verdict string, confidence_score double, recommended_action string"
+CLAIM = "claim_text string, status string, source_chunk_ids array<string>, note string"
+FAITHFULNESS = "claims array<string>, overall_verdict string, confidence_score double, recommended_action string"
 
 
 def faithfulness(raw: Column) -> Column:
-    """struct of FAITHFULNESS with its defaults; a confidence of 0 counts as missing, so as 1."""
+    """struct<claims: array<CLAIM>, overall_verdict, confidence_score, recommended_action> with their defaults; claims that
+    are no objects are passed over; a confidence of 0 counts as missing, so as 1."""
     got = F.from_json(F.coalesce(json_object(raw, unfenced_lines), F.lit("{}")), FAITHFULNESS)
     none = F.array().cast("array<string>")
     text = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
-    claims = F.transform(F.filter(F.coalesce(got.claims, F.array().cast("array<struct<claim_text:string,status:string,source_chunk_ids:array<string>,note:string>>")), lambda c: c.isNotNull()), lambda c: F.struct(F.coalesce(c.claim_text, F.lit("")).alias("claim_text"), text(c.status, "UNSUPPORTED").alias("status"), F.coalesce(c.source_chunk_ids, none).alias("source_chunk_ids"), F.coalesce(c.note, F.lit("")).alias("note")))
-    return F.struct(claims.alias("claims"), text(got.overall_verdict, "FAITHFUL").alias("overall_verdict"), F.coalesce(F.nullif(got.confidence_score, F.lit(0.0)), F.lit(1.0)).alias("confidence_score"), text(got.recommended_action, "return_as_is").alias("recommended_action"))
+    objects = F.filter(F.coalesce(got.claims, none), lambda c: F.coalesce(c.startswith("{"), F.lit(False)))
+
+    def claim(c: Column) -> Column:
+        own = F.from_json(c, CLAIM)
+        return F.struct(F.coalesce(own.claim_text, F.lit("")).alias("claim_text"), text(own.status, "UNSUPPORTED").alias("status"), F.coalesce(own.source_chunk_ids, none).alias("source_chunk_ids"), F.coalesce(own.note, F.lit("")).alias("note"))
+
+    return F.struct(
+        F.transform(objects, claim).alias("claims"),
+        text(got.overall_verdict, "FAITHFUL").alias("overall_verdict"),
+        F.coalesce(F.nullif(got.confidence_score, F.lit(0.0)), F.lit(1.0)).alias("confidence_score"),
+        text(got.recommended_action, "return_as_is").alias("recommended_action"),
+    )
 
 
 def needs_correction(checked: Column) -> Column:

@@ -112,11 +112,12 @@ RANK = 'Rank the candidates for the query, best first. Answer in JSON: {"ranking
 
 def rerank(model: ports.TextModel, questions: DataFrame, found: DataFrame, drop_below: float = 0.3) -> DataFrame:
     """query_id, rank, chunk_id, score of passages() after the model's ranking; as they were where it fails, or drops all."""
-    own = by_question(found, "chunk_id", "kind", "section", "content").join(questions.select("query_id", "question"), "query_id")
+    own = by_question(found, "chunk_id", "score", "kind", "section", "content").join(questions.select("query_id", "question"), "query_id")
     body = F.concat(F.lit("Query: "), "question", F.lit("\nIntent: "), T.query_type(F.col("question")), F.lit("\nCandidates: "), F.size("p").cast("string"), F.lit("\n\n"), candidate_block(F.col("p")))
-    said = ask(model, own, RANK, body).where("raw is not null")
-    verdicts = said.select("query_id", L.ranking(F.col("raw"), F.transform("p", lambda x: x.chunk_id)).alias("v")).select("query_id", "v.ranking", "v.scores", "v.dropped")
-    return retrieval.apply_ranking(found.select("query_id", "rank", "chunk_id", "score"), verdicts, drop_below)
+    verdict = L.ranking(F.coalesce("raw", F.lit("{}")), F.transform("p", lambda x: x.chunk_id)).alias("v")
+    said = ask(model, own, RANK, body).select("query_id", "raw", "p", verdict).select("query_id", "raw", "v", F.explode("p").alias("c"))
+    known = [F.when(F.col("raw").isNotNull(), F.col(f"v.{k}")).alias(k) for k in ("ranking", "scores", "dropped")]
+    return retrieval.ranked_by(said.select("query_id", "c.rank", "c.chunk_id", "c.score", *known), drop_below)
 
 
 SCORE = "How well does the passage answer the query? Answer in two lines, score: 0 to 1, and reason: one sentence."

@@ -263,10 +263,17 @@ def apply_ranking(candidates: DataFrame, verdicts: DataFrame, drop_below: float
     """query_id, rank, chunk_id, score after a model's ranking. candidates: (query_id, rank, chunk_id, score); verdicts:
     (query_id, ranking, scores, dropped). A chunk without a score keeps its own; those below drop_below or dropped go; unknown
     names are ignored; a query of which nothing is left keeps its candidates."""
-    named = verdicts.select("query_id", "scores", "dropped", F.posexplode("ranking").alias("pos", "chunk_id"))
-    named = named.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("pos"))).where("_n = 1")
-    score = F.coalesce(F.try_element_at("scores", "chunk_id"), F.col("score"))
-    kept = candidates.drop("rank").join(named, ["query_id", "chunk_id"]).withColumn("score", score).where((F.col("score") >= drop_below) & ~F.array_contains("dropped", F.col("chunk_id")))
-    new = _ranked(kept, F.col("pos")).select("query_id", "rank", "chunk_id", "score")
-    old = candidates.join(new.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "rank", "chunk_id", "score")
-    return new.unionByName(old)
+    return ranked_by(candidates.select("query_id", "rank", "chunk_id", "score").join(verdicts.select("query_id", "ranking", "scores", "dropped"), "query_id", "left"), drop_below)
+
+
+def ranked_by(rows: DataFrame, drop_below: float = 0.3) -> DataFrame:
+    """query_id, rank, chunk_id, score of candidates (query_id, rank, chunk_id, score) that have their question's ranking,
+    scores and dropped beside them, null where there's no verdict: apply_ranking() in one pass."""
+    place = F.array_position(F.array_distinct("ranking"), F.col("chunk_id"))
+    given = F.coalesce(F.try_element_at("scores", "chunk_id"), F.col("score"))
+    kept = F.coalesce((place > 0) & (given >= drop_below) & ~F.array_contains("dropped", F.col("chunk_id")), F.lit(False))
+    marked = rows.select("query_id", "chunk_id", "rank", "score", place.alias("_place"), given.alias("_given"), kept.alias("_kept"))
+    some = F.max("_kept").over(W.partitionBy("query_id"))
+    left = marked.withColumn("_some", some).where(F.col("_kept") | ~F.col("_some")).withColumn("_at", F.when(F.col("_some"), F.col("_place")).otherwise(F.col("rank")))
+    scored = left.withColumn("score", F.when(F.col("_some"), F.col("_given")).otherwise(F.col("score"))).drop("rank")
+    return _ranked(scored, F.col("_at")).select("query_id", "rank", "chunk_id", "score")

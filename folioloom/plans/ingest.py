@@ -35,5 +35,6 @@ def index_rows(tables: dict[str, DataFrame], embedder: ports.Embedder | None = N
     chunks = tables["chunks"]
     texts = chunking.embedding_texts(chunks, tables["visual_summaries"])
     made = (embedder or ports.HashedEmbedder()).embed(texts, "embed_text", "embedding")
-    records = chunking.index_records(chunks.withColumns({"page_content": F.lit(None).cast("string"), "source_filename": F.lit(None).cast("string"), "metadata": F.lit(None).cast("map<string,string>")}))
+    missing = {c: F.lit(None).cast(kind) for c, kind in (("page_content", "string"), ("source_filename", "string"), ("metadata", "map<string,string>")) if c not in chunks.columns}
+    records = chunking.index_records(chunks.withColumns(missing))
     return records.join(made.select("chunk_id", "embedding"), "chunk_id").select("chunk_id", "text", F.col("metadata")["document_id"].alias("document_id"), "metadata", "embedding")

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from folioloom.plans import model_queries  # noqa: F401 - adds to the queries of plans
 from folioloom.plans import queries as plans
 from folioloom.streaming import queries as streams
 
