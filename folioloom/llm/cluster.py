@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset: a temporary one on a single machine (tests), else
+    ValueError, as other machines couldn't see it."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="folioloom-checkpoint-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
@@ -40,6 +43,20 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return stored_at(df, name, *partition_by)[1]
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """A table or folder that stored_at() wrote, gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as make it none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.llm import utf8
-from folioloom.llm.cluster import partitions, small_batches, stored, stored_at, table, texts
+from folioloom.llm.cluster import partitions, remove, small_batches, stored, stored_at, table, texts
 
 #: Hashes of what isn't a word: the end of a text and the context before its first token.
 END, BEGIN = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0xB391B391B391B391)
@@ -171,11 +171,6 @@ def _released(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shards_for(docs: DataFrame, megabytes: int = 8) -> int:
     """A power of two: a shard for so many MB of input, as Spark estimates it, at least 4."""
     estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -399,8 +394,8 @@ def fit(docs: DataFrame, shards: int | None = None, hot: int = HOT) -> Model:
             bigrams = counted.where(f"kind = 'b' and turn = {turn}").select("shard", "blob").groupBy("shard")
             schema = "kind string, shard int, blob binary, h long, w long, c long, cw long, kept double, low double"
             made.append(stored(bigrams.applyInArrow(_regroup(stats, known, limit), schema), "katz-pairs", "kind"))
-            _remove(spark, f"{folder}/kind=b/turn={turn}")
-    _remove(spark, folder)
+            remove(spark, f"{folder}/kind=b/turn={turn}")
+    remove(spark, folder)
     tables = reduce(DataFrame.unionByName, made)
     return Model(words, tables.where("kind = 't'").select("shard", "blob"), stats, shards, _heated(known, stats, tables))
 
@@ -589,7 +584,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             first = found.where("kind in ('p', 'd')").select("kind", "key", "blob")
             scored = first.unionByName(second).groupBy("key").applyInArrow(total, "doc_id long, n_tokens long, n_known long, base_score double, score double")
             out.append(stored(scored, "katz-scores"))
-            _remove(spark, folder)
+            remove(spark, folder)
     return reduce(DataFrame.unionByName, out)
 
 
