@@ -1,4 +1,8 @@
-"""Toxicity: a classifier chain of linear models over words, each link fed the earlier links' out-of-fold probabilities."""
+"""Toxicity: a classifier chain of linear models over words, each link fed the earlier links' out-of-fold probabilities.
+
+Labels only say whether a document is toxic. The categories of the chain are kinds of toxic documents, found among the
+labelled ones by what they share (kinds()), in whatever language; the last link is the label itself.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +18,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from folioloom.llm import utf8
 from folioloom.llm.cluster import cut, small_batches, table
 
-#: Categories in the order of the chain, each with the words that tell it in a document labelled toxic (fixed values). The
-#: chain's last link is the label itself.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
+#: Kinds of toxic documents that the chain tells apart before it judges.
+KINDS = 3
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -38,11 +38,6 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return utf8.hashes(plain, np.repeat(s, len(STEMS) + 1), ends.ravel()), n * (len(STEMS) + 1)
 
 
-def hash_of(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(utf8.hashes(raw, np.array([0]), np.array([len(raw)]))[0])
-
-
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -99,10 +94,39 @@ def _folds(text: np.ndarray, folds: int) -> np.ndarray:
     return (utf8.mix(text) % np.uint64(folds)).astype(np.int64)
 
 
-def fit_chain(x: np.ndarray, ys: dict[str, np.ndarray], fold: np.ndarray, words: np.ndarray, precision: float) -> Chain:
+def kinds(x: np.ndarray, most: int, rounds: int = 20) -> np.ndarray:
+    """The kind, 0 .. most - 1 by size, of each row of x, features present: spherical k-means over features weighted by how
+    rare they are. Centres begin farthest from each other, so that the result is always the same."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    v = x * np.log((1 + len(x)) / (1 + x.sum(axis=0)))
+    size = np.sqrt((v**2).sum(axis=1, keepdims=True))
+    v = v / np.where(size > 0, size, 1)
+    picked = [int(v.sum(axis=1).argmax())]
+    while len(picked) < most:
+        near = (v @ v[picked].T).max(axis=1)
+        picked.append(int(near.argmin()))
+    centre, kind = v[picked], np.zeros(len(x), np.int64)
+    for _ in range(rounds):
+        after = (v @ centre.T).argmax(axis=1)
+        if (after == kind).all() and _:
+            break
+        kind = after
+        for k in range(most):
+            mean = v[kind == k].sum(axis=0)
+            norm = np.sqrt((mean**2).sum())
+            if norm:
+                centre[k] = mean / norm
+    by = np.argsort(-np.bincount(kind, minlength=most), kind="stable")
+    place = np.empty(most, np.int64)
+    place[by] = np.arange(most)
+    return place[kind]
+
+
+def fit_chain(x: np.ndarray, ys: dict[str, np.ndarray], fold: np.ndarray, words: np.ndarray, precision: float, share: float | None = None) -> Chain:
     """Links in the order of ys. Each is trained on the words and the out-of-fold log odds of the links before; its own
     out-of-fold log odds come from models of the other folds. The threshold is the least at which the last link's
-    out-of-fold predictions have the precision asked for."""
+    out-of-fold predictions have the precision asked for, where a share of documents is toxic as given (as in y, if not)."""
     links, extra = [], np.zeros((len(x), 0))
     p = np.zeros(len(x))
     for name, y in ys.items():
@@ -127,7 +151,11 @@ def fit_chain(x: np.ndarray, ys: dict[str, np.ndarray], fold: np.ndarray, words:
         p = sigmoid(z)
     y = list(ys.values())[-1]
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1) if len(y) else np.zeros(0)
+    toxic = y.sum() / max(1, len(y))
+    share = toxic if share is None else share
+    weight = np.where(y > 0, share / toxic if toxic else 0, (1 - share) / (1 - toxic) if toxic < 1 else 0)[order]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        right = np.nan_to_num(np.cumsum(weight * y[order]) / np.cumsum(weight))
     last = np.r_[p[order][1:] != p[order][:-1], True] if len(y) else np.zeros(0, bool)
     good = np.flatnonzero(last & (right >= precision))
     if not len(good):
@@ -139,17 +167,18 @@ def fit_chain(x: np.ndarray, ys: dict[str, np.ndarray], fold: np.ndarray, words:
     return Chain(words, tuple(links), float(sigmoid((logit(p[order][at]) + logit(below)) / 2)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: int = 384, folds: int = 5, precision: float = 0.97) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: int = 384, folds: int = 5, precision: float = 0.9) -> Chain:
     """The chain, from at most sample_rows labelled documents, half of them toxic where there are enough, chosen by a hash of
     doc_id, and the `features` words and stems whose presence tells most about the label by chi square. A document's label is toxic if
-    any of its rows is. Without documents of both labels nothing is found toxic."""
+    any of its rows is. Its threshold holds at the share of toxic documents that all labels have. Of rows of one doc_id one
+    teaches. Without documents of both labels nothing is found toxic."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     half = sample_rows // 2
     chosen = one.where("toxic = 1").orderBy(*order).limit(half).unionAll(one.where("toxic <> 1").orderBy(*order).limit(sample_rows - half))
     chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic")  # at most sample_rows ids
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    seeds = {k: np.array(sorted(hash_of(w) for w in ws), np.uint64) for k, ws in CATEGORIES.items()}
+    share = one.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,10 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
             whole = utf8.hashes(buf, at[:-1], at[1:])
             ends = np.r_[0, np.cumsum(n)]
             own = [np.unique(h[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
-            tell = [[bool(np.isin(s, w).any()) for w in own] for s in seeds.values()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(whole.view(np.int64)), b.column(2), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64())), *[pa.array(t, pa.bool_()) for t in tell]], names=["doc_id", "whole", "toxic", "words", *seeds])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(whole.view(np.int64)), b.column(2), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64()))], names=["doc_id", "whole", "toxic", "words"])
 
-    spelled = cut(small_batches(sample).mapInArrow(run, "doc_id long, whole long, toxic int, words array<long>" + "".join(f", {k} boolean" for k in seeds)).dropDuplicates(["whole", "toxic"]))  # copies teach once
+    made = small_batches(sample).mapInArrow(run, "doc_id long, whole long, toxic int, words array<long>")
+    first = made.groupBy("doc_id").agg(F.min_by(F.struct("whole", "toxic", "words"), "whole").alias("r")).select("doc_id", "r.*")
+    spelled = cut(first.dropDuplicates(["whole", "toxic"]))  # copies teach once: at most sample_rows rows
     n1, n0 = spelled.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") != 1, 1))).first()
     by = spelled.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") != 1, 1)).alias("b")).where("a + b >= 6")
     n = n1 + n0
@@ -170,25 +200,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
     picked = by.select("w", chi.alias("chi")).where(F.col("chi") * n >= 10.83 * n1 * n0).orderBy(F.desc("chi"), "w").limit(features)
     words = np.array(sorted(np.array([r.w for r in picked.collect()], np.int64).view(np.uint64).tolist()), np.uint64)
     asked = F.array(*[F.lit(int(w)) for w in words.view(np.int64).tolist()]) if len(words) else F.array().cast("array<long>")
-    got = sorted(spelled.select("doc_id", "whole", "toxic", F.array_intersect("words", asked).alias("words"), *seeds).collect(), key=lambda r: (r.doc_id, r.whole))  # at most sample_rows rows of at most `features`
+    got = sorted(spelled.select("doc_id", "whole", "toxic", F.array_intersect("words", asked).alias("words")).collect(), key=lambda r: (r.doc_id, r.whole))  # at most sample_rows rows of at most `features`
     x = np.zeros((len(got), len(words)))
     for i, r in enumerate(got):
         if r.words:
             x[i, np.searchsorted(words, np.array(r.words, np.int64).view(np.uint64))] = 1
     toxic = np.array([r.toxic == 1 for r in got], float)
-    ys = {k: toxic * np.array([r[k] for r in got], float) for k in seeds} | {"toxic": toxic}
-    return fit_chain(x, ys, _folds(np.array([r.whole for r in got], np.int64).view(np.uint64), folds), words, precision)
+    kind = np.full(len(got), -1)
+    kind[toxic > 0] = kinds(x[toxic > 0], KINDS)
+    ys = {f"kind{k}": (kind == k).astype(float) for k in range(KINDS)} | {"toxic": toxic}
+    return fit_chain(x, ys, _folds(np.array([r.whole for r in got], np.int64).view(np.uint64), folds), words, precision, share)
 
 
-def classify(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs, whole, with p_<category> of each link and toxic: the last link's probability reaches the threshold.
+def classify(docs: DataFrame, chain: Chain, prefix: str = "p_", flag: str = "toxic") -> DataFrame:
+    """docs, whole, with <prefix><category> of each link and flag: the last link's probability reaches the threshold.
 
     A null or empty text has the chances of a text without known words. Rows of null or repeated doc_id are judged like any
-    other; an empty table gives no rows. docs may have any other columns but these; they pass unchanged.
+    other; an empty table gives no rows. Columns of docs of these names are replaced, all others pass unchanged.
     """
-    names = [f"p_{k}" for k, _ in chain.links]
-    if clash := {*names, "toxic"} & set(docs.columns):
-        raise ValueError(f"docs already has {sorted(clash)}")
+    names = [f"{prefix}{k}" for k, _ in chain.links]
+    docs = docs.drop(*names, flag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = np.zeros(1 << 16, bool)
@@ -206,9 +237,9 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
                     key = np.unique(np.repeat(np.arange(j - i), n)[at_[on]] * len(chain.words) + spot[on])
                     doc, word = key // len(chain.words), key % len(chain.words)
                 p[i:j] = chain.probabilities(doc, word, j - i)
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(c)) for c in p.T], pa.array(p[:, -1] >= chain.threshold)], names=[*b.schema.names, *names, "toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(c)) for c in p.T], pa.array(p[:, -1] >= chain.threshold)], names=[*b.schema.names, *names, flag])
 
-    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *[StructField(k, DoubleType()) for k in names], StructField("toxic", BooleanType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, *[StructField(k, DoubleType()) for k in names], StructField(flag, BooleanType())]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
