@@ -130,77 +130,133 @@ def block_tables(distance: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def _forest(fp: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that span what is within distance of each other, one less than the members of each piece: each member is
-    compared with those not yet reached only."""
+def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in fp) that span what is within distance of each other, one less than the members of each piece: each
+    member is compared with those not yet reached only."""
     left, right = [], []
-    rest = fp.copy()
-    while len(rest):
-        wave, rest = rest[:1], rest[1:]
-        while len(wave) and len(rest):
+    at, rest = np.arange(len(fp)), fp
+    while len(at):
+        wave, at, rest = at[:1], at[1:], rest[1:]
+        while len(wave) and len(at):
             ahead = []
             for x in wave:
-                near = _popcount(rest ^ x) <= distance
+                near = np.bitwise_count(rest ^ fp[x]) <= distance
                 if near.any():
-                    hit, rest = rest[near], rest[~near]
-                    left.append(np.full(len(hit), x, np.uint64))
-                    right.append(hit)
-                    ahead.append(hit)
-                    if not len(rest):
+                    left.append(np.full(int(near.sum()), x))
+                    right.append(at[near])
+                    ahead.append(at[near])
+                    at, rest = at[~near], rest[~near]
+                    if not len(at):
                         break
-            wave = np.concatenate(ahead) if ahead else rest[:0]
-    return left, right
+            wave = np.concatenate(ahead) if ahead else at[:0]
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(left), join(right)
 
 
-def links_within(key: np.ndarray, fp: np.ndarray, distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among the fingerprints that share a key. Groups up to small members: every pair, side by side for
-    all groups. Larger groups: spanning links only, so what is made stays in proportion to the members."""
+def _patterns(free: int, distance: int) -> list[int]:
+    """The ways to differ in 1 to distance of the bits of free."""
+    bits = [1 << k for k in range(64) if free >> k & 1]
+    return [sum(c) for n in range(1, distance + 1) for c in combinations(bits, n)]
+
+
+def _reached(fp: np.ndarray, patterns: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """As _forest, for groups larger than the ways to differ: each way is looked up for all members side by side, so that the
+    work grows with the members and not with their square."""
+    order = np.argsort(fp)
+    v = fp[order]
+    label, left, right = np.arange(len(v)), [], []
+    for p in patterns:
+        wanted = v ^ np.uint64(p)
+        at = np.minimum(np.searchsorted(v, wanted), len(v) - 1)
+        i = np.flatnonzero((v[at] == wanted) & (label[at] < label))
+        if not len(i):
+            continue
+        pairs, first = np.unique(np.stack([label[at[i]], label[i]], axis=1), axis=0, return_index=True)
+        parent: dict[int, int] = {}
+
+        def root(x: int, parent: dict[int, int] = parent) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        for (low, high), k in zip(pairs.tolist(), first.tolist(), strict=True):
+            low, high = sorted((root(low), root(high)))
+            if low != high:
+                parent[high] = low
+                left.append(i[k])
+                right.append(at[i[k]])
+        moved = np.arange(len(v))
+        moved[list(parent)] = [root(x) for x in parent]
+        label = moved[label]
+    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
+
+
+def linked(key: np.ndarray, fp: np.ndarray, distance: int, small: int = 48, free: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (places) among the fingerprints that share a key. Groups up to small members: every pair, side by side
+    for all groups. Larger groups: spanning links only, so what is made stays in proportion to the members; free: the bits
+    in which members of a group can differ, for groups so large that looking all differences up is cheaper than comparing."""
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
     heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[heads, len(key)])
     left, right = [], []
+    patterns = _patterns(free, distance) if free is not None and int(sizes.max(initial=0)) > 4096 else []
     for i in np.flatnonzero(sizes > small):
-        a, b = _forest(fp[heads[i] : heads[i] + sizes[i]], distance)
-        left += a
-        right += b
+        own = fp[heads[i] : heads[i] + sizes[i]]
+        a, b = _reached(own, patterns) if patterns and sizes[i] > max(4096, 2 * len(patterns)) else _forest(own, distance)
+        left.append(heads[i] + a)
+        right.append(heads[i] + b)
     group = np.repeat(sizes, sizes)
     place = np.arange(len(key)) - np.repeat(heads, sizes)
     alive = np.flatnonzero(group <= small)
     for step in range(1, min(small, int(sizes.max(initial=0)))):
         alive = alive[place[alive] + step < group[alive]]
-        a, b = fp[alive], fp[alive + step]
-        near = _popcount(a ^ b) <= distance
-        left.append(a[near])
-        right.append(b[near])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
+        near = alive[np.bitwise_count(fp[alive] ^ fp[alive + step]) <= distance]
+        left.append(near)
+        right.append(near + step)
+    join = lambda x: order[np.concatenate(x)] if x else np.zeros(0, np.int64)
     return join(left), join(right)
 
 
-def fingerprint_links(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints fp that differ in at most distance bits, enough of them to keep
-    every component whole. Each fingerprint goes once to each table of block_tables, dealt out by its bits under the mask."""
+def fingerprint_links(nodes: DataFrame, distance: int, blocks: int, rows: int = 500_000) -> DataFrame:
+    """Links (a, b) between nodes (fp, none, id), as struct<none, id>, whose distinct fingerprints differ in at most distance
+    bits, enough of them to keep every component whole. Each fingerprint goes once to each table of block_tables, dealt out by
+    its bits under the mask; groups that share these are met in order, about rows of them at once."""
     masks = block_tables(distance, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])).alias("x")).select("fp", "x.t", "x.key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [b for b in batches if b.num_rows]
-        if not own:
-            return
-        all_ = pa.Table.from_batches(own)
-        fp, t, key = (all_.column(c).to_numpy() for c in ("fp", "t", "key"))
-        for k in np.unique(t):
-            a, b = links_within(key[t == k], fp[t == k].view(np.uint64), distance)
+    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])
+    keyed = nodes.select("fp", "none", "id", F.explode(keys).alias("x")).select("fp", "none", "id", "x.t", "x.key")
+
+    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        fp, none, name, table, key = (t.column(c).to_numpy() for c in ("fp", "none", "id", "t", "key"))
+        for k in np.unique(table):
+            own = np.flatnonzero(table == k)
+            a, b = linked(key[own], fp[own].view(np.uint64), distance, free=~masks[k] & ((1 << 64) - 1))
+            a, b = own[a], own[b]
             for i in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000].view(np.int64)), pa.array(b[i : i + 100_000].view(np.int64))], names=["a", "b"])
+                x, y = a[i : i + 100_000], b[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (none[x], name[x], none[y], name[y])], names=["an", "a", "bn", "b"])
 
-    n = partitions(distinct.sparkSession)
-    return keyed.repartition(n, "t", "key").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:  # all groups but the last are whole
+                t = pa.Table.from_batches(held)
+                table, key = t.column("t").to_numpy(), t.column("key").to_numpy()
+                last = int(np.flatnonzero((table != table[-1]) | (key != key[-1])).max(initial=-1)) + 1
+                yield from made(t.slice(0, last))
+                held = t.slice(last).to_batches()
+                n = t.num_rows - last
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    n = partitions(nodes.sparkSession)
+    found = keyed.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "an boolean, a long, bn boolean, b long")
+    return found.select(F.struct(F.col("an").alias("none"), F.col("a").alias("id")).alias("a"), F.struct(F.col("bn").alias("none"), F.col("b").alias("id")).alias("b"))
 
 
 def blocks_for(distinct: int, distance: int) -> int:
@@ -218,12 +274,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, blocks:
     table gives no rows. Columns of docs other than doc_id and text are not read.
     """
     prints = cut(with_fingerprint(docs, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = fingerprint_links(nodes.select("fp"), distance, blocks or blocks_for(nodes.count(), distance))
-    roots = components(links)
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
+    # a node's name is its smallest doc_id (where none of its rows has one: its fingerprint, after all ids), so that the root
+    # of a component is its component_id, and no join on roots, of which one may have very many members, is needed
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = cut(least.select("fp", F.col("rep").isNull().alias("none"), F.coalesce("rep", "fp").alias("id")))
+    roots = components(fingerprint_links(nodes, distance, blocks or blocks_for(nodes.count(), distance)))
+    own = nodes.select("fp", F.struct("none", "id").alias("node")).join(roots, "node", "left")
+    root = F.coalesce("root", "node")
+    known = own.select("fp", F.when(~root["none"], root["id"]).alias("component_id"))
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
