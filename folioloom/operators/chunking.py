@@ -87,6 +87,16 @@ def index_records(chunks: DataFrame) -> DataFrame:
     return chunks.where(~blank(text)).select("chunk_id", text.alias("text"), whole.alias("metadata"))
 
 
+def summaries_of(summaries: DataFrame, order: str, hits: DataFrame | None = None) -> DataFrame:
+    """The last summary (document_id, region_id, ...) by order of each region: for an index all of them, for the documents of
+    hits (document_id) those that are meaningful, as one without the flag is."""
+    values = [c for c in summaries.columns if c not in ("document_id", "region_id")]
+    last = summaries.groupBy("document_id", "region_id").agg(F.max_by(F.struct(*values), order).alias("_v")).select("document_id", "region_id", "_v.*")
+    if hits is None:
+        return last
+    return last.where(F.coalesce("is_meaningful", F.lit(True))).join(hits.select("document_id").distinct(), "document_id", "left_semi")
+
+
 def embedding_texts(chunks: DataFrame, summaries: DataFrame, meaningful_only: bool = False) -> DataFrame:
     """chunk_id, embed_text: the summary of the first of the chunk's regions that is a figure with one, else the chunk's text.
     chunks: (document_id, chunk_id, text, source_region_ids); summaries: (document_id, region_id, region_type, summary_text,

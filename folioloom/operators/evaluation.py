@@ -60,6 +60,18 @@ def latency(values: DataFrame, key: str, value: str) -> DataFrame:
     return ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), mid.alias("median"), at(95).alias("p95"), at(99).alias("p99"), F.min("v").alias("min"), F.max("v").alias("max"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stdev"))
 
 
+def bars(means: DataFrame, redundant: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, line) of means (metric, mean): a bar of twentieths, and a warning on metrics that say nothing new."""
+    warning = F.when(F.col("metric").isin(*redundant), " (redundant: one label a question)").otherwise("") if redundant else F.lit("")
+    bar = F.expr("repeat('█', cast(floor(mean * 20) as int))")
+    return means.select("metric", F.concat("metric", F.lit(" "), F.format_string("%.3f", "mean"), F.lit(" "), bar, warning).alias("line"))
+
+
+def single_label(labels: DataFrame) -> DataFrame:
+    """single, one row: no question of labels (relevant) has more than one."""
+    return labels.agg(F.coalesce(F.max(F.size("relevant")) <= 1, F.lit(True)).alias("single"))
+
+
 def report(run: str, means: dict[str, float], rows: list[dict], single_label: bool = False) -> str:
     """The evaluation as text: a bar of twentieths a metric, then each question's scores and the opening of its answer."""
     extra = {"precision_at_k", "recall_at_k"} if single_label else set()

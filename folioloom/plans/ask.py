@@ -12,6 +12,19 @@ from folioloom.operators import evaluation, ports, retrieval
 from folioloom.sources.files import Settings
 
 
+def source_payload(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, rank, chunk_id, document_id, page_number, source_filename, region_ids, crop_asset_ids, score, to four
+    decimals, of hits (query_id, rank, document_id, chunk_id, score), lists empty where chunks have none."""
+    none = F.array().cast("array<string>")
+    known = chunks.select("document_id", "chunk_id", "page_number", "source_filename", F.coalesce("source_region_ids", none).alias("region_ids"), F.coalesce("crop_asset_ids", none).alias("crop_asset_ids"))
+    return hits.withColumn("score", F.bround("score", 4)).join(known, ["document_id", "chunk_id"])
+
+
+def context_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, rank, context: the text of each hit's chunk, by document and chunk; hits without one have no row."""
+    return hits.join(chunks.select("document_id", "chunk_id", F.col("text").alias("context")), ["document_id", "chunk_id"]).select("query_id", "rank", "context")
+
+
 @dataclass(frozen=True)
 class Ask:
     """corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title, parent_subtitle)."""

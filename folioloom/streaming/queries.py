@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.sources.shared import new_folder
 from folioloom.streaming import jobs
 
 QUERIES, ORACLE = {}, {}
@@ -30,18 +29,7 @@ def _events(spark, d: str) -> DataFrame:
 
 def _drained(df: DataFrame, mode: str, *keys: str) -> DataFrame:
     """In the shared folder that the cluster names: a stream's state is read by other executors after a loss."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import atexit
-        import shutil
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        shared = tempfile.mkdtemp(prefix="folioloom-stream-")  # one machine is all there is
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    return jobs.drain(df, mode, f"{shared}/folioloom-stream-{uuid.uuid4().hex}", *keys)
+    return jobs.drain(df, mode, new_folder(df.sparkSession, "stream"), *keys)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

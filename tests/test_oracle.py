@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from folioloom.plans import model_queries  # noqa: F401 - adds to the queries of plans
+from folioloom.plans import model_queries, sink_queries  # noqa: F401 - add to the queries of plans
 from folioloom.plans import queries as plans
 from folioloom.streaming import queries as streams
 
@@ -30,7 +30,7 @@ def rows(df):
     return cols, sorted((tuple(r) for r in df.where(df.notna(), None).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(ALL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
     cols, got = rows(ALL[name](spark, DATA).toPandas())
     wanted_cols, want = rows(duck.execute(SQL[name]).df())
