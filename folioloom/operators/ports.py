@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions.text import strip, tokens
+from folioloom.functions.vectors import let, norm
 
 
 class Embedder(Protocol):
@@ -43,9 +44,9 @@ class HashedEmbedder:
 
     def column(self, text: Column) -> Column:
         spots = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * self.width)))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)), lambda k: (F.size(F.filter(spots, lambda s: s == k)) - F.size(F.filter(spots, lambda s: s == k + self.width))).cast("double"))
-        size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(raw, lambda x: (x / F.when(size > 0, size).otherwise(1.0)).cast("float"))
+        count = lambda s, k: F.size(F.filter(s, lambda x: x == k))
+        raw = let(spots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)), lambda k: (count(s, k) - count(s, k + self.width)).cast("double")))
+        return let(raw, lambda r: let(norm(r), lambda n: F.transform(r, lambda x: (x / F.when(n > 0, n).otherwise(1.0)).cast("float"))))
 
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
         return df.withColumn(out, self.column(F.col(text)))

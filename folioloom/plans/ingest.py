@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,20 +11,30 @@ from folioloom.operators import chunking, layout, ports
 from folioloom.sources.files import Settings
 
 
-def ingest(pages: DataFrame, boxes: DataFrame, settings: Settings | None = None) -> dict[str, DataFrame]:
+def kept_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
+    """Writes each table below folder and reads it from there, so that what follows doesn't make it again."""
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
+
+
+def ingest(pages: DataFrame, boxes: DataFrame, settings: Settings | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
     """The tables of a preprocessing run. pages: (document_id, page_number, rec_texts, rec_scores, rec_boxes, dt_polys,
-    image_width, image_height, page_image_path); boxes: (document_id, page_number, pos, label, score, coordinate)."""
+    image_width, image_height, page_image_path); boxes: (document_id, page_number, pos, label, score, coordinate). keep: what is done with tables that several others are made of, such as kept_in()."""
     settings = settings or Settings()
-    items = layout.ocr_items(pages)
-    regions = layout.detected_regions(boxes)
+    items = keep("items", layout.ocr_items(pages))
+    regions = keep("detected", layout.detected_regions(boxes))
     matched = layout.reading_order(layout.best_regions(items, regions))
-    blocks = layout.blocks(matched)
+    blocks = keep("blocks", layout.blocks(matched))
     texts = blocks.select("document_id", F.explode("region_ids").alias("region_id"), "reading_order", "text").groupBy("document_id", "region_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "text"))), lambda b: b.text), " ").alias("text"))
-    titled = layout.assign_titles(regions.join(texts, ["document_id", "region_id"], "left").withColumn("y0", F.col("bbox.y0")))
+    titled = keep("titled", layout.assign_titles(regions.join(texts, ["document_id", "region_id"], "left").withColumn("y0", F.col("bbox.y0"))))
     crops = layout.crop_assets(regions, pages.select("document_id", "page_number", "image_width", "image_height", "page_image_path"))
     chunks = chunking.name_chunks(chunking.pack_blocks(blocks, settings.chunk_size, settings.overlap))
     known = titled.join(crops.select("document_id", "region_id", "crop_path"), ["document_id", "region_id"], "left")
-    chunks = chunking.with_region_attributes(chunks, known)
+    chunks = keep("chunks", chunking.with_region_attributes(chunks, known))
     summaries = layout.visual_summaries(regions, blocks, chunks.withColumn("ord", F.col("chunk_no")))
     return {
         "ocr_items": matched, "regions": titled, "blocks": blocks, "page_texts": layout.page_texts(blocks), "cropped_assets": crops, "chunks": chunks,

@@ -139,8 +139,6 @@ def performance_report(spark, d):
 def ingest_index(spark, d):
     """Recognised pages and detected boxes to index rows; tests hold its parts against SQL and loops."""
     shown = made._recognised(spark, d).withColumns({"image_width": F.lit(4800), "image_height": F.lit(6400), "page_image_path": F.lit("p.png")})
-    folder, tables = new_folder(spark, "ingest"), ("chunks", "visual_summaries")
-    run = ingest.ingest(shown, made._detected(spark, d))
-    files.export({name: run[name] for name in tables}, folder)
-    rows = ingest.index_rows({name: files.exported(spark, folder, name) for name in tables})
+    run = ingest.ingest(shown, made._detected(spark, d), keep=ingest.kept_in(new_folder(spark, "ingest")))
+    rows = ingest.index_rows(run)
     return rows.select("chunk_id", "document_id", F.md5("text").alias("text_md5"), F.size("embedding").alias("width"), F.col("metadata")["page_number"].alias("page_number"))
