@@ -32,7 +32,10 @@ def recovered(raw: Column) -> Column:
     pattern = r'"(\w+)"\s*:\s*"([^"]*)"'
     keys, values = (F.regexp_extract_all(whole, F.lit(pattern), F.lit(i)) for i in (1, 2))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(keys, p["i"] + 2, F.greatest(F.size(keys), F.lit(1))), lambda k: k == p["k"]))
+    last = F.filter(
+        F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))),
+        lambda p: ~F.exists(F.slice(keys, p["i"] + 2, F.greatest(F.size(keys), F.lit(1))), lambda k: k == p["k"]),
+    )
     own = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
     return F.map_concat(F.map_from_arrays(F.array(F.lit("parse_error")), F.array(F.lit("true"))), F.map_filter(own, lambda k, v: k != "parse_error"))
 
@@ -72,7 +75,12 @@ def ranking(raw: Column, candidates: Column) -> Column:
     got = F.from_json(F.coalesce(json_object(raw, unfenced_lines), F.lit("{}")), RANKING)
     named = F.when(F.size(got.ranking) > 0, got.ranking).otherwise(candidates)
     whole = F.concat(named, F.filter(candidates, lambda c: ~F.array_contains(named, c)))
-    return F.struct(whole.alias("ranking"), F.coalesce(got.scores, F.create_map().cast("map<string,double>")).alias("scores"), F.coalesce(got.dropped, F.array().cast("array<string>")).alias("dropped"), F.coalesce(F.nullif(got.top_region_type, F.lit("")), F.lit("prose")).alias("top_region_type"))
+    return F.struct(
+        whole.alias("ranking"),
+        F.coalesce(got.scores, F.create_map().cast("map<string,double>")).alias("scores"),
+        F.coalesce(got.dropped, F.array().cast("array<string>")).alias("dropped"),
+        F.coalesce(F.nullif(got.top_region_type, F.lit("")), F.lit("prose")).alias("top_region_type"),
+    )
 
 
 CLAIM = "claim_text string, status string, source_chunk_ids array<string>, note string"
@@ -89,7 +97,12 @@ def faithfulness(raw: Column) -> Column:
 
     def claim(c: Column) -> Column:
         own = F.from_json(c, CLAIM)
-        return F.struct(F.coalesce(own.claim_text, F.lit("")).alias("claim_text"), text(own.status, "UNSUPPORTED").alias("status"), F.coalesce(own.source_chunk_ids, none).alias("source_chunk_ids"), F.coalesce(own.note, F.lit("")).alias("note"))
+        return F.struct(
+            F.coalesce(own.claim_text, F.lit("")).alias("claim_text"),
+            text(own.status, "UNSUPPORTED").alias("status"),
+            F.coalesce(own.source_chunk_ids, none).alias("source_chunk_ids"),
+            F.coalesce(own.note, F.lit("")).alias("note"),
+        )
 
     return F.struct(
         F.transform(objects, claim).alias("claims"),

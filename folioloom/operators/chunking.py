@@ -21,7 +21,15 @@ def pack_blocks(made: DataFrame, target: int, overlap: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     strings = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")) if "bbox" in made.columns else F.lit(None).cast("array<double>")
-    block = F.struct(F.col("reading_order").cast("int").alias("pos"), F.col("block_id").alias("id"), F.length(text).alias("len"), text.alias("text"), strings("item_ids").alias("items"), strings("region_ids").alias("regions"), box.alias("box")).cast(kind)
+    block = F.struct(
+        F.col("reading_order").cast("int").alias("pos"),
+        F.col("block_id").alias("id"),
+        F.length(text).alias("len"),
+        text.alias("text"),
+        strings("item_ids").alias("items"),
+        strings("region_ids").alias("regions"),
+        box.alias("box"),
+    ).cast(kind)
     pages = made.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(block)).alias("b"))
 
     def carried(cur: Column) -> Column:
@@ -33,14 +41,26 @@ def pack_blocks(made: DataFrame, target: int, overlap: int) -> DataFrame:
     def add(acc: Column, x: Column) -> Column:
         whole = F.aggregate(acc.cur, F.lit(0), lambda n, y: n + y.len + 2) + x.len
         flush = (F.size(acc.cur) > 0) & (whole > target)
-        return F.when(flush, F.struct(F.concat(acc.done, F.array(acc.cur)).alias("done"), F.concat(carried(acc.cur), F.array(x)).alias("cur"))).otherwise(F.struct(acc.done.alias("done"), F.concat(acc.cur, F.array(x)).alias("cur")))
+        return F.when(
+            flush,
+            F.struct(F.concat(acc.done, F.array(acc.cur)).alias("done"), F.concat(carried(acc.cur), F.array(x)).alias("cur")),
+        ).otherwise(F.struct(acc.done.alias("done"), F.concat(acc.cur, F.array(x)).alias("cur")))
 
     packed = F.aggregate("b", F.struct(nothing.alias("done"), none.alias("cur")), add, lambda a: F.when(F.size(a.cur) > 0, F.concat(a.done, F.array(a.cur))).otherwise(a.done))
     one = pages.select("document_id", "page_number", F.posexplode(packed).alias("pos", "c"))
     numbered = one.withColumn("chunk_no", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "pos")))
     joined = strip(F.array_join(F.filter(F.col("c.text"), lambda t: F.length(strip(t)) > 0), "\n\n"))
     regions = F.sort_array(F.array_distinct(F.flatten("c.regions")))
-    return numbered.select("document_id", "chunk_no", "page_number", F.col("c.id").alias("block_ids"), F.flatten("c.items").alias("item_ids"), regions.alias("source_region_ids"), F.filter("c.box", lambda b: b.isNotNull()).alias("bbox_references"), joined.alias("text"))
+    return numbered.select(
+        "document_id",
+        "chunk_no",
+        "page_number",
+        F.col("c.id").alias("block_ids"),
+        F.flatten("c.items").alias("item_ids"),
+        regions.alias("source_region_ids"),
+        F.filter("c.box", lambda b: b.isNotNull()).alias("bbox_references"),
+        joined.alias("text"),
+    )
 
 
 def name_chunks(chunks: DataFrame) -> DataFrame:
@@ -55,7 +75,11 @@ def with_region_attributes(chunks: DataFrame, regions: DataFrame) -> DataFrame:
     known = ids.join(regions.select("document_id", "region_id", "region_type", "crop_path", "parent_title", "parent_subtitle"), ["document_id", "region_id"])
     parent = F.when(F.col("parent_title").isNotNull(), F.struct("parent_title", "parent_subtitle"))
     row = F.struct("pos", "crop_path", F.when(F.col("crop_path").isNotNull(), F.concat(F.lit("asset_"), "region_id")).alias("asset"))
-    by = known.groupBy("document_id", "chunk_id").agg(F.sort_array(F.collect_set("region_type")).alias("region_types"), F.sort_array(F.collect_list(row)).alias("r"), F.min_by(parent, F.when(parent.isNotNull(), F.col("pos"))).alias("p"))
+    by = known.groupBy("document_id", "chunk_id").agg(
+        F.sort_array(F.collect_set("region_type")).alias("region_types"),
+        F.sort_array(F.collect_list(row)).alias("r"),
+        F.min_by(parent, F.when(parent.isNotNull(), F.col("pos"))).alias("p"),
+    )
     fine = lambda c: F.filter(F.col(f"r.{c}"), lambda x: x.isNotNull())
     got = chunks.join(by, ["document_id", "chunk_id"], "left")
     none = F.array().cast("array<string>")

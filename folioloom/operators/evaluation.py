@@ -57,7 +57,16 @@ def latency(values: DataFrame, key: str, value: str) -> DataFrame:
     ranked = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v")).withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("v")))
     at = lambda p: F.max(F.when(F.col("r") == F.greatest(F.lit(1), F.floor(F.col("n") * p / 100)), F.col("v")))
     mid = F.avg(F.when((F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor((F.col("n") + 2) / 2)), F.col("v")))
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), mid.alias("median"), at(95).alias("p95"), at(99).alias("p99"), F.min("v").alias("min"), F.max("v").alias("max"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stdev"))
+    return ranked.groupBy(key).agg(
+        F.count("*").alias("n"),
+        F.avg("v").alias("mean"),
+        mid.alias("median"),
+        at(95).alias("p95"),
+        at(99).alias("p99"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stdev"),
+    )
 
 
 def bars(means: DataFrame, redundant: tuple[str, ...] = ()) -> DataFrame:

@@ -59,7 +59,16 @@ def detected_regions(boxes: DataFrame) -> DataFrame:
     page_number, pos, label, score, coordinate): known labels, true boxes, near-equal ones once; numbered over the document."""
     typed = boxes.withColumn("region_type", region_type(F.col("label"))).withColumn("bbox", G.from_array(F.col("coordinate"))).where(F.col("region_type").isNotNull() & G.valid(F.col("bbox")))
     numbered = typed.withColumn("ord", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "pos")).cast("bigint"))
-    named = numbered.select("document_id", F.format_string("region_%d", F.col("ord")).alias("region_id"), "region_type", "page_number", "bbox", strip(F.lower("label")).alias("label"), F.col("score").alias("confidence"), "ord")
+    named = numbered.select(
+        "document_id",
+        F.format_string("region_%d", F.col("ord")).alias("region_id"),
+        "region_type",
+        "page_number",
+        "bbox",
+        strip(F.lower("label")).alias("label"),
+        F.col("score").alias("confidence"),
+        "ord",
+    )
     return dedupe_regions(named)
 
 
@@ -82,9 +91,23 @@ def best_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     """items with region_id, region_type, overlap_ratio of the region of the same page that holds most of the item, the first
     (by ord) of equals; null, null and 0 where none holds any. items need item_id unique within the document."""
     i, r = items.alias("i"), regions.alias("r")
-    pairs = i.join(r, (F.col("i.document_id") == F.col("r.document_id")) & (F.col("i.page_number") == F.col("r.page_number")) & (G.overlap(F.col("i.bbox"), F.col("r.bbox")) > 0)).select(F.col("i.document_id").alias("document_id"), F.col("i.item_id").alias("item_id"), F.struct(G.overlap_ratio(F.col("i.bbox"), F.col("r.bbox")).alias("ratio"), (-F.col("r.ord")).alias("neg"), F.col("r.region_id").alias("region_id"), F.col("r.region_type").alias("region_type")).alias("m"))
+    pairs = i.join(r, (F.col("i.document_id") == F.col("r.document_id")) & (F.col("i.page_number") == F.col("r.page_number")) & (G.overlap(F.col("i.bbox"), F.col("r.bbox")) > 0)).select(
+        F.col("i.document_id").alias("document_id"),
+        F.col("i.item_id").alias("item_id"),
+        F.struct(
+            G.overlap_ratio(F.col("i.bbox"), F.col("r.bbox")).alias("ratio"),
+            (-F.col("r.ord")).alias("neg"),
+            F.col("r.region_id").alias("region_id"),
+            F.col("r.region_type").alias("region_type"),
+        ).alias("m"),
+    )
     best = pairs.groupBy("document_id", "item_id").agg(F.max("m").alias("m"))
-    return items.join(best, ["document_id", "item_id"], "left").select(items["*"], F.col("m.region_id").alias("region_id"), F.col("m.region_type").alias("region_type"), F.coalesce("m.ratio", F.lit(0.0)).alias("overlap_ratio"))
+    return items.join(best, ["document_id", "item_id"], "left").select(
+        items["*"],
+        F.col("m.region_id").alias("region_id"),
+        F.col("m.region_type").alias("region_type"),
+        F.coalesce("m.ratio", F.lit(0.0)).alias("overlap_ratio"),
+    )
 
 
 def blocks(items: DataFrame, by_region: bool = True) -> DataFrame:
@@ -100,7 +123,16 @@ def blocks(items: DataFrame, by_region: bool = True) -> DataFrame:
     item = F.struct("reading_order", "item_id", F.coalesce(strip(F.col("text")), F.lit("")).alias("text"), "region_id")
     made = run.groupBy("document_id", "page_number", "_run").agg(F.sort_array(F.collect_list(item)).alias("i"), G.merged(F.col("bbox")).alias("bbox"))
     numbered = made.withColumn("reading_order", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "_run")))
-    return numbered.select("document_id", F.format_string("p%d_block_%d", F.col("page_number"), F.col("reading_order")).alias("block_id"), "page_number", F.array_join(F.filter(F.col("i.text"), lambda t: t != ""), " ").alias("text"), F.col("i.item_id").alias("item_ids"), F.sort_array(F.array_distinct(F.filter(F.col("i.region_id"), lambda x: x.isNotNull()))).alias("region_ids"), "bbox", "reading_order")
+    return numbered.select(
+        "document_id",
+        F.format_string("p%d_block_%d", F.col("page_number"), F.col("reading_order")).alias("block_id"),
+        "page_number",
+        F.array_join(F.filter(F.col("i.text"), lambda t: t != ""), " ").alias("text"),
+        F.col("i.item_id").alias("item_ids"),
+        F.sort_array(F.array_distinct(F.filter(F.col("i.region_id"), lambda x: x.isNotNull()))).alias("region_ids"),
+        "bbox",
+        "reading_order",
+    )
 
 
 def page_texts(made: DataFrame) -> DataFrame:
@@ -138,9 +170,21 @@ def visual_summaries(regions: DataFrame, made: DataFrame, chunks: DataFrame, cap
     by_chunk = named.groupBy("document_id", "region_id").agg(F.sort_array(F.collect_list(F.struct("ord", "chunk_id", F.coalesce("text", F.lit("")).alias("text")))).alias("cl"))
     own = regions.where(F.col("region_type").isin("table", "figure")).select("document_id", "region_id", "region_type", "page_number")
     all_ = own.join(by_block, ["document_id", "region_id"], "left").join(by_chunk, ["document_id", "region_id"], "left")
-    text = F.coalesce(F.nullif(joined(F.col("bl")), F.lit("")), F.nullif(joined(F.col("cl")), F.lit("")), F.format_string("Detected %s region on page %d.", F.col("region_type"), F.col("page_number")))
+    text = F.coalesce(
+        F.nullif(joined(F.col("bl")), F.lit("")),
+        F.nullif(joined(F.col("cl")), F.lit("")),
+        F.format_string("Detected %s region on page %d.", F.col("region_type"), F.col("page_number")),
+    )
     none = F.array().cast("array<string>")
-    return all_.select("document_id", "region_id", "region_type", "page_number", F.coalesce(F.col("bl.block_id"), none).alias("linked_block_ids"), F.coalesce(F.col("cl.chunk_id"), none).alias("linked_chunk_ids"), F.substring(text, 1, cap).alias("summary_text"))
+    return all_.select(
+        "document_id",
+        "region_id",
+        "region_type",
+        "page_number",
+        F.coalesce(F.col("bl.block_id"), none).alias("linked_block_ids"),
+        F.coalesce(F.col("cl.chunk_id"), none).alias("linked_chunk_ids"),
+        F.substring(text, 1, cap).alias("summary_text"),
+    )
 
 
 def assign_titles(regions: DataFrame) -> DataFrame:
@@ -153,7 +197,10 @@ def assign_titles(regions: DataFrame) -> DataFrame:
     run = regions.withColumn("_run", F.sum(F.when(title, 1).otherwise(0)).over(w))
     head = F.coalesce(F.nullif(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit("")), F.concat(F.lit("section_"), "region_id"))
     within = W.partitionBy("document_id", "_run").orderBy("page_number", "y0", "ord")
-    filled = run.withColumn("_title", F.first(F.when(title, head), ignorenulls=True).over(within)).withColumn("_sub", F.last(F.when(sub, F.struct(F.nullif(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit("")).alias("t"))), ignorenulls=True).over(within))
+    filled = run.withColumn("_title", F.first(F.when(title, head), ignorenulls=True).over(within)).withColumn(
+        "_sub",
+        F.last(F.when(sub, F.struct(F.nullif(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit("")).alias("t"))), ignorenulls=True).over(within),
+    )
     other = ~title & ~sub
     return filled.withColumn("parent_title", F.when(other, F.coalesce("_title", F.lit("untitled")))).withColumn("parent_subtitle", F.when(other, F.col("_sub.t"))).drop("_run", "_title", "_sub")
 
@@ -166,12 +213,25 @@ def sections(titled: DataFrame, cap: int = 2000) -> DataFrame:
     place = F.struct("page_number", "y0", "ord")
     is_ = lambda c: F.count(F.when(c, 1))
     chart = F.col("label").isin("chart", "graph")
-    texts = F.transform(F.sort_array(F.collect_list(F.when((F.col("region_type") == "text_block") & (F.coalesce("text", F.lit("")) != ""), F.struct(place.alias("p"), "text")))), lambda x: x.text)
+    texts = F.transform(
+        F.sort_array(F.collect_list(F.when((F.col("region_type") == "text_block") & (F.coalesce("text", F.lit("")) != ""), F.struct(place.alias("p"), "text")))),
+        lambda x: x.text,
+    )
     made = body.groupBy("document_id", F.col("parent_title").alias("title")).agg(
         F.min_by(F.struct(F.col("parent_subtitle").alias("s")), place).alias("_s"), is_(F.col("region_type") == "text_block").alias("text_blocks"), is_(F.col("region_type") == "table").alias("tables"),
         is_((F.col("region_type") == "figure") & chart).alias("charts"), is_((F.col("region_type") == "figure") & ~chart).alias("figures"), F.min("page_number").alias("page_start"), texts.alias("_t"),
     )
-    return made.select("document_id", "title", F.col("_s.s").alias("subtitle"), "text_blocks", "tables", "charts", "figures", "page_start", F.substring(F.array_join(F.concat(F.array("title"), "_t"), "\n"), 1, cap).alias("flat_text"))
+    return made.select(
+        "document_id",
+        "title",
+        F.col("_s.s").alias("subtitle"),
+        "text_blocks",
+        "tables",
+        "charts",
+        "figures",
+        "page_start",
+        F.substring(F.array_join(F.concat(F.array("title"), "_t"), "\n"), 1, cap).alias("flat_text"),
+    )
 
 
 def chunk_strategy(made: DataFrame, well_structured: DataFrame, chunk_size: int = 1800, overlap: int = 200) -> DataFrame:
@@ -181,7 +241,13 @@ def chunk_strategy(made: DataFrame, well_structured: DataFrame, chunk_size: int
     both = total.join(well_structured, "document_id", "left")
     tabular = F.col("t") > F.col("n") / 2
     loose = ~F.coalesce("well_structured", F.lit(True)) & (F.col("n") < 3)
-    return both.select("document_id", F.when(tabular, "layout_aware").when(loose, "recursive_large").otherwise("recursive").alias("strategy"), F.when(~tabular & loose, F.greatest(F.lit(2000), F.lit(chunk_size))).otherwise(chunk_size).alias("chunk_size"), F.lit(overlap).alias("overlap"), tabular.alias("keep_tables_intact"))
+    return both.select(
+        "document_id",
+        F.when(tabular, "layout_aware").when(loose, "recursive_large").otherwise("recursive").alias("strategy"),
+        F.when(~tabular & loose, F.greatest(F.lit(2000), F.lit(chunk_size))).otherwise(chunk_size).alias("chunk_size"),
+        F.lit(overlap).alias("overlap"),
+        tabular.alias("keep_tables_intact"),
+    )
 
 
 def crop_assets(regions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -191,7 +257,16 @@ def crop_assets(regions: DataFrame, pages: DataFrame) -> DataFrame:
     box = G.crop_box(F.col("bbox"), F.col("region_type"), F.col("image_width"), F.col("image_height"))
     issue = F.when(F.col("page_image_path").isNull(), "missing_page_image").when(F.col("box").isNull(), "invalid_crop_bounds")
     ok = F.col("issue").isNull()
-    return own.withColumn("box", box).withColumn("issue", issue).select("document_id", "region_id", F.when(ok, F.concat(F.lit("asset_"), "region_id")).alias("asset_id"), "page_number", "region_type", F.when(ok, F.concat(F.lit("crops/"), "region_type", F.lit("s/"), "region_id", F.lit(".png"))).alias("crop_path"), "box", "issue")
+    return own.withColumn("box", box).withColumn("issue", issue).select(
+        "document_id",
+        "region_id",
+        F.when(ok, F.concat(F.lit("asset_"), "region_id")).alias("asset_id"),
+        "page_number",
+        "region_type",
+        F.when(ok, F.concat(F.lit("crops/"), "region_type", F.lit("s/"), "region_id", F.lit(".png"))).alias("crop_path"),
+        "box",
+        "issue",
+    )
 
 
 def confidence_summary(items: DataFrame) -> DataFrame:

@@ -98,7 +98,10 @@ def candidate_block(p: Column, cap: int = 600) -> Column:
 def tagged_block(p: Column) -> Column:
     """Passages with tags that an answer can cite, and their scores to four decimals."""
     number = lambda v: F.regexp_replace(F.format_string("%.4f", v), r"(\.\d+?)0+$", "$1")
-    return _lines(p, lambda x: F.concat(F.lit("[CHUNK "), x.chunk_id, F.lit(" | "), x.kind, F.lit(" | "), x.title, F.lit(" > "), x["sub"], F.lit(" | score: "), number(x.score), F.lit("]\n"), x.content))
+    return _lines(
+        p,
+        lambda x: F.concat(F.lit("[CHUNK "), x.chunk_id, F.lit(" | "), x.kind, F.lit(" | "), x.title, F.lit(" > "), x["sub"], F.lit(" | score: "), number(x.score), F.lit("]\n"), x.content),
+    )
 
 
 def source_block(p: Column) -> Column:
@@ -113,7 +116,16 @@ RANK = 'Rank the candidates for the query, best first. Answer in JSON: {"ranking
 def rerank(model: ports.TextModel, questions: DataFrame, found: DataFrame, drop_below: float = 0.3) -> DataFrame:
     """query_id, rank, chunk_id, score of passages() after the model's ranking; as they were where it fails, or drops all."""
     own = by_question(found, "chunk_id", "score", "kind", "section", "content").join(questions.select("query_id", "question"), "query_id")
-    body = F.concat(F.lit("Query: "), "question", F.lit("\nIntent: "), T.query_type(F.col("question")), F.lit("\nCandidates: "), F.size("p").cast("string"), F.lit("\n\n"), candidate_block(F.col("p")))
+    body = F.concat(
+        F.lit("Query: "),
+        "question",
+        F.lit("\nIntent: "),
+        T.query_type(F.col("question")),
+        F.lit("\nCandidates: "),
+        F.size("p").cast("string"),
+        F.lit("\n\n"),
+        candidate_block(F.col("p")),
+    )
     verdict = L.ranking(F.coalesce("raw", F.lit("{}")), F.transform("p", lambda x: x.chunk_id)).alias("v")
     said = ask(model, own, RANK, body).select("query_id", "raw", "p", verdict).select("query_id", "raw", "v", F.explode("p").alias("c"))
     known = [F.when(F.col("raw").isNotNull(), F.col(f"v.{k}")).alias(k) for k in ("ranking", "scores", "dropped")]
@@ -249,7 +261,12 @@ def write_questions(model: ports.TextModel, chunks: DataFrame, least: int = 100,
     long = chunks.select("chunk_id", "page_number", text.alias("text")).where(F.length("text") >= least)
     said = ask(model, long, WRITE_QUESTION, F.concat(F.lit("Passage:\n"), F.substring("text", 1, cap)))
     field = lambda k: T.strip(F.coalesce(F.get_json_object("raw", f"$.{k}"), F.lit("")))
-    made = said.select(field("question").alias("question"), field("ground_truth").alias("ground_truth"), F.array(F.col("chunk_id").cast("string")).alias("relevant_chunk_ids"), F.col("page_number").alias("source_page"))
+    made = said.select(
+        field("question").alias("question"),
+        field("ground_truth").alias("ground_truth"),
+        F.array(F.col("chunk_id").cast("string")).alias("relevant_chunk_ids"),
+        F.col("page_number").alias("source_page"),
+    )
     return made.where((F.col("question") != "") & (F.col("ground_truth") != ""))
 
 
@@ -280,14 +297,37 @@ def descriptors(model: ports.TextModel, summed: DataFrame, documents: DataFrame,
     """document_id, summary, doc_type, domain, well_structured, visual_heavy, data_heavy, summary_embedding of documents
     (document_id, source_filename, page_count) from section_summaries(); the embedding is null where there's no summary."""
     line = F.concat(F.lit("["), "title", F.lit("] type="), "section_type", F.lit(" has_data="), F.col("has_data").cast("string"), F.lit(" | "), F.substring("summary", 1, 150))
-    by = summed.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_start", "title", line.alias("line")))), lambda x: x.line), "\n").alias("lines"), F.count("*").alias("n"), F.sum(F.col("tables") + F.col("charts") + F.col("figures")).alias("visuals"))
+    by = summed.groupBy("document_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_start", "title", line.alias("line")))), lambda x: x.line), "\n").alias("lines"),
+        F.count("*").alias("n"),
+        F.sum(F.col("tables") + F.col("charts") + F.col("figures")).alias("visuals"),
+    )
     own = documents.join(by, "document_id", "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    body = F.concat(F.lit("File: "), F.coalesce("source_filename", F.lit("")), F.lit("\nPages: "), number("page_count"), F.lit("\nVisuals: "), number("visuals"), F.lit("\nSections: "), number("n"), F.lit("\n"), F.coalesce("lines", F.lit("")))
+    body = F.concat(
+        F.lit("File: "),
+        F.coalesce("source_filename", F.lit("")),
+        F.lit("\nPages: "),
+        number("page_count"),
+        F.lit("\nVisuals: "),
+        number("visuals"),
+        F.lit("\nSections: "),
+        number("n"),
+        F.lit("\n"),
+        F.coalesce("lines", F.lit("")),
+    )
     said = ask(model, own, DESCRIBE, body).withColumn("_m", L.lenient_map(F.coalesce("raw", F.lit("{}"))))
     flag = lambda k, other: F.coalesce(F.col("_m")[k] == "true", F.lit(other)).alias(k)
     word = lambda k, other: F.coalesce(F.col("_m")[k], F.lit(other)).alias(k)
-    made = said.select("document_id", word("summary", ""), word("doc_type", "unknown"), word("domain", "unknown"), flag("well_structured", True), flag("visual_heavy", False), flag("data_heavy", False))
+    made = said.select(
+        "document_id",
+        word("summary", ""),
+        word("doc_type", "unknown"),
+        word("domain", "unknown"),
+        flag("well_structured", True),
+        flag("visual_heavy", False),
+        flag("data_heavy", False),
+    )
     embedded = (embedder or ports.HashedEmbedder()).embed(made, "summary", "summary_embedding")
     return embedded.withColumn("summary_embedding", F.when(F.col("summary") != "", F.col("summary_embedding")))
 

@@ -21,7 +21,13 @@ class PngPages:
     def render(self, documents: DataFrame) -> DataFrame:
         number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
         png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
-        return documents.where(png & (F.length("content") >= 24)).select("document_id", F.lit(1).alias("page_number"), number(17).alias("image_width"), number(21).alias("image_height"), F.col("content").alias("image"))
+        return documents.where(png & (F.length("content") >= 24)).select(
+            "document_id",
+            F.lit(1).alias("page_number"),
+            number(17).alias("image_width"),
+            number(21).alias("image_height"),
+            F.col("content").alias("image"),
+        )
 
 
 class CalledRenderer:
@@ -96,7 +102,10 @@ def model_reading_order(items: DataFrame, model: ports.OrderModel, most: int = M
                 n = len(ids)
                 fine = scores is not None and len(scores) >= n and all(r is not None and len(r) >= n for r in scores[:n])
                 at = permutation(np.array([r[:n] for r in scores[:n]], float).reshape(n, n)).tolist() if fine else [None] * n
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.string()), pa.array([page] * n, pa.int32()), pa.array(ids, pa.string()), pa.array(at, pa.int32())], names=["document_id", "page_number", "item_id", "_place"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * n, pa.string()), pa.array([page] * n, pa.int32()), pa.array(ids, pa.string()), pa.array(at, pa.int32())],
+                    names=["document_id", "page_number", "item_id", "_place"],
+                )
 
     scored = model.logits(model_input(items, most)).select("document_id", F.col("page_number").cast("int").alias("page_number"), "item_ids", "scores")
     placed = scored.mapInArrow(run, "document_id string, page_number int, item_id string, _place int")

@@ -100,7 +100,12 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             col.append(c[keep])
             score.append(found[r[keep], c[keep]])
         row, col = pa.array(np.concatenate(row)), pa.array(np.concatenate(col))
-        return pa.table({"query_id": left.column("query_id").take(row), "chunk_id": right.column("chunk_id").take(col), "ord": right.column("ord").take(col), "score": pa.array(np.concatenate(score))})
+        return pa.table({
+            "query_id": left.column("query_id").take(row),
+            "chunk_id": right.column("chunk_id").take(col),
+            "ord": right.column("ord").take(col),
+            "score": pa.array(np.concatenate(score)),
+        })
 
     found = place(sent).cogroup(place(held)).applyInArrow(search, f"query_id {kind}, chunk_id {name}, ord long, score double")
     return _ranked(found, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
@@ -205,7 +210,13 @@ def expand_parents(top: DataFrame, corpus: DataFrame, threshold: int = 2) -> Dat
     c, h = corpus.alias("c"), hits.alias("h")
     siblings = c.join(h, same("c", "h")).select("h.query_id", F.col("c.chunk_id").alias("chunk_id"), F.col("h.first").alias("at"), F.col("c.ord").alias("sub"), F.lit(0.0).alias("score"))
     p = placed.alias("p")
-    rest = p.join(hits.alias("g"), (F.col("p.query_id") == F.col("g.query_id")) & same("p", "g"), "left_anti").select("query_id", "chunk_id", F.col("rank").alias("at"), F.lit(-1).cast("bigint").alias("sub"), "score")
+    rest = p.join(hits.alias("g"), (F.col("p.query_id") == F.col("g.query_id")) & same("p", "g"), "left_anti").select(
+        "query_id",
+        "chunk_id",
+        F.col("rank").alias("at"),
+        F.lit(-1).cast("bigint").alias("sub"),
+        "score",
+    )
     both = siblings.select("query_id", "chunk_id", "at", F.col("sub").cast("bigint").alias("sub"), "score").unionByName(rest)
     once = both.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("at", "sub"))).where("_n = 1")
     return _ranked(once, F.col("at"), F.col("sub")).select("query_id", "rank", "chunk_id", "score")
@@ -238,7 +249,10 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 4, threshold: int = 2
     cut to k, sections expanded; chunks without an embedding, and questions without a q, take part in all but the dense half.
     corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title, parent_subtitle)."""
     fused = fuse(dense_top_k(corpus, queries, 3 * k), bm25(corpus, queries, 3 * k))
-    known = fused.join(corpus.select("chunk_id", "region_types"), "chunk_id").join(F.broadcast(queries.select("query_id", "question")) if queries.count() <= QUERY_BLOCK else queries.select("query_id", "question"), "query_id")
+    known = fused.join(corpus.select("chunk_id", "region_types"), "chunk_id").join(
+        F.broadcast(queries.select("query_id", "question")) if queries.count() <= QUERY_BLOCK else queries.select("query_id", "question"),
+        "query_id",
+    )
     top = boost(known).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
     return expand_parents(top, corpus, threshold)
 

@@ -23,7 +23,11 @@ def replace_documents(old: DataFrame, new: DataFrame, key: str = "document_id")
 def conversation_list(conversations: DataFrame, messages: DataFrame, user_id) -> DataFrame:
     """id, title, preview, created_at of a user's conversations, newest first: the last message cut to 120 characters."""
     own = conversations.where(F.col("user_id") == user_id)
-    last = messages.join(own.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").groupBy("conversation_id").agg(F.max_by("content", F.struct("created_at", "id")).alias("content"))
+    last = messages.join(
+        own.select(F.col("id").alias("conversation_id")),
+        "conversation_id",
+        "left_semi",
+    ).groupBy("conversation_id").agg(F.max_by("content", F.struct("created_at", "id")).alias("content"))
     both = own.join(last, own.id == last.conversation_id, "left")
     return both.select("id", F.coalesce("title", F.lit("Untitled")).alias("title"), F.substring("content", 1, 120).alias("preview"), "created_at").orderBy(F.desc("created_at"), F.desc("id"))
 
@@ -130,8 +134,20 @@ def asked_in_conversations(conversations: DataFrame, messages: DataFrame, asked:
     refused = known.where(~fine).select(asked.columns)
     ok = known.where(fine).withColumn("_conversation", F.coalesce("conversation_id", object_uuid(F.col("request_id"))))
     opened = ok.where("conversation_id is null").select(F.col("_conversation").alias("id"), "user_id", F.substring("question", 1, 120).alias("title"), "created_at")
-    said = ok.select(object_uuid(F.concat(F.lit("user:"), "request_id")).alias("id"), F.col("_conversation").alias("conversation_id"), F.lit("user").alias("role"), F.col("question").alias("content"), "created_at")
-    told = ok.join(answers, "request_id").select(object_uuid(F.concat(F.lit("assistant:"), "request_id")).alias("id"), F.col("_conversation").alias("conversation_id"), F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("answered_at").alias("created_at"))
+    said = ok.select(
+        object_uuid(F.concat(F.lit("user:"), "request_id")).alias("id"),
+        F.col("_conversation").alias("conversation_id"),
+        F.lit("user").alias("role"),
+        F.col("question").alias("content"),
+        "created_at",
+    )
+    told = ok.join(answers, "request_id").select(
+        object_uuid(F.concat(F.lit("assistant:"), "request_id")).alias("id"),
+        F.col("_conversation").alias("conversation_id"),
+        F.lit("assistant").alias("role"),
+        F.col("answer").alias("content"),
+        F.col("answered_at").alias("created_at"),
+    )
     return conversations.unionByName(opened), messages.unionByName(said).unionByName(told), refused
 
 

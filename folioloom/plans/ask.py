@@ -16,7 +16,14 @@ def source_payload(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, rank, chunk_id, document_id, page_number, source_filename, region_ids, crop_asset_ids, score, to four
     decimals, of hits (query_id, rank, document_id, chunk_id, score), lists empty where chunks have none."""
     none = F.array().cast("array<string>")
-    known = chunks.select("document_id", "chunk_id", "page_number", "source_filename", F.coalesce("source_region_ids", none).alias("region_ids"), F.coalesce("crop_asset_ids", none).alias("crop_asset_ids"))
+    known = chunks.select(
+        "document_id",
+        "chunk_id",
+        "page_number",
+        "source_filename",
+        F.coalesce("source_region_ids", none).alias("region_ids"),
+        F.coalesce("crop_asset_ids", none).alias("crop_asset_ids"),
+    )
     return hits.withColumn("score", F.bround("score", 4)).join(known, ["document_id", "chunk_id"])
 
 
@@ -46,13 +53,22 @@ class Ask:
     def route(self, questions: DataFrame, hits: DataFrame, chunks: DataFrame, summaries: DataFrame) -> DataFrame:
         """query_id, table_regions, figure_regions, use_table_agent, use_figure_agent: regions of the hits that have a summary
         (document_id, region_id, region_type), and whether the question calls for their specialist."""
-        ids = hits.join(chunks.select("chunk_id", "document_id", F.explode("source_region_ids").alias("region_id")), "chunk_id").join(summaries.select("document_id", "region_id", "region_type"), ["document_id", "region_id"])
+        ids = hits.join(
+            chunks.select("chunk_id", "document_id", F.explode("source_region_ids").alias("region_id")),
+            "chunk_id",
+        ).join(summaries.select("document_id", "region_id", "region_type"), ["document_id", "region_id"])
         of = lambda kind: F.sort_array(F.collect_set(F.when(F.col("region_type") == kind, F.col("region_id"))))
         by = ids.groupBy("query_id").agg(of("table").alias("table_regions"), of("figure").alias("figure_regions"))
         none = F.array().cast("array<string>")
         both = questions.join(by, "query_id", "left").withColumn("table_regions", F.coalesce("table_regions", none)).withColumn("figure_regions", F.coalesce("figure_regions", none))
         q = F.col("question")
-        return both.select("query_id", "table_regions", "figure_regions", ((F.size("table_regions") > 0) & T.has_any(q, T.CALL_TABLE_TERMS)).alias("use_table_agent"), ((F.size("figure_regions") > 0) & T.has_any(q, T.CALL_FIGURE_TERMS)).alias("use_figure_agent"))
+        return both.select(
+            "query_id",
+            "table_regions",
+            "figure_regions",
+            ((F.size("table_regions") > 0) & T.has_any(q, T.CALL_TABLE_TERMS)).alias("use_table_agent"),
+            ((F.size("figure_regions") > 0) & T.has_any(q, T.CALL_FIGURE_TERMS)).alias("use_figure_agent"),
+        )
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """query_id, question, answer, sources: array<struct<rank, chunk_id, score>>, scores to four decimals."""
@@ -61,7 +77,15 @@ class Ask:
         both = questions.select("query_id", "question").join(by, "query_id", "left")
         prompted = both.withColumn("prompt", ports.context_prompt(F.col("question"), F.coalesce(F.col("s.text"), F.array().cast("array<string>"))))
         got = self.model.answer(prompted, "prompt", "answer")
-        return got.select("query_id", "question", "answer", F.transform(F.coalesce("s", F.expr("array()").cast(both.schema["s"].dataType)), lambda x: F.struct(x["rank"].alias("rank"), x.chunk_id.alias("chunk_id"), x.score.alias("score"))).alias("sources"))
+        return got.select(
+            "query_id",
+            "question",
+            "answer",
+            F.transform(
+                F.coalesce("s", F.expr("array()").cast(both.schema["s"].dataType)),
+                lambda x: F.struct(x["rank"].alias("rank"), x.chunk_id.alias("chunk_id"), x.score.alias("score")),
+            ).alias("sources"),
+        )
 
     def evaluate(self, questions: DataFrame) -> DataFrame:
         """Mean metrics of questions (query_id, question, relevant)."""

@@ -29,7 +29,12 @@ def ingest(pages: DataFrame, boxes: DataFrame, settings: Settings | None = None,
     regions = keep("detected", layout.detected_regions(boxes))
     matched = layout.reading_order(layout.best_regions(items, regions))
     blocks = keep("blocks", layout.blocks(matched))
-    texts = blocks.select("document_id", F.explode("region_ids").alias("region_id"), "reading_order", "text").groupBy("document_id", "region_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "text"))), lambda b: b.text), " ").alias("text"))
+    texts = blocks.select(
+        "document_id",
+        F.explode("region_ids").alias("region_id"),
+        "reading_order",
+        "text",
+    ).groupBy("document_id", "region_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "text"))), lambda b: b.text), " ").alias("text"))
     titled = keep("titled", layout.assign_titles(regions.join(texts, ["document_id", "region_id"], "left").withColumn("y0", F.col("bbox.y0"))))
     crops = layout.crop_assets(regions, pages.select("document_id", "page_number", "image_width", "image_height", "page_image_path"))
     chunks = chunking.name_chunks(chunking.pack_blocks(blocks, settings.chunk_size, settings.overlap))

@@ -65,7 +65,14 @@ def _summaries(spark, d):
     """A summary for every even document: of a figure where the document is one."""
     kind = F.when(F.col("doc_id") % 3 == 0, "table").when(F.col("doc_id") % 3 == 1, "figure").otherwise("text_block")
     docs = _t(spark, d, "documents").where("doc_id % 2 = 0")
-    return docs.select(F.lit("d").alias("document_id"), F.col("doc_id").cast("string").alias("region_id"), kind.alias("region_type"), F.lit(1).alias("page_number"), F.concat(F.lit("picture "), F.col("doc_id").cast("string")).alias("summary_text"), F.lit(True).alias("is_meaningful"))
+    return docs.select(
+        F.lit("d").alias("document_id"),
+        F.col("doc_id").cast("string").alias("region_id"),
+        kind.alias("region_type"),
+        F.lit(1).alias("page_number"),
+        F.concat(F.lit("picture "), F.col("doc_id").cast("string")).alias("summary_text"),
+        F.lit(True).alias("is_meaningful"),
+    )
 
 
 def _found(spark, d):
@@ -92,7 +99,15 @@ def model_rerank(spark, d):
     ids = lambda p: F.regexp_extract_all(p, F.lit(r"\[ID: ([^\]]*)\]"), F.lit(1))
     quoted = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
     scores = lambda a: F.array_join(F.transform(a, lambda x, i: F.concat(F.lit('"'), x, F.lit('": '), ((i + 1) / 10.0).cast("string"))), ", ")
-    body = lambda a: F.concat(F.lit('```json\n{"ranking": ['), quoted(F.reverse(a)), F.lit(', "none"], "scores": {'), scores(a), F.lit('}, "dropped": ['), quoted(F.slice(a, 5, 1)), F.lit("]}\n```"))
+    body = lambda a: F.concat(
+        F.lit('```json\n{"ranking": ['),
+        quoted(F.reverse(a)),
+        F.lit(', "none"], "scores": {'),
+        scores(a),
+        F.lit('}, "dropped": ['),
+        quoted(F.slice(a, 5, 1)),
+        F.lit("]}\n```"),
+    )
     fails = F.lit(False)
     for i, q in base.QUESTIONS:
         if i % 3 == 0:
@@ -171,10 +186,19 @@ def judge_scores(spark, d):
     """Scores by the length of what each judge is shown; no JSON for every seventh question."""
     s = _asked(spark, d)
     name = F.col("query_id").cast("string")
-    samples = s.select("query_id", "question", F.concat(F.lit("a"), name).alias("answer"), F.array("question", "question").alias("contexts"), F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("truth "), name)).alias("ground_truth"))
+    samples = s.select(
+        "query_id",
+        "question",
+        F.concat(F.lit("a"), name).alias("answer"),
+        F.array("question", "question").alias("contexts"),
+        F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("truth "), name)).alias("ground_truth"),
+    )
     shown = lambda p: F.regexp_replace(p, r"(?s)^.*?\n\n\w+:\n", "")
     size = lambda p: F.length(F.regexp_replace(shown(p), r"\n\n(?:answer|passages|question|ground_truth):\n", ""))
-    said = lambda p: F.when(F.col("query_id") % 7 != 0, F.concat(F.lit('{"score": '), (F.least(size(p), F.lit(1000)) / 1000.0).cast("string"), F.lit("}"))).otherwise("not JSON")
+    said = lambda p: F.when(
+        F.col("query_id") % 7 != 0,
+        F.concat(F.lit('{"score": '), (F.least(size(p), F.lit(1000)) / 1000.0).cast("string"), F.lit("}")),
+    ).otherwise("not JSON")
     got = models.judge(_rule(said), samples)
     return got.select("query_id", *[F.round(k, 6).alias(k) for k in models.JUDGES])
 
@@ -184,7 +208,13 @@ def question_generation(spark, d):
     """Of four texts two get a question and an answer, one an empty answer, one no JSON."""
     chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 9).cast("int").alias("page_number"))
     size = lambda p: F.length(F.regexp_extract(p, r"(?s)^[^\n]*\n\nPassage:\n(.*)$", 1)).cast("string")
-    made = lambda p: F.concat(F.lit('{"question": " q of '), size(p), F.lit('", "ground_truth": "'), F.when(F.col("chunk_id") % 4 < 2, F.concat(F.lit("t"), F.col("chunk_id").cast("string"))).otherwise(""), F.lit('"}'))
+    made = lambda p: F.concat(
+        F.lit('{"question": " q of '),
+        size(p),
+        F.lit('", "ground_truth": "'),
+        F.when(F.col("chunk_id") % 4 < 2, F.concat(F.lit("t"), F.col("chunk_id").cast("string"))).otherwise(""),
+        F.lit('"}'),
+    )
     got = models.write_questions(_rule(lambda p: F.when(F.col("chunk_id") % 4 < 3, made(p))), chunks)
     return got.select("question", "ground_truth", F.element_at("relevant_chunk_ids", 1).alias("chunk_id"), "source_page")
 
@@ -211,7 +241,15 @@ def section_summaries(spark, d):
     made = _sections(spark, d)
     size = lambda p: F.length(F.regexp_extract(p, r"(?s)\nText:\n(.*)\nPictures: none$", 1)).cast("string")
     seen = lambda p: (F.col("tables") + F.col("charts") + F.col("figures")).cast("string")
-    said = lambda p: F.concat(F.lit('```json\n{"summary": "S'), seen(p), F.lit(" of "), size(p), F.lit('", "key_topics": ["a", "b"], "has_data": '), F.when(F.col("document_id") % 3 == 1, "true").otherwise("false"), F.lit(', "section_type": "body"}\n```'))
+    said = lambda p: F.concat(
+        F.lit('```json\n{"summary": "S'),
+        seen(p),
+        F.lit(" of "),
+        size(p),
+        F.lit('", "key_topics": ["a", "b"], "has_data": '),
+        F.when(F.col("document_id") % 3 == 1, "true").otherwise("false"),
+        F.lit(', "section_type": "body"}\n```'),
+    )
     got = models.section_summaries(_rule(lambda p: F.when(F.col("document_id") % 3 != 0, said(p))), made)
     return got.select(F.col("document_id").alias("page_id"), "title", "summary", F.size("key_topics").alias("n_topics"), "has_data", "section_type")
 
@@ -224,17 +262,37 @@ def document_descriptors(spark, d):
     summed = models.section_summaries(_rule(lambda p: F.lit(None).cast("string")), made)
     docs = _t(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.col("url").alias("source_filename"), F.lit(1).alias("page_count"))
     number = lambda p, head: F.regexp_extract(p, rf"\n{head}: (\d+)\n", 1)
-    said = lambda p: F.concat(F.lit('{"summary": "about '), number(p, "Visuals"), F.lit(" in "), number(p, "Sections"), F.lit('", "well_structured": '), (F.col("document_id") % 2 == 0).cast("string"), F.lit("}"))
+    said = lambda p: F.concat(
+        F.lit('{"summary": "about '),
+        number(p, "Visuals"),
+        F.lit(" in "),
+        number(p, "Sections"),
+        F.lit('", "well_structured": '),
+        (F.col("document_id") % 2 == 0).cast("string"),
+        F.lit("}"),
+    )
     got = models.descriptors(_rule(lambda p: F.when(F.col("document_id") % 5 != 0, said(p))), summed, docs)
     plan = layout.chunk_strategy(made, got.select("document_id", "well_structured"))
-    return got.join(plan, "document_id", "left").select(F.col("document_id").alias("page_id"), "summary", "well_structured", F.col("summary_embedding").isNotNull().alias("embedded"), "strategy")
+    return got.join(plan, "document_id", "left").select(
+        F.col("document_id").alias("page_id"),
+        "summary",
+        "well_structured",
+        F.col("summary_embedding").isNotNull().alias("embedded"),
+        "strategy",
+    )
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {base._STRIP.format("'figure;' || CASE WHEN doc_id % 8 = 0 THEN '' ELSE \"text\"[1:400] END")} ELSE CASE WHEN doc_id % 8 = 0 THEN 'Detected figure region on page 1.' ELSE "text" END END AS summary_text, doc_id % 4 <> 1 AS is_meaningful FROM documents""")
 def picture_descriptions(spark, d):
     """Every fourth crop is described, the next is a logo, the next fails, the last has no image; a stock sentence isn't context."""
     text = F.when(F.col("doc_id") % 8 == 0, "Detected figure region on page 1.").otherwise(F.col("text"))
-    rows = _t(spark, d, "documents").select("doc_id", F.lit("figure").alias("region_type"), text.alias("summary_text"), F.lit(True).alias("is_meaningful"), F.when(F.col("doc_id") % 4 != 3, F.encode(F.lit("png"), "UTF-8")).alias("image"))
+    rows = _t(spark, d, "documents").select(
+        "doc_id",
+        F.lit("figure").alias("region_type"),
+        text.alias("summary_text"),
+        F.lit(True).alias("is_meaningful"),
+        F.when(F.col("doc_id") % 4 != 3, F.encode(F.lit("png"), "UTF-8")).alias("image"),
+    )
     said = lambda p: F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" figure;"), F.col("_context"))).when(F.col("doc_id") % 4 == 1, "\tskip \n").when(F.col("doc_id") % 4 == 3, "of nothing")
     return models.describe_pictures(_rule(said), rows).select("doc_id", "summary_text", "is_meaningful")
 
@@ -340,7 +398,10 @@ def image_pages(spark, d):
     o = _t(spark, d, "orders")
     four = lambda c: F.lpad(F.hex(c.cast("int")), 8, "0")
     png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.col("o_custkey") % 2000 + 1), four(F.col("o_orderkey") % 3000 + 70000))
-    files = o.select(F.col("o_orderkey").cast("string").alias("document_id"), F.when(F.col("o_orderkey") % 3 != 0, F.unhex(png)).otherwise(F.encode(F.lit("%PDF-1.7 and so on and on"), "UTF-8")).alias("content"))
+    files = o.select(
+        F.col("o_orderkey").cast("string").alias("document_id"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.unhex(png)).otherwise(F.encode(F.lit("%PDF-1.7 and so on and on"), "UTF-8")).alias("content"),
+    )
     return pages.PngPages().render(files).select(F.col("document_id").cast("long").alias("doc_id"), "image_width", "image_height")
 
 
@@ -368,7 +429,14 @@ def throughput(spark, d):
     n = F.col("n_chars")
     runs = _t(spark, d, "documents").select((n % 40).cast("long").alias("pages"), (n % 90).cast("long").alias("chunks"), (n % 7 * F.lit(0.5)).cast("double").alias("seconds"))
     got = pages.throughput(runs)
-    return got.select("documents", "pages", "chunks", F.round("seconds", 4).alias("seconds"), F.round("seconds_per_page", 6).alias("seconds_per_page"), F.round("chunks_per_page", 6).alias("chunks_per_page"))
+    return got.select(
+        "documents",
+        "pages",
+        "chunks",
+        F.round("seconds", 4).alias("seconds"),
+        F.round("seconds_per_page", 6).alias("seconds_per_page"),
+        F.round("chunks_per_page", 6).alias("chunks_per_page"),
+    )
 
 
 # ---- chunks and their index
@@ -382,9 +450,20 @@ _CHUNKED = """ck AS (SELECT doc_id, [CAST(k AS VARCHAR) FOR k IN range(doc_id %
 def region_attributes(spark, d):
     """Three regions a chunk of which the last may be unknown."""
     k = F.col("doc_id") % 4
-    chunks = _t(spark, d, "documents").select(F.lit("d").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.transform(F.sequence(k, k + 2), lambda x: x.cast("string")).alias("source_region_ids"))
+    chunks = _t(spark, d, "documents").select(
+        F.lit("d").alias("document_id"),
+        F.col("doc_id").alias("chunk_id"),
+        F.transform(F.sequence(k, k + 2), lambda x: x.cast("string")).alias("source_region_ids"),
+    )
     i = F.col("id")
-    regions = spark.range(5).select(F.lit("d").alias("document_id"), i.cast("string").alias("region_id"), F.when(i % 3 == 0, "table").when(i % 3 == 1, "figure").otherwise("text_block").alias("region_type"), F.when(i % 3 < 2, F.concat(F.lit("crops/"), i.cast("string"))).alias("crop_path"), F.when(i % 2 == 1, F.concat(F.lit("title "), i.cast("string"))).alias("parent_title"), F.when(i == 3, "sub").alias("parent_subtitle"))
+    regions = spark.range(5).select(
+        F.lit("d").alias("document_id"),
+        i.cast("string").alias("region_id"),
+        F.when(i % 3 == 0, "table").when(i % 3 == 1, "figure").otherwise("text_block").alias("region_type"),
+        F.when(i % 3 < 2, F.concat(F.lit("crops/"), i.cast("string"))).alias("crop_path"),
+        F.when(i % 2 == 1, F.concat(F.lit("title "), i.cast("string"))).alias("parent_title"),
+        F.when(i == 3, "sub").alias("parent_subtitle"),
+    )
     got = chunking.with_region_attributes(chunks, regions)
     lists = [F.array_join(c, ",").alias(c) for c in ("region_types", "crop_references", "crop_asset_ids")]
     return got.select(F.col("chunk_id").alias("doc_id"), *lists, "parent_title", "parent_subtitle")
@@ -395,9 +474,23 @@ def region_attributes(spark, d):
 def chunk_records(spark, d):
     """page_content before text, the metadata's own values before the columns', nulls dropped, blank chunks passed over."""
     i = F.col("doc_id")
-    chunks = _t(spark, d, "documents").select(i.alias("chunk_id"), F.when(i % 10 == 0, "  ").otherwise(F.col("text")).alias("text"), F.when(i % 3 == 0, F.concat(F.lit("page "), "text")).when(i % 3 == 1, "").alias("page_content"), F.col("lang").alias("document_id"), F.when(i % 5 != 0, F.col("source")).alias("source_filename"), (i % 9).alias("page_number"), F.when(i % 4 == 0, F.create_map(F.lit("document_id"), F.lit("own"), F.lit("extra"), F.lit("x"), F.lit("gone"), F.lit(None).cast("string"))).alias("metadata"), F.array(F.concat(F.lit("r"), i.cast("string"))).alias("source_region_ids"))
+    chunks = _t(spark, d, "documents").select(
+        i.alias("chunk_id"),
+        F.when(i % 10 == 0, "  ").otherwise(F.col("text")).alias("text"),
+        F.when(i % 3 == 0, F.concat(F.lit("page "), "text")).when(i % 3 == 1, "").alias("page_content"),
+        F.col("lang").alias("document_id"),
+        F.when(i % 5 != 0, F.col("source")).alias("source_filename"),
+        (i % 9).alias("page_number"),
+        F.when(i % 4 == 0, F.create_map(F.lit("document_id"), F.lit("own"), F.lit("extra"), F.lit("x"), F.lit("gone"), F.lit(None).cast("string"))).alias("metadata"),
+        F.array(F.concat(F.lit("r"), i.cast("string"))).alias("source_region_ids"),
+    )
     m = F.col("metadata")
-    return chunking.index_records(chunks).select(F.col("chunk_id").alias("doc_id"), F.md5("text").alias("text_md5"), *[m[c].alias(c) for c in ("document_id", "source_filename", "page_number", "extra")], m["source_region_ids"].alias("regions"))
+    return chunking.index_records(chunks).select(
+        F.col("chunk_id").alias("doc_id"),
+        F.md5("text").alias("text_md5"),
+        *[m[c].alias(c) for c in ("document_id", "source_filename", "page_number", "extra")],
+        m["source_region_ids"].alias("regions"),
+    )
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 1 WHEN doc_id % 4 = 2 THEN 2 ELSE 0 END AS n, CASE WHEN doc_id % 4 = 1 THEN 'r' || doc_id WHEN doc_id % 4 = 2 THEN 'a' END AS first FROM documents")
@@ -418,10 +511,21 @@ def json_lists(spark, d):
 def ask_in_conversation(spark, d):
     """Requests that open a conversation, go on in their own, or name another user's; every seventh answer fails."""
     c = _t(spark, d, "conversations")
-    known = c.select("conv_id").distinct().select(F.col("conv_id").cast("string").alias("id"), (F.col("conv_id") % 5).alias("user_id"), F.lit("t").alias("title"), F.lit(0).alias("created_at"))
+    known = c.select("conv_id").distinct().select(
+        F.col("conv_id").cast("string").alias("id"),
+        (F.col("conv_id") % 5).alias("user_id"),
+        F.lit("t").alias("title"),
+        F.lit(0).alias("created_at"),
+    )
     old = spark.createDataFrame([], "id string, conversation_id string, role string, content string, created_at int")
     t = F.col("turn") % 3
-    asked = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("request_id"), (F.col("conv_id") % 5).alias("user_id"), F.coalesce("text", F.lit("")).alias("question"), F.when(t == 1, F.col("conv_id")).when(t == 2, F.col("conv_id") + 1).cast("string").alias("conversation_id"), F.lit(1).alias("created_at"))
+    asked = c.where("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("request_id"),
+        (F.col("conv_id") % 5).alias("user_id"),
+        F.coalesce("text", F.lit("")).alias("question"),
+        F.when(t == 1, F.col("conv_id")).when(t == 2, F.col("conv_id") + 1).cast("string").alias("conversation_id"),
+        F.lit(1).alias("created_at"),
+    )
     answers = asked.where(F.col("request_id").cast("long") % 7 != 0).select("request_id", F.lit("a").alias("answer"), F.lit(2).alias("answered_at"))
     conversations, messages, refused = store.asked_in_conversations(known, old, asked, answers)
     opened = conversations.join(asked.select("request_id", store.object_uuid(F.col("request_id")).alias("id")), "id").select("request_id", "title", F.lit(True).alias("opened"))
@@ -435,8 +539,18 @@ def ask_in_conversation(spark, d):
 @query("""SELECT c_custkey AS id, lower(c_name) AS email, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 4 = 0 THEN 'old' WHEN c_custkey % 3 = 0 THEN 'new' END AS oauth_provider FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 1000000, lower(c_name), 'new' FROM customer WHERE c_custkey % 2 = 1 AND c_custkey % 3 = 0""")
 def outside_sign_in(spark, d):
     c, k = _t(spark, d, "customer"), F.col("c_custkey")
-    users = c.where("c_custkey % 2 = 0").select(k.alias("id"), F.lower("c_name").alias("email"), F.when(k % 4 == 0, "old").alias("oauth_provider"), F.when(k % 4 == 0, "s").alias("oauth_sub"))
-    signed = c.where("c_custkey % 3 = 0").select((k + 1_000_000).alias("id"), F.concat(F.lit(" "), "c_name").alias("email"), F.lit("new").alias("oauth_provider"), F.lit("t").alias("oauth_sub"))
+    users = c.where("c_custkey % 2 = 0").select(
+        k.alias("id"),
+        F.lower("c_name").alias("email"),
+        F.when(k % 4 == 0, "old").alias("oauth_provider"),
+        F.when(k % 4 == 0, "s").alias("oauth_sub"),
+    )
+    signed = c.where("c_custkey % 3 = 0").select(
+        (k + 1_000_000).alias("id"),
+        F.concat(F.lit(" "), "c_name").alias("email"),
+        F.lit("new").alias("oauth_provider"),
+        F.lit("t").alias("oauth_sub"),
+    )
     return store.outside_sign_in(users, signed).select("id", "email", "oauth_provider")
 
 

@@ -61,7 +61,15 @@ def _questions(spark: SparkSession) -> DataFrame:
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks; source and lang are the section, and the type of region goes by the id."""
     kind = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("table"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("figure"))).otherwise(F.array(F.lit("text_block")))
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ord"), "text", F.lit("d").alias("document_id"), F.col("source").alias("parent_title"), F.col("lang").alias("parent_subtitle"), kind.alias("region_types"))
+    return _t(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"),
+        F.col("doc_id").alias("ord"),
+        "text",
+        F.lit("d").alias("document_id"),
+        F.col("source").alias("parent_title"),
+        F.col("lang").alias("parent_subtitle"),
+        kind.alias("region_types"),
+    )
 
 
 _TYPES = "CASE doc_id % 3 WHEN 0 THEN ['table'] WHEN 1 THEN ['figure'] ELSE ['text_block'] END"
@@ -72,7 +80,14 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     li = _t(spark, d, "lineitem")
     page = F.floor(F.col("l_orderkey") / 40).cast("int")
     x0, y0 = (F.col("l_partkey") % 500).cast("double"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_orderkey")) % 800).cast("double")
-    return li.select(F.concat(F.lit("d"), (page % 7).cast("string")).alias("document_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"), page.alias("page_number"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"), G.box(x0, y0, x0 + 20 + F.col("l_quantity"), y0 + 12).alias("bbox"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return li.select(
+        F.concat(F.lit("d"), (page % 7).cast("string")).alias("document_id"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"),
+        page.alias("page_number"),
+        F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"),
+        G.box(x0, y0, x0 + 20 + F.col("l_quantity"), y0 + 12).alias("bbox"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
+    )
 
 
 _ITEMS = """items AS (
@@ -86,7 +101,14 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
     page = F.floor(F.col("o_orderkey") / 40).cast("int")
     x0, y0 = (F.col("o_custkey") % 400).cast("double"), ((F.col("o_orderkey") * 3) % 700).cast("double")
     kind = F.when(F.col("o_orderstatus") == "F", "table").when(F.col("o_orderstatus") == "O", "figure").otherwise("text_block")
-    return o.select(F.concat(F.lit("d"), (page % 7).cast("string")).alias("document_id"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("region_id"), kind.alias("region_type"), page.alias("page_number"), G.box(x0, y0, x0 + 100 + F.col("o_custkey") % 60, y0 + 40 + F.col("o_orderkey") % 50).alias("bbox"), F.col("o_orderkey").alias("ord"))
+    return o.select(
+        F.concat(F.lit("d"), (page % 7).cast("string")).alias("document_id"),
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("region_id"),
+        kind.alias("region_type"),
+        page.alias("page_number"),
+        G.box(x0, y0, x0 + 100 + F.col("o_custkey") % 60, y0 + 40 + F.col("o_orderkey") % 50).alias("bbox"),
+        F.col("o_orderkey").alias("ord"),
+    )
 
 
 _REGIONS = """regions AS (
@@ -285,7 +307,13 @@ def embed_text_choice(spark, d):
     n = docs.agg((F.max("doc_id") + 2).alias("n"))
     made = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("i")).where("i % 2 = 1")
     kind = F.when(F.col("i") % 3 == 0, "table").when(F.col("i") % 3 == 1, "figure").otherwise("text_block")
-    summaries = made.select(F.lit("d").alias("document_id"), F.col("i").cast("string").alias("region_id"), kind.alias("region_type"), F.concat(F.lit("summary "), F.col("i").cast("string")).alias("summary_text"), F.lit(True).alias("is_meaningful"))
+    summaries = made.select(
+        F.lit("d").alias("document_id"),
+        F.col("i").cast("string").alias("region_id"),
+        kind.alias("region_type"),
+        F.concat(F.lit("summary "), F.col("i").cast("string")).alias("summary_text"),
+        F.lit(True).alias("is_meaningful"),
+    )
     return chunking.embedding_texts(chunks, summaries).select(F.col("chunk_id").alias("doc_id"), "embed_text")
 
 
@@ -305,9 +333,23 @@ _LINES = """ln AS (SELECT doc_id, p AS pos, s[p] AS body FROM (SELECT doc_id, s,
   FROM (SELECT doc_id, CAST(c AS INTEGER) AS chunk_no, min(s) AS a, max(i) AS b, CAST(max(i) - min(s) + 1 AS INTEGER) AS n_blocks FROM st GROUP BY doc_id, c) JOIN (SELECT doc_id, list(body ORDER BY pos) AS t, list(pos - 1 ORDER BY pos) AS p FROM ln GROUP BY doc_id) USING (doc_id)""")
 def chunk_packing(spark, d):
     lines = _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.length("text") > 0)
-    made = lines.select("document_id", F.lit(1).alias("page_number"), F.col("pos").alias("reading_order"), F.col("pos").cast("string").alias("block_id"), "text", F.array().cast("array<string>").alias("item_ids"), F.array((F.col("pos") * 7 % 5).cast("string")).alias("region_ids"))
+    made = lines.select(
+        "document_id",
+        F.lit(1).alias("page_number"),
+        F.col("pos").alias("reading_order"),
+        F.col("pos").cast("string").alias("block_id"),
+        "text",
+        F.array().cast("array<string>").alias("item_ids"),
+        F.array((F.col("pos") * 7 % 5).cast("string")).alias("region_ids"),
+    )
     got = chunking.pack_blocks(made, 1200, 150)
-    return got.select(F.col("document_id").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), F.size("block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"), F.array_join("source_region_ids", ",").alias("region_ids"))
+    return got.select(
+        F.col("document_id").alias("doc_id"),
+        F.col("chunk_no").cast("int").alias("chunk_no"),
+        F.size("block_ids").alias("n_blocks"),
+        F.md5("text").alias("text_md5"),
+        F.array_join("source_region_ids", ",").alias("region_ids"),
+    )
 
 
 @query(f"WITH {_ITEMS} SELECT document_id, page_number, item_id, CAST(row_number() OVER (PARTITION BY document_id, page_number ORDER BY round_even(y0 / 18, 0), x0, y0, ord) AS INTEGER) AS reading_order FROM items")
@@ -336,7 +378,17 @@ _BLOCKS = f"""{_MATCH}, ro AS (SELECT *, row_number() OVER (PARTITION BY documen
 @query(f"WITH {_BLOCKS} SELECT document_id, 'p' || page_number || '_block_' || o AS block_id, body, CAST(n AS INTEGER) AS n_items, region_id, x0, y0, x1, y1 FROM bn")
 def line_blocks(spark, d):
     made = layout.blocks(layout.reading_order(layout.best_regions(_items(spark, d), _regions(spark, d))))
-    return made.select("document_id", "block_id", F.col("text").alias("body"), F.size("item_ids").alias("n_items"), F.try_element_at("region_ids", F.lit(1)).alias("region_id"), "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")
+    return made.select(
+        "document_id",
+        "block_id",
+        F.col("text").alias("body"),
+        F.size("item_ids").alias("n_items"),
+        F.try_element_at("region_ids", F.lit(1)).alias("region_id"),
+        "bbox.x0",
+        "bbox.y0",
+        "bbox.x1",
+        "bbox.y1",
+    )
 
 
 @query(f"""WITH {_BLOCKS}, pr AS (SELECT r.document_id, r.region_id, i.page_number, i.o, ({_OVERLAP}) > 0 AS hit, least(abs(i.y0 - r.y1), abs(i.y1 - r.y0)) AS gap FROM regions r JOIN bn i ON i.document_id = r.document_id AND i.page_number = r.page_number WHERE r.region_type IN ('table', 'figure')),
@@ -350,7 +402,10 @@ def visual_links(spark, d):
 
 @query(f"""WITH {_REGIONS} SELECT document_id, region_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number % 3, region_type, round_even(x0 / 16, 1), round_even(y0 / 16, 1), round_even((x1 - x0) / 512, 1), round_even((y1 - y0) / 512, 1) ORDER BY ord) AS n FROM regions) WHERE n = 1""")
 def region_dedupe(spark, d):
-    small = _regions(spark, d).withColumn("page_number", F.col("page_number") % 3).withColumn("bbox", G.box(F.col("bbox.x0") / 16, F.col("bbox.y0") / 16, (F.col("bbox.x1") - F.col("bbox.x0")) / 512, (F.col("bbox.y1") - F.col("bbox.y0")) / 512))
+    small = _regions(spark, d).withColumn("page_number", F.col("page_number") % 3).withColumn(
+        "bbox",
+        G.box(F.col("bbox.x0") / 16, F.col("bbox.y0") / 16, (F.col("bbox.x1") - F.col("bbox.x0")) / 512, (F.col("bbox.y1") - F.col("bbox.y0")) / 512),
+    )
     return layout.dedupe_regions(small).select("document_id", "region_id")
 
 
@@ -376,11 +431,22 @@ _TAGS = f"""tg AS (SELECT page_id, p AS ord, CASE t[p] {' '.join(f"WHEN '{a}' TH
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     names, bodies = (F.regexp_extract_all("html", F.lit(_TAG), F.lit(i)) for i in (1, 2))
-    rows = _t(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.posexplode(F.arrays_zip(names.alias("n"), bodies.alias("b"))).alias("pos", "x")).withColumn("region_id", F.concat(F.lit("r"), (F.col("pos") + 1).cast("string")))
+    rows = _t(spark, d, "pages").select(
+        F.col("page_id").alias("document_id"),
+        F.posexplode(F.arrays_zip(names.alias("n"), bodies.alias("b"))).alias("pos", "x"),
+    ).withColumn("region_id", F.concat(F.lit("r"), (F.col("pos") + 1).cast("string")))
     label = F.lit(None).cast("string")
     for a, b in _LABEL.items():
         label = F.when(F.col("x.n") == a, b).otherwise(label)
-    return rows.select("document_id", "region_id", F.lit(1).alias("page_number"), (F.col("pos") + 1).cast("double").alias("y0"), (F.col("pos") + 1).cast("bigint").alias("ord"), label.alias("label"), F.col("x.b").alias("text")).withColumn("region_type", layout.region_type(F.col("label")))
+    return rows.select(
+        "document_id",
+        "region_id",
+        F.lit(1).alias("page_number"),
+        (F.col("pos") + 1).cast("double").alias("y0"),
+        (F.col("pos") + 1).cast("bigint").alias("ord"),
+        label.alias("label"),
+        F.col("x.b").alias("text"),
+    ).withColumn("region_type", layout.region_type(F.col("label")))
 
 
 @query(f"WITH {_TAGS} SELECT page_id, ord, label, parent_title, parent_subtitle FROM r3")
@@ -391,7 +457,16 @@ def title_fill(spark, d):
 @query(f"""WITH {_TAGS} SELECT page_id, parent_title AS title, arg_min(struct_pack(s := parent_subtitle), ord).s AS subtitle, count(*) FILTER (label = 'text') AS text_blocks, count(*) FILTER (label = 'table') AS tables, count(*) FILTER (label = 'chart') AS charts, count(*) FILTER (label = 'figure') AS figures,
   (concat_ws(chr(10), parent_title, string_agg(body, chr(10) ORDER BY ord) FILTER (label = 'text' AND body <> '')))[1:2000] AS flat_text FROM r3 WHERE parent_title IS NOT NULL GROUP BY page_id, parent_title""")
 def section_counts(spark, d):
-    return layout.sections(layout.assign_titles(_tagged(spark, d))).select(F.col("document_id").alias("page_id"), "title", "subtitle", "text_blocks", "tables", "charts", "figures", "flat_text")
+    return layout.sections(layout.assign_titles(_tagged(spark, d))).select(
+        F.col("document_id").alias("page_id"),
+        "title",
+        "subtitle",
+        "text_blocks",
+        "tables",
+        "charts",
+        "figures",
+        "flat_text",
+    )
 
 
 @query("""WITH t AS (SELECT DISTINCT t AS label FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS t FROM pages) UNION SELECT unnest(['table_caption', ' Table ', 'CHART', 'side_text', 'logo', 'doc_title'])),
@@ -454,8 +529,19 @@ _STORE = """cv AS (SELECT conv_id AS id, 'u' || (conv_id % 5) AS user_id, CASE W
 
 def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _t(spark, d, "conversations")
-    conversations = c.select("conv_id").distinct().select(F.col("conv_id").alias("id"), F.concat(F.lit("u"), (F.col("conv_id") % 5).cast("string")).alias("user_id"), F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("title"), F.col("conv_id").alias("created_at"))
-    return conversations, c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"), F.col("turn").alias("created_at"))
+    conversations = c.select("conv_id").distinct().select(
+        F.col("conv_id").alias("id"),
+        F.concat(F.lit("u"), (F.col("conv_id") % 5).cast("string")).alias("user_id"),
+        F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("title"),
+        F.col("conv_id").alias("created_at"),
+    )
+    return conversations, c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.col("conv_id").alias("conversation_id"),
+        "role",
+        F.col("text").alias("content"),
+        F.col("turn").alias("created_at"),
+    )
 
 
 @query(f"WITH {_STORE} SELECT cv.id, coalesce(title, 'Untitled') AS title, (SELECT arg_max(content, created_at) FROM ms WHERE conversation_id = cv.id)[1:120] AS preview, created_at FROM cv WHERE user_id = 'u2'")
@@ -604,7 +690,17 @@ def rerank_parse(spark, d):
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'UNFAITHFUL' ELSE 'FAITHFUL' END AS verdict, CASE event_id % 3 WHEN 0 THEN CASE WHEN coalesce(value, 0) = 0 THEN 1.0 ELSE round(value / 1000, 6) END ELSE 1.0 END AS confidence, event_id % 3 = 0 AS correct, CAST(CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_claims FROM events""")
 def faithfulness_parse(spark, d):
     e = _t(spark, d, "events")
-    full = F.concat(F.lit('Result: {"claims": [{"claim_text": "a", "status": "SUPPORTED"}, {"claim_text": "b"}], "overall_verdict": "UNFAITHFUL", "confidence_score": '), F.coalesce((F.col("value") / 1000).cast("string"), F.lit("null")), F.lit("} end"))
+    full = F.concat(
+        F.lit('Result: {"claims": [{"claim_text": "a", "status": "SUPPORTED"}, {"claim_text": "b"}], "overall_verdict": "UNFAITHFUL", "confidence_score": '),
+        F.coalesce((F.col("value") / 1000).cast("string"), F.lit("null")),
+        F.lit("} end"),
+    )
     raw = F.when(F.col("event_id") % 3 == 0, full).when(F.col("event_id") % 3 == 1, '{"confidence_score": 0.0}').otherwise("garbage")
     got = e.select("event_id", L.faithfulness(raw).alias("f"))
-    return got.select("event_id", F.col("f.overall_verdict").alias("verdict"), _six("f.confidence_score").alias("confidence"), L.needs_correction(F.col("f")).alias("correct"), F.size("f.claims").alias("n_claims"))
+    return got.select(
+        "event_id",
+        F.col("f.overall_verdict").alias("verdict"),
+        _six("f.confidence_score").alias("confidence"),
+        L.needs_correction(F.col("f")).alias("correct"),
+        F.size("f.claims").alias("n_claims"),
+    )

@@ -17,7 +17,13 @@ from folioloom.streaming import jobs
 def _index_rows(docs, text):
     own = F.create_map(F.lit("lang"), F.col("lang"))
     name = F.concat(F.col("lang"), (F.col("doc_id") % 50).cast("string"))
-    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), text.alias("text"), name.alias("document_id"), own.alias("metadata"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    return docs.select(
+        F.col("doc_id").cast("string").alias("chunk_id"),
+        text.alias("text"),
+        name.alias("document_id"),
+        own.alias("metadata"),
+        F.array(F.lit(1.0).cast("float")).alias("embedding"),
+    )
 
 
 @query("""SELECT doc_id, lang || (doc_id % 50) AS document_id, CASE WHEN doc_id % 50 = 7 THEN 'new' ELSE "text" END AS text, lang AS own FROM documents WHERE doc_id % 50 <> 7 OR doc_id % 100 = 7""")
@@ -56,7 +62,12 @@ def artifacts_sink(spark, d):
 def question_set(spark, d):
     """A labelled question a line, written and read; rows without a question are passed over."""
     i, path = F.col("item_id"), new_folder(spark, "questions")
-    rows = _t(spark, d, "benchmark").select(F.when(i % 5 != 0, F.col("text")).alias("question"), F.when(i % 2 == 0, F.concat(F.lit("t"), i.cast("string"))).alias("ground_truth"), F.array(i.cast("string")).alias("relevant_chunk_ids"), (i % 9).cast("int").alias("source_page"))
+    rows = _t(spark, d, "benchmark").select(
+        F.when(i % 5 != 0, F.col("text")).alias("question"),
+        F.when(i % 2 == 0, F.concat(F.lit("t"), i.cast("string"))).alias("ground_truth"),
+        F.array(i.cast("string")).alias("relevant_chunk_ids"),
+        (i % 9).cast("int").alias("source_page"),
+    )
     files.write_questions(rows, path)
     return files.questions(spark, path).select("question", "ground_truth", F.element_at("relevant_chunk_ids", 1).alias("chunk_id"), "source_page")
 
@@ -100,7 +111,13 @@ def _there(spark, path: str) -> bool:
 def summaries_for_hits(spark, d):
     """The last summary of each region, of the documents that were found, logos left out."""
     i = F.col("doc_id")
-    rows = _t(spark, d, "documents").select(i, F.col("lang").alias("document_id"), F.concat(F.lit("r"), (i % 40).cast("string")).alias("region_id"), F.when(i % 3 == 0, F.concat(F.lit("s"), i.cast("string"))).alias("summary_text"), F.when(i % 5 < 4, i % 5 > 0).alias("is_meaningful"))
+    rows = _t(spark, d, "documents").select(
+        i,
+        F.col("lang").alias("document_id"),
+        F.concat(F.lit("r"), (i % 40).cast("string")).alias("region_id"),
+        F.when(i % 3 == 0, F.concat(F.lit("s"), i.cast("string"))).alias("summary_text"),
+        F.when(i % 5 < 4, i % 5 > 0).alias("is_meaningful"),
+    )
     hits = spark.sql("SELECT explode(array('de', 'fr', 'de')) AS document_id")
     return chunking.summaries_of(rows, "doc_id", hits).select("document_id", "region_id", "summary_text")
 
@@ -110,11 +127,30 @@ def source_payloads(spark, d):
     """What an answer cites, and the text that its judges are shown."""
     asked, found = made._found(spark, d)
     i = F.col("doc_id")
-    own = _t(spark, d, "documents").select(i.cast("string").alias("chunk_id"), F.lit("d").alias("document_id"), "text", (i % 9).cast("int").alias("page_number"), F.col("source").alias("source_filename"), F.array(i.cast("string")).alias("source_region_ids"), F.when(i % 2 == 0, F.array(F.concat(F.lit("asset_"), i.cast("string")))).alias("crop_asset_ids"))
+    own = _t(spark, d, "documents").select(
+        i.cast("string").alias("chunk_id"),
+        F.lit("d").alias("document_id"),
+        "text",
+        (i % 9).cast("int").alias("page_number"),
+        F.col("source").alias("source_filename"),
+        F.array(i.cast("string")).alias("source_region_ids"),
+        F.when(i % 2 == 0, F.array(F.concat(F.lit("asset_"), i.cast("string")))).alias("crop_asset_ids"),
+    )
     hits = found.select("query_id", "rank", "chunk_id", "document_id", "score")
     cited = ask.source_payload(hits, own)
     texts = ask.context_texts(hits, own)
-    return cited.join(texts, ["query_id", "rank"]).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "document_id", "page_number", "source_filename", F.array_join("region_ids", ",").alias("region_ids"), F.array_join("crop_asset_ids", ",").alias("crop_asset_ids"), "score", F.md5("context").alias("context"))
+    return cited.join(texts, ["query_id", "rank"]).select(
+        "query_id",
+        F.col("rank").cast("int").alias("rank"),
+        "chunk_id",
+        "document_id",
+        "page_number",
+        "source_filename",
+        F.array_join("region_ids", ",").alias("region_ids"),
+        F.array_join("crop_asset_ids", ",").alias("crop_asset_ids"),
+        "score",
+        F.md5("context").alias("context"),
+    )
 
 
 @query("""WITH m AS (SELECT lang AS metric, count(*) / 1000.0 AS v FROM documents GROUP BY lang) SELECT metric || ' ' || printf('%.3f', v) || ' ' || repeat('█', CAST(floor(v * 20) AS INTEGER)) || CASE WHEN metric IN ('de', 'fr') THEN ' (redundant: one label a question)' ELSE '' END AS line FROM m""")
@@ -128,7 +164,12 @@ def report_bars(spark, d):
   UNION ALL SELECT '| ' || 3 * count(*) || ' | ' || count(*) || ' | ' || sum(page_id % 7) || ' | 0.0 | 2.0 |' FROM pages""")
 def performance_report(spark, d):
     """A row a document, and the totals."""
-    runs = _t(spark, d, "pages").select(F.col("url").alias("source_filename"), F.lit(3).cast("long").alias("pages"), F.lit(6).cast("long").alias("chunks"), (F.col("page_id") % 7).cast("double").alias("seconds"))
+    runs = _t(spark, d, "pages").select(
+        F.col("url").alias("source_filename"),
+        F.lit(3).cast("long").alias("pages"),
+        F.lit(6).cast("long").alias("chunks"),
+        (F.col("page_id") % 7).cast("double").alias("seconds"),
+    )
     none = spark.createDataFrame([], "question string, milliseconds double, top_score double, answer string")
     latency = spark.createDataFrame([], "mean double, median double, p95 double, p99 double, min double, max double, stdev double")
     total = pages.throughput(runs).withColumn("seconds_per_page", F.lit(0.0))

@@ -152,7 +152,14 @@ def exported(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def manifest(documents_: DataFrame, tables: dict[str, str], version: str = "1") -> DataFrame:
     """document_id, schema_version, stage, status, artifacts, processing_timestamp of each document."""
     paths = F.map_from_arrays(F.array(*[F.lit(k) for k in tables]), F.array(*[F.lit(v) for v in tables.values()]))
-    return documents_.select("document_id", F.lit(version).alias("schema_version"), F.lit("preprocess").alias("stage"), F.lit("complete").alias("status"), paths.alias("artifacts"), F.current_timestamp().alias("processing_timestamp"))
+    return documents_.select(
+        "document_id",
+        F.lit(version).alias("schema_version"),
+        F.lit("preprocess").alias("stage"),
+        F.lit("complete").alias("status"),
+        paths.alias("artifacts"),
+        F.current_timestamp().alias("processing_timestamp"),
+    )
 
 
 def write_results(results: DataFrame, summary: DataFrame, folder: str, report: str | None = None) -> None:
@@ -174,4 +181,12 @@ def append_sql(df: DataFrame, url: str, name: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=name).mode("append").save()
 
 
-USERS = t.StructType([t.StructField("id", t.StringType(), False), t.StructField("email", t.StringType(), False), t.StructField("hashed_password", t.StringType()), t.StructField("oauth_provider", t.StringType()), t.StructField("oauth_sub", t.StringType()), t.StructField("created_at", t.TimestampType()), t.StructField("is_active", t.BooleanType())])
+USERS = t.StructType([
+    t.StructField("id", t.StringType(), False),
+    t.StructField("email", t.StringType(), False),
+    t.StructField("hashed_password", t.StringType()),
+    t.StructField("oauth_provider", t.StringType()),
+    t.StructField("oauth_sub", t.StringType()),
+    t.StructField("created_at", t.TimestampType()),
+    t.StructField("is_active", t.BooleanType()),
+])

@@ -130,7 +130,12 @@ def each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
 STATES = "document_id string, status string, error string"
 
 
-def ingest(handle_document: Callable[[DataFrame], DataFrame], done: Callable[[SparkSession], DataFrame], sink: Callable[[DataFrame], None], states: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+def ingest(
+    handle_document: Callable[[DataFrame], DataFrame],
+    done: Callable[[SparkSession], DataFrame],
+    sink: Callable[[DataFrame], None],
+    states: Callable[[DataFrame], None] | None = None,
+) -> Callable[[DataFrame, int], None]:
     """A batch handler for uploads(): documents already done are passed over, so a repeated delivery changes nothing. states
     gets STATES rows as a batch goes on: preprocessing, indexing, then ready, or error and why; a batch that fails doesn't
     end the stream where states are kept."""

@@ -76,5 +76,9 @@ def stream_append_log(spark, d):
 def stream_progress(spark, d):
     schema = spark.read.parquet(f"{d}/pages.parquet").schema
     pages = spark.readStream.schema(schema).parquet(f"{d}/pages.parque[t]")
-    rows = pages.select(F.concat(F.lit("d"), (F.col("page_id") % 50).cast("string")).alias("document_id"), F.col("page_id").cast("int").alias("page_number"), (F.col("page_id") % 50 + 10).cast("int").alias("total_pages"))
+    rows = pages.select(
+        F.concat(F.lit("d"), (F.col("page_id") % 50).cast("string")).alias("document_id"),
+        F.col("page_id").cast("int").alias("page_number"),
+        (F.col("page_id") % 50 + 10).cast("int").alias("total_pages"),
+    )
     return _drained(jobs.progress(rows), "update", "document_id")
