@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioloom.operators import chunking, evaluation, pages, store
+from folioloom.operators import chunking, evaluation, layout, pages, store
 from folioloom.plans import ask, ingest
 from folioloom.plans import model_queries as made
 from folioloom.plans import queries as base
@@ -183,3 +183,43 @@ def ingest_index(spark, d):
     run = ingest.ingest(shown, made._detected(spark, d), keep=ingest.kept_in(new_folder(spark, "ingest")))
     rows = ingest.index_rows(run)
     return rows.select("chunk_id", "document_id", F.md5("text").alias("text_md5"), F.size("embedding").alias("width"), F.col("metadata")["page_number"].alias("page_number"))
+
+
+@query("SELECT event_id AS document_id, event_type AS status, CASE WHEN event_type = 'click' THEN user_id END AS pages_done, CASE WHEN event_type = 'click' THEN user_id + 5 END AS total_pages FROM events")
+def job_progress(spark, d):
+    """Pages are counted while a job is preprocessing, and not after."""
+    rows = _t(spark, d, "events").select(
+        F.col("event_id").alias("document_id"),
+        F.when(F.col("event_type") == "click", "preprocessing").otherwise(F.col("event_type")).alias("status"),
+        F.col("user_id").alias("pages_done"),
+        (F.col("user_id") + 5).alias("total_pages"),
+    )
+    return store.job_status(rows).withColumn("status", F.when(F.col("status") == "preprocessing", "click").otherwise(F.col("status")))
+
+
+@query("SELECT lang, max(doc_id % 3) <= 1 AS single FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang")
+def single_label_flag(spark, d):
+    """Whether any question has more than one label."""
+    labels = lambda lang: _t(spark, d, "documents").where(F.col("lang") == lang).select(F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("relevant"))
+    each = [evaluation.single_label(labels(lang)).select(F.lit(lang).alias("lang"), "single") for lang in ("de", "fr")]
+    return each[0].unionByName(each[1])
+
+
+@query(f"""WITH {base._BLOCKS}, bs AS (SELECT * FROM bn WHERE page_number % 3 <> 0), rs AS (SELECT * FROM regions WHERE region_type IN ('table', 'figure')),
+  pr AS (SELECT r.document_id, r.region_id, i.page_number, i.o, i.body, ({base._OVERLAP}) > 0 AS hit, least(abs(i.y0 - r.y1), abs(i.y1 - r.y0)) AS gap FROM rs r JOIN bs i ON i.document_id = r.document_id AND i.page_number = r.page_number),
+  pk AS (SELECT *, max(hit) OVER (PARTITION BY document_id, region_id) AS anyhit, row_number() OVER (PARTITION BY document_id, region_id ORDER BY gap, o) AS near FROM pr),
+  tx AS (SELECT document_id, region_id, string_agg(body, ' ' ORDER BY CASE WHEN anyhit THEN o ELSE near END) AS t, count(*) AS n FROM pk WHERE CASE WHEN anyhit THEN hit ELSE near <= 3 END GROUP BY ALL)
+  SELECT r.document_id, r.region_id, CAST(coalesce(n, 0) AS INTEGER) AS n_blocks, (coalesce(t, CASE WHEN ord % 2 = 0 THEN 'chunk of ' || r.region_id END, 'Detected ' || region_type || ' region on page ' || page_number || '.'))[1:1200] AS summary_text FROM rs r LEFT JOIN tx USING (document_id, region_id)""")
+def visual_summary_texts(spark, d):
+    """Text of linked blocks; on every third page there are none: then of a chunk that names the region, or a sentence."""
+    regions = base._regions(spark, d)
+    blocks = layout.blocks(layout.reading_order(layout.best_regions(base._items(spark, d), regions))).where("page_number % 3 <> 0")
+    chunks = regions.where("ord % 2 = 0").select(
+        "document_id",
+        F.concat(F.lit("c"), "region_id").alias("chunk_id"),
+        "ord",
+        F.concat(F.lit("chunk of "), "region_id").alias("text"),
+        F.array("region_id").alias("source_region_ids"),
+    )
+    got = layout.visual_summaries(regions, blocks, chunks)
+    return got.select("document_id", "region_id", F.size("linked_block_ids").alias("n_blocks"), "summary_text")
