@@ -160,7 +160,11 @@ def normalise(stats: Stats, c: np.ndarray, cw: np.ndarray, head: np.ndarray) ->
 @contextmanager
 def _released(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a finished job go at once, so that only one step's are on disk at a time; Arrow batches are small."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+    wanted = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    }
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -233,9 +237,11 @@ class Hot:
     pair_p: np.ndarray = field(default_factory=lambda: np.zeros(0))
     pair_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def route(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The hash by which bigrams are dealt: their context's, where it's hot that of both words."""
-        hot = find(self.contexts, h)[1]
+    def route(self, h: np.ndarray, w: np.ndarray, together: bool = False) -> np.ndarray:
+        """The hash by which bigrams are dealt: their context's, where it's hot that of both words. together: bigrams of one
+        context lie side by side, so each is looked up once."""
+        hd = heads(h) if together else np.arange(len(h))
+        hot = np.repeat(find(self.contexts, h[hd])[1], sizes(hd, len(h)))
         out = h.copy()
         out[hot] = utf8.pair(h[hot], w[hot])
         return out
@@ -267,32 +273,44 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
 
 
 def _by_word(w: np.ndarray, h: np.ndarray, c: np.ndarray, cw: np.ndarray | None = None) -> bytes:
-    """Bigrams of a shard, side by side by word: each word (and its count) once."""
-    order = np.argsort(w)
-    w = w[order]
+    """Bigrams of a shard, in order of words: each word (and its count) once."""
     hd = heads(w)
-    return dump(w[hd], *([] if cw is None else [cw[order][hd].astype(np.uint32)]), sizes(hd, len(w)).astype(np.uint32), h[order], c[order].astype(np.uint32))
+    return dump(w[hd], *([] if cw is None else [cw[hd].astype(np.uint32)]), sizes(hd, len(w)).astype(np.uint32), h, c.astype(np.uint32))
+
+
+def dealt_out(route: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order by shard, else as it is, [(shard, from, to)] of the shards that have any); shards is a power of two."""
+    shard = route >> np.uint64(64 - shards.bit_length() + 1) if shards > 1 else np.zeros(len(route), np.uint64)
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.uint32)
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    hd = heads(shard)
+    return order, list(zip(shard[hd].tolist(), hd.tolist(), [*hd[1:].tolist(), len(shard)], strict=False))
 
 
 def _count(docs: DataFrame, shards: int, hot: Hot) -> DataFrame:
     """(kind, turn, shard, blob, n): b: bigrams for a shard of contexts, with their words' counts; s: counts of counts n."""
 
-    def split(route: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """(order by shard, [(shard, from, to)] of those that have any)."""
-        order = np.argsort(route)
-        cut = by_shard(route[order], shards)
-        return order, [(s, int(cut[s]), int(cut[s + 1])) for s in np.flatnonzero(np.diff(cut)).tolist()]
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, h, _, _ in _batches(batches, True):
             _, first, c = np.unique(utf8.pair(h, w), return_index=True, return_counts=True)
             w, h = w[first], h[first]
-            known = find(hot.words, w)[1]
+            order = np.argsort(w)
+            w, h, c = w[order], h[order], c[order]
+            hd = heads(w)
+            known = np.repeat(find(hot.words, w[hd])[1], sizes(hd, len(w)))
             for kind, on in (("w", ~known), ("b", known)):
                 ww, hh, cc = w[on], h[on], c[on]
-                order, cuts = split(ww if kind == "w" else hot.route(hh, ww))
+                order, cuts = dealt_out(ww if kind == "w" else hot.route(hh, ww), shards)
                 ww, hh, cc = ww[order], hh[order], cc[order]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(cuts), pa.string()), pa.array([s for s, _, _ in cuts], pa.int32()), pa.array([_by_word(ww[a:z], hh[a:z], cc[a:z]) for _, a, z in cuts], pa.binary())], names=["kind", "shard", "blob"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind] * len(cuts), pa.string()),
+                        pa.array([s for s, _, _ in cuts], pa.int32()),
+                        pa.array([_by_word(ww[a:z], hh[a:z], cc[a:z]) for _, a, z in cuts], pa.binary()),
+                    ],
+                    names=["kind", "shard", "blob"],
+                )
 
     def meet(t: pa.Table) -> pa.Table:
         utf8.trim()
@@ -307,12 +325,12 @@ def _count(docs: DataFrame, shards: int, hot: Hot) -> DataFrame:
         w, h, c = w[order], h[order], c[order]
         hd = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
         w, h, c = w[hd], h[hd], np.add.reduceat(c, hd)
+        order = np.argsort(w)
+        w, h, c = w[order], h[order], c[order]
         if t.column("kind")[0].as_py() == "w":
-            order = np.argsort(w)
-            w, h, c = w[order], h[order], c[order]
             hd = heads(w)
             cw = np.repeat(np.add.reduceat(c, hd), sizes(hd, len(w)))
-            order, cuts = split(hot.route(h, w))
+            order, cuts = dealt_out(hot.route(h, w), shards)
             w, h, c, cw = w[order], h[order], c[order], cw[order]
         else:
             cw, cuts = hot.counts[find(hot.words, w)[0]], [(t.column("shard")[0].as_py(), 0, len(w))]
@@ -346,7 +364,11 @@ def _regroup(stats: Stats, hot: Hot, limit: int):
             own = normalise(stats, c[on].astype(np.int64), cw[on].astype(np.int64), hd)[1] if on is not shared else np.zeros(0)
             blobs.append(dump(h[on][hd], sizes(hd, int(on.sum())).astype(np.uint32), own, w[on], c[on], cw[on]))
         hd = heads(h[shared])
-        sums = [np.add.reduceat(x, hd) if len(hd) else np.zeros(0) for x in (c[shared].astype(np.int64), stats.discounted(c[shared].astype(np.int64), stats.pairs), stats.p_word(cw[shared].astype(np.int64)))]
+        sums = [np.add.reduceat(x, hd) if len(hd) else np.zeros(0) for x in (
+            c[shared].astype(np.int64),
+            stats.discounted(c[shared].astype(np.int64), stats.pairs),
+            stats.p_word(cw[shared].astype(np.int64)),
+        )]
         often = shared & (c >= limit)
         n1, n2 = len(hd), int(often.sum())
         col = lambda first, a, b, kind: pa.array([first, *a.tolist(), *b.tolist()], kind)
@@ -471,12 +493,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             at, often = find(hot.pairs, utf8.pair(h, w))
             sums = [np.bincount(doc[often], weights=x, minlength=len(n)) for x in (log_p[at[often]], log_c[at[often]], np.ones(int(often.sum())))] if len(hot.pairs) else [np.zeros(len(n))] * 3
             w, h, doc = w[~often], h[~often], doc[~often]
-            shard = (hot.route(h, w) >> np.uint64(64 - shards.bit_length() + 1)).astype(np.uint32)
-            order = np.lexsort((w, h, shard))
-            w, h, doc, shard = w[order], h[order], doc[order], shard[order]
-            hd = heads(shard)
-            blobs, to = [], shard[hd].tolist()
-            for a, z in zip(hd.tolist(), [*hd[1:].tolist(), len(shard)], strict=False):
+            order = np.lexsort((w, h))
+            w, h, doc = w[order], h[order], doc[order]
+            order, cuts = dealt_out(hot.route(h, w, True), shards)
+            w, h, doc = w[order], h[order], doc[order]
+            blobs, to = [], [s for s, _, _ in cuts]
+            for _, a, z in cuts:
                 hh, ww = h[a:z], w[a:z]
                 pd = np.flatnonzero(np.r_[True, (hh[1:] != hh[:-1]) | (ww[1:] != ww[:-1])])
                 hp = hh[pd]
@@ -484,7 +506,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 blobs.append(dump(hp[top], sizes(top, len(pd)).astype(np.uint32), ww[pd], sizes(pd, z - a).astype(np.uint32), doc[a:z]))
             blobs.append(dump(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), n.astype(np.int64), *sums))
             own = len(to)
-            yield pa.RecordBatch.from_arrays([pa.array([*to, flush % shards], pa.int32()), pa.array([flush] * (own + 1), pa.int64()), pa.array([False] * own + [True]), pa.array(blobs, pa.binary())], names=["shard", "flush", "docs", "blob"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*to, flush % shards], pa.int32()), pa.array([flush] * (own + 1), pa.int64()), pa.array([False] * own + [True]), pa.array(blobs, pa.binary())],
+                names=["shard", "flush", "docs", "blob"],
+            )
             flush += 1
 
     def look_up(sent: pa.Table, tables: pa.Table) -> pa.Table:
@@ -569,7 +594,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 doc, value, base, known = load(raw.as_py())
                 for s, x in zip(sums, (value, base, known), strict=True):
                     s[doc] += x
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=none.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(sums[2].astype(np.int64)), "base_score": pa.array(sums[1] - n * flat), "score": pa.array(sums[0])})
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64(), mask=none.astype(bool)),
+            "n_tokens": pa.array(n),
+            "n_known": pa.array(sums[2].astype(np.int64)),
+            "base_score": pa.array(sums[1] - n * flat),
+            "score": pa.array(sums[0]),
+        })
 
     kinds, out = "kind string, key long, blob binary", []
     words = model.words.select(F.shiftrightunsigned("w", 64 - shards.bit_length() + 1).cast("int").alias("shard"), "w", "c").groupBy("shard")
