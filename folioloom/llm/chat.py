@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.llm import utf8
 from folioloom.llm.cluster import partitions, table
+from folioloom.llm.packing import encode, token_bytes
 
 #: The template of a turn: OPEN, the escaped role, BETWEEN, the escaped text, CLOSE. ESCAPE stands before ESCAPE itself and
 #: before anything of a role or text that reads OPEN, BETWEEN or CLOSE, and is dropped when read back.
@@ -56,39 +58,45 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Which tokens touch a span, by binary search among the sorted spans, and the code points under the mask: each
-    token's own part inside the span, joined where parts touch or overlap within one span."""
-    if not spans or not len(starts):
-        return np.zeros(len(starts), bool), []
-    low, high = (np.array(x, np.int64) for x in zip(*spans, strict=True))
-    k = np.searchsorted(high, starts, side="right")  # the first span that ends after the token's start
-    inside = np.minimum(k, len(low) - 1)
-    on = (k < len(low)) & (low[inside] < ends) & (high[inside] > low[inside])
-    parts: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero(on).tolist():
-        j = k[i]
-        while j < len(low) and low[j] < ends[i]:  # a token may touch several spans
-            a, b = max(starts[i], low[j]), min(ends[i], high[j])
-            if a < b:
-                if parts and parts[-1][2] == j and a <= parts[-1][1]:
-                    parts[-1] = (parts[-1][0], max(parts[-1][1], b), j)
-                else:
-                    parts.append((a, b, j))
-            j += 1
-    return on, [(int(a), int(b)) for a, b, _ in parts]
+def mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens touch a span, by binary search among the sorted spans (rows of from, to), and the code points under the
+    mask, as rows: each token's own part inside a span, joined where parts touch or overlap within one span. Tokens are in
+    order and don't contain one another."""
+    if not len(spans) or not len(starts):
+        return np.zeros(len(starts), bool), np.zeros((0, 2), np.int64)
+    low, high = spans[:, 0], spans[:, 1]
+    first = np.searchsorted(high, starts, side="right")  # the first span that ends after the token's start
+    count = np.maximum(np.searchsorted(low, ends, side="left") - first, 0)  # it and those that begin before its end
+    token = np.repeat(np.arange(len(starts)), count)
+    span = utf8.flat(first, count)
+    a, b = np.maximum(starts[token], low[span]), np.minimum(ends[token], high[span])
+    some = a < b
+    token, span, a, b = token[some], span[some], a[some], b[some]
+    on = np.zeros(len(starts), bool)
+    on[token] = True
+    if not len(a):
+        return on, np.zeros((0, 2), np.int64)
+    far = np.maximum.accumulate(b)  # spans ascend, so this is their own
+    head = np.flatnonzero(np.r_[True, (span[1:] != span[:-1]) | (a[1:] > far[:-1])])
+    return on, np.stack([a[head], far[np.r_[head[1:], len(a)] - 1]], axis=1)
+
+
+def encoded(texts: list[str], tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, ids in each, starts, ends in code points of all texts together) of one encoding. A token that holds
+    part of a character reaches over all of it."""
+    raw = [t.encode() for t in texts]
+    at = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    ids, sizes = encode(buf, at, tokenizer, special_too=False)
+    end = np.cumsum(_token_bytes(tokenizer)[ids])
+    point = np.cumsum((buf & 0xC0) != 0x80)  # code points begun up to each byte
+    start = np.r_[0, end[:-1]] if len(end) else end
+    return ids, sizes, point[start] - 1, point[end - 1]
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are text
-    return found
+def _token_bytes(path: str) -> np.ndarray:
+    return token_bytes(path)
 
 
 FORMATTED = "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>, spans array<struct<a:int,b:int>>"
@@ -104,28 +112,42 @@ def format_conversations(conversations: DataFrame, tokenizer: str, learn: tuple[
     sorted arrays in the JVM, and conversations are dealt out by conv_id.
     """
     wanted = frozenset(learn)
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    turns = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
+    )
     whole = turns.repartition(partitions(conversations.sparkSession), "conv_id").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     flat = whole.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer)
         for big in batches:
-            for k in range(0, big.num_rows, 256):
-                b = big.slice(k, 256)
-                made = [render(list(zip(r, t, strict=True)), wanted) for r, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-                got = tok.encode_batch([x for x, _ in made], add_special_tokens=False)
-                ids, starts, ends, loss, under = [], [], [], [], []
-                for (_, spans), e in zip(made, got, strict=True):
-                    off = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    on, parts = mask(off[:, 0], off[:, 1], spans)
-                    ids.append(e.ids)
-                    starts.append(off[:, 0].astype(np.int32))
-                    ends.append(off[:, 1].astype(np.int32))
-                    loss.append(on)
-                    under.append([{"a": a, "b": z} for a, z in parts])
-                i32 = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made]), pa.array(ids, i32), pa.array(starts, i32), pa.array(ends, i32), pa.array(loss, pa.list_(pa.bool_())), pa.array(under, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["conv_id", "formatted", "ids", "starts", "ends", "loss", "spans"])
+            k = 0
+            while k < big.num_rows:  # some conversations, or a long one alone, at once
+                made, held, first = [], 0, k
+                while k < big.num_rows and (not made or held < 1_000_000):
+                    made.append(render(list(zip(big.column(1)[k].as_py(), big.column(2)[k].as_py(), strict=True)), wanted))
+                    held += len(made[-1][0])
+                    k += 1
+                ids, sizes, starts, ends = encoded([x for x, _ in made], tokenizer)
+                base = np.r_[0, np.cumsum([len(x) for x, _ in made])].astype(np.int64)  # where each one's code points begin
+                of = np.repeat(np.arange(len(made)), sizes)
+                spans = np.array([(base[i] + a, base[i] + z) for i, (_, own) in enumerate(made) for a, z in own], np.int64).reshape(-1, 2)
+                on, parts = mask(starts, ends, spans)
+                where = np.searchsorted(base, parts[:, 0], side="right") - 1
+                lists = lambda values, n: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), values)
+                i32 = lambda x: pa.array(x.astype(np.int32))
+                under = pa.StructArray.from_arrays([i32(parts[:, 0] - base[where]), i32(parts[:, 1] - base[where])], names=["a", "b"])
+                cols = [
+                    lists(i32(ids), sizes),
+                    lists(i32(starts - base[of]), sizes),
+                    lists(i32(ends - base[of]), sizes),
+                    lists(pa.array(on), sizes),
+                    lists(under, np.bincount(where, minlength=len(made))),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [big.column(0).slice(first, k - first), pa.array([x for x, _ in made]), *cols],
+                    names=["conv_id", "formatted", "ids", "starts", "ends", "loss", "spans"],
+                )
 
     return flat.mapInArrow(run, FORMATTED)
 
@@ -145,7 +167,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 turns = parse(text)
                 under = unescape("".join(text[s["a"] : s["b"]] for s in spans))
                 rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(
+                    zip(*rows, strict=True),
+                    (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()),
+                    strict=True,
+                )] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
 
     return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, DIGESTS)
 
@@ -155,7 +184,12 @@ def op2(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     hard = r"\### Assistant: </turn> ok"
-    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(hard).alias("text"),
+    )
     both = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return read_back(format_conversations(both, public_tokenizers.path("byte_bpe_50k.json")))
 

@@ -19,8 +19,29 @@ END_ID = 1
 
 
 @lru_cache(maxsize=2)
-def _memo(path: str) -> Memo:
+def _vocabulary(path: str) -> tuple[list[str], dict[bytes, int]]:
+    """(special tokens, ids of byte strings) of the tokenizer file at path."""
     import json
+
+    with open(path) as f:
+        spec = json.load(f)
+    special = [x["content"] for x in spec["added_tokens"]]
+    # the vocabulary's characters stand for bytes: printable ones for themselves, the rest from U+0100 on in order
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
+    return special, {bytes(byte[c] for c in p): i for p, i in spec["model"]["vocab"].items() if p not in special}
+
+
+def token_bytes(path: str) -> np.ndarray:
+    """How many bytes each id stands for; 0 for special tokens."""
+    special, ranks = _vocabulary(path)
+    out = np.zeros(max(ranks.values()) + len(special) + 1, np.int64)
+    out[list(ranks.values())] = [len(b) for b in ranks]
+    return out
+
+
+@lru_cache(maxsize=4)
+def _memo(path: str, special_too: bool = True) -> Memo:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,14 +49,10 @@ def _memo(path: str) -> Memo:
     import tiktoken
     from tokenizers import Tokenizer
 
+    special, ranks = _vocabulary(path)
+    if not special_too:
+        special = []
     tokenizer = Tokenizer.from_file(path)
-    with open(path) as f:
-        spec = json.load(f)
-    special = [x["content"] for x in spec["added_tokens"]]
-    # the vocabulary's characters stand for bytes: printable ones for themselves, the rest from U+0100 on in order
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
-    ranks = {bytes(byte[c] for c in p): i for p, i in spec["model"]["vocab"].items() if p not in special}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,13 +63,14 @@ def _memo(path: str) -> Memo:
     return Memo(encode)
 
 
-def encode(buf: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, ids in each) as the tokenizer at path gives them without special tokens. Its byte-level split
-    never joins what stands before a lone space or newline with what follows, so pieces are cut there."""
+def encode(buf: np.ndarray, offsets: np.ndarray, path: str, special_too: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, ids in each) as the tokenizer at path gives them without special tokens added; where one's string
+    is in a text it's that token or, without special_too, text. Its byte-level split never joins what stands before a lone
+    space or newline with what follows, so pieces are cut there."""
     if not len(buf):
         return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
     starts = cut_words(buf, offsets, (buf == 32) | (buf == 10))
-    ids, sizes = _memo(path)(buf, starts, np.r_[starts[1:], len(buf)])
+    ids, sizes = _memo(path, special_too)(buf, starts, np.r_[starts[1:], len(buf)])
     return ids, per_text(starts, offsets, sizes)
 
 

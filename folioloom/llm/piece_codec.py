@@ -176,8 +176,8 @@ class Codec:
         return out, count + 2
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(UTF-8 of all texts, bytes in each): pieces spelt out, control ids nothing, the first space of a text dropped;
-        bytes that are no UTF-8 become U+FFFD each."""
+        """(UTF-8 of all texts, bytes in each): pieces spelt out, control ids nothing, the first space of a text dropped.
+        Byte pieces give their bytes as they are: ids of an encoding spell UTF-8, others may not."""
         size = self.spell_size[ids]
         raw = self.spell[utf8.flat(self.spell_at[ids], size)]
         of = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(counts)]]
@@ -215,7 +215,10 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFra
                 sha = lambda m, e: pa.array([hashlib.sha256(m[p:q]).hexdigest() for p, q in zip(e, e[1:], strict=False)])
                 cols, names = [doc.slice(i, j - i), pa.array(n), sha(raw, ie), sha(line, te)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols += [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids)), pa.array([bytes(line[p:q]).decode("utf-8", "replace") for p, q in zip(te, te[1:], strict=False)])]
+                    cols += [
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids)),
+                        pa.array([bytes(line[p:q]).decode("utf-8", "replace") for p, q in zip(te, te[1:], strict=False)]),
+                    ]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

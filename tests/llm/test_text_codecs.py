@@ -133,15 +133,35 @@ def test_chat_round_trip():
 
 
 def test_mask_against_brute_force():
-    rng = random.Random(4)
-    for _ in range(300):
-        cuts = sorted(rng.sample(range(60), 8))
-        spans = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
-        edges = [0, *sorted(rng.sample(range(1, 60), 10)), 60]
-        s, e = np.array(edges[:-1]), np.array(edges[1:])
+    rng = np.random.default_rng(2)
+    for _ in range(80):
+        cuts = np.unique(rng.integers(0, 60, 14))
+        s, e = cuts[:-1].copy(), cuts[1:].copy()
+        wide = rng.random(len(e)) < 0.3  # tokens that share a character
+        e = np.minimum(e + wide, 60)
+        edges = np.unique(rng.integers(0, 60, 10))
+        spans = edges[: len(edges) // 2 * 2].reshape(-1, 2)
         on, parts = chat.mask(s, e, spans)
-        assert on.tolist() == [any(a < y and x < b for a, b in spans) for x, y in zip(s, e)]
-        assert sorted(i for a, b in parts for i in range(a, b)) == [i for a, b in spans for i in range(a, b)]
+        inside = lambda k: any(a <= k < b for a, b in spans)  # noqa: E731, B023
+        assert on.tolist() == [any(inside(k) for k in range(a, b)) for a, b in zip(s, e)]
+        covered = sorted({k for a, b in zip(s, e) for k in range(a, b) if inside(k)})
+        assert [k for a, b in parts for k in range(a, b)] == covered
+
+
+def test_one_encoding_with_offsets():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    tok.encode_special_tokens = True
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = [chat.render(c, frozenset(["assistant"]))[0] for c in CHATS] + ["", "é😀 " * 40, "naïve\n\n  x", *(f"a {s} b{s}" for s in special[:3])]
+    ids, sizes, starts, ends = chat.encoded(texts, BPE)
+    at = base = 0
+    for t, n in zip(texts, sizes.tolist()):
+        assert ids[at : at + n].tolist() == tok.encode(t, add_special_tokens=False).ids
+        s, e = starts[at : at + n] - base, ends[at : at + n] - base
+        assert {k for a, b in zip(s, e) for k in range(a, b)} == set(range(len(t))) and (s[1:] <= e[:-1]).all()
+        at, base = at + n, base + len(t)
 
 
 def test_chat_table(spark):
