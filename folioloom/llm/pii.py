@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +51,11 @@ def _digits(s: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check: every second digit from the right doubled, nines cast out."""
-    d = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0))).otherwise(F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0)) + 1)))
+    d = F.transform(
+        F.split(F.reverse(digits), ""),
+        lambda c,
+        i: F.when(i % 2 == 0, F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0))).otherwise(F.element_at(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0)) + 1)),
+    )
     return (F.length(digits) > 0) & (F.aggregate(d, F.lit(0), lambda a, x: a + x) % 10 == 0)
 
 
@@ -65,15 +70,35 @@ def valid(kind: str, s: Column) -> Column:
     return F.length(_digits(s)).between(10, 15)
 
 
+def scanned(values: Column, start: Column, following: Callable[[Column, Column], Column], given: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """array<kind>: what given(state, value), an array, has for each of values one after another, the state being start, then
+    following(state, value). Folds append to arrays of a block only, whose arrays are joined at the end, so that the work
+    grows with the values and not with their square."""
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    step = lambda a, x: F.struct(following(a.s, x).alias("s"), F.concat(a.o, given(a.s, x)).alias("o"))
+
+    def add(acc: Column, b: Column) -> Column:
+        return F.aggregate(b, F.struct(acc.s.alias("s"), none.alias("o")), step, lambda r: F.struct(r.s.alias("s"), F.concat(acc.o, F.array(r.o)).alias("o")))
+
+    def scan(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / block).cast("int"))
+        blocks = F.transform(numbers, lambda k: F.slice(v, k * block + 1, block))
+        return F.flatten(F.aggregate(blocks, F.struct(start.alias("s"), nothing.alias("o")), add, lambda a: a.o))
+
+    return F.element_at(F.transform(F.array(values), scan), 1)  # values, bound to a name, are found once and not once a block
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<s:int, m:string>>: each match of pattern, leftmost and not overlapping, and where it starts in code
     points, from the lengths of what lies between matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    start = lambda acc, x: F.struct((acc.at + x.gap + F.length(x.m)).alias("at"), F.concat(acc.out, F.array(F.struct((acc.at + x.gap).alias("s"), x.m.alias("m")))).alias("out"))
     pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    empty = F.array().cast("array<struct<s:int,m:string>>")
-    return F.aggregate(F.filter(pairs, lambda x: x.m.isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), start, lambda acc: acc.out)
+    pairs = F.filter(pairs, lambda x: x.m.isNotNull())
+    kind = "struct<s:int,m:string>"
+    start = lambda at, x: F.array(F.struct((at + x.gap).alias("s"), x.m.alias("m")).cast(kind))
+    many = scanned(pairs, F.lit(0), lambda at, x: at + x.gap + F.length(x.m), start, kind)
+    return F.when(F.size(found) > 0, many).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def features(kind: Column, m: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -241,7 +266,26 @@ def tree_score(trees: list[tuple[float, tuple]], f: dict[str, Column]) -> Column
     return total
 
 
-SPANS = "array<struct<s:int,o:int,kind:string,e:int>>"
+SPAN = "struct<s:int,o:int,kind:string,e:int>"
+SPANS = f"array<{SPAN}>"
+
+
+def clear_of(extra: Column, base: Column) -> Column:
+    """The spans of extra that overlap none of base: one pass forward with the farthest end of base so far, one back with the
+    nearest start of base to come."""
+    mark = f"struct<s:int,side:int,e:int,span:{SPAN}>"
+    side = lambda spans, k: F.transform(spans, lambda x: F.struct(x.s.alias("s"), F.lit(k).alias("side"), x.e.alias("e"), x.alias("span")).cast(mark))
+    both = F.array_sort(F.concat(side(base, 0), side(extra, 1)))
+    farther = lambda end, x: F.when(x.side == 0, F.greatest(end, x.e)).otherwise(end)
+    open_ = scanned(both, F.lit(-1), farther, lambda end, x: F.when((x.side == 0) | (end <= x.s), F.array(x)).otherwise(F.array().cast(f"array<{mark}>")), mark)
+    nearer = lambda start, x: F.when(x.side == 0, x.s).otherwise(start)
+    return scanned(F.reverse(open_), F.lit(2**31 - 1), nearer, lambda start, x: F.when((x.side == 1) & (start >= x.e), F.array(x.span)).otherwise(F.array().cast(SPANS)), SPAN)
+
+
+def first_of_each(spans: Column) -> Column:
+    """Of sorted spans each that begins where the last one taken has ended, or later."""
+    took = lambda end, x: x.s >= end
+    return scanned(spans, F.lit(0), lambda end, x: F.when(took(end, x), x.e).otherwise(end), lambda end, x: F.when(took(end, x), F.array(x)).otherwise(F.array().cast(SPANS)), SPAN)
 
 
 def _matches(kind: str) -> Column:
@@ -289,10 +333,9 @@ def detect(docs: DataFrame, precision: float = 0.97, keep: bool = False) -> Data
     for k in live:
         df = df.withColumn(f"_{k}", F.when(wide_guard[k], located(F.col("text"), WIDE[k])))
     found = [_spans(F.filter(_matches(k), _chosen(k, trees, thresholds[k])), o, k) for o, k in enumerate(KINDS) if k in live]
-    extra = F.filter(F.concat(*found), lambda c: ~F.exists("base", lambda b: (b.s < c.e) & (c.s < b.e))) if found else none
-    df = df.withColumn("_extra", F.array_sort(extra))
-    apart = F.aggregate("_extra", none, lambda acc, c: F.when(F.exists(acc, lambda b: (b.s < c.e) & (c.s < b.e)), acc).otherwise(F.concat(acc, F.array(c)).cast(SPANS)))
-    df = df.withColumn("spans", F.array_sort(F.concat("base", apart)))
+    df = df.withColumn("_extra", F.concat(*found) if found else none)
+    some = F.concat("base", first_of_each(F.array_sort(clear_of(F.col("_extra"), F.col("base")))))
+    df = df.withColumn("spans", F.when(F.size("_extra") > 0, F.array_sort(some)).otherwise(F.col("base")))
     return df.select("_row.*", F.col("spans").alias("_spans")) if keep else df.select("doc_id", "text", "base", "spans")
 
 
@@ -304,9 +347,10 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in angle brackets; of overlapping spans the first is replaced, up to the
     farthest end."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, x: F.when(x.s >= a.at, F.struct(x.e.alias("at"), F.concat(a.out, F.array(F.substring(text, a.at + 1, x.s - a.at), F.concat(F.lit("<"), x.kind, F.lit(">")))).alias("out"))).otherwise(F.struct(F.greatest(a.at, x.e).alias("at"), a.out.alias("out")))
-    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.at + 1, F.length(text))))
+    new = lambda at, x: F.array(F.substring(text, at + 1, x.s - at), F.concat(F.lit("<"), x.kind, F.lit(">")))
+    parts = scanned(spans, F.lit(0), lambda at, x: F.greatest(at, x.e), lambda at, x: F.when(x.s >= at, new(at, x)).otherwise(F.array().cast("array<string>")), "string")
+    rest = F.substring(text, F.coalesce(F.array_max(F.transform(spans, lambda x: x.e)), F.lit(0)) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
