@@ -36,7 +36,16 @@ class CoverTree:
 
     def dump(self) -> bytes:
         out, below = io.BytesIO(), [x for b in self.below for x in b]
-        np.savez(out, points=self.points, order=self.order, centres=self.centres, radii=self.radii, span=np.array(self.span, np.int64).reshape(-1, 2), below=np.array(below, np.int64), sizes=np.array([len(b) for b in self.below], np.int64))
+        np.savez(
+            out,
+            points=self.points,
+            order=self.order,
+            centres=self.centres,
+            radii=self.radii,
+            span=np.array(self.span, np.int64).reshape(-1, 2),
+            below=np.array(below, np.int64),
+            sizes=np.array([len(b) for b in self.below], np.int64),
+        )
         return out.getvalue()
 
     @classmethod
@@ -181,7 +190,16 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), rounded.alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, shard_bytes: int = 32 << 20, block_rows: int = 65536, leaf: int = 512, shard_rows: int | None = None) -> DataFrame:
+def top_k(
+    vectors: DataFrame,
+    k: int = 5,
+    every: int = 50,
+    scale: float = 256.0,
+    shard_bytes: int = 32 << 20,
+    block_rows: int = 65536,
+    leaf: int = 512,
+    shard_rows: int | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id, score: for each query, a row whose vec_id is divisible by every, the k highest integer inner
     products of floor(scale * x) with every other row, ties to the smaller vec_id; all candidates, if fewer.
 

@@ -256,7 +256,17 @@ def _hits(raw: bytes, q: np.ndarray, own: np.ndarray, k: int, ef: int) -> tuple[
     return join(0, np.int64), join(1, np.int64), join(2, np.float64)
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard_bytes: int = 8 << 20, block_rows: int = 65536, m: int = 16, ef_build: int = 40, ef: int = 96, shard_rows: int | None = None) -> DataFrame:
+def nearest(
+    vectors: DataFrame,
+    k: int = 10,
+    every: int = 100,
+    shard_bytes: int = 8 << 20,
+    block_rows: int = 65536,
+    m: int = 16,
+    ef_build: int = 40,
+    ef: int = 96,
+    shard_rows: int | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k nearest found among all other
     rows, by Euclidean distance in double precision, ties to the smaller vec_id; all candidates, if fewer.
 

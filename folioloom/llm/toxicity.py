@@ -177,7 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
     half = sample_rows // 2
     chosen = one.where("toxic = 1").orderBy(*order).limit(half).unionAll(one.where("toxic <> 1").orderBy(*order).limit(sample_rows - half))
     chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic")  # at most sample_rows ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+        "doc_id",
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.col("toxic").cast("int").alias("toxic"),
+    )
     share = one.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,20 +191,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
             whole = utf8.hashes(buf, at[:-1], at[1:])
             ends = np.r_[0, np.cumsum(n)]
             own = [np.unique(h[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(whole.view(np.int64)), b.column(2), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64()))], names=["doc_id", "whole", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(pa.int64()), pa.array(whole.view(np.int64)), b.column(2), pa.array([w.view(np.int64) for w in own], pa.list_(pa.int64()))],
+                names=["doc_id", "whole", "toxic", "words"],
+            )
 
     made = small_batches(sample).mapInArrow(run, "doc_id long, whole long, toxic int, words array<long>")
     first = made.groupBy("doc_id").agg(F.min_by(F.struct("whole", "toxic", "words"), "whole").alias("r")).select("doc_id", "r.*")
     spelled = cut(first.dropDuplicates(["whole", "toxic"]))  # copies teach once: at most sample_rows rows
     n1, n0 = spelled.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") != 1, 1))).first()
-    by = spelled.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") != 1, 1)).alias("b")).where("a + b >= 6")
+    by = spelled.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(
+        F.count(F.when(F.col("toxic") == 1, 1)).alias("a"),
+        F.count(F.when(F.col("toxic") != 1, 1)).alias("b"),
+    ).where("a + b >= 6")
     n = n1 + n0
     chi = F.pow(F.col("a") * n0 - F.col("b") * n1, 2) / ((F.col("a") + F.col("b")) * (n - F.col("a") - F.col("b") + 1.0))
     # only what chance gives less often than once in a thousand: chi square over 10.83
     picked = by.select("w", chi.alias("chi")).where(F.col("chi") * n >= 10.83 * n1 * n0).orderBy(F.desc("chi"), "w").limit(features)
     words = np.array(sorted(np.array([r.w for r in picked.collect()], np.int64).view(np.uint64).tolist()), np.uint64)
     asked = F.array(*[F.lit(int(w)) for w in words.view(np.int64).tolist()]) if len(words) else F.array().cast("array<long>")
-    got = sorted(spelled.select("doc_id", "whole", "toxic", F.array_intersect("words", asked).alias("words")).collect(), key=lambda r: (r.doc_id, r.whole))  # at most sample_rows rows of at most `features`
+    got = sorted(
+        spelled.select("doc_id", "whole", "toxic", F.array_intersect("words", asked).alias("words")).collect(),
+        key=lambda r: (r.doc_id, r.whole),
+    )  # at most sample_rows rows of at most `features`
     x = np.zeros((len(got), len(words)))
     for i, r in enumerate(got):
         if r.words:
