@@ -161,12 +161,13 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
 
     own = posted(corpus) if postings is None else postings.join(wanted, "term").select("chunk_id", "term", "dl", "tf")
     base = own if statistics is None else posted(statistics)  # where it's the same, its one shuffle serves all
-    counts = base.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_dl"))
-    total = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("_dl") / F.col("df")).alias("avgdl"))
+    # a chunk's own row is told by its sums: a condition on the term would be pushed below the shuffle, which then couldn't be shared
+    counts = base.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_dl"), F.sum("tf").alias("_tf"))
+    total = counts.where("_tf = 0").select(F.col("df").alias("n"), (F.col("_dl") / F.col("df")).alias("avgdl"))
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = counts.where("term <> ''").drop("_dl").join(terms, "term").join(F.broadcast(total))
-    hits = own.where("term <> ''").join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))  # sums in another order tie alike
+    weighed = counts.where("_tf > 0").drop("_dl", "_tf").join(terms, "term").join(F.broadcast(total))
+    hits = own.where("tf > 0").join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))  # sums in another order tie alike
     order = corpus.select("chunk_id", "ord")
     scored = hits.join(order, "chunk_id")
     # zero scores can only fill what hits leave of the first k: candidates for that are the first k chunks of the corpus and, as
