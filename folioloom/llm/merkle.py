@@ -300,8 +300,8 @@ def _sql(levels: int = 5) -> str:
     """The same by windows and joins, for groups of at most 16^levels rows."""
     field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
     row = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
-    crc = "list_reduce([x] || range(8), (v, i) -> xor(v >> 1, 3988292384 * (v & 1)))"
-    crc = f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT), (a, b) -> {crc.replace('[x]', '[xor(a, b)]')}), 4294967295)"
+    crc = "list_reduce([x] || range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+    crc = f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: {crc.replace('[x]', '[xor(a, b)]')}), 4294967295)"
     whole, lowered = row('"text"'), row(f"translate(\"text\", '{_UPPER}', '{_LOWER}')")
     parts = [f"d AS (SELECT doc_id, source, {whole} AS leaf, CASE WHEN coalesce({crc} % 5 = 0, false) THEN {lowered} ELSE {whole} END AS given, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS spot FROM documents)"]
 
