@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioloom.llm import chat, covertree, hnsw, katz, langid, merkle, packing, pii, piece_codec, quality, simhash, toxicity
+from folioloom.llm import chat, covertree, hnsw, katz, langid, lexical, merkle, packing, pii, piece_codec, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cover_tree": covertree.op8,
     "op9_pii": pii.op9,
     "op10_quality": quality.op10,
+    "op11_lexical": lexical.op11,
     "op12_langid": langid.op12,
     "op13_merkle": merkle.op13,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_chat": chat.OP2_SQL,
     "op8_cover_tree": covertree.OP8_SQL,
+    "op11_lexical": lexical.OP11_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }

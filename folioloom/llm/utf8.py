@@ -60,12 +60,12 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without white space, and how many each text has."""
+def words(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without white space, or without the bytes that between flags, and how many each text has."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets) - 1, np.int64)
-    gap = IS_SPACE[buf]
+    gap = between[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(buf), bool)
