@@ -117,7 +117,7 @@ class Router:
 
 
 def fit_router(starts: np.ndarray, hashes: np.ndarray, depth: int) -> tuple[Router, np.ndarray]:
-    """The router of sampled documents' term hashes, and how many of them go to each leaf."""
+    """The router of sampled documents' term hashes, and how many terms of how many of them go to each leaf, in one array."""
     terms, number = np.unique(hashes, return_inverse=True)
     whole = Pairs(starts, number.astype(np.int64), len(terms))
     nodes = (1 << depth) - 1
@@ -141,4 +141,5 @@ def fit_router(starts: np.ndarray, hashes: np.ndarray, depth: int) -> tuple[Rout
         held[2 * node + 1], held[2 * node + 2] = docs[~side], docs[side]
     used = np.flatnonzero(np.any(weights != 0, axis=0))
     router = Router(terms[used], weights[:, used], bounds, depth)
-    return router, np.bincount(router.clusters(starts, hashes), minlength=1 << depth)
+    leaf = router.clusters(starts, hashes)
+    return router, np.stack([np.bincount(leaf, weights=w, minlength=1 << depth) for w in (np.diff(starts), np.ones(len(leaf)))])

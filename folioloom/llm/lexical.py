@@ -24,8 +24,9 @@ from folioloom.llm.cluster import placed, small_batches, stored, table
 
 #: Documents that the clusters are fitted on at most.
 SAMPLE_DOCS = 4_096
-#: Sampled documents of a cluster, about; documents of a shard, about, at most and at least; documents of a block.
-CLUSTER_SAMPLE, SHARD_DOCS, LEAST_DOCS, BLOCK = 64, 8_192, 512, 32
+#: Sampled documents of a cluster, about; distinct terms of the documents of a shard, taken together, and documents of it, both about
+#: and at most; documents of a cluster at least; documents of a block.
+CLUSTER_SAMPLE, SHARD_TERMS, SHARD_DOCS, LEAST_DOCS, BLOCK = 64, 1_000_000, 32_768, 512, 16
 #: Items and terms of items that a task holds at once: more are asked in blocks, one after another.
 ITEMS, ITEM_TERMS = 1_024, 200_000
 #: Shards that each item visits first, those of the highest bounds; of the others, all whose bounds reach the k-th score then.
@@ -55,7 +56,8 @@ def _each(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, tuple]]:
 
 
 def fit_clusters(docs: DataFrame, sample_docs: int, depth: int) -> tuple[bisection.Router, np.ndarray]:
-    """The router of at most sample_docs documents (text), and how many of them it sends to each cluster; one task bisects them."""
+    """The router of at most sample_docs documents (text), and how many terms and documents of them it sends to each cluster; one task
+    bisects them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -80,7 +82,7 @@ class Index:
     block: int
 
 
-def build(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, shard_docs: int = SHARD_DOCS, least_docs: int = LEAST_DOCS, block: int = BLOCK) -> Index:
+def build(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, shard_terms: int = SHARD_TERMS, shard_docs: int = SHARD_DOCS, least_docs: int = LEAST_DOCS, block: int = BLOCK) -> Index:
     """The index of all documents (id, text) that have a term. Repeated rows are as many documents; a null id is kept. Shards are dealt
     by the shares of clusters in the sample, so that a cluster of any size lies in as many as it needs."""
     spark = docs.sparkSession
@@ -92,7 +94,8 @@ def build(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, shard_docs: int = SHA
     share = min(1.0, 2.0 * sample_docs / max(1, total))
     chosen = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
     router, sizes = fit_clusters(chosen, sample_docs, depth)
-    many = np.maximum(1, np.ceil((sizes + 1) / max(1, sizes.sum()) * total / shard_docs)).astype(np.int64)
+    scale = total / max(1.0, sizes[1].sum())
+    many = np.maximum(1, np.ceil((sizes * scale / np.array([[shard_terms], [shard_docs]])).max(axis=0))).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(many)])
     shared = spark.sparkContext.broadcast((router, many, base))
 
