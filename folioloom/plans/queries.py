@@ -478,7 +478,7 @@ def label_classify(spark, d):
     return tags.unionAll(more).distinct().withColumn("region_type", layout.region_type(F.col("label")))
 
 
-@query("SELECT lang AS document_id, count(c) AS n, round(avg(c), 4) AS mean FROM (SELECT lang, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 100) / 100.0 END AS c FROM documents) GROUP BY lang")
+@query("SELECT lang AS document_id, count(c) AS n, round_even(avg(c), 4) AS mean FROM (SELECT lang, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 100) / 100.0 END AS c FROM documents) GROUP BY lang")
 def confidence_summary(spark, d):
     c = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 100) / 100.0)
     return layout.confidence_summary(_t(spark, d, "documents").select(F.col("lang").alias("document_id"), c.alias("confidence")))
@@ -509,7 +509,7 @@ def retrieval_metrics(spark, d):
     return s.select("query_id", "hit_rate", *[_six(c).alias(c) for c in ("mrr", "precision_at_k", "recall_at_k")])
 
 
-@query(f"WITH {_EVAL}, lo AS (UNPIVOT (SELECT CAST(hit_rate AS DOUBLE) AS hit_rate, CAST(mrr AS DOUBLE) AS mrr, CAST(precision_at_k AS DOUBLE) AS precision_at_k, CAST(recall_at_k AS DOUBLE) AS recall_at_k FROM ev) ON hit_rate, mrr, precision_at_k, recall_at_k INTO NAME metric VALUE v) SELECT metric, round(avg(v), 4) AS mean, coalesce(round(avg(v), 4) >= 0.5, false) AS passes FROM lo GROUP BY metric")
+@query(f"WITH {_EVAL}, lo AS (UNPIVOT (SELECT CAST(hit_rate AS DOUBLE) AS hit_rate, CAST(mrr AS DOUBLE) AS mrr, CAST(precision_at_k AS DOUBLE) AS precision_at_k, CAST(recall_at_k AS DOUBLE) AS recall_at_k FROM ev) ON hit_rate, mrr, precision_at_k, recall_at_k INTO NAME metric VALUE v) SELECT metric, round_even(avg(v), 4) AS mean, coalesce(round(avg(v), 4) >= 0.5, false) AS passes FROM lo GROUP BY metric")
 def evaluation_summary(spark, d):
     return evaluation.summary(_scores(spark, d))
 

@@ -9,7 +9,7 @@ from folioloom.plans import ask, ingest
 from folioloom.plans import model_queries as made
 from folioloom.plans import queries as base
 from folioloom.plans.queries import _t, query
-from folioloom.sources import files
+from folioloom.sources import files, versions
 from folioloom.sources.shared import new_folder
 from folioloom.streaming import jobs
 
@@ -26,18 +26,29 @@ def _index_rows(docs, text):
     )
 
 
-@query("""SELECT doc_id, lang || (doc_id % 50) AS document_id, CASE WHEN doc_id % 50 = 7 THEN 'new' ELSE "text" END AS text, lang AS own FROM documents WHERE doc_id % 50 <> 7 OR doc_id % 100 = 7""")
+@query("""WITH d AS (SELECT *, lang || (doc_id % 50) AS document_id FROM documents), again AS (SELECT DISTINCT document_id FROM d WHERE doc_id % 100 = 7)
+  SELECT doc_id, document_id, "text", lang AS own FROM d WHERE document_id NOT IN (FROM again) UNION ALL SELECT doc_id, document_id, 'new', lang FROM d WHERE doc_id % 100 = 7""")
 def index_sink(spark, d):
-    """All documents indexed, then some again with fewer chunks: what was there of them goes."""
+    """All documents indexed, then some again with fewer chunks: what was there of them goes, all else stays."""
     docs, path = _t(spark, d, "documents"), new_folder(spark, "index")
-    assert files.index(spark, path).isEmpty()
     files.write_index(_index_rows(docs, F.col("text")), path)
-    files.write_index(_index_rows(docs.where("doc_id % 100 = 7"), F.lit("new")).unionByName(_index_rows(docs.where("doc_id % 100 = 57"), F.lit("new")).limit(0)), path)
-    gone = _index_rows(docs.where("doc_id % 50 = 7"), F.lit("x")).select("document_id").distinct()
-    kept = files.index(spark, path)
-    only = _index_rows(docs.where("doc_id % 100 = 7"), F.lit("x")).select("document_id").distinct()
-    rest = gone.join(only, "document_id", "left_anti")  # documents all of whose chunks are odd ones were not written again
-    return kept.join(rest, "document_id", "left_anti").select(F.col("chunk_id").cast("long").alias("doc_id"), "document_id", "text", F.col("metadata")["lang"].alias("own"))
+    files.write_index(_index_rows(docs.where("doc_id % 100 = 7"), F.lit("new")), path)
+    return files.index(spark, path).select(F.col("chunk_id").cast("long").alias("doc_id"), "document_id", "text", F.col("metadata")["lang"].alias("own"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_custkey, o_totalprice, 'o' || (o_custkey % 97) AS document_id FROM orders),
+  c AS (SELECT * FROM d WHERE document_id NOT IN ('o3', 'o5') UNION ALL SELECT -o_orderkey, o_custkey, 0.0, document_id FROM d WHERE document_id = 'o3' AND o_orderkey % 2 = 0)
+  SELECT 'first' AS version, document_id, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total FROM d GROUP BY ALL
+  UNION ALL SELECT 'last', document_id, count(*), sum(o_orderkey)::BIGINT, round(sum(o_totalprice), 2) FROM c GROUP BY ALL""")
+def table_versions(spark, d):
+    """Orders as a table in versions: a document replaced, one removed; the first version reads as it was."""
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.concat(F.lit("o"), (F.col("o_custkey") % 97).cast("string")).alias("document_id"))
+    held = versions.Table(spark, new_folder(spark, "versions"), bucket_rows=2_000)
+    first = held.write(rows).number
+    held.replace(rows.where("document_id = 'o3' and o_orderkey % 2 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit(0.0).alias("o_totalprice"), "document_id"))
+    held.remove(rows.where("document_id = 'o5'").select("document_id"))
+    each = lambda df, name: df.groupBy(F.lit(name).alias("version"), "document_id").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return each(held.read(first), "first").unionByName(each(held.read(), "last"))
 
 
 @query("SELECT document_id, n_chunks FROM (SELECT lang || (doc_id % 50) AS document_id, count(*) AS n_chunks FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from folioloom.sources import versions
+
 #: File suffixes of documents (fixed values).
 SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
 
@@ -69,11 +71,13 @@ def one_document(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUF
 
 
 def processed_folder(root: str, name_or_path: str) -> str:
-    """The folder of a processed document: a path as it is, a name below root; names that lead elsewhere are refused."""
-    if "/" in name_or_path:
-        return name_or_path
-    if name_or_path in ("", ".", ".."):
+    """The folder of a processed document: an absolute path or URI as it is, a name below root; names that lead elsewhere are
+    refused."""
+    parts = name_or_path.split("/")
+    if ".." in parts or name_or_path in ("", "."):
         raise ValueError(f"not a document: {name_or_path!r}")
+    if name_or_path.startswith("/") or "://" in name_or_path:
+        return name_or_path
     return f"{root}/{name_or_path}"
 
 
@@ -99,54 +103,40 @@ def write_questions(df: DataFrame, path: str) -> None:
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The vector index; no rows where there's none yet."""
-    try:
-        return spark.read.schema(INDEX).parquet(path)
-    except AnalysisException as e:
-        if not _missing(e):
-            raise
-        return spark.createDataFrame([], INDEX)
-
-
-#: Folders of a table that is rewritten by document: each has a share of the documents.
-BUCKETS = 64
-
-
-def replace(rows: DataFrame, path: str, key: str = "document_id", buckets: int = BUCKETS) -> None:
-    """Puts the documents of rows in the table at path in place of what it has of them. Documents are dealt into folders by a
-    hash, as many whatever their number; only folders with a new document are rewritten."""
-    spark, place = rows.sparkSession, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("bucket")
-    new = rows.select("*", place)
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most buckets numbers
-        kept = old.where(F.col("bucket").isin(touched)).join(rows.select(key).distinct(), key, "left_anti")
-        new = kept.unionByName(new)
-    except AnalysisException as e:
-        if not _missing(e):
-            raise
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    found = versions.Table(spark, path).read()
+    return spark.createDataFrame([], INDEX) if found is None else found
+
+
+def replace(rows: DataFrame, path: str, key: str = "document_id") -> None:
+    """Puts the documents of rows in the table at path in place of what it has of them, as a new version of it."""
+    versions.Table(rows.sparkSession, path, key).replace(rows)
+
+
+_RECORD = ("chunk_id", "text", "document_id", "metadata", "embedding")
 
 
 def write_index(rows: DataFrame, path: str) -> None:
     """Puts the documents of rows in the index in place of what it has of them."""
-    replace(rows.select("chunk_id", "text", "document_id", "metadata", "embedding"), path)
+    replace(rows.select(*_RECORD), path)
 
 
 def rebuild_index(rows: DataFrame, path: str) -> None:
     """The index of rows alone: what was there goes."""
-    place = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    rows.select("chunk_id", "text", "document_id", "metadata", "embedding", place).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    versions.Table(rows.sparkSession, path).write(rows.select(*_RECORD))
 
 
 def export(tables: dict[str, DataFrame], folder: str, by: str = "document_id") -> None:
-    """Each table as Parquet under its name, by document; documents that aren't in it keep what they have."""
+    """Each table under its name, by document; documents that aren't in it keep what they have."""
     for name, df in tables.items():
         replace(df, f"{folder}/{name}", by)
 
 
 def exported(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as export() wrote it."""
-    return spark.read.parquet(f"{folder}/{name}").drop("bucket")
+    found = versions.Table(spark, f"{folder}/{name}").read()
+    if found is None:
+        raise FileNotFoundError(f"{folder}/{name}")
+    return found
 
 
 def manifest(documents_: DataFrame, tables: dict[str, str], version: str = "1") -> DataFrame:

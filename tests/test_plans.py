@@ -24,7 +24,7 @@ def test_ingest_to_answer(spark, tmp_path):
         "document_id string, page_number int, pos int, label string, score double, coordinate array<double>",
     )
     files.export(ingest.ingest(pages, boxes), f"{tmp_path}/run")  # each table is written once and read from there
-    made = {name: spark.read.parquet(f"{tmp_path}/run/{name}") for name in os.listdir(f"{tmp_path}/run")}
+    made = {name: files.exported(spark, f"{tmp_path}/run", name) for name in os.listdir(f"{tmp_path}/run")}
     assert [r.text for r in made["page_texts"].orderBy("page_number").collect()] == ["Revenue\ngrew in total by 12 percent\nx 1 y 2", "Weather\nit rained all day"]
     chunks = {r.page_number: r for r in made["chunks"].collect()}
     assert chunks[1].chunk_id == "d:chunk:1" and chunks[1].region_types == ["table", "text_block"] and chunks[1].parent_title == "Revenue" and chunks[2].parent_title == "Weather"
