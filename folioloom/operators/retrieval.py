@@ -55,17 +55,72 @@ def _cosines(q, q_size, v, v_size):
     return np.round(dots, 12)  # sums in another order tie alike
 
 
+def _best(left, right, k: int):
+    """query_id, chunk_id, ord, score: the k best rows of right (chunk_id, ord, v) for each of left (query_id, v), as Arrow tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not left.num_rows or not right.num_rows:
+        none = lambda t, c: t.column(c).slice(0, 0)
+        return pa.table({"query_id": none(left, "query_id"), "chunk_id": none(right, "chunk_id"), "ord": none(right, "ord"), "score": pa.array([], pa.float64())})
+    lists = [t.column("v").combine_chunks() for t in (left, right)]
+    width = max(int(np.diff(x.offsets.to_numpy()).max()) for x in lists)
+    (q, q_size), (v, v_size) = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
+    order = right.column("ord").to_numpy()
+    row, col, score = [], [], []
+    for i in range(0, len(q), 256):
+        found = _cosines(q[i : i + 256], q_size[i : i + 256], v, v_size)
+        floor = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(found), -np.inf)
+        r, c = np.nonzero(found >= floor[:, None])
+        by = np.lexsort((order[c], -found[r, c], r))
+        r, c = r[by], c[by]
+        first = np.r_[True, r[1:] != r[:-1]]
+        place_ = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+        keep = place_ < k
+        row.append(r[keep] + i)
+        col.append(c[keep])
+        score.append(found[r[keep], c[keep]])
+    row, col = pa.array(np.concatenate(row)), pa.array(np.concatenate(col))
+    return pa.table({
+        "query_id": left.column("query_id").take(row),
+        "chunk_id": right.column("chunk_id").take(col),
+        "ord": right.column("ord").take(col),
+        "score": pa.array(np.concatenate(score)),
+    })
+
+
+def _scanned(queries, batches, k: int):
+    """_best() of queries and the rows of batches, SHARD_ROWS at a time."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= SHARD_ROWS:
+            yield from _best(queries, pa.Table.from_batches(held), k).to_batches()
+            held, n = [], 0
+    if n:
+        yield from _best(queries, pa.Table.from_batches(held), k).to_batches()
+
+
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, score: the k highest cosines of each query (query_id, q) with corpus (chunk_id, ord,
     embedding), ties in the order of ord; rows without a vector on either side are left out.
 
-    The corpus is dealt into shards, queries into blocks of about QUERY_BLOCK, and each shard meets each block in one task:
-    a matrix product, of which k rows a query go on. So a task's memory is bounded whatever the number of either.
+    Up to QUERY_BLOCK queries are sent to every task, and the corpus is scanned where it lies. For more, the corpus is dealt into
+    shards, queries into blocks, and each shard meets each block in one task. Either way a task makes matrix products with
+    SHARD_ROWS of the corpus at a time, of which k rows a query go on: its memory is bounded whatever the number of either.
     """
     spark, kind, name = corpus.sparkSession, queries.schema["query_id"].dataType.simpleString(), corpus.schema["chunk_id"].dataType.simpleString()
     queries = queries.where("q is not null").select("query_id", F.col("q").cast("array<double>").alias("v"))
     corpus = corpus.where("embedding is not null").select("chunk_id", F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("v"))
-    n, asked = corpus.count(), queries.count()
+    out, asked = f"query_id {kind}, chunk_id {name}, ord long, score double", queries.count()
+    if asked <= QUERY_BLOCK:
+        sent = spark.sparkContext.broadcast(queries.toArrow())
+        found = corpus.mapInArrow(lambda batches: _scanned(sent.value, batches, k), out)
+        return _ranked(found, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    n = corpus.count()
     shards = max(1, -(-n // SHARD_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 512))
     blocks = max(1, -(-asked // QUERY_BLOCK))
     deal = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m))
@@ -75,39 +130,7 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sent = queries.select(each(shards).alias("s"), "*").select((F.col("s") * blocks + deal("query_id", blocks)).cast("int").alias("cell"), "query_id", "v")
     place = lambda df: (df.repartitionById(cells, F.col("cell")) if cells <= 20_000 else df.repartition(20_000, "cell")).groupBy("cell")
 
-    def search(left, right):
-        import numpy as np
-        import pyarrow as pa
-
-        if not left.num_rows or not right.num_rows:
-            none = lambda t, c: t.column(c).slice(0, 0)
-            return pa.table({"query_id": none(left, "query_id"), "chunk_id": none(right, "chunk_id"), "ord": none(right, "ord"), "score": pa.array([], pa.float64())})
-        lists = [t.column("v").combine_chunks() for t in (left, right)]
-        width = max(int(np.diff(x.offsets.to_numpy()).max()) for x in lists)
-        (q, q_size), (v, v_size) = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
-        order = right.column("ord").to_numpy()
-        row, col, score = [], [], []
-        for i in range(0, len(q), 256):
-            found = _cosines(q[i : i + 256], q_size[i : i + 256], v, v_size)
-            floor = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(found), -np.inf)
-            r, c = np.nonzero(found >= floor[:, None])
-            by = np.lexsort((order[c], -found[r, c], r))
-            r, c = r[by], c[by]
-            first = np.r_[True, r[1:] != r[:-1]]
-            place_ = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-            keep = place_ < k
-            row.append(r[keep] + i)
-            col.append(c[keep])
-            score.append(found[r[keep], c[keep]])
-        row, col = pa.array(np.concatenate(row)), pa.array(np.concatenate(col))
-        return pa.table({
-            "query_id": left.column("query_id").take(row),
-            "chunk_id": right.column("chunk_id").take(col),
-            "ord": right.column("ord").take(col),
-            "score": pa.array(np.concatenate(score)),
-        })
-
-    found = place(sent).cogroup(place(held)).applyInArrow(search, f"query_id {kind}, chunk_id {name}, ord long, score double")
+    found = place(sent).cogroup(place(held)).applyInArrow(lambda left, right: _best(left, right, k), out)
     return _ranked(found, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from folioloom.functions import geometry as G
 from folioloom.functions import lenient as L
 from folioloom.functions import text as T
-from folioloom.operators import chunking, evaluation, layout, retrieval, store
+from folioloom.operators import chunking, dense_index, evaluation, layout, retrieval, store
+from folioloom.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -154,6 +155,42 @@ def dense_topk_batch(spark, d):
     return _dense(spark, d, F.col("chunk_id") % 10 == 0, 5)
 
 
+def _dense_lists(spark: SparkSession, d: str, rows: DataFrame | None = None) -> dense_index.Lists:
+    held = dense_index.Lists(spark, new_folder(spark, "lists"))
+    held.build(_vectors(spark, d) if rows is None else rows)
+    return held
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query(_dense_sql("true", "q.vec_id % 10 = 0", 5))
+def dense_indexed(spark, d):
+    """Of the index, all lists probed: what a scan of all vectors gives."""
+    return _dense_lists(spark, d).search(_asked_vectors(spark, d), 5).withColumn("score", _six("score"))
+
+
+@query(_dense_sql("d.label <> 3", "q.vec_id % 10 = 0", 5).replace("q.e, d.e)", "q.e, CASE d.label WHEN 2 THEN list_reverse(d.e) ELSE d.e END)"))
+def dense_index_updated(spark, d):
+    """The index after a document's vectors were replaced, all at once turned around, and another document removed."""
+    v = _vectors(spark, d)
+    held = _dense_lists(spark, d)
+    held.replace(v.where("document_id = 2").withColumn("embedding", F.reverse("embedding")))
+    held.remove(v.where("document_id = 3").select("document_id"))
+    return held.search(_asked_vectors(spark, d), 5).withColumn("score", _six("score"))
+
+
+@query(f"WITH {_VEC}, n AS (SELECT count(*) AS n FROM v) SELECT count(*) AS queries, 5 * count(*) AS pairs, true AS found FROM v WHERE vec_id % 10 = 0")
+def dense_index_recall(spark, d):
+    """Whether 95 in 100 of the five nearest are found where two thirds of the lists are probed: the test vectors don't cluster."""
+    held, asked = _dense_lists(spark, d), _asked_vectors(spark, d)
+    exact = retrieval.dense_top_k(_vectors(spark, d), asked, 5).select("query_id", "chunk_id")
+    got = held.search(asked, 5, probes=-(-2 * held.version().many // 3)).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(got, ["query_id", "chunk_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("pairs"), (F.count("hit") / F.count("*") >= 0.95).alias("found"))
+
+
 @query(f"WITH {_VEC} SELECT q.vec_id AS query_id, d.vec_id AS document_id, round(list_cosine_similarity(q.e, d.e), 6) AS score FROM v q JOIN v d ON q.vec_id = 7 AND list_cosine_similarity(q.e, d.e) >= 0.2")
 def document_prefilter(spark, d):
     v = _vectors(spark, d)

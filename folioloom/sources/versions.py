@@ -55,14 +55,20 @@ class Table:
         fs, p = self._at(folder)
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
-    def _read(self, name: str) -> dict:
+    def _bytes(self, name: str) -> bytes:
         fs, p = self._at(name)
         stream = fs.open(p)
         try:
-            return json.loads(bytes(stream.readAllBytes()))
+            return bytes(stream.readAllBytes())
         finally:
             stream.close()
 
+    def _put(self, name: str, content: bytes) -> None:
+        fs, p = self._at(name)
+        out = fs.create(p, True)
+        out.write(content)
+        out.close()
+
     def numbers(self) -> list[int]:
         """The versions that are there, in order."""
         return sorted(int(n.removesuffix(".json")) for n in self._names("_versions") if n.endswith(".json") and n[0].isdigit())
@@ -72,16 +78,15 @@ class Table:
         known = self.numbers()
         if not known:
             return None
-        got = self._read(f"_versions/{known[-1] if number is None else number:09d}.json")
+        got = json.loads(self._bytes(f"_versions/{known[-1] if number is None else number:09d}.json"))
         return Version(got["number"], got["many"], got["schema"], {int(k): (f, n) for k, (f, n) in got["buckets"].items()}, got.get("facts", {}))
 
     def _commit(self, v: Version) -> Version:
         """Puts the pointer in its place: written aside, then renamed to a name that isn't there yet."""
-        fs, aside = self._at(f"_versions/.{uuid.uuid4().hex}")
+        name = f"_versions/.{uuid.uuid4().hex}"
+        self._put(name, json.dumps({"number": v.number, "many": v.many, "schema": v.schema, "buckets": v.buckets, "facts": v.facts}).encode())
+        fs, aside = self._at(name)
         _, place = self._at(f"_versions/{v.number:09d}.json")
-        out = fs.create(aside, True)
-        out.write(json.dumps({"number": v.number, "many": v.many, "schema": v.schema, "buckets": v.buckets, "facts": v.facts}).encode())
-        out.close()
         if fs.exists(place) or not fs.rename(aside, place):
             fs.delete(aside, False)
             raise Conflict(f"{self.path}: version {v.number} is another writer's")
