@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,6 +25,8 @@ def scoped(corpus: DataFrame, documents: list | None, column: str = "document_id
     return corpus if documents is None else corpus.where(F.col(column).isin(list(documents)) if documents else F.lit(False))
 
 
+#: Terms of questions that are looked up in the array of a chunk's tokens; more are joined with them.
+ASKED_TERMS = 20_000
 #: Rows of the corpus that a task of a dense search holds at most.
 SHARD_ROWS = 65_536
 
@@ -134,11 +137,13 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _ranked(found, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def _exploded(corpus: DataFrame) -> DataFrame:
-    """(chunk_id, dl, term): a row a token of corpus (chunk_id, text), and one of term '' a chunk. The length is taken below the
-    explosion, not for each of its rows."""
-    toks = corpus.select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    return toks.select("chunk_id", "toks", F.size("toks").alias("dl")).select("chunk_id", "dl", F.explode(F.concat(F.array(F.lit("")), "toks")).alias("term"))
+def _exploded(corpus: DataFrame, asked: list[str] | None = None) -> DataFrame:
+    """(chunk_id, dl, term): a row a token of corpus (chunk_id, text), of those asked for if any are named, and one of term '' a chunk.
+    The length is taken below the explosion, not for each of its rows."""
+    toks = corpus.select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("dl", F.size("toks"))
+    if asked is not None:
+        toks = toks.withColumn("toks", F.filter("toks", lambda x: x.isin(asked)) if asked else F.array().cast("array<string>"))
+    return toks.select("chunk_id", "dl", F.explode(F.concat(F.array(F.lit("")), "toks")).alias("term"))
 
 
 def token_index(corpus: DataFrame) -> DataFrame:
@@ -175,12 +180,15 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = terms.select("term").distinct().unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term")))
+    asked = None
     if queries.count() <= QUERY_BLOCK:  # else every token of the corpus may be shuffled to meet them
+        asked = [r.term for r in wanted.where("term <> ''").limit(ASKED_TERMS + 1).collect()]
+        asked = asked if len(asked) <= ASKED_TERMS else None
         wanted = F.broadcast(wanted)
 
     def posted(df: DataFrame) -> DataFrame:
         """token_index() of df, of the terms asked for: only those leave the scan's stage."""
-        return _counted(_exploded(df).join(wanted, "term"))
+        return _counted(_exploded(df, asked) if asked is not None else _exploded(df).join(wanted, "term"))
 
     own = posted(corpus) if postings is None else postings.join(wanted, "term").select("chunk_id", "term", "dl", "tf")
     base = own if statistics is None else posted(statistics)  # where it's the same, its one shuffle serves all
@@ -268,11 +276,21 @@ def union_sub_queries(results: DataFrame) -> DataFrame:
     return _ranked(first.withColumnRenamed("rank", "_rank"), F.col("sub"), F.col("_rank")).select("query_id", "rank", "chunk_id", "score")
 
 
-def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 4, threshold: int = 2) -> DataFrame:
+class Searcher(Protocol):
+    """An index that is kept: query_id, rank, chunk_id, score of queries, as bm25() or dense_top_k() give them."""
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+def hybrid(corpus: DataFrame, queries: DataFrame, k: int = 4, threshold: int = 2, sparse: Searcher | None = None, dense: Searcher | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score of queries (query_id, question, q): 3k dense and 3k BM25 hits, fused, scored up by region,
     cut to k, sections expanded; chunks without an embedding, and questions without a q, take part in all but the dense half.
-    corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title, parent_subtitle)."""
-    fused = fuse(dense_top_k(corpus, queries, 3 * k), bm25(corpus, queries, 3 * k))
+    corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title, parent_subtitle). sparse, dense: indexes of
+    the corpus (posting_index.Postings, dense_index.Lists) to ask instead of reading its texts or vectors."""
+    fused = fuse(
+        dense.search(queries.select("query_id", "q"), 3 * k) if dense else dense_top_k(corpus, queries, 3 * k),
+        sparse.search(queries.select("query_id", "question"), 3 * k) if sparse else bm25(corpus, queries, 3 * k),
+    )
     known = fused.join(corpus.select("chunk_id", "region_types"), "chunk_id").join(
         F.broadcast(queries.select("query_id", "question")) if queries.count() <= QUERY_BLOCK else queries.select("query_id", "question"),
         "query_id",

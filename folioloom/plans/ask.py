@@ -34,19 +34,22 @@ def context_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ask:
-    """corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title, parent_subtitle)."""
+    """corpus: (chunk_id, ord, text, embedding, document_id, region_types, parent_title, parent_subtitle); sparse and dense: indexes of it,
+    where they are kept."""
 
     corpus: DataFrame
     embedder: ports.Embedder = field(default_factory=ports.HashedEmbedder)
     model: ports.TextModel = field(default_factory=ports.ExtractiveModel)
     settings: Settings = field(default_factory=Settings)
+    sparse: retrieval.Searcher | None = None
+    dense: retrieval.Searcher | None = None
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """query_id, rank, chunk_id, score of questions (query_id, question): three times top_k hits, hybrid, lexically
         reranked, the type asked for first, cut to top_k."""
         k = self.settings.top_k
         asked = self.embedder.embed(questions.select("query_id", "question"), "question", "q")
-        found = retrieval.hybrid(self.corpus, asked, 3 * k)
+        found = retrieval.hybrid(self.corpus, asked, 3 * k, sparse=self.sparse, dense=self.dense)
         known = found.join(self.corpus.select("chunk_id", "text", "region_types"), "chunk_id").join(questions.select("query_id", "question"), "query_id")
         return retrieval.put_type_first(retrieval.rerank_lexically(known)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioloom.functions import geometry as G
 from folioloom.functions import lenient as L
 from folioloom.functions import text as T
-from folioloom.operators import chunking, dense_index, evaluation, layout, retrieval, store
+from folioloom.operators import chunking, dense_index, evaluation, layout, posting_index, retrieval, store
 from folioloom.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,6 +236,34 @@ def bm25_scoped(spark, d):
     return retrieval.bm25(retrieval.scoped(_corpus(spark, d), ["de"], "parent_subtitle"), _questions(spark), 5).withColumn("score", _six("score"))
 
 
+def _postings(spark: SparkSession, d: str) -> posting_index.Postings:
+    held = posting_index.Postings(spark, new_folder(spark, "postings"))
+    held.build(_corpus(spark, d).withColumn("document_id", F.col("parent_title")))
+    return held
+
+
+@query(f"WITH {_Q_SQL}, {_bm25_sql('true', 10)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(s, 6) AS score FROM r")
+def bm25_indexed(spark, d):
+    """From blocks of postings alone: what a scan of all texts gives."""
+    return _postings(spark, d).search(_questions(spark), 10).withColumn("score", _six("score"))
+
+
+_UPDATED = """documents AS (SELECT * REPLACE (CASE WHEN source IN ('src1', 'src2') THEN "text" || ' zzqqzz der' ELSE "text" END AS "text") FROM main.documents WHERE source IS NULL OR source NOT IN ('src2', 'src4') OR (source = 'src2' AND doc_id % 2 = 0))"""
+
+
+@query(f"WITH {_UPDATED}, {_Q_SQL}, {_bm25_sql('true', 10)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(s, 6) AS score FROM r")
+def bm25_index_updated(spark, d):
+    """After a document's chunks were replaced, another's by half as many, and a third removed; then compacted."""
+    held, rows = _postings(spark, d), _corpus(spark, d).withColumn("document_id", F.col("parent_title"))
+    again = rows.withColumn("text", F.concat("text", F.lit(" zzqqzz der")))
+    held.replace(again.where("document_id = 'src1' or (document_id = 'src2' and chunk_id % 2 = 0)"))
+    held.remove(rows.where("document_id = 'src4'").select("document_id"))
+    before = held.search(_questions(spark), 10)
+    held.compact()
+    after = held.search(_questions(spark), 10)
+    return before.unionByName(after).distinct().withColumn("score", _six("score"))  # both alike
+
+
 # ---- fusion and what follows it; the query's vector is that of vec_id = query_id
 
 _FUSED = f"""{_Q_SQL}, {_VEC}, {_bm25_sql('true', 12, 'sp')},
@@ -297,6 +325,14 @@ def hybrid_topk(spark, d):
     return retrieval.hybrid(corpus, asked, 4).withColumn("score", _six("score"))
 
 
+@query(f"WITH {_BOOSTED}, {_expanded('br', 4)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(s, 6) AS score FROM ex")
+def hybrid_indexed(spark, d):
+    """hybrid_topk from indexes: postings and inverted lists."""
+    corpus, asked = _both(spark, d)
+    lists = _dense_lists(spark, d, corpus.where("embedding is not null").select("chunk_id", "ord", "embedding", "document_id"))
+    return retrieval.hybrid(corpus, asked, 4, sparse=_postings(spark, d), dense=lists).withColumn("score", _six("score"))
+
+
 @query(f"""WITH {_FUSED}, lx AS (SELECT fr.query_id, chunk_id, rank AS old, s + 0.01 * len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]{{3,}}')), list_distinct(regexp_extract_all(lower("text"), '[a-z0-9]{{3,}}')))) AS s
   FROM fr JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id)
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, old) AS INTEGER) AS rank, chunk_id, round(s, 6) AS score FROM lx""")
