@@ -1,7 +1,8 @@
 """What language and picture models do around retrieval: prompts as columns, a port for the call, fallbacks for failures.
 
 Every function takes the model as a port (ports.TextModel): a column of prompts to a column of answers, null where the call
-failed. A question has at most some twenty passages, so what is gathered for one prompt is bounded.
+failed. Where answers branch, as in correct(), or results are read more than once, give it a ledger.Ledger of the model: each prompt is
+then called once and all see one answer. A question has at most some twenty passages, so what is gathered for one prompt is bounded.
 """
 
 from __future__ import annotations
@@ -59,12 +60,13 @@ def decompose(model: ports.TextModel, questions: DataFrame) -> DataFrame:
 def searches(model: ports.TextModel, questions: DataFrame, first_only: bool = False) -> DataFrame:
     """questions with sub and search: the parts of complex ones (the first alone, where only one search can follow), a
     hypothetical passage for simple ones."""
-    kinds = classify(model, questions)
-    parts = decompose(model, kinds.where("kind = 'complex'"))
-    if first_only:
-        parts = parts.where("sub = 0")
-    made = hypothetical(model, kinds.where("kind = 'simple'")).withColumn("sub", F.lit(0))
-    return parts.unionByName(made).drop("kind")
+    kinds, hard = classify(model, questions), F.col("kind") == "complex"
+    # one prompt a question, by its kind: nothing branches off what the model said, so it says it once
+    said = model.answer(kinds.withColumn("_prompt", F.concat(F.when(hard, DECOMPOSE).otherwise(HYPOTHETICAL), F.lit("\n\n"), F.col("question"))), "_prompt", "_raw")
+    parts = T.sub_queries(F.coalesce("_raw", F.lit("")), F.col("question"))
+    search = F.when(hard, parts).otherwise(F.array(F.coalesce(T.strip(F.col("_raw")), F.col("question"))))
+    each = said.select(*questions.columns, F.posexplode(search).alias("sub", "search"))
+    return each.where("sub = 0") if first_only else each
 
 
 # ---- passages

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -87,12 +87,15 @@ def model_input(items: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
     return rows.select("document_id", "page_number", F.transform("r", lambda x: x.item_id).alias("item_ids"), F.transform("r", lambda x: x.b).alias("boxes"))
 
 
-def model_reading_order(items: DataFrame, model: ports.OrderModel, most: int = MOST_ITEMS) -> tuple[DataFrame, DataFrame]:
+def model_reading_order(
+    items: DataFrame, model: ports.OrderModel, most: int = MOST_ITEMS, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, DataFrame]:
     """(items with reading_order from 1 within the page, issues (document_id, page_number, code, level)).
 
     The model scores the places of a page's first items (model_input(), and scores array<array<double>>, null where it fails);
     permutation() gives each its own. Items beyond follow in geometric order, and so do all of a page that it fails on, which
-    is an issue. A page's matrix is at most `most` square and handled by itself.
+    is an issue. A page's matrix is at most `most` square and handled by itself. Both tables come of what the model says: keep writes it
+    down and reads it back, so that it's asked once, and both see one answer.
     """
     import pyarrow as pa
 
@@ -108,6 +111,7 @@ def model_reading_order(items: DataFrame, model: ports.OrderModel, most: int = M
                 )
 
     scored = model.logits(model_input(items, most)).select("document_id", F.col("page_number").cast("int").alias("page_number"), "item_ids", "scores")
+    scored = keep(scored)
     placed = scored.mapInArrow(run, "document_id string, page_number int, item_id string, _place int")
     geometric = layout.reading_order(items).withColumnRenamed("reading_order", "_geo")
     both = geometric.join(placed, ["document_id", "page_number", "item_id"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -43,9 +45,13 @@ class HashedEmbedder:
         self.width = width
 
     def column(self, text: Column) -> Column:
-        spots = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * self.width)))
-        count = lambda s, k: F.size(F.filter(s, lambda x: x == k))
-        raw = let(spots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)), lambda k: (count(s, k) - count(s, k + self.width)).cast("double")))
+        spots = F.array_sort(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * self.width))))
+        # each spot's tokens lie together once sorted: how many there are is known from where it begins and where the next does
+        first = lambda s: F.map_from_entries(F.filter(F.transform(s, lambda x, i: F.struct(F.when((i == 0) | (F.get(s, i - 1) != x), x).alias("k"), i.alias("i"))), lambda e: e["k"].isNotNull()))
+        last = lambda s: F.map_from_entries(F.filter(F.transform(s, lambda x, i: F.struct(F.when((i == F.size(s) - 1) | (F.get(s, i + 1) != x), x).alias("k"), (i + 1).alias("i"))), lambda e: e["k"].isNotNull()))
+        count = lambda a, b, k: F.coalesce(F.try_element_at(b, k) - F.try_element_at(a, k), F.lit(0))
+        places = F.sequence(F.lit(0).cast("long"), F.lit(self.width - 1).cast("long"))
+        raw = let(spots, lambda s: let(first(s), lambda a: let(last(s), lambda b: F.transform(places, lambda k: (count(a, b, k) - count(a, b, k + self.width)).cast("double")))))
         return let(raw, lambda r: let(norm(r), lambda n: F.transform(r, lambda x: (x / F.when(n > 0, n).otherwise(1.0)).cast("float"))))
 
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
@@ -88,31 +94,41 @@ class RuledModel:
 
 class CalledModel:
     """Answers by any function of a prompt, such as a request to a service, a few prompts at a time beside each other. A call
-    that raises is tried again, then counts as failed: its answer is null, and the job goes on."""
+    that raises is tried again after a pause, twice as long each time, then counts as failed: its answer is null, and the job goes on.
+    So does one that takes longer than seconds, where these are given: it isn't waited for, nor tried again."""
 
-    def __init__(self, function: Callable[[str], str], tries: int = 2, beside: int = 4):
-        self.function, self.tries, self.beside = function, tries, beside
+    def __init__(self, function: Callable[[str], str], tries: int = 2, beside: int = 4, seconds: float | None = None, pause: float = 0.0):
+        self.function, self.tries, self.beside, self.seconds, self.pause = function, tries, beside, seconds, pause
 
     def answer(self, df: DataFrame, prompt: str, out: str) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.types import StringType, StructField, StructType
 
-        function, tries, beside = self.function, self.tries, self.beside
+        function, tries, beside, seconds, pause = self.function, self.tries, self.beside, self.seconds, self.pause
 
         def one(text: str | None) -> str | None:
-            for _ in range(tries):
+            for k in range(tries):
                 try:
                     return function(text or "")
                 except Exception:  # noqa: BLE001 - whatever a service raises is a failed call
-                    continue
+                    if pause and k + 1 < tries:
+                        time.sleep(pause * 2**k)
             return None
 
+        def timed(text: str | None) -> str | None:
+            """one() on a thread of its own, which a call that hangs keeps."""
+            box: list[str | None] = [None]
+            runner = threading.Thread(target=lambda: box.__setitem__(0, one(text)), daemon=True)
+            runner.start()
+            runner.join(seconds)
+            return box[0]
+
         def run(batches: Iterator) -> Iterator:
             from concurrent.futures import ThreadPoolExecutor
 
             with ThreadPoolExecutor(beside) as pool:
                 for b in batches:
-                    made = list(pool.map(one, b.column(b.schema.get_field_index(prompt)).to_pylist()))
+                    made = list(pool.map(one if seconds is None else timed, b.column(b.schema.get_field_index(prompt)).to_pylist()))
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, out])
 
         return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))

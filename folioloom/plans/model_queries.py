@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import lenient as L
 from folioloom.functions import text as T
-from folioloom.operators import chunking, layout, models, pages, ports, retrieval, store
+from folioloom.operators import chunking, layout, ledger, models, pages, ports, retrieval, store
 from folioloom.plans import queries as base
 from folioloom.plans.queries import _ITEMS, _REGIONS, _items, _regions, _t, query
+from folioloom.sources.shared import new_folder
 
 _rule = ports.RuledModel
 _field = lambda p, head: F.regexp_extract(p, rf"(?s){head}(.*?)(?:\n|$)", 1)
@@ -140,21 +141,56 @@ def context_compression(spark, d):
     return got.select("query_id", F.when(F.col("context") == "", "").otherwise(F.md5("context")).alias("context"))
 
 
-@query(f"""WITH {base._Q_SQL} SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'answer ' || query_id WHEN 1 THEN 'answer ' || query_id WHEN 2 THEN 'fixed INFERRED N/A' ELSE CASE WHEN query_id = 7 THEN 'answer 7' ELSE 'fixed UNSUPPORTED why' END END AS answer, query_id % 4 IN (2, 3) AS flawed FROM q""")
+@query(f"""WITH {_FOUND}, fs AS (SELECT query_id, (SELECT arg_min(doc_id, rank) FROM ps WHERE ps.query_id = q.query_id) AS c FROM q)
+  SELECT query_id, CASE WHEN query_id IN (1, 4) OR c IS NULL OR c % 3 = 2 THEN 'answer ' || query_id WHEN c % 3 = 0 THEN 'fixed INFERRED N/A' ELSE 'fixed UNSUPPORTED not in ' || c END AS answer,
+    query_id <> 4 AND coalesce(c % 3 < 2, false) AS flawed FROM fs""")
 def faithfulness_correction(spark, d):
-    """Claims are supported, inferred or unsupported; the check fails on question 4, the correction on question 7."""
+    """Claims are supported, inferred or not, as the first source says; the check fails on question 4, the correction on question 1."""
     asked, found = _found(spark, d)
     answers = asked.select("query_id", F.concat(F.lit("answer "), F.col("query_id").cast("string")).alias("answer"))
-    status = F.when(F.col("query_id") % 4 == 2, "INFERRED").when(F.col("query_id") % 4 == 3, "UNSUPPORTED").otherwise("SUPPORTED")
-    note = F.when(F.col("query_id") % 4 == 3, "why").otherwise("")
-    verdict = F.concat(F.lit('```\n{"claims": [{"claim_text": "c", "status": "'), status, F.lit('", "note": "'), note, F.lit('"}, 7], "recommended_action": "flag_for_review"}\n```'))
+    first = lambda p: F.regexp_extract(p, r"\[CHUNK (\d+) \|", 1)
+    kind = lambda p: F.coalesce(first(p).try_cast("long") % 3, F.lit(2))
+    status = lambda p: F.when(kind(p) == 0, "INFERRED").when(kind(p) == 1, "UNSUPPORTED").otherwise("SUPPORTED")
+    note = lambda p: F.when(kind(p) == 1, F.concat(F.lit("not in "), first(p))).otherwise("")
+    verdict = lambda p: F.concat(F.lit('```\n{"claims": [{"claim_text": "c", "status": "'), status(p), F.lit('", "note": "'), note(p), F.lit('"}, 7], "recommended_action": "flag_for_review"}\n```'))
     fixed = lambda p: F.concat(F.lit("fixed "), _field(p, "\nStatus: "), F.lit(" "), _field(p, "\nNote: "))
-    said = lambda p: F.when(p.startswith(models.CHECK), F.when(F.col("query_id") != 4, verdict)).otherwise(F.when(F.col("query_id") != 7, fixed(p)))
+    said = lambda p: F.when(p.startswith(models.CHECK), F.when(F.col("query_id") != 4, verdict(p))).otherwise(F.when(F.col("query_id") != 1, fixed(p)))
     checked = models.check(_rule(said), asked, found, answers)
     flawed = checked.select("query_id", L.needs_correction(F.col("checked")).alias("flawed"))
     return models.correct(_rule(said), checked).join(flawed, "query_id")
 
 
+@query("""WITH p AS (SELECT DISTINCT coalesce(source, '') || ' ' || coalesce(lang, '') AS t, lang FROM documents)
+  SELECT 'one' AS run, count(*) AS calls, count(*) FILTER (lang = 'fr') AS failed FROM p UNION ALL SELECT 'two', count(*), count(*) FROM p WHERE lang = 'fr'""")
+def answers_ledger(spark, d):
+    """Two branches of one run, and a run after it, ask a prompt a document: each distinct one is called once, those that failed once more
+    in the second run."""
+    path, rows = new_folder(spark, "ledger"), _t(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("p"))
+    model = _rule(lambda p: F.when(~p.endswith(" fr"), F.concat(F.lit("on "), p)))
+    for run in ("one", "two"):
+        book = ledger.Ledger(model, "rule-1", path, run)
+        for branch in (0, 1):
+            book.answer(rows.where(F.col("doc_id") % 2 == branch), "p", "answer")
+    return book.rows(spark).groupBy("run").agg(F.count("*").alias("calls"), F.count(F.when(F.col("answer").isNull(), 1)).alias("failed"))
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'en' AND doc_id % 2 = 0 THEN 'first: even' WHEN lang IN ('en', 'de') THEN 'second: ' || lang WHEN lang = 'fr' THEN 'SKIP' END AS said,
+  CASE WHEN lang = 'en' AND doc_id % 2 = 0 THEN 'first' WHEN lang IN ('en', 'de') THEN 'second' WHEN lang = 'fr' THEN 'third' END AS model FROM documents""")
+def picture_cascade(spark, d):
+    """Three picture models in order, each asked only of crops on which those before it failed."""
+    rows = _t(spark, d, "documents").select(
+        "doc_id", F.encode(F.lit("png"), "UTF-8").alias("image"), F.lit("figure").alias("kind"), F.concat(F.coalesce("lang", F.lit("")), (F.col("doc_id") % 2).cast("string")).alias("context")
+    )
+    context = lambda p: F.element_at(F.split(p, "\n"), 2)
+    lang = lambda p: F.substring(context(p), 1, 2)
+    steps = [
+        ("first", _rule(lambda p: F.when(context(p) == "en0", "first: even"))),
+        ("second", _rule(lambda p: F.when(lang(p).isin("en", "de"), F.concat(F.lit("second: "), lang(p))))),
+        ("third", _rule(lambda p: F.when(lang(p) == "fr", "SKIP"))),
+    ]
+    return ledger.Cascade(steps, new_folder(spark, "cascade"), "model").describe(rows, "image", "kind", "context", "said").select("doc_id", "said", "model")
+
+
 @query(f"""WITH {_FOUND}, rg AS (SELECT query_id, doc_id, CASE doc_id % 3 WHEN 0 THEN 'table' ELSE 'figure' END AS kind FROM ps WHERE doc_id % 2 = 0 AND doc_id % 3 < 2),
   ro AS (SELECT q.query_id, question, list_sort(coalesce(list(CAST(doc_id AS VARCHAR)) FILTER (kind = 'table'), [])) AS tr, list_sort(coalesce(list(CAST(doc_id AS VARCHAR)) FILTER (kind = 'figure'), [])) AS fr FROM q LEFT JOIN rg USING (query_id) GROUP BY ALL),
   us AS (SELECT *, len(tr) > 0 AND {base._ANY(T.CALL_TABLE_TERMS)} AS ta, len(fr) > 0 AND {base._ANY(T.CALL_FIGURE_TERMS)} AS fa FROM ro)
