@@ -11,7 +11,7 @@ from folioloom.plans import queries as base
 from folioloom.plans.queries import _t, query
 from folioloom.sources import files, versions
 from folioloom.sources.shared import new_folder
-from folioloom.streaming import jobs
+from folioloom.streaming import attempts, jobs
 
 
 def _index_rows(docs, text):
@@ -107,6 +107,34 @@ def upload_states(spark, d):
     return last.join(rows.groupBy("document_id").agg(F.count("*").cast("int").alias("n_states")), "document_id")
 
 
+@query("""WITH f AS (SELECT n_name, CAST(sha256(n_name || chr(10)) AS VARCHAR) AS document_id FROM nation)
+  SELECT run, document_id, CASE WHEN n_name NOT IN ('CANADA', 'PERU') OR (n_name = 'CANADA' AND run = 3) THEN 'ready' WHEN n_name = 'PERU' AND run = 3 THEN 'given_up' ELSE 'error' END AS status,
+    CASE WHEN n_name IN ('CANADA', 'PERU') THEN run ELSE 1 END AS attempts, CASE WHEN n_name = 'PERU' OR (n_name = 'CANADA' AND run < 3) THEN 'ValueError: ' || n_name END AS error
+  FROM f CROSS JOIN (SELECT unnest([1, 2, 3])::INTEGER AS run)""")
+def upload_attempts(spark, d):
+    """Of the files of all nations one is bad for ever and one in two runs of three: all others are ready at once; the first is given up,
+    the second ready in the end."""
+    from datetime import datetime, timedelta, timezone
+
+    folder = new_folder(spark, "attempts")
+    _t(spark, d, "nation").select("n_name").repartition(25).write.text(f"{folder}/in")
+    out = None
+    for run in (1, 2, 3):
+
+        def each(r: dict, run: int = run) -> list[dict]:
+            name = r["content"].decode().strip()
+            if name == "PERU" or (name == "CANADA" and run < 3):
+                raise ValueError(name)
+            return [{"text": name, "n": len(name)}]
+
+        clock = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(days=run)  # noqa: UP017
+        handler = attempts.Ingestion(spark, f"{folder}/states", each, "text string, n int", lambda df: versions.Table(spark, f"{folder}/texts").replace(df), f"{folder}/staging", now=lambda clock=clock: clock)
+        jobs.each_batch(jobs.uploads(spark, f"{folder}/in", "*.txt"), handler, f"{folder}/checkpoint-{run}").awaitTermination()
+        rows = handler.rows().select(F.lit(run).alias("run"), "document_id", "status", "attempts", "error")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _there(spark, path: str) -> bool:
     from pyspark.errors import AnalysisException
 

@@ -16,10 +16,10 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def uploads(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> DataFrame:
-    """document_id (sha256 of the content), source_filename, content of files as they arrive."""
+    """document_id (sha256 of the content), source_filename, path, content of files as they arrive."""
     known = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(known).format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.sha2("content", 256).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("source_filename"), "content")
+    return files.select(F.sha2("content", 256).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("source_filename"), "path", "content")
 
 
 def tumbling(events: DataFrame, width: str, late: str, *keys: str) -> DataFrame:
@@ -138,7 +138,9 @@ def ingest(
 ) -> Callable[[DataFrame, int], None]:
     """A batch handler for uploads(): documents already done are passed over, so a repeated delivery changes nothing. states
     gets STATES rows as a batch goes on: preprocessing, indexing, then ready, or error and why; a batch that fails doesn't
-    end the stream where states are kept."""
+    end the stream where states are kept. Where the handler itself fails, the batch is halved by a hash of the ids and its halves
+    handled by themselves, down to single documents: those that fail alone end in error, all others in ready. So a sink that fails
+    may be given a document again. attempts.Ingestion catches errors a row instead, and tries again later."""
 
     def handle(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(["document_id"]).join(done(batch.sparkSession).select("document_id"), "document_id", "left_anti")
@@ -146,15 +148,30 @@ def ingest(
             sink(handle_document(fresh))
             return
         ids = fresh.select("document_id").persist()
-        told = lambda status, error=None: states(ids.select("document_id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error")))
+
+        def attempt(part: DataFrame, names: DataFrame, depth: int) -> None:
+            told = lambda status, error=None: states(names.select("document_id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error")))
+            try:
+                if depth == 0:
+                    told("preprocessing")
+                made = handle_document(part)
+                if depth == 0:
+                    told("indexing")
+                sink(made)
+                told("ready")
+            except Exception as e:  # noqa: BLE001 - any failure is some document's state
+                n = names.count()
+                if n <= 1 or depth >= 40:
+                    told("error", str(e)[:500])
+                    return
+                side = F.shiftright(F.xxhash64("document_id"), depth).bitwiseAND(1) == 0
+                for half in (side, ~side):
+                    own = names.where(half)
+                    if own.take(1):
+                        attempt(part.where(half), own, depth + 1)
+
         try:
-            told("preprocessing")
-            made = handle_document(fresh)
-            told("indexing")
-            sink(made)
-            told("ready")
-        except Exception as e:  # noqa: BLE001 - any failure is the document's state
-            told("error", str(e)[:500])
+            attempt(fresh, ids, 0)
         finally:
             ids.unpersist()
 
