@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioloom.operators import chunking, evaluation, layout, pages, store
+from folioloom.operators import chunking, evaluation, layout, pages, rollups, store
 from folioloom.plans import ask, ingest
 from folioloom.plans import model_queries as made
 from folioloom.plans import queries as base
@@ -215,6 +215,42 @@ def performance_report(spark, d):
     return pages.performance_report(runs, none, latency, total).select("line")
 
 
+_LEVELS = "SELECT coalesce(lang, '-') AS document_id, CAST(doc_id % 7 AS INTEGER) AS page_number, CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' END AS region_type, source AS label, n_chars FROM documents"
+
+
+@query(f"""SELECT document_id, page_number, region_type, label, CAST(4 - bit_count(GROUPING(document_id, page_number, region_type, label)) AS INTEGER) AS level, count(*) AS n, sum(n_chars)::BIGINT AS chars
+  FROM ({_LEVELS}) GROUP BY ROLLUP (document_id, page_number, region_type, label)""")
+def totals_by_level(spark, d):
+    """Regions and their characters over document, page, type and label, at every level in one pass; a null type is one."""
+    i = F.col("doc_id")
+    rows = _t(spark, d, "documents").select(
+        F.coalesce("lang", F.lit("-")).alias("document_id"),
+        (i % 7).cast("int").alias("page_number"),
+        F.when(i % 3 == 0, "table").when(i % 3 == 1, "figure").alias("region_type"),
+        F.col("source").alias("label"),
+        "n_chars",
+    )
+    return rollups.totals(rows, ["document_id", "page_number", "region_type", "label"], n=F.count("*"), chars=F.sum("n_chars"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, true AS near, true AS distinct_near
+  FROM events WHERE value IS NOT NULL AND CAST(ts AS DATE) >= (SELECT min(CAST(ts AS DATE)) + 2 FROM events) GROUP BY event_type""")
+def latency_sketches(spark, d):
+    """Sketches a day and type, written, and merged from the third day on: percentiles within the sketches' error in rank, and users
+    within theirs in number."""
+    events = _t(spark, d, "events").withColumn("day", F.to_date("ts"))
+    path = new_folder(spark, "sketches")
+    rollups.sketched(events, ["day", "event_type"], "value", "user_id").write.parquet(path)
+    since = F.date_add(F.lit(events.agg(F.min("day")).first()[0]), 2)
+    got = rollups.merged(spark.read.parquet(path).where(F.col("day") >= since), ["event_type"])
+    own = events.where((F.col("day") >= since) & F.col("value").isNotNull()).join(got.select("event_type", "p50", "p95", "p99", "distinct"), "event_type")
+    below = lambda p, f: F.avg(f(F.col("value"), F.col(p)).cast("double"))
+    near = [(below(p, lambda v, x: v < x) <= q + rollups.QUANTILE_ERROR) & (below(p, lambda v, x: v <= x) >= q - rollups.QUANTILE_ERROR) for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    users = F.count_distinct("user_id")
+    checks = own.groupBy("event_type").agg((near[0] & near[1] & near[2]).alias("near"), (F.abs(F.max("distinct") - users) <= F.greatest(F.lit(1.0), users * 0.05)).alias("distinct_near"))
+    return got.join(checks, "event_type").select("event_type", "n", F.round("mean", 6).alias("mean"), "min", "max", "near", "distinct_near")
+
+
 @query()
 def ingest_index(spark, d):
     """Recognised pages and detected boxes to index rows; tests hold its parts against SQL and loops."""

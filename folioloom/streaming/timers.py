@@ -42,7 +42,7 @@ class _Progress(StatefulProcessor):
                     done += 1
             total = max([total, *b["total_pages"].dropna().astype(int)])
         self.known.update((int(done), int(total)))
-        yield pd.DataFrame({self.key: [key[0]], "pages_done": [int(done)], "total_pages": [int(total)]})
+        yield pd.DataFrame({self.key: pd.Series([key[0]], dtype=object), "pages_done": [int(done)], "total_pages": [int(total)]})
 
     def close(self) -> None:
         pass
@@ -86,7 +86,7 @@ class _Limit(StatefulProcessor):
             both = sorted([*(zip(old[0], old[1], strict=True) if old else []), *own])
             self.hits.updateValue((ms,), ([u for u, _ in both], [h for _, h in both], False))
             self.handle.registerTimer(ms)
-        yield pd.DataFrame({self.key: [], "hit_id": [], "allowed": []})
+        yield pd.DataFrame({self.key: pd.Series([], dtype=object), "hit_id": [], "allowed": []})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:  # noqa: N802, N803
         import pandas as pd
@@ -117,7 +117,7 @@ class _Limit(StatefulProcessor):
             tail += 1
             self.handle.registerTimer(ms + self.span)  # so that it leaves even if no more hits come
         self.known.update((int(inside), int(head), int(tail)))
-        yield pd.DataFrame({self.key: [key[0]] * len(ids), "hit_id": ids, "allowed": allowed})
+        yield pd.DataFrame({self.key: pd.Series([key[0]] * len(ids), dtype=object), "hit_id": ids, "allowed": allowed})
 
     def close(self) -> None:
         pass
