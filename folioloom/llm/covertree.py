@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import io
 
 import numpy as np
@@ -11,87 +10,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioloom.llm import utf8
 from folioloom.llm.cluster import cut, dealt, placed, stored, table
 from folioloom.llm.hnsw import matrix, to_cells
 
 
+#: Points of a leaf at most; candidates for centres that are looked at together; points scored at once.
+LEAF, BATCH, CHUNK = 16, 64, 4_096
+
+
+def cover(points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, which): places of points chosen as centres, more than reach apart, so that every point lies within reach of one; and the
+    nearest centre of each point. Centres come a batch at a time: points that none covers yet, thinned until they're apart."""
+    size = (points**2).sum(axis=1)
+    near, which = np.full(len(points), np.inf), np.zeros(len(points), np.int64)
+    centres: list[int] = []
+    limit = reach * reach
+    left = np.arange(len(points))
+    while len(left):
+        batch = left[:: max(1, len(left) // BATCH)][:BATCH]
+        own = points[batch]
+        gap = ((own[:, None, :] - own[None, :, :]) ** 2).sum(axis=2)
+        taken: list[int] = []
+        for i in range(len(batch)):
+            if all(gap[i, j] > limit for j in taken):
+                taken.append(i)
+        picked = batch[taken]
+        d = np.maximum(0.0, size[:, None] + size[picked][None, :] - 2 * points @ points[picked].T)
+        d[picked, np.arange(len(picked))] = 0.0
+        best = d.argmin(axis=1)
+        d = d[np.arange(len(points)), best]
+        closer = d < near
+        near[closer], which[closer] = d[closer], best[closer] + len(centres)
+        centres += picked.tolist()
+        left = np.flatnonzero(near > limit)
+    return np.array(centres, np.int64), which
+
+
 class CoverTree:
-    """A cover tree in flat arrays. Level by level each node's points are split among centres chosen farthest first until
-    every point lies within half the parent's covering radius; so nodes of a level are separated by the radius they
-    cover. Leaves hold at most leaf points. radius is measured, not bounded: the farthest point below each centre."""
+    """A cover tree in flat arrays. The points of a node are dealt to centres among them, its children, so that each lies within half
+    the node's covering radius of its centre, and the centres are farther apart than that: there are as many children as it
+    takes. Leaves hold at most leaf points, or points that are all alike. A node's radius is measured: its farthest point. The
+    children of a node are numbered one after another."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 512, children: int = 12):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.points, self.leaf = points, leaf
         n = len(points)
         self.order = np.arange(n)
-        self.centre: list[np.ndarray] = []
-        self.radius: list[float] = []
-        self.span: list[tuple[int, int]] = []
-        self.below: list[list[int]] = []
-        self.leaf, self.width = leaf, children
+        self.centres, self.radii = np.zeros((0, points.shape[1] if points.ndim == 2 else 0)), np.zeros(0)
+        self.span, self.children = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
         if n:
-            self._build(points.mean(axis=0))
-        self.centres = np.array(self.centre).reshape(len(self.centre), points.shape[1] if points.ndim == 2 else 0)
-        self.radii = np.array(self.radius)
+            self._build()
 
     def dump(self) -> bytes:
-        out, below = io.BytesIO(), [x for b in self.below for x in b]
-        np.savez(
-            out,
-            points=self.points,
-            order=self.order,
-            centres=self.centres,
-            radii=self.radii,
-            span=np.array(self.span, np.int64).reshape(-1, 2),
-            below=np.array(below, np.int64),
-            sizes=np.array([len(b) for b in self.below], np.int64),
-        )
+        out = io.BytesIO()
+        np.savez(out, points=self.points, order=self.order, centres=self.centres, radii=self.radii, span=self.span, children=self.children)
         return out.getvalue()
 
     @classmethod
     def load(cls, raw: bytes) -> CoverTree:
         z, made = np.load(io.BytesIO(raw)), cls(np.zeros((0, 0)))
-        made.points, made.order, made.centres, made.radii = z["points"], z["order"], z["centres"], z["radii"]
-        made.span = [tuple(x) for x in z["span"].tolist()]
-        made.below = [x.tolist() for x in np.split(z["below"], np.cumsum(z["sizes"])[:-1])] if len(made.span) else []
+        for name in z.files:
+            setattr(made, name, z[name])
         return made
 
-    def _node(self, centre: np.ndarray, a: int, b: int) -> int:
-        d = np.sqrt(((self.points[self.order[a:b]] - centre) ** 2).sum(axis=1))
-        self.centre.append(centre)
-        self.radius.append(float(d.max()))
-        self.span.append((a, b))
-        self.below.append([])
-        return len(self.centre) - 1
-
-    def _build(self, root: np.ndarray) -> None:
-        todo = [self._node(root, 0, len(self.points))]
+    def _build(self) -> None:
+        root = self.points.mean(axis=0)
+        centres, radii = [root[None, :]], [np.sqrt(((self.points - root) ** 2).sum(axis=1)).max()[None]]
+        spans, children = [np.array([[0, len(self.points)]])], {}
+        todo, made = [(0, 0, len(self.points), float(radii[0][0]))], 1
         while todo:
-            k = todo.pop()
-            (a, b), half = self.span[k], self.radius[k] / 2
-            if b - a <= self.leaf or self.radius[k] == 0:
+            k, a, b, radius = todo.pop()
+            if b - a <= self.leaf or radius == 0:
                 continue
-            own = self.order[a:b]
-            pts = self.points[own]
-            near = np.full(b - a, np.inf)
-            which = np.zeros(b - a, np.int64)
-            far = int(((pts - self.centre[k]) ** 2).sum(axis=1).argmax())
-            picked = []
-            while near.max() > half * half and len(picked) < self.width:
-                d = ((pts - pts[far]) ** 2).sum(axis=1)
-                which[d < near] = len(picked)
-                near = np.minimum(near, d)
-                picked.append(pts[far])
-                far = int(near.argmax())
-            order = np.argsort(which, kind="stable")
-            self.order[a:b] = own[order]
-            at = a
-            for c, size in enumerate(np.bincount(which, minlength=len(picked)).tolist()):
-                if size:
-                    child = self._node(picked[c], at, at + size)
-                    self.below[k].append(child)
-                    todo.append(child)
-                    at += size
+            own = self.order[a:b].copy()
+            picked, which = cover(self.points[own], radius / 2)
+            by = np.argsort(which, kind="stable")
+            self.order[a:b] = own[by]
+            size = np.bincount(which, minlength=len(picked))
+            first = np.cumsum(size) - size
+            middle = self.points[own[picked]]
+            far = np.sqrt(((self.points[self.order[a:b]] - middle[which[by]]) ** 2).sum(axis=1))
+            wide = np.maximum.reduceat(far, first)  # each centre has at least itself
+            centres.append(middle)
+            radii.append(wide)
+            spans.append(np.stack([a + first, a + first + size], axis=1))
+            children[k] = (made, made + len(picked))
+            todo += [(made + int(i), a + int(first[i]), a + int(first[i] + size[i]), float(wide[i])) for i in np.flatnonzero(size > self.leaf)]
+            made += len(picked)
+        self.centres, self.radii, self.span = np.concatenate(centres), np.concatenate(radii), np.concatenate(spans)
+        self.children = np.zeros((made, 2), np.int64)
+        for k, ends in children.items():
+            self.children[k] = ends
 
 
 def _integer_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,49 +145,59 @@ class Best:
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, dt: CoverTree, data_ids: np.ndarray, k: int, leaf: int = 512) -> tuple[Best, int]:
-    """Best of all queries over all of dt's points other than the query's own id, and how many pairs were scored. Node pairs are
-    taken in order of their bound and dropped when it's under the group's worst k-th score: for centres c, d and covering
-    radii r, s an inner product is at most c.d + r|d| + s|c| + rs."""
+def search(queries: np.ndarray, query_ids: np.ndarray, dt: CoverTree, data_ids: np.ndarray, k: int, leaf: int = LEAF) -> tuple[Best, int]:
+    """Best of all queries over all of dt's points other than the query's own id, and how many pairs were scored. The query tree is gone
+    down with the data nodes that can still matter to each of its nodes: a node pair is dropped when its bound is under the
+    group's worst k-th score. For centres c, d and covering radii r, s an inner product is at most c.d + r|d| + s|c| + rs. At a
+    query leaf the data nodes are opened down to their leaves, which are scored in the order of their bounds until these are too low."""
     best = Best(len(queries), k)
     qt, data = CoverTree(queries, leaf), dt.points
     if not len(queries) or not len(data):
         return best, 0
     norm_q, norm_d = np.sqrt((qt.centres**2).sum(axis=1)), np.sqrt((dt.centres**2).sum(axis=1))
+    inner = dt.children[:, 1] > 0
     scored = 0
 
-    def bounds(q: int, nodes: list[int]) -> np.ndarray:
-        d = np.array(nodes)
+    def bounds(q: int, d: np.ndarray) -> np.ndarray:
         top = dt.centres[d] @ qt.centres[q] + qt.radii[q] * norm_d[d] + dt.radii[d] * norm_q[q] + qt.radii[q] * dt.radii[d]
         return top + 1e-9 * np.abs(top) + 1.0  # rounding of centres and radii
 
-    stack = [(0, [0])]
+    def opened(d: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """d with the children of those of which in their place."""
+        ends = dt.children[d[which]]
+        return np.concatenate([d[~which], utf8.flat(ends[:, 0], ends[:, 1] - ends[:, 0])])
+
+    stack = [(0, np.zeros(1, np.int64))]
     while stack:
         q, nodes = stack.pop()
         a, b = qt.span[q]
         rows = qt.order[a:b]
-        if qt.below[q]:
-            floor = best.worst(rows).min()
-            live = [n for n, top in zip(nodes, bounds(q, nodes).tolist(), strict=True) if top >= floor]
+        if qt.children[q, 1]:
+            live = nodes[bounds(q, nodes) >= best.worst(rows).min()]
             # data nodes as wide as the query node are opened together with it
-            opened = [m for n in live for m in (dt.below[n] if dt.below[n] and dt.radii[n] > qt.radii[q] / 2 else [n])]
-            stack += [(c, opened) for c in qt.below[q]]
+            live = opened(live, inner[live] & (dt.radii[live] > qt.radii[q] / 2))
+            stack += [(c, live) for c in range(*qt.children[q])]
             continue
-        heap = sorted(zip((-bounds(q, nodes)).tolist(), nodes, strict=True))
-        while heap:
-            top, n = heapq.heappop(heap)
-            if -top < best.worst(rows).min():
+        floor = best.worst(rows).min()
+        while True:
+            nodes = nodes[bounds(q, nodes) >= floor]
+            if not inner[nodes].any():
                 break
-            if dt.below[n]:
-                for t, m in zip((-bounds(q, dt.below[n])).tolist(), dt.below[n], strict=True):
-                    heapq.heappush(heap, (t, m))
-                continue
-            c, d = dt.span[n]
-            for at in range(c, d, 4096):
-                cols = dt.order[at : min(d, at + 4096)]
-                score = _integer_scores(queries[rows], data[cols])
-                best.offer(rows, score, data_ids[cols], query_ids[rows][:, None] != data_ids[cols][None, :])
+            nodes = opened(nodes, inner[nodes])
+        top = bounds(q, nodes)
+        by = np.argsort(-top, kind="stable")
+        nodes, top = nodes[by], top[by]
+        size = dt.span[nodes, 1] - dt.span[nodes, 0]
+        done, most = 0, 4 * k
+        while done < len(nodes) and top[done] >= best.worst(rows).min():
+            upto = done + max(1, int(np.searchsorted(np.cumsum(size[done:]), most, side="right")))
+            cols = dt.order[utf8.flat(dt.span[nodes[done:upto], 0], size[done:upto])]
+            for at in range(0, len(cols), CHUNK):
+                part = cols[at : at + CHUNK]
+                score = _integer_scores(queries[rows], data[part])
+                best.offer(rows, score, data_ids[part], query_ids[rows][:, None] != data_ids[part][None, :])
                 scored += score.size
+            done, most = upto, min(CHUNK, 2 * most)
     return best, scored
 
 
@@ -195,9 +215,9 @@ def top_k(
     k: int = 5,
     every: int = 50,
     scale: float = 256.0,
-    shard_bytes: int = 32 << 20,
+    shard_bytes: int = 4 << 20,
     block_rows: int = 65536,
-    leaf: int = 512,
+    leaf: int = LEAF,
     shard_rows: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each query, a row whose vec_id is divisible by every, the k highest integer inner
@@ -232,7 +252,7 @@ def top_k(
         if left.num_rows and right.num_rows:
             ids = left.column("vec_id").to_numpy()
             data_ids = right.column("ids").combine_chunks().flatten().to_numpy()
-            best, _ = search(np.floor(matrix(left, width)), ids, CoverTree.load(right.column("tree")[0].as_py()), data_ids, k)
+            best, _ = search(np.floor(matrix(left, width)), ids, CoverTree.load(right.column("tree")[0].as_py()), data_ids, k, leaf)
             have = np.arange(k)[None, :] < best.have[:, None]
             cols = [np.repeat(ids, best.have), best.id[have], best.score[have]]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])

@@ -72,3 +72,34 @@ def test_graph_small(spark):
     assert hnsw.nearest(df.limit(0)).count() == 0
     uneven = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0]), (0, [3.0]), (0, [3.0])], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id, r.score) for r in hnsw.nearest(uneven).collect()) == [(1, 2.0), (1, 8**0.5)]
+
+
+@pytest.mark.parametrize("make", ["flat", "clusters", "copies"])
+def test_cover_tree_rules_and_pruning_at_defaults(make):
+    """Every node's points are its children's; each lies within half the node's radius of its child's centre, centres farther apart
+    than that, radii as measured; and few pairs are scored with the parameters of the query."""
+    rng = np.random.default_rng(9)
+    v = {"flat": lambda: rng.normal(size=(2000, 64)) * 32, "clusters": lambda: rng.normal(size=(12, 64))[rng.integers(0, 12, 3000)] * 32 + rng.normal(size=(3000, 64)), "copies": lambda: np.repeat(rng.normal(size=(50, 8)) * 99, 40, axis=0)}[make]()
+    v = np.floor(v)
+    t = covertree.CoverTree.load(covertree.CoverTree(v).dump())
+    assert sorted(t.order.tolist()) == list(range(len(v)))
+    for k, ((a, b), (c, d), radius) in enumerate(zip(t.span, t.children, t.radii)):
+        far = np.sqrt(((v[t.order[a:b]] - t.centres[k]) ** 2).sum(axis=1))
+        assert abs(far.max() - radius) < 1e-6
+        if not d:
+            assert b - a <= covertree.LEAF or radius == 0
+            continue
+        assert t.span[c, 0] == a and t.span[d - 1, 1] == b and (t.span[c + 1 : d, 0] == t.span[c : d - 1, 1]).all()
+        assert (t.radii[c:d] <= radius / 2 + 1e-6).all()
+        if d - c > 1:
+            own = t.centres[c:d]
+            gap = (own**2).sum(axis=1)[:, None] + (own**2).sum(axis=1) - 2 * own @ own.T
+            np.fill_diagonal(gap, np.inf)
+            assert np.sqrt(max(0.0, gap.min())) > radius / 2 - 1e-3
+    ids, q = np.arange(len(v)), np.arange(0, len(v), 50)
+    best, scored = covertree.search(v[q], ids[q], t, ids, 5)
+    for i, x in enumerate(q):
+        s = v @ v[x]
+        s[x] = -np.inf
+        assert np.array_equal(np.lexsort((ids, -s))[:5], best.id[i])
+    assert scored < (0.2 if make == "clusters" else 0.5) * len(q) * len(v)
