@@ -9,7 +9,7 @@ from folioloom.plans import ask, ingest
 from folioloom.plans import model_queries as made
 from folioloom.plans import queries as base
 from folioloom.plans.queries import _t, query
-from folioloom.sources import files, versions
+from folioloom.sources import bundles, files, versions
 from folioloom.sources.shared import new_folder
 from folioloom.streaming import attempts, jobs
 
@@ -51,6 +51,21 @@ def table_versions(spark, d):
     return each(held.read(first), "first").unionByName(each(held.read(), "last"))
 
 
+@query("""WITH d AS (SELECT doc_id, 'd' || (doc_id // 10) AS document_id, doc_id % 97 = 5 AS odd, source FROM documents)
+  SELECT document_id, CASE WHEN NOT odd THEN doc_id END AS chunk_id, CASE WHEN NOT odd THEN source END AS title, CASE WHEN odd THEN '"five" is no bigint' END AS error FROM d""")
+def bundle_scan(spark, d):
+    """Documents written as artifact folders, some under structured/, and read from there; rows that don't fit say why."""
+    root, i = new_folder(spark, "bundles"), F.col("doc_id")
+    name = F.concat(F.lit("d"), F.expr("doc_id div 10").cast("string"))
+    fits = F.to_json(F.struct(i.alias("chunk_id"), F.col("source").alias("title")))
+    rows = _t(spark, d, "documents").select(name.alias("document_id"), F.when(i % 97 == 5, '{"chunk_id": "five"}').otherwise(fits).alias("json"), (F.expr("doc_id div 10") % 3 == 0).alias("deep"))
+    for deep in (True, False):
+        bundles.write(rows.where(rows.deep == deep), root, "chunks", deep)
+    bundles.register(spark)
+    read = spark.read.format("bundles").option("path", root).option("artifact", "chunks").schema("document_id string, chunk_id long, title string, error string").load()
+    return read.withColumn("error", F.regexp_replace("error", "^[^:]*: ", ""))
+
+
 @query("SELECT document_id, n_chunks FROM (SELECT lang || (doc_id % 50) AS document_id, count(*) AS n_chunks FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)")
 def index_rebuild(spark, d):
     """The index of all documents, then of a third alone; its chunks a document."""
@@ -199,20 +214,23 @@ def report_bars(spark, d):
     return evaluation.bars(means.withColumn("mean", F.round("mean", 3)), ("de", "fr")).select("line")
 
 
-@query("""SELECT '| ' || substr(replace(url, '|', '\\|'), 1, 200) || ' | 3 | 6 | ' || (page_id % 7) || '.0 | 2.0 |' AS line FROM pages
-  UNION ALL SELECT '| ' || 3 * count(*) || ' | ' || count(*) || ' | ' || sum(page_id % 7) || ' | 0.0 | 2.0 |' FROM pages""")
+_CELL = "replace(replace(substr({}, 1, {}), '|', '\\|'), chr(10), ' ')"
+
+
+@query(f"""WITH r AS (SELECT url, (page_id % 2 + 1) * 3 AS pages, length(html) // 100 AS chunks, (page_id % 7)::DOUBLE AS seconds FROM pages),
+  s AS (SELECT event_type, list(value ORDER BY value) AS l, avg(value) AS mean, median(value) AS med, coalesce(stddev_samp(value), 0) AS sd FROM events WHERE value IS NOT NULL GROUP BY event_type)
+  SELECT '| ' || {_CELL.format('url', 200)} || ' | ' || pages || ' | ' || chunks || ' | ' || printf('%.1f', seconds) || ' | ' || printf('%.1f', chunks / pages) || ' |' AS line FROM r
+  UNION ALL SELECT '| ' || {_CELL.format('"text"', 60)} || ' | ' || length("text") || ' | ' || printf('%.3f', item_id % 10 / 10.0) || ' | ' || {_CELL.format('"text"', 90)} || ' |' FROM benchmark
+  UNION ALL SELECT '| ' || array_to_string([printf('%.0f', x) FOR x IN [mean, med, l[greatest(1, CAST(floor(len(l) * 95 / 100) AS INTEGER))], l[greatest(1, CAST(floor(len(l) * 99 / 100) AS INTEGER))], l[1], l[-1], sd]], ' | ') || ' |' FROM s
+  UNION ALL SELECT '| ' || sum(pages) || ' | ' || count(*) || ' | ' || printf('%.0f', sum(seconds)) || ' | ' || printf('%.1f', sum(seconds) / sum(pages)) || ' | ' || printf('%.1f', sum(chunks) / sum(pages)) || ' |' FROM r""")
 def performance_report(spark, d):
-    """A row a document, and the totals."""
+    """A row a web page as a run, a row a question, latencies of events by type, and the totals."""
     runs = _t(spark, d, "pages").select(
-        F.col("url").alias("source_filename"),
-        F.lit(3).cast("long").alias("pages"),
-        F.lit(6).cast("long").alias("chunks"),
-        (F.col("page_id") % 7).cast("double").alias("seconds"),
+        F.col("url").alias("source_filename"), ((F.col("page_id") % 2 + 1) * 3).alias("pages"), F.expr("length(html) div 100").alias("chunks"), (F.col("page_id") % 7).cast("double").alias("seconds")
     )
-    none = spark.createDataFrame([], "question string, milliseconds double, top_score double, answer string")
-    latency = spark.createDataFrame([], "mean double, median double, p95 double, p99 double, min double, max double, stdev double")
-    total = pages.throughput(runs).withColumn("seconds_per_page", F.lit(0.0))
-    return pages.performance_report(runs, none, latency, total).select("line")
+    asked = _t(spark, d, "benchmark").select(F.col("text").alias("question"), F.length("text").cast("double").alias("milliseconds"), (F.col("item_id") % 10 / 10.0).alias("top_score"), F.col("text").alias("answer"))
+    latency = evaluation.latency(_t(spark, d, "events"), "event_type", "value")
+    return pages.performance_report(runs, asked, latency, pages.throughput(runs)).select("line")
 
 
 _LEVELS = "SELECT coalesce(lang, '-') AS document_id, CAST(doc_id % 7 AS INTEGER) AS page_number, CASE doc_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' END AS region_type, source AS label, n_chars FROM documents"
@@ -272,12 +290,17 @@ def job_progress(spark, d):
     return store.job_status(rows).withColumn("status", F.when(F.col("status") == "preprocessing", "click").otherwise(F.col("status")))
 
 
-@query("SELECT lang, max(doc_id % 3) <= 1 AS single FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang")
+@query("SELECT lang, max(CASE WHEN doc_id % 3 = 2 AND lang IN ('de', 'en') THEN 2 ELSE 1 END) <= 1 AS single FROM documents GROUP BY lang")
 def single_label_flag(spark, d):
-    """Whether any question has more than one label."""
-    labels = lambda lang: _t(spark, d, "documents").where(F.col("lang") == lang).select(F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("relevant"))
-    each = [evaluation.single_label(labels(lang)).select(F.lit(lang).alias("lang"), "single") for lang in ("de", "fr")]
-    return each[0].unionByName(each[1])
+    """Whether any question of each language has more than one label."""
+    two = (F.col("doc_id") % 3 == 2) & F.col("lang").isin("de", "en")
+    relevant = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(two, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    docs = _t(spark, d, "documents").select("lang", relevant.alias("relevant"))
+    out = None
+    for (lang,) in sorted(docs.select("lang").distinct().collect(), key=str):  # a few
+        one = evaluation.single_label(docs.where(F.col("lang").eqNullSafe(F.lit(lang)))).select(F.lit(lang).cast("string").alias("lang"), "single")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""WITH {base._BLOCKS}, bs AS (SELECT * FROM bn WHERE page_number % 3 <> 0), rs AS (SELECT * FROM regions WHERE region_type IN ('table', 'figure')),
