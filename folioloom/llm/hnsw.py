@@ -274,8 +274,8 @@ def nearest(
     queries into blocks of about block_rows. A task holds one shard's graph and one block; the shards' k nearest are merged.
     What the graphs return is scored anew on the original vectors. Left out: null vec_ids, and vectors that are null, zero,
     empty or hold null or non-finite components. Shorter vectors count as filled up with zeros. Rows that repeat both id and
-    vector are one candidate; an id with several vectors has a candidate, and as a query a search, for each. An empty table
-    gives no rows.
+    vector are one candidate; an id with several vectors has a candidate for each, and as a query a search for each, whose
+    results share one list of k. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors).dropDuplicates(["vec_id", "v"]))
