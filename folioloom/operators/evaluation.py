@@ -76,6 +76,18 @@ def bars(means: DataFrame, redundant: tuple[str, ...] = ()) -> DataFrame:
     return means.select("metric", F.concat("metric", F.lit(" "), F.format_string("%.3f", "mean"), F.lit(" "), bar, warning).alias("line"))
 
 
+def report_lines(results: DataFrame, means: DataFrame, redundant: tuple[str, ...] = ()) -> DataFrame:
+    """(n, line), to be sorted by n: bars() of means, then of each of results (n, question, answer, and a column a score) its question,
+    scores and the opening of its answer."""
+    scores = [c for c in results.columns if c not in ("n", "question", "answer")]
+    shown = F.concat_ws("  ", *[F.when(F.col(c).isNotNull(), F.format_string(f"{c}=%.2f", F.col(c).cast("double"))) for c in scores])
+    each = F.array(
+        F.format_string("Q%02d: %s", F.col("n").cast("int"), F.substring("question", 1, 60)), F.concat(F.lit("  "), shown), F.concat(F.lit("  "), F.substring(F.coalesce("answer", F.lit("")), 1, 120))
+    )
+    lines = results.select(F.format_string("1:%012d", F.col("n").cast("long")).alias("a"), F.posexplode(each).alias("i", "line"))
+    return bars(means, redundant).select(F.concat(F.lit("0:"), "metric").alias("n"), "line").unionByName(lines.select(F.concat("a", F.lit(":"), F.col("i").cast("string")).alias("n"), "line"))
+
+
 def single_label(labels: DataFrame) -> DataFrame:
     """single, one row: no question of labels (relevant) has more than one."""
     return labels.agg(F.coalesce(F.max(F.size("relevant")) <= 1, F.lit(True)).alias("single"))

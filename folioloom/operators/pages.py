@@ -10,24 +10,93 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioloom.operators import layout, ports
+from folioloom.streaming import attempts
 
 #: Items of a page that an order model is shown; the rest follow in geometric order.
 MOST_ITEMS = 510
 
 
-class PngPages:
-    """Renders documents that are a PNG image themselves: one page of the size in the file's header. Others have no pages."""
+def image_size(content: bytes) -> tuple[int, int] | None:
+    """(width, height) of a PNG, JPEG, BMP, WebP or TIFF image, by its headers; None of anything else."""
+    u = int.from_bytes
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return u(content[16:20], "big"), u(content[20:24], "big")
+    if content[:2] == b"BM" and len(content) >= 26:
+        return u(content[18:22], "little", signed=True), abs(u(content[22:26], "little", signed=True))
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(content) and content[at] == 0xFF:
+            kind, size = content[at + 1], u(content[at + 2 : at + 4], "big")
+            if kind == 0xFF:  # filling
+                at += 1
+            elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header
+                return u(content[at + 7 : at + 9], "big"), u(content[at + 5 : at + 7], "big")
+            else:
+                at += 2 + (0 if kind == 0x01 or 0xD0 <= kind <= 0xD8 else size)
+        return None
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP" and len(content) >= 30:
+        kind = content[12:16]
+        if kind == b"VP8X":
+            return 1 + u(content[24:27], "little"), 1 + u(content[27:30], "little")
+        if kind == b"VP8L":
+            bits = u(content[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if kind == b"VP8 ":
+            return u(content[26:28], "little") & 0x3FFF, u(content[28:30], "little") & 0x3FFF
+        return None
+    if content[:4] in (b"II*\x00", b"MM\x00*") and len(content) >= 8:
+        order = "little" if content[:2] == b"II" else "big"
+        at, found = u(content[4:8], order), {}
+        for k in range(u(content[at : at + 2], order)):
+            e = content[at + 2 + 12 * k : at + 14 + 12 * k]
+            if len(e) == 12 and u(e[:2], order) in (256, 257):
+                found[u(e[:2], order)] = u(e[8:10] if u(e[2:4], order) == 3 else e[8:12], order)
+        return (found[256], found[257]) if len(found) == 2 else None
+    return None
+
+
+class ImagePages:
+    """Renders documents that are an image themselves: one page of the size in the file's header. Others have no pages."""
 
     def render(self, documents: DataFrame) -> DataFrame:
-        number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-        png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
-        return documents.where(png & (F.length("content") >= 24)).select(
-            "document_id",
-            F.lit(1).alias("page_number"),
-            number(17).alias("image_width"),
-            number(21).alias("image_height"),
-            F.col("content").alias("image"),
-        )
+        def one(content: bytes) -> list[tuple[int, int, bytes]]:
+            size = image_size(content or b"")
+            return [(*size, content)] if size else []
+
+        return CalledRenderer(one).render(documents)
+
+
+PAGE_READ = "rec_texts array<string>, rec_scores array<double>, rec_boxes array<array<double>>, dt_polys array<array<array<double>>>"
+
+
+class CalledReader:
+    """Recognises text by any function of a page's image to a dict of rec_texts, rec_scores, rec_boxes, dt_polys, in the tasks that hold
+    the pages. A page on which it raises has error, and no text; it fails no other."""
+
+    def __init__(self, function: Callable[[bytes], dict]):
+        self.function = function
+
+    def read(self, pages: DataFrame) -> DataFrame:
+        """document_id, page_number, error, and what ocr_items() takes."""
+        function = self.function
+        return attempts.caught(pages.select("document_id", "page_number", "image"), lambda r: [function(r["image"])], PAGE_READ, ("document_id", "page_number"))
+
+
+class CalledDetector:
+    """Detects regions by any function of a page's image to a list of (label, score, [x0, y0, x1, y1]), as CalledReader does texts."""
+
+    def __init__(self, function: Callable[[bytes], list[tuple[str, float, list[float]]]]):
+        self.function = function
+
+    def detect(self, pages: DataFrame) -> DataFrame:
+        """document_id, page_number, error, and what detected_regions() takes: pos, label, score, coordinate. A page without regions has
+        a row without a label."""
+        function = self.function
+
+        def one(r: dict) -> list[dict]:
+            return [{"pos": i, "label": label, "score": float(score), "coordinate": [float(x) for x in box]} for i, (label, score, box) in enumerate(function(r["image"]))]
+
+        return attempts.caught(pages.select("document_id", "page_number", "image"), one, "pos int, label string, score double, coordinate array<double>", ("document_id", "page_number"))
 
 
 class CalledRenderer:

@@ -34,6 +34,10 @@ class PageReader(Protocol):
     def read(self, pages: DataFrame) -> DataFrame: ...
 
 
+class LayoutModel(Protocol):
+    def detect(self, pages: DataFrame) -> DataFrame: ...
+
+
 class OrderModel(Protocol):
     def logits(self, pages: DataFrame) -> DataFrame: ...
 

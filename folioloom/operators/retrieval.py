@@ -210,13 +210,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     return _ranked(both, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, rrf_k: int = 60) -> DataFrame:
+def fuse(dense: DataFrame, sparse: DataFrame, rrf_k: int = 60, alpha: float | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score: reciprocal rank fusion of two rankings (query_id, rank, chunk_id); ties in the order of
-    the dense rank, then the sparse one."""
+    the dense rank, then the sparse one. alpha: the dense ranking's share of the weight, the sparse one's is the rest; without it
+    each counts once."""
     d = dense.select("query_id", "chunk_id", F.col("rank").alias("dense_rank"))
     s = sparse.select("query_id", "chunk_id", F.col("rank").alias("sparse_rank"))
-    part = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
-    both = d.join(s, ["query_id", "chunk_id"], "full_outer").withColumn("score", part("dense_rank") + part("sparse_rank"))
+    part = lambda c, share: F.coalesce((1.0 if alpha is None else share) / (rrf_k + F.col(c)), F.lit(0.0))
+    both = d.join(s, ["query_id", "chunk_id"], "full_outer").withColumn("score", part("dense_rank", alpha) + part("sparse_rank", None if alpha is None else 1.0 - alpha))
     return _ranked(both, F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank")).select("query_id", "rank", "chunk_id", "score")
 
 

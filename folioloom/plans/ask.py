@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
-from folioloom.operators import evaluation, ports, retrieval
+from folioloom.operators import evaluation, models, ports, retrieval
+from folioloom.sources import files
 from folioloom.sources.files import Settings
 
 
@@ -90,6 +91,31 @@ class Ask:
             ).alias("sources"),
         )
 
+    def evaluate_run(self, questions: DataFrame, folder: str, judge: ports.TextModel | None = None) -> DataFrame:
+        """metric, mean, passes of a run over questions (query_id, question, ground_truth, relevant), whose results, a row a question that
+        was answered, summary and report are written to folder. A question on which the model fails is passed over: it has no
+        row and counts in no mean. judge: a model that scores answers too. Each question is answered once: what follows reads the
+        answers that were written."""
+        spark = questions.sparkSession
+        self.answer(questions).where("answer is not null").write.mode("overwrite").parquet(f"{folder}/answers")
+        answered = spark.read.parquet(f"{folder}/answers")
+        asked = questions.join(answered.select("query_id"), "query_id", "left_semi")
+        hits = answered.select("query_id", F.explode("sources").alias("s")).select("query_id", "s.rank", "s.chunk_id", "s.score")
+        scored = answered.join(questions.select("query_id", "ground_truth"), "query_id").join(evaluation.score(hits, asked.select("query_id", "relevant")), "query_id", "left")
+        metrics = ["hit_rate", "mrr", "precision_at_k", "recall_at_k"]
+        if judge is not None:
+            texts = hits.join(self.corpus.select("chunk_id", "text"), "chunk_id").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x.text).alias("contexts"))
+            shown = scored.join(texts, "query_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+            scored = models.judge(judge, shown).drop("contexts")
+            metrics += list(models.JUDGES)
+        scored.write.mode("overwrite").parquet(f"{folder}/scores")
+        results = spark.read.parquet(f"{folder}/scores")
+        means = evaluation.summary(results, tuple(metrics)).where("mean is not null")
+        single = evaluation.single_label(questions.select("relevant")).first().single
+        shown = results.select(F.col("query_id").alias("n"), "question", "answer", *metrics)
+        files.write_results(results, means, folder, evaluation.report_lines(shown, means, ("precision_at_k", "recall_at_k") if single else ()))
+        return means
+
     def evaluate(self, questions: DataFrame) -> DataFrame:
         """Mean metrics of questions (query_id, question, relevant)."""
         return evaluation.summary(evaluation.score(self.retrieve(questions), questions.select("query_id", "relevant")))

@@ -294,6 +294,14 @@ def rrf_fusion(spark, d):
     return _fused(spark, d)[0].withColumn("score", _six("score"))
 
 
+@query(f"""WITH {_FUSED}, fw AS (SELECT *, coalesce(0.3 / (60 + dr), 0) + coalesce(0.7 / (60 + sr), 0) AS w FROM fu)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY w DESC, dr NULLS LAST, sr NULLS LAST) AS INTEGER) AS rank, chunk_id, round(w, 6) AS score FROM fw""")
+def weighted_fusion(spark, d):
+    """Three tenths of the weight on vectors, the rest on terms."""
+    corpus, asked = _both(spark, d)
+    return retrieval.fuse(retrieval.dense_top_k(corpus, asked, 12), retrieval.bm25(corpus, asked, 12), alpha=0.3).withColumn("score", _six("score"))
+
+
 _BOOSTED = f"""{_FUSED}, bo AS (SELECT fr.query_id, chunk_id, rank AS old, {_DATA} AS data, s * CASE WHEN {_DATA} AND chunk_id % 3 < 2 THEN 1.3 ELSE 1 END AS s FROM fr JOIN q USING (query_id)),
   br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN data THEN -s ELSE 0 END, old) AS rank FROM bo)"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
@@ -81,14 +82,16 @@ def processed_folder(root: str, name_or_path: str) -> str:
     return f"{root}/{name_or_path}"
 
 
-def artifact(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """folder/name.json, else folder/structured/name.json, else no rows."""
+def artifact(spark: SparkSession, folder: str, name: str, schema: str, required: bool = False) -> DataFrame:
+    """folder/name.json, else folder/structured/name.json, else no rows, or FileNotFoundError where it's required."""
     for path in (f"{folder}/{name}.json", f"{folder}/structured/{name}.json"):
         try:
             return spark.read.schema(schema).json(path, multiLine=True)
         except AnalysisException as e:
             if not _missing(e):
                 raise
+    if required:
+        raise FileNotFoundError(f"{name}.json not found in {folder}")
     return spark.createDataFrame([], schema)
 
 
@@ -120,6 +123,13 @@ def write_index(rows: DataFrame, path: str) -> None:
     replace(rows.select(*_RECORD), path)
 
 
+def index_documents(rows: DataFrame, path: str) -> DataFrame:
+    """write_index(), and document_id, n: how many records each document of rows has now. One without any is passed over: it has no row,
+    and keeps what the index has of it."""
+    write_index(rows, path)
+    return index(rows.sparkSession, path).join(rows.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("n"))
+
+
 def rebuild_index(rows: DataFrame, path: str) -> None:
     """The index of rows alone: what was there goes."""
     versions.Table(rows.sparkSession, path).write(rows.select(*_RECORD))
@@ -152,13 +162,30 @@ def manifest(documents_: DataFrame, tables: dict[str, str], version: str = "1")
     )
 
 
-def write_results(results: DataFrame, summary: DataFrame, folder: str, report: str | None = None) -> None:
-    """results and summary as JSON lines, and the report, where there's one, as text."""
+def write_results(results: DataFrame, summary: DataFrame, folder: str, report: str | DataFrame | None = None) -> None:
+    """results and summary as JSON lines, and the report, where there's one, as text: a string, or lines (n, line) in the order of n."""
     results.write.mode("overwrite").json(f"{folder}/results")
     summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
     if report is not None:
         spark = results.sparkSession
-        spark.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
+        lines = spark.createDataFrame([(report,)], "value string").coalesce(1) if isinstance(report, str) else report.orderBy("n").select(F.col("line").alias("value"))
+        lines.write.mode("overwrite").text(f"{folder}/report")
+
+
+def delete_sql(keys: DataFrame, url: str, name: str, column: str, types: str | None = None) -> int:
+    """Deletes the rows of a database's table whose column has a value of keys (one column), by one statement, so all or none; how many.
+    The keys go to a table of their own beside it first, written in parallel, and gone afterwards; types: as for append_sql()."""
+    jvm, doomed = keys.sparkSession._jvm, f"{name}_doomed_{uuid.uuid4().hex[:8]}"
+    append_sql(keys.select(F.col(keys.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct(), url, doomed, types)
+    quoted = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        statement = connection.createStatement()
+        gone = statement.executeUpdate(f"DELETE FROM {name} WHERE {quoted} IN (SELECT {quoted} FROM {doomed})")
+        statement.executeUpdate(f"DROP TABLE {doomed}")
+        return gone
+    finally:
+        connection.close()
 
 
 def sql_table(spark: SparkSession, url: str, name: str, key: str | None = None, parts: int = 1, low: int = 0, high: int = 0) -> DataFrame:
@@ -167,8 +194,10 @@ def sql_table(spark: SparkSession, url: str, name: str, key: str | None = None,
     return spark.read.format("jdbc").options(**options).load()
 
 
-def append_sql(df: DataFrame, url: str, name: str) -> None:
-    df.write.format("jdbc").options(url=url, dbtable=name).mode("append").save()
+def append_sql(df: DataFrame, url: str, name: str, types: str | None = None) -> None:
+    """df at the end of a database's table, which is made if there's none; types: those of its columns that aren't to have the
+    database's usual one, as "id VARCHAR(64)"."""
+    df.write.format("jdbc").options(url=url, dbtable=name, **({"createTableColumnTypes": types} if types else {})).mode("append").save()
 
 
 USERS = t.StructType([
