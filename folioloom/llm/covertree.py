@@ -215,7 +215,7 @@ def top_k(
     k: int = 5,
     every: int = 50,
     scale: float = 256.0,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 2 << 20,
     block_rows: int = 65536,
     leaf: int = LEAF,
     shard_rows: int | None = None,
