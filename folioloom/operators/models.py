@@ -334,8 +334,69 @@ def descriptors(model: ports.TextModel, summed: DataFrame, documents: DataFrame,
     return embedded.withColumn("summary_embedding", F.when(F.col("summary") != "", F.col("summary_embedding")))
 
 
+STRATEGY = (
+    "Choose how to cut this document into chunks: semantic_section at its sections, where it's well structured; layout_aware so that tables and figures "
+    "stay whole, where it's full of data; recursive_large with a wide overlap, where it's dense and loose; semantic_fixed otherwise. "
+    'Answer in JSON: {"strategy", "chunk_size", "overlap", "keep_tables_intact", "reason"}.'
+)
+
+
+def choose_strategy(model: ports.TextModel | None, sections: DataFrame, described: DataFrame, chunk_size: int = 1800, overlap: int = 200) -> DataFrame:
+    """document_id, strategy, chunk_size, overlap, keep_tables_intact, reason, override for each document of described (document_id,
+    page_count, and what descriptors() gives), from its sections (document_id, tables, charts, figures, text_blocks): what the model
+    says, and the defaults of semantic_fixed where it says nothing, fails or isn't there. Numbers that are none count as not said.
+    Tables in more than half of the sections override it, and so does loose text in under three."""
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    total = sections.groupBy("document_id").agg(F.count("*").alias("n"), count("tables"), count("text_blocks"), F.coalesce(F.sum(F.col("figures") + F.col("charts")), F.lit(0)).alias("visuals"))
+    own = described.join(total, "document_id", "left").fillna(0, ["n", "tables", "text_blocks", "visuals"])
+    word = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    flag = lambda c, other: F.coalesce(F.col(c), F.lit(other)).cast("string")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    parts = (
+        ("doc_type", word("doc_type", "unknown")), ("domain", word("domain", "unknown")), ("pages", number("page_count")), ("sections", number("n")), ("tables", number("tables")), ("figures", number("visuals")),
+        ("text_blocks", number("text_blocks")), ("visual_heavy", flag("visual_heavy", False)), ("data_heavy", flag("data_heavy", False)), ("well_structured", flag("well_structured", True)),
+    )
+    profile = F.concat_ws(" ", *[F.concat(F.lit(f"{name}="), c) for name, c in parts])
+    said = own.withColumn("raw", F.lit(None).cast("string")) if model is None else ask(model, own, STRATEGY, F.concat(F.lit("Profile:\n"), profile))
+    m = said.withColumn("_m", L.lenient_map(F.coalesce("raw", F.lit("{}"))))
+    told = lambda k: F.col("_m")[k]
+    size, gap = F.coalesce(told("chunk_size").try_cast("int"), F.lit(chunk_size)), F.coalesce(told("overlap").try_cast("int"), F.lit(overlap))
+    tabular = F.col("tables") > F.col("n") / 2
+    loose = ~tabular & ~F.coalesce("well_structured", F.lit(True)) & (F.col("n") < 3)
+    reason = F.when(F.col("raw").isNull(), "no answer").otherwise(F.coalesce(told("reason"), F.lit("chosen by the model")))
+    return m.select(
+        "document_id",
+        F.when(tabular, "layout_aware").when(loose, "recursive_large").otherwise(F.coalesce(told("strategy"), F.lit("semantic_fixed"))).alias("strategy"),
+        F.when(loose, F.greatest(size, F.lit(2000))).otherwise(size).alias("chunk_size"),
+        gap.alias("overlap"),
+        (tabular | F.coalesce(told("keep_tables_intact") == "true", F.lit(False))).alias("keep_tables_intact"),
+        reason.alias("reason"),
+        F.when(tabular, "table-dominant document").when(loose, "unstructured document with few sections").alias("override"),
+    )
+
+
 # ---- pictures
 
+#: What a reading of a picture holds (fixed values).
+READING = ("type", "summary", "key_finding", "data_extracted", "confidence", "retrieval_mode")
+
+
+def read_visuals(model: ports.PictureModel, crops: DataFrame) -> DataFrame:
+    """document_id, region_id, crop_path, page_number, parent_title, each of READING, null where the model leaves it out, and
+    parse_error, of crops (document_id, region_id, region_type, page_number, crop_path, image, parent_title, parent_subtitle,
+    flat_text): what a picture model reads in each, shown the section around it, its text up to 300 characters. A crop without an
+    image, or on which the model fails, has no reading."""
+    title, sub = F.coalesce(F.nullif("parent_title", F.lit("")), F.lit("untitled")), F.coalesce("parent_subtitle", F.lit(""))
+    context = F.concat(
+        F.lit("Section: "), title, F.lit("\nSubtitle: "), sub, F.lit("\nPage: "), F.coalesce(F.col("page_number").cast("string"), F.lit("")), F.lit("\nText: "), F.substring(F.coalesce("flat_text", F.lit("")), 1, 300),
+        F.lit("\nAnswer in JSON: " + ", ".join(READING)),
+    )
+    said = model.describe(crops.where("image is not null").withColumn("_context", context), "image", "region_type", "_context", "_said").where("_said is not null")
+    m = said.withColumn("_m", L.lenient_map(F.col("_said")))
+    fields = [F.col("_m")[k].alias(k) for k in READING]
+    return m.select("document_id", "region_id", "crop_path", "page_number", title.alias("parent_title"), *fields, (F.coalesce(F.col("_m")["parse_error"] == "true", F.lit(False))).alias("parse_error"))
+
+
 def describe_pictures(model: ports.PictureModel, summaries: DataFrame) -> DataFrame:
     """summaries (region_id, region_type, summary_text, is_meaningful, crop_path, image) with what the picture model says of
     their crops: its text in the place of summary_text, or is_meaningful false where it says SKIP. Rows without an image, and

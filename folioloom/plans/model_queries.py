@@ -160,6 +160,42 @@ def faithfulness_correction(spark, d):
     return models.correct(_rule(said), checked).join(flawed, "query_id")
 
 
+@query("""WITH d AS (SELECT source || '-' || lang || '-' || (doc_id % 20) AS document_id, doc_id FROM documents),
+  t AS (SELECT document_id, count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS t, max(doc_id % 2) = 0 AS well FROM d GROUP BY ALL),
+  c AS (SELECT *, t > n / 2 AS tab, NOT t > n / 2 AND NOT well AND n < 3 AS loose, CASE n % 4 WHEN 1 THEN 1500 ELSE 1800 END AS size FROM t)
+  SELECT document_id, CASE WHEN tab THEN 'layout_aware' WHEN loose THEN 'recursive_large' WHEN n % 4 = 1 THEN 'semantic_section' WHEN n % 4 = 2 THEN 'recursive_large' ELSE 'semantic_fixed' END AS strategy,
+    CAST(CASE WHEN loose THEN greatest(size, 2000) ELSE size END AS INTEGER) AS chunk_size, CAST(CASE n % 4 WHEN 1 THEN 150 ELSE 200 END AS INTEGER) AS overlap, tab OR n % 4 = 1 AS keep_tables_intact,
+    CASE n % 4 WHEN 0 THEN 'no answer' WHEN 1 THEN 'r' || n ELSE 'chosen by the model' END AS reason, CASE WHEN tab THEN 'table-dominant document' WHEN loose THEN 'unstructured document with few sections' END AS override FROM c""")
+def chosen_strategies(spark, d):
+    """By the number of sections the model fails, answers whole, in part and with a size that's no number, or without JSON."""
+    i = F.col("doc_id")
+    rows = _t(spark, d, "documents").where("source is not null and lang is not null").select(F.concat_ws("-", "source", "lang", (i % 20).cast("string")).alias("document_id"), i)
+    sections = rows.select("document_id", (i % 5 == 0).cast("int").alias("tables"), F.lit(0).alias("charts"), F.lit(1).alias("figures"), F.lit(2).alias("text_blocks"))
+    described = rows.groupBy("document_id").agg((F.max(i % 2) == 0).alias("well_structured")).select(
+        "*", F.lit(3).alias("page_count"), F.lit("report").alias("doc_type"), F.lit("").alias("domain"), F.lit(False).alias("visual_heavy"), F.lit(None).cast("boolean").alias("data_heavy")
+    )
+    n = lambda p: F.regexp_extract(p, r"doc_type=report domain=unknown pages=3 sections=(\d+) ", 1).cast("int")
+    whole = lambda p: F.concat(F.lit('```json\n{"strategy": "semantic_section", "chunk_size": 1500, "overlap": 150, "keep_tables_intact": true, "reason": "r'), n(p).cast("string"), F.lit('"}\n```'))
+    said = lambda p: F.when(n(p) % 4 == 1, whole(p)).when(n(p) % 4 == 2, '{"strategy": "recursive_large", "chunk_size": "large"}').when(n(p) % 4 == 3, "none")
+    return models.choose_strategy(_rule(said), sections, described)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'chart' END AS type, CASE WHEN doc_id % 4 = 1 THEN coalesce(nullif(source, ''), 'untitled') || ': ' || least(300, length("text")) END AS key_finding, doc_id % 4 = 2 AS parse_error
+  FROM documents WHERE doc_id % 4 IN (1, 2)""")
+def visual_readings(spark, d):
+    """Of every four crops one is read, one answered without JSON, one fails and one has no image."""
+    i = F.col("doc_id")
+    crops = _t(spark, d, "documents").select(
+        i, F.lit("d").alias("document_id"), i.cast("string").alias("region_id"), F.lit("figure").alias("region_type"), (i % 4).cast("int").alias("page_number"), F.lit("c.png").alias("crop_path"),
+        F.when(i % 4 != 3, F.encode(F.lit("png"), "UTF-8")).alias("image"), F.col("source").alias("parent_title"), F.lit(None).cast("string").alias("parent_subtitle"), F.col("text").alias("flat_text"),
+    )
+    page = lambda p: _field(p, "\nPage: ")
+    size = lambda p: F.length(F.regexp_extract(p, r"(?s)\nText: (.*)\nAnswer in JSON", 1)).cast("string")
+    read = lambda p: F.concat(F.lit('{"type": "chart", "key_finding": "'), _field(p, "Section: "), F.lit(": "), size(p), F.lit('"}'))
+    got = models.read_visuals(_rule(lambda p: F.when(page(p) == "1", read(p)).when(page(p) == "2", "no reading")), crops)
+    return got.select(F.col("region_id").cast("long").alias("doc_id"), "type", "key_finding", "parse_error")
+
+
 @query("""WITH p AS (SELECT DISTINCT coalesce(source, '') || ' ' || coalesce(lang, '') AS t, lang FROM documents)
   SELECT 'one' AS run, count(*) AS calls, count(*) FILTER (lang = 'fr') AS failed FROM p UNION ALL SELECT 'two', count(*), count(*) FROM p WHERE lang = 'fr'""")
 def answers_ledger(spark, d):
