@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.functions import lenient as L
 from folioloom.operators import ports
 from folioloom.sources import versions
 
@@ -102,3 +103,26 @@ class Cascade:
 
     def describe(self, df: DataFrame, image: str, kind: str, context: str, out: str) -> DataFrame:
         return self._first(df, lambda step, left: step.describe(left, image, kind, context, out), out)
+
+
+class Checked:
+    """A text model of which only answers count that hold a JSON object with all of keys, none of them null; others are failures."""
+
+    def __init__(self, model: ports.TextModel, keys: tuple[str, ...], note: str = ""):
+        self.model, self.keys, self.note = model, keys, note
+
+    def answer(self, df: DataFrame, prompt: str, out: str) -> DataFrame:
+        asked = df.withColumn("_noted", F.concat(F.col(prompt), F.lit(self.note)))
+        said = self.model.answer(asked, "_noted", out).drop("_noted")
+        body = L.json_object(F.col(out))
+        whole = body.isNotNull()
+        for k in self.keys:
+            whole = whole & F.get_json_object(body, f"$.{k}").isNotNull()
+        return said.withColumn(out, F.when(whole, F.col(out)))
+
+
+def structured(model: ports.TextModel, name: str, keys: tuple[str, ...], folder: str, tries: int = 2) -> Cascade:
+    """A port that asks again, up to tries times in all, for an answer that holds a JSON object with all of keys; null where it never
+    comes. Answers are kept below folder, as a cascade's are: one that doesn't fit is a failure of the run."""
+    note = "\n\nThe last answer didn't have the form asked for. Answer with one JSON object that has " + ", ".join(keys) + ", and nothing else."
+    return Cascade([(f"{name}-{i}", Checked(model, keys, note if i else "")) for i in range(tries)], folder)

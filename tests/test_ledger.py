@@ -146,3 +146,18 @@ def test_hashed_embedder_counts(spark):
         c = np.bincount(spots[r.id], minlength=32)
         want = (c[:16] - c[16:]).astype(float)
         assert np.allclose(r.e, want / (np.linalg.norm(want) or 1.0), atol=1e-6)
+
+
+def test_answers_without_the_form_are_asked_again(spark, tmp_path, calls):
+    def said(p):
+        if "p1" in p:
+            return 'Of course: {"a": 1, "b": "x"}'
+        if "p2" in p:
+            return '{"a": 1, "b": "again"}' if "didn't have the form" in p else '{"a": 1}'
+        return "never"
+
+    model = ledger.structured(ports.CalledModel(counted(calls, said), tries=1), "m", ("a", "b"), f"{tmp_path}/s")
+    df = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p3")], "id long, p string")
+    got = {r.id: r.said for r in model.answer(df, "p", "said").collect()}
+    assert "x" in got[1] and "again" in got[2] and got[3] is None
+    assert len(prompts(calls)) == 5
