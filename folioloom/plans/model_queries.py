@@ -474,7 +474,7 @@ def image_pages(spark, d):
         F.col("o_orderkey").cast("string").alias("document_id"),
         F.when(F.col("o_orderkey") % 3 != 0, F.unhex(png)).otherwise(F.encode(F.lit("%PDF-1.7 and so on and on"), "UTF-8")).alias("content"),
     )
-    return pages.PngPages().render(files).select(F.col("document_id").cast("long").alias("doc_id"), "image_width", "image_height")
+    return pages.ImagePages().render(files).select(F.col("document_id").cast("long").alias("doc_id"), "image_width", "image_height")
 
 
 @query(f"""WITH {_REGIONS}, a AS (SELECT *, CASE WHEN page_number % 4 = 0 THEN 'missing_page_image' WHEN page_number % 4 = 1 THEN 'crop_open_failed' END AS issue FROM regions WHERE region_type IN ('table', 'figure'))
