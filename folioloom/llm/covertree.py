@@ -149,7 +149,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, dt: CoverTree, data_ids:
     """Best of all queries over all of dt's points other than the query's own id, and how many pairs were scored. The query tree is gone
     down with the data nodes that can still matter to each of its nodes: a node pair is dropped when its bound is under the
     group's worst k-th score. For centres c, d and covering radii r, s an inner product is at most c.d + r|d| + s|c| + rs. At a
-    query leaf the data nodes are opened down to their leaves, which are scored in the order of their bounds until these are too low."""
+    query leaf the data nodes are opened down to their leaves, which are scored, the highest bounds first, until these are too low."""
     best = Best(len(queries), k)
     qt, data = CoverTree(queries, leaf), dt.points
     if not len(queries) or not len(data):
@@ -178,26 +178,26 @@ def search(queries: np.ndarray, query_ids: np.ndarray, dt: CoverTree, data_ids:
             live = opened(live, inner[live] & (dt.radii[live] > qt.radii[q] / 2))
             stack += [(c, live) for c in range(*qt.children[q])]
             continue
-        floor = best.worst(rows).min()
         while True:
-            nodes = nodes[bounds(q, nodes) >= floor]
+            top = bounds(q, nodes)
+            keep = top >= best.worst(rows).min()
+            nodes, top = nodes[keep], top[keep]
             if not inner[nodes].any():
                 break
             nodes = opened(nodes, inner[nodes])
-        top = bounds(q, nodes)
-        by = np.argsort(-top, kind="stable")
-        nodes, top = nodes[by], top[by]
-        size = dt.span[nodes, 1] - dt.span[nodes, 0]
-        done, most = 0, 4 * k
-        while done < len(nodes) and top[done] >= best.worst(rows).min():
-            upto = done + max(1, int(np.searchsorted(np.cumsum(size[done:]), most, side="right")))
-            cols = dt.order[utf8.flat(dt.span[nodes[done:upto], 0], size[done:upto])]
+        most = 2 * k
+        while len(nodes):  # those of the highest bounds first: then most others are under the k-th score
+            first = np.argpartition(-top, most)[:most] if len(nodes) > most else np.arange(len(nodes))
+            spans = dt.span[nodes[first]]
+            cols = dt.order[utf8.flat(spans[:, 0], spans[:, 1] - spans[:, 0])]
             for at in range(0, len(cols), CHUNK):
                 part = cols[at : at + CHUNK]
                 score = _integer_scores(queries[rows], data[part])
                 best.offer(rows, score, data_ids[part], query_ids[rows][:, None] != data_ids[part][None, :])
                 scored += score.size
-            done, most = upto, min(CHUNK, 2 * most)
+            keep = top >= best.worst(rows).min()
+            keep[first] = False
+            nodes, top, most = nodes[keep], top[keep], min(CHUNK, 2 * most)
     return best, scored
 
 
@@ -215,7 +215,7 @@ def top_k(
     k: int = 5,
     every: int = 50,
     scale: float = 256.0,
-    shard_bytes: int = 2 << 20,
+    shard_bytes: int = 4 << 20,
     block_rows: int = 65536,
     leaf: int = LEAF,
     shard_rows: int | None = None,
