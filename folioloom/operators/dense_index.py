@@ -4,8 +4,8 @@ Vectors are brought to unit length. Coarse centroids and, for what is left of a
 parts are trained on a bounded sample; every vector then goes to the list of its nearest centroid as a code of one byte a part, and
 with it the length of what the code misses. A search reads only the lists that its questions probe. There a code gives a
 cosine and, by that length, bounds below and above it: a row whose upper bound is under the k-th lower bound can't be among the
-k best. The rest, few, are scored with their own vectors. So what is found in the probed lists is exact, and with all lists
-probed the result is dense_top_k()'s.
+k best. The rest, few, are scored with their own vectors; where bounds tell little, all of the probed lists is, without moving a row.
+So what is found in the probed lists is exact, and with all lists probed the result is dense_top_k()'s.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ SAMPLE_ROWS, ROUNDS = 20_000, 12
 #: Questions that a task holds at once; more are asked in blocks, one after another.
 QUERY_BLOCK = 2_000
 CODES = 256
+#: Pairs of a question and a row that a block of questions may leave to be scored, for these rows to be looked up; where bounds leave more,
+#: tasks score the probed lists where they lie.
+DUE_ROWS = 100_000
 #: The list of rows that have another width or no length: they are few, always probed, and scored as they are.
 ODD = -1
 
@@ -234,7 +237,9 @@ class Lists(versions.Table):
         lists = sorted(set(of_list) & set(v.buckets))
         shared = self.spark.sparkContext.broadcast((coder, vectors, size, unit, plain, of_list, [r.query_id for r in rows]))
 
-        def candidates(batches: Iterator) -> Iterator:
+        def bounded(batches: Iterator) -> Iterator:
+            """(batch, list, places in it, questions, cosines by the codes, what these miss) of plain questions, 64 at a time; questions
+            without bounds come with None."""
             coder, _, _, unit, plain, of_list, _ = shared.value
             for b in batches:
                 own = b.column(0).to_numpy()
@@ -244,21 +249,31 @@ class Lists(versions.Table):
                     at, asks = np.flatnonzero(own == one), np.array(of_list.get(int(one), []), np.int64)
                     sure = np.zeros(0, np.int64) if one == ODD else asks[plain[asks]]
                     for i in range(0, len(sure), 64):
-                        part = sure[i : i + 64]
-                        c = coder.cosines(unit[part], int(one), codes[at])
-                        low, high = c - missed[at] - 1e-9, c + missed[at] + 1e-9
-                        floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(part), -np.inf)
-                        r, col = np.nonzero(high >= floor[:, None])
-                        yield from given(b, one, part[r], at[col], low[r, col], high[r, col])
-                    rest = np.setdiff1d(asks, sure)
-                    if len(rest):
-                        r, col = np.repeat(np.arange(len(rest)), len(at)), np.tile(np.arange(len(at)), len(rest))
-                        yield from given(b, one, rest[r], at[col], np.full(len(r), -2.0), np.full(len(r), 2.0))
-
-        def given(b, one, q, at, low, high) -> Iterator:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q.astype(np.int32)), pa.array(np.full(len(q), one, np.int32)), b.column(1).take(pa.array(at)), pa.array(low), pa.array(high)], names=["i", "list", "chunk_id", "low", "high"]
-            )
+                        yield b, one, at, sure[i : i + 64], coder.cosines(unit[sure[i : i + 64]], int(one), codes[at]), missed[at] + 1e-9
+                    if len(rest := np.setdiff1d(asks, sure)):
+                        yield b, one, at, rest, None, None
+
+        def floors(batches: Iterator) -> Iterator:
+            """The k highest lower bounds of each question in a task."""
+            best = np.full((len(shared.value[3]), k), -np.inf)
+            for _, _, _, part, c, gap in bounded(batches):
+                if c is not None:
+                    both = np.concatenate([best[part], c - gap], axis=1)
+                    best[part] = np.partition(both, -k, axis=1)[:, -k:]
+            i, j = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(best[i, j])], names=["i", "low"])
+
+        def due_pairs(batches: Iterator) -> Iterator:
+            for b, one, at, part, c, gap in bounded(batches):
+                r, col = np.nonzero(c + gap >= floor.value[part][:, None]) if c is not None else np.indices((len(part), len(at))).reshape(2, -1)
+                yield b, one, part[r], at[col]
+
+        def counted(batches: Iterator) -> Iterator:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(q) for _, _, q, _ in due_pairs(batches))], pa.int64())], names=["n"])
+
+        def candidates(batches: Iterator) -> Iterator:
+            for b, one, q, at in due_pairs(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(np.full(len(q), one, np.int32)), b.column(1).take(pa.array(at))], names=["i", "list", "chunk_id"])
 
         def rescored(batches: Iterator) -> Iterator:
             _, vectors, size, _, _, _, ids = shared.value
@@ -272,16 +287,56 @@ class Lists(versions.Table):
                     out[at] = _cosines(q, size[one : one + 1], m[at], m_size[at])[0]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], types["query_id"]), b.column(1), b.column(2), pa.array(out)], names=["query_id", "chunk_id", "ord", "score"])
 
+        def scanned(batches: Iterator) -> Iterator:
+            """The k best rows of each question in a task, by the vectors, of rows (list, chunk_id, ord, embedding)."""
+            _, vectors, size, _, _, of_list, ids = shared.value
+            low = np.where(np.isfinite(floor.value), floor.value - 1e-9, -np.inf)
+            held = pa.table({"i": pa.array([], pa.int64()), "chunk_id": pa.array([], types["chunk_id"]), "ord": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+            def best(parts: list) -> pa.Table:
+                both = pa.concat_tables(parts).combine_chunks()
+                i, order, score = (both.column(c).to_numpy() for c in ("i", "ord", "score"))
+                by = np.lexsort((order, -score, i))
+                first = np.r_[True, i[by][1:] != i[by][:-1]] if len(by) else np.zeros(0, bool)
+                place = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+                return both.take(pa.array(by[place < k]))
+
+            new, waiting = [], 0
+            for b in batches:
+                own = b.column(0).to_numpy()
+                m, m_size = _matrix(pa.chunked_array([b.column(3)]), max(vectors.shape[1], int(np.diff(b.column(3).offsets.to_numpy()).max(initial=0))))
+                wide = np.pad(vectors, ((0, 0), (0, m.shape[1] - vectors.shape[1])))
+                for one in np.unique(own):
+                    at, asks = np.flatnonzero(own == one), np.array(of_list.get(int(one), []), np.int64)
+                    for j in range(0, len(asks), 256):
+                        part = asks[j : j + 256]
+                        c = _cosines(wide[part], size[part], m[at], m_size[at])
+                        least = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(part), -np.inf)
+                        r, col = np.nonzero(c >= np.maximum(least, low[part])[:, None])
+                        rows_ = pa.array(at[col])
+                        new.append(pa.table({"i": pa.array(part[r]), "chunk_id": b.column(1).take(rows_), "ord": b.column(2).take(rows_), "score": pa.array(c[r, col])}))
+                        waiting += len(r)
+                        if waiting > 4 * k * len(ids) + 100_000:
+                            held, new, waiting = best([held, *new]), [], 0
+            held = best([held, *new])
+            i = held.column("i").to_numpy()
+            yield from pa.table({"query_id": pa.array([ids[x] for x in i], types["query_id"]), **{c: held.column(c) for c in ("chunk_id", "ord", "score")}}).to_batches()
+
         from pyspark.sql.pandas.types import to_arrow_type
 
-        types = {"query_id": to_arrow_type(t.StructType.fromDDL(f"query_id {kind}")["query_id"].dataType)}
-        held = self._rows(v, lists)
-        coded = held.select("list", "chunk_id", "code", "missed").mapInArrow(candidates, f"i int, list int, chunk_id {name}, low double, high double")
-        of = W.partitionBy("i")
-        floor = F.max(F.when(F.col("n") == k, F.col("low"))).over(of)
-        due = coded.withColumn("n", F.row_number().over(of.orderBy(F.desc("low")))).withColumn("floor", floor).where("floor is null or high >= floor").select("i", "list", "chunk_id").distinct()
-        full = held.select("list", "chunk_id", "ord", "embedding").join(due, ["list", "chunk_id"]).select("i", "chunk_id", "ord", "embedding")
-        return full.mapInArrow(rescored, f"query_id {kind}, chunk_id {name}, ord long, score double")
+        types = {"query_id": to_arrow_type(t.StructType.fromDDL(f"query_id {kind}")["query_id"].dataType), "chunk_id": to_arrow_type(t.StructType.fromDDL(f"chunk_id {name}")["chunk_id"].dataType)}
+        held, out = self._rows(v, lists), f"query_id {kind}, chunk_id {name}, ord long, score double"
+        codes = held.select("list", "chunk_id", "code", "missed")
+        lows = codes.mapInArrow(floors, "i int, low double").withColumn("n", F.row_number().over(W.partitionBy("i").orderBy(F.desc("low"))))
+        found = np.full(len(rows), -np.inf)
+        for r in lows.where(F.col("n") == k).select("i", "low").collect():  # a row a question
+            found[r.i] = r.low
+        floor = self.spark.sparkContext.broadcast(found)
+        if (codes.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0) > DUE_ROWS:
+            return held.select("list", "chunk_id", "ord", "embedding").mapInArrow(scanned, out)
+        due = codes.mapInArrow(candidates, f"i int, list int, chunk_id {name}").distinct()
+        full = held.select("list", "chunk_id", "ord", "embedding").join(F.broadcast(due), ["list", "chunk_id"]).select("i", "chunk_id", "ord", "embedding")
+        return full.mapInArrow(rescored, out)
 
 
 def unclustered(v: versions.Version) -> int:

@@ -93,3 +93,26 @@ def test_tiny_tables(spark, tmp_path, rows):
     queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, q array<float>")
     assert found(held.search(queries, 3)) == found(retrieval.dense_top_k(df, queries, 3))
     assert held.search(queries.where(F.lit(False)), 3).count() == 0
+
+
+def test_pairs_that_bounds_do_not_settle_stay_where_they_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense_index, "DUE_ROWS", 1_000)
+    rng = np.random.default_rng(5)
+    rows = [(i, -i, rng.normal(size=64).tolist(), "d") for i in range(1200)] + [(5000, 1, [0.0] * 64, "odd"), (5001, 2, [1.0], "odd")]
+    df = spark.createDataFrame(rows, SCHEMA)  # no clusters, so that codes rule out next to nothing
+    held = dense_index.Lists(spark, f"{tmp_path}/i")
+    v = held.build(df)
+    queries = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 10 == 0 or r[0] > 4999], "query_id long, q array<float>")
+    assert found(held.search(queries, 5)) == found(retrieval.dense_top_k(df, queries, 5))
+    block = held._block(v, queries.collect(), 5, None, "bigint", "bigint")
+    assert block.count() <= 5 * queries.count() * block.rdd.getNumPartitions()  # not all pairs of a question and a row
+    assert "Exchange" not in block._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_scores_are_cut_by_ord_where_they_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense_index, "DUE_ROWS", 0)
+    df, rows = clustered(spark)
+    held = dense_index.Lists(spark, f"{tmp_path}/i")
+    held.build(df, lists=9)
+    queries = asked(spark, rows)
+    assert found(held.search(queries, 7)) == found(retrieval.dense_top_k(df, queries, 7))
