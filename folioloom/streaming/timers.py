@@ -1,6 +1,6 @@
 """Keyed state with timers: progress by page, and limits of rates over hits that arrive late and out of order.
 
-State lies in RocksDB, an entry a page or a millisecond, so that an update reads and writes what it concerns and no more.
+State lies in RocksDB, an entry a page or a span of time, so that an update reads and writes what it concerns and no more.
 """
 
 from __future__ import annotations
@@ -59,65 +59,81 @@ def progress(pages: DataFrame, key: str = "document_id", hours: float | None = N
 
 
 class _Limit(StatefulProcessor):
-    """Hits wait in a map entry a millisecond until the watermark is past it; then its timer counts them. Counted entries queue, the first
-    to leave the span at the head; `inside` is how many hits lie in those between head and tail. An entry is written twice, read
-    twice and removed, whatever the number of hits in the span."""
+    """Hits wait in buckets, map entries of the span's width or an hour's, until the watermark is past them. A key has one timer, at its
+    first hit; when that is due, all hits that the watermark has passed are counted at once, bucket by bucket, with the times of those
+    counted before that lie within the span still. So calls to the state go with the keys and buckets of a batch, not with its hits."""
 
     def __init__(self, key: str, limit: int, span: int):
-        self.key, self.limit, self.span = key, limit, span
+        self.key, self.limit, self.span = key, limit, span * 1000
+        self.width = max(self.span, 3_600_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hits = handle.getMapState("hits", "ms long", "us array<long>, ids array<long>, counted boolean")
-        self.queue = handle.getMapState("queue", "at long", "ms long")
-        self.known = handle.getValueState("known", "inside long, head long, tail long")
+        self.hits = handle.getMapState("hits", "bucket long", "us array<long>, ids array<long>")
+        self.recent = handle.getValueState("recent", "us array<long>")
+        self.known = handle.getValueState("known", "buckets array<long>, due long, passed long")
 
     def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:  # noqa: N802, N803
-        import pandas as pd
-
-        new: dict[int, list[tuple[int, int]]] = {}
+        buckets, due, passed = self.known.get() if self.known.exists() else ([], 0, None)
+        new: dict[int, tuple[list, list]] = {}
         for b in rows:
             for us, hit in zip(b["us"].tolist(), b["hit_id"].tolist(), strict=True):
-                new.setdefault(us // 1000, []).append((us, hit))
-        for ms, own in new.items():
-            old = self.hits.getValue((ms,)) if self.hits.containsKey((ms,)) else None
-            if old and old[2]:  # counted already: too late
-                continue
-            both = sorted([*(zip(old[0], old[1], strict=True) if old else []), *own])
-            self.hits.updateValue((ms,), ([u for u, _ in both], [h for _, h in both], False))
-            self.handle.registerTimer(ms)
-        yield pd.DataFrame({self.key: pd.Series([], dtype=object), "hit_id": [], "allowed": []})
+                if passed is None or us >= passed * 1000:  # else counted already: too late
+                    own = new.setdefault(us // self.width, ([], []))
+                    own[0].append(us)
+                    own[1].append(hit)
+        if not new:
+            return iter(())
+        first = min(min(us) for us, _ in new.values()) // 1000
+        for bucket, (us, ids) in new.items():
+            old = self.hits.getValue((bucket,)) if bucket in buckets else ([], [])
+            self.hits.updateValue((bucket,), ([*old[0], *us], [*old[1], *ids]))
+        if not buckets or first < due:
+            self.handle.registerTimer(first)
+            due = first
+        self.known.update((sorted({*buckets, *new}), due, passed))
+        return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:  # noqa: N802, N803
+        import numpy as np
         import pandas as pd
 
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        inside, head, tail = self.known.get() if self.known.exists() else (0, 0, 0)
-        before, leaving = ms - self.span, []
-        while head < tail:  # timers come in order, so the head is the oldest
-            first = self.queue.getValue((head,))[0]
-            if first > before:
-                break
-            own = list(self.hits.getValue((first,))[0])
-            if first == before:
-                leaving = own  # some may be within the span still, by microseconds
-            inside -= len(own)
-            self.hits.removeKey((first,))
-            self.queue.removeKey((head,))
-            head += 1
-        own = self.hits.getValue((ms,)) if self.hits.containsKey((ms,)) else None
-        ids, allowed = [], []
-        if own and not own[2]:
-            for us, hit in zip(own[0], own[1], strict=True):
-                inside += 1
-                ids.append(hit)
-                allowed.append(inside + sum(x > us - self.span * 1000 for x in leaving) <= self.limit)
-            self.hits.updateValue((ms,), (list(own[0]), list(own[1]), True))
-            self.queue.updateValue((tail,), (ms,))
-            tail += 1
-            self.handle.registerTimer(ms + self.span)  # so that it leaves even if no more hits come
-        self.known.update((int(inside), int(head), int(tail)))
-        yield pd.DataFrame({self.key: pd.Series([key[0]] * len(ids), dtype=object), "hit_id": ids, "allowed": allowed})
+        if not self.known.exists():
+            return
+        now = timerValues.getCurrentWatermarkInMs()  # timers before it are due, so are hits
+        waiting, stay, next_due = self.known.get()[0], [], []
+        recent = np.array(self.recent.get()[0] if self.recent.exists() else [], np.int64)
+        for bucket in waiting:  # in order
+            if bucket * self.width >= now * 1000:
+                stay.append(bucket)
+                next_due.append(bucket * self.width // 1000)
+                continue
+            both = sorted(zip(*self.hits.getValue((bucket,)), strict=True))
+            due = [x for x in both if x[0] < now * 1000]
+            later = both[len(due) :]
+            if later:
+                if due:
+                    self.hits.updateValue((bucket,), ([u for u, _ in later], [h for _, h in later]))
+                stay.append(bucket)
+                next_due.append(later[0][0] // 1000)
+            else:
+                self.hits.removeKey((bucket,))
+            if due:
+                at = np.array([u for u, _ in due], np.int64)
+                seen = np.concatenate([recent, at])
+                inside = len(recent) + np.arange(1, len(at) + 1) - np.searchsorted(seen, at - self.span, "right")
+                recent = seen[seen > at[-1] - self.span]
+                yield pd.DataFrame({self.key: pd.Series([key[0]] * len(due), dtype=object), "hit_id": [h for _, h in due], "allowed": inside <= self.limit})
+        recent = recent[recent > now * 1000 - self.span]  # for hits to come
+        if not stay and not len(recent):
+            self.known.clear()
+            self.recent.clear()
+            return
+        # with nothing waiting, when the last has left the span: so that it leaves even if no more hits come
+        at = min(next_due) if stay else int(recent[-1] + self.span) // 1000
+        self.handle.registerTimer(max(at, now))
+        self.recent.update((recent.tolist(),))
+        self.known.update((stay, max(at, now), now))
 
     def close(self) -> None:
         pass
@@ -126,8 +142,8 @@ class _Limit(StatefulProcessor):
 def rate_limited(hits: DataFrame, key: str, limit: int, seconds: int, late: str) -> DataFrame:
     """key, hit_id, allowed of hits (key, ts, hit_id), in append mode: whether at most limit of the key's hits, refused ones too, lie
     in the last `seconds` up to each. A hit is decided once the watermark, `late` behind the newest, is past it, among all that
-    have come by then and in the order of ts and hit_id, however they came; what comes after that is dropped. Work grows
-    with the hits, state with those of a span."""
+    have come by then and in the order of ts and hit_id, however they came; what comes after that is dropped. A batch writes the
+    buckets anew that its hits fall in; state grows with the hits that wait and those of a span."""
     with_rocksdb(hits.sparkSession)
     kind = hits.schema[key].dataType
     out = StructType([StructField(key, kind), *StructType.fromDDL("hit_id long, allowed boolean").fields])

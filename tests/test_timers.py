@@ -33,3 +33,49 @@ def test_pages_are_entries(spark, tmp_path):
     pages = spark.readStream.schema("document_id string, page_number int, total_pages int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = jobs.drain(timers.progress(pages), "update", f"{tmp_path}/out", "document_id")
     assert {r.document_id: (r.pages_done, r.total_pages) for r in got.where(F.lit(True)).collect()} == {"a": (3, 4), "b": (1, 1)}
+
+
+def test_calls_to_the_state_go_with_keys_not_hits():
+    """A day of hits of one key, in any order, is counted by one timer."""
+    import pandas as pd
+
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.d = {}
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                at = a[0] if name in ("getValue", "updateValue", "removeKey") else ()
+                if name in ("update", "updateValue"):
+                    self.d[at] = a[-1]
+                elif name in ("exists", "containsKey"):
+                    return bool(self.d)
+                elif name in ("get", "getValue"):
+                    return self.d.get(at)
+                elif name in ("clear", "removeKey"):
+                    self.d.pop(at, None)
+
+            return call
+
+    class Handle:
+        due = []
+        getMapState = getValueState = lambda self, *a: Held()  # noqa: N815, E731
+
+        def registerTimer(self, ms):  # noqa: N802
+            calls.append("timer")
+            self.due.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    one, n = timers._Limit("key", 3, 5_000), 2_000
+    one.init(Handle())
+    hits = [(i * 7919 % n * 2_000_000, i) for i in range(n)]
+    list(one.handleInputRows(("k",), iter([pd.DataFrame(hits, columns=["us", "hit_id"])]), At(0)))
+    got = pd.concat(one.handleExpiredTimer(("k",), At(86_400_000), At(0)))
+    assert sorted(got["hit_id"]) == list(range(n)) and got["allowed"].all()  # three in five seconds
+    assert len(calls) < 40
