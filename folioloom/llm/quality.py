@@ -24,6 +24,8 @@ BEGIN, END = 9, 10
 ORDER = 5
 #: A model of up to this many entries (16 bytes each) is sent to every task; a larger one is joined shard by shard.
 BROADCAST_ENTRIES = 4_000_000
+#: Ids of labelled documents that are sent to every task at most.
+SENT_IDS = 2_000_000
 #: Slots of a task's memory of n-grams, a power of two; 16 bytes each.
 SLOTS = 1 << 21
 #: Bytes of text whose n-grams are made at once: some hundred bytes for each are held.
@@ -122,17 +124,19 @@ class Memory:
         return out
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """(_id): up to most of that half, by a hash of doc_id, of the documents whose labels all say quality 1 and not toxic that the
-    model may learn from; the other half gives the thresholds."""
+def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(_id): that half, by a hash of doc_id, of the documents whose labels all say quality 1 and not toxic that the model may learn
+    from, up to most of them if that is given; the other half gives the thresholds."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and doc_id is not null")
     half = good.where((F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0) & (F.coalesce("t", F.lit(0)) == 0))
-    return half.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"))
+    return (half if most is None else half.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)).select(F.col("doc_id").alias("_id"))
 
 
-def trusted(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text) of trusted_ids(labels, most): the bounded sample that the classifier is fitted on."""
-    chosen = F.broadcast(trusted_ids(labels, most))  # at most `most` ids
+def trusted(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(text) of trusted_ids(labels, most): what the classifier is fitted on. Up to SENT_IDS ids go to all tasks, more are joined."""
+    chosen = trusted_ids(labels, most)
+    if chosen.count() <= SENT_IDS:
+        chosen = F.broadcast(chosen)
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -322,7 +326,7 @@ def judged(scored: DataFrame, bounds: DataFrame, score: str = "log_perplexity",
 LOW, HIGH = 0.001, 0.985
 
 
-def scorer(docs: DataFrame, labels: DataFrame, trusted_docs: int = 2000, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES):
+def scorer(docs: DataFrame, labels: DataFrame, trusted_docs: int | None = None, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES):
     """A function (docs, name) -> docs with name, of the model of trusted(docs, labels, trusted_docs). The model's size is
     checked: up to broadcast_entries tasks hold it, a larger one is joined; results are the same."""
     shares, weights = (cut(t) for t in fit_tables(trusted(docs, labels, trusted_docs), order))
@@ -332,7 +336,7 @@ def scorer(docs: DataFrame, labels: DataFrame, trusted_docs: int = 2000, order:
     return lambda df, name="log_perplexity": joined_score(df, shares, weights, order, name)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = 2_000_000) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, most: int = SENT_IDS) -> DataFrame:
     """doc_id, lang, text of docs that have a label; up to most ids go to all tasks, more are joined."""
     ids = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
     if ids.count() <= most:
@@ -343,7 +347,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = 2_000_000) -> DataF
 def classify(
     docs: DataFrame,
     labels: DataFrame,
-    trusted_docs: int = 2000,
+    trusted_docs: int | None = None,
     low: float = LOW,
     high: float = HIGH,
     order: int = ORDER,

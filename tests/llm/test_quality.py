@@ -120,3 +120,10 @@ def test_held_out_documents(spark):
     assert clash.columns == ["doc_id", "text", "lang", "log_perplexity", "keep"] and dict(clash.dtypes)["keep"] == "boolean"
     assert quality.classify(docs.limit(0), labels).count() == 0
     assert all(r.keep == (r.log_perplexity is not None) for r in quality.classify(docs, labels.limit(0)).collect())
+
+
+def test_the_model_learns_from_all_trusted_documents(spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    docs = spark.range(6000).selectExpr("id as doc_id", "'a' as text")
+    half = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).count()
+    assert quality.trusted(docs, labels).count() == half > 2000
