@@ -30,7 +30,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near copies, texts whose sets of 5-word shingles have a Jaccard
-    similarity of 0.8 or more: a component's own. Of rows that repeat a doc_id with the same text, and of rows without one, all
+    similarity of 0.8 or more: a component's own. SimHash fingerprints, and min-hash keys for what these don't reach, find the
+    pairs; whole sets decide. Of rows that repeat a doc_id with the same text, and of rows without one, all
     stay that their group's smallest id, or none, has; a row goes for its own text only, not for another of its doc_id."""
     own = unused(docs.columns, "text_hash")
     gone = nearcopies.near_copies(docs).where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias(own)).distinct()

@@ -1,7 +1,9 @@
-"""Near copies by shingle similarity: min-hash bands find candidates, exact Jaccard over whole shingle sets decides.
+"""Near copies by shingle similarity: SimHash fingerprints and min-hash bands find candidates, exact Jaccard over whole shingle
+sets decides.
 
-SimHash doesn't reach a Jaccard similarity of 0.8: such pairs differ in about 16 of 64 bits, and blocks that are equal then
-are too narrow to tell texts apart.
+Fingerprints within DISTANCE bits are linked as op1 links them: block tables, Hamming distances. That finds the nearest copies. A pair
+at a Jaccard similarity of 0.8 differs in some 10 of 64 bits, and blocks that are equal then are too narrow to tell texts
+apart; the bands find what lies between.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from pyspark.sql import functions as F
 from folioloom.llm import utf8
 from folioloom.llm.cluster import cut, partitions, texts
 from folioloom.llm.components import components
-from folioloom.llm.simhash import shingles
+from folioloom.llm.simhash import blocks_for, fingerprint_links, majority, shingles
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of candidates differ at most.
+DISTANCE = 4
 #: BANDS keys of ROWS least hashes each. A pair at 0.8 shares none of the keys with a chance of (1 - 0.8^6)^40, 5 in a million;
 #: a pair at 0.1, as by a common passage, shares one with a chance of 4 in 100,000.
 BANDS, ROWS = 40, 6
@@ -70,19 +74,29 @@ def text_hash(column: str) -> Column:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_hash, node, keys) of every row, map side; node stands for a shingle set, texts of the same set share it."""
+    """(doc_id, text_hash, node, fp, keys) of every row, map side; node stands for a shingle set, texts of the same set share it.
+    fp is the SimHash fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, at = utf8.column(b, "text")
-            node, keys = np.zeros(len(at) - 1, np.uint64), np.zeros((len(at) - 1, BANDS), np.uint64)
+            node, fp, keys = np.zeros(len(at) - 1, np.uint64), np.zeros(len(at) - 1, np.uint64), np.zeros((len(at) - 1, BANDS), np.uint64)
             for i, j in utf8.chunks(at):
                 h, n, node[i:j] = sets(buf[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                keys[i:j] = bands(h, n)
+                fp[i:j], keys[i:j] = majority(h, n), bands(h, n)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(node.view(np.int64)), lists], names=["doc_id", "text_hash", "node", "keys"])
+            own = [b.column(0).cast(pa.int64()), b.column(2), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(own, names=["doc_id", "text_hash", "node", "fp", "keys"])
 
-    return texts(docs).withColumn("text_hash", text_hash("text")).mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>")
+    return texts(docs).withColumn("text_hash", text_hash("text")).mapInArrow(run, "doc_id long, text_hash long, node long, fp long, keys array<long>")
+
+
+def _fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links between nodes (node, fp) that keep together all whose fingerprints differ in at most DISTANCE bits."""
+    least = cut(nodes.groupBy("fp").agg(F.min("node").alias("id")))
+    far = fingerprint_links(least.withColumn("none", F.lit(False)), DISTANCE, blocks_for(least.count(), DISTANCE))
+    same = nodes.join(least, "fp").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    return far.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).unionAll(same)
 
 
 def _candidate_links(nodes: DataFrame) -> DataFrame:
@@ -183,8 +197,9 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     for similarities of 0.8 or more.
     """
     prints = cut(_prints(docs, width))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    groups = components(_candidate_links(nodes.where("node <> 0").select("node", "keys")))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    full = nodes.where("node <> 0")
+    groups = components(_candidate_links(full.select("node", "keys")).unionAll(_fingerprint_links(full.select("node", "fp"))))
     groups = cut(groups.unionAll(groups.select(F.col("root").alias("node"), "root")).distinct())  # a root is a member too
     # named by its smallest doc_id (without one by its hash, after all ids) a component's root is its component_id, and no join
     # on roots, of which one may have very many members, is needed

@@ -88,9 +88,12 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit fingerprint of each text's shingles, 0 for a text without words. A bit is 1 where more than half of the
-    shingles' XXH64 have it."""
-    h, made = shingles(buf, offsets, width)
+    """A 64-bit fingerprint of each text's shingles, repeats included, 0 for a text without words."""
+    return majority(*shingles(buf, offsets, width))
+
+
+def majority(h: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of made hashes in h: a bit is 1 where more than half of them have it; 0 without any."""
     out = np.zeros(len(made), np.uint64)
     full = np.flatnonzero(made)
     ones = np.zeros((len(full), 64), np.int64)

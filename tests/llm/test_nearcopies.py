@@ -63,3 +63,24 @@ def test_forest_chains():
     node = np.arange(7)
     left, right = nearcopies.forest(node, np.concatenate(sets), np.full(7, 100), 0.8)
     assert len(left) == 5 and set(left + right) == set(range(6))
+
+
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """Without the bands, SimHash alone groups the pairs of 0.8 or more within its distance, and its other links don't count."""
+    rng = random.Random(9)
+    texts = []
+    for size in (400, 900):
+        for _ in range(5):
+            words = [f"w{rng.randint(0, 3000)}" for _ in range(size)]
+            texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words[: size // 2], "more", *words[size // 2 :]])]
+    seen = []
+    monkeypatch.setattr(nearcopies, "_candidate_links", lambda nodes: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(nearcopies, "_verified", lambda *a, real=nearcopies._verified: seen.append(a[2].count()) or real(*a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    fps = {r.doc_id: r.fp & (1 << 64) - 1 for r in nearcopies._prints(docs, 5).collect()}
+    own = [brute_sets(t) for t in texts]
+    near = [(i, j) for j in fps for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= nearcopies.DISTANCE and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    assert len(near) > 8 and seen[0] > 8 and all(got[i] == got[j] for i, j in near)
+    whole = brute_groups(texts)
+    assert all(whole[i] == whole[g] for i, g in got.items())
