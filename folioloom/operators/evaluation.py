@@ -5,6 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.operators.retrieval import QUERY_BLOCK
+
+
+def containing(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of each text of docs (doc_id, text) that contains a question of questions (query_id, question) as it stands.
+
+    A text that does has all words of the question between its first and last space, so texts meet questions on the longest of
+    these; only questions without one are looked for in every text.
+    """
+    inner = F.expr("filter(slice(split(question, ' '), 2, greatest(size(split(question, ' ')) - 2, 0)), w -> w <> '')")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = questions.where("question is not null").select("query_id", "question", longest.alias("word"))
+    few = questions.count() <= QUERY_BLOCK
+    small = F.broadcast if few else lambda df: df
+    words = F.explode(F.array_distinct(F.split("text", " "))).alias("word")
+    if few:  # the texts stay where they are
+        near = docs.select("doc_id", "text", words).join(small(asked.where("word is not null")), "word")
+    else:
+        pairs = docs.select("doc_id", words).join(asked.select("query_id", "word"), "word").select("query_id", "doc_id").distinct()
+        near = pairs.join(docs, "doc_id").join(asked, "query_id")
+    rest = docs.join(small(asked.where("word is null")), F.col("text").contains(F.col("question")))
+    return near.where(F.col("text").contains(F.col("question"))).select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+
 
 def hits(retrieved: Column, relevant: Column) -> Column:
     return F.filter(retrieved, lambda x: F.array_contains(relevant, x))

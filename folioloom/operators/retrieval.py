@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text as T
 from folioloom.functions.vectors import cosine
+from folioloom.sources.shared import new_folder
 
 #: Queries up to this many are sent to every task; more are dealt out in blocks of about this many.
 QUERY_BLOCK = 2_000
@@ -137,12 +138,10 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _ranked(found, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def _exploded(corpus: DataFrame, asked: list[str] | None = None) -> DataFrame:
-    """(chunk_id, dl, term): a row a token of corpus (chunk_id, text), of those asked for if any are named, and one of term '' a chunk.
-    The length is taken below the explosion, not for each of its rows."""
+def _exploded(corpus: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term): a row a token of corpus (chunk_id, text), and one of term '' a chunk. The length is taken below the
+    explosion, not for each of its rows."""
     toks = corpus.select("chunk_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("dl", F.size("toks"))
-    if asked is not None:
-        toks = toks.withColumn("toks", F.filter("toks", lambda x: x.isin(asked)) if asked else F.array().cast("array<string>"))
     return toks.select("chunk_id", "dl", F.explode(F.concat(F.array(F.lit("")), "toks")).alias("term"))
 
 
@@ -177,39 +176,69 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     and fill up to k in the order of ord; a question without tokens has no rows. Statistics are of the corpus itself, or of
     statistics (chunk_id, text) where the scope of a filter is narrower than that of the statistics. postings: those of the
     corpus as token_index() or read_postings() has them, so that no text is read.
+
+    Up to QUERY_BLOCK queries: texts are read once; each chunk's length and the asked ones among its tokens are written to the
+    shared folder. A chunk's scores are summed where it lies, and k rows a query leave a task. For more queries every token may
+    be shuffled to meet them.
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = terms.select("term").distinct().unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term")))
+    wanted = terms.select("term").distinct()
     asked = None
-    if queries.count() <= QUERY_BLOCK:  # else every token of the corpus may be shuffled to meet them
-        asked = [r.term for r in wanted.where("term <> ''").limit(ASKED_TERMS + 1).collect()]
+    if queries.count() <= QUERY_BLOCK:
+        asked = [r.term for r in wanted.limit(ASKED_TERMS + 1).collect()]
         asked = asked if len(asked) <= ASKED_TERMS else None
         wanted = F.broadcast(wanted)
-
-    def posted(df: DataFrame) -> DataFrame:
-        """token_index() of df, of the terms asked for: only those leave the scan's stage."""
-        return _counted(_exploded(df, asked) if asked is not None else _exploded(df).join(wanted, "term"))
-
-    own = posted(corpus) if postings is None else postings.join(wanted, "term").select("chunk_id", "term", "dl", "tf")
-    base = own if statistics is None else posted(statistics)  # where it's the same, its one shuffle serves all
-    # a chunk's own row is told by its sums: a condition on the term would be pushed below the shuffle, which then couldn't be shared
-    counts = base.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_dl"), F.sum("tf").alias("_tf"))
-    total = counts.where("_tf = 0").select(F.col("df").alias("n"), (F.col("_dl") / F.col("df")).alias("avgdl"))
-    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = counts.where("_tf > 0").drop("_dl", "_tf").join(terms, "term").join(F.broadcast(total))
-    hits = own.where("tf > 0").join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))  # sums in another order tie alike
-    order = corpus.select("chunk_id", "ord")
-    scored = hits.join(order, "chunk_id")
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weight = F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    if asked is not None and postings is None:
+        held = _asked_tokens(corpus, asked)
+        base = held if statistics is None else _asked_tokens(statistics.select("chunk_id", F.lit(0).alias("ord"), "text"), asked)
+        total = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        counts = base.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        weighed = F.broadcast(counts.join(F.broadcast(terms), "term").join(F.broadcast(total)).select("query_id", "term", weight.alias("w"), "avgdl"))
+        tf = held.where(F.size("toks") > 0).repartition("chunk_id").select("chunk_id", "ord", "dl", F.explode("toks").alias("term")).groupBy("chunk_id", "ord", "dl", "term").agg(F.count("*").alias("tf"))
+        scored = tf.join(weighed, "term").groupBy("chunk_id", "ord", "query_id").agg(F.round(F.sum(part), 9).alias("score")).select("query_id", "chunk_id", "score", "ord")  # sums in another order tie alike
+        first = held.orderBy("ord").limit(2 * k)
+        hits = first.select("chunk_id", F.explode(F.array_distinct("toks")).alias("term")).join(weighed, "term").select("query_id", "chunk_id")
+        first = first.select("chunk_id", "ord")
+    else:
+        # what marks a chunk's own row is no condition on the term: it would be pushed below the shuffle, which then couldn't be shared
+        posted = lambda df: _counted(_exploded(df).join(wanted.unionByName(df.sparkSession.range(1).select(F.lit("").alias("term"))), "term"))
+        own = posted(corpus) if postings is None else postings.join(wanted.unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term"))), "term").select("chunk_id", "term", "dl", "tf")
+        base = own if statistics is None else posted(statistics)  # where it's the same, its one shuffle serves all
+        counts = base.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_dl"), F.sum("tf").alias("_tf"))
+        total = counts.where("_tf = 0").select(F.col("df").alias("n"), (F.col("_dl") / F.col("df")).alias("avgdl"))
+        weighed = counts.where("_tf > 0").drop("_dl", "_tf").join(terms, "term").join(F.broadcast(total)).select("query_id", "term", weight.alias("w"), "avgdl")
+        hits = own.where("tf > 0").join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+        order = corpus.select("chunk_id", "ord")
+        scored, first = hits.join(order, "chunk_id"), order.orderBy("ord").limit(2 * k)
     # zero scores can only fill what hits leave of the first k: candidates for that are the first k chunks of the corpus and, as
     # each query takes at most k of them besides its own hits, the first 2k
-    first = order.orderBy("ord").limit(2 * k)
     zero = terms.select("query_id").distinct().join(F.broadcast(first)).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     top = _ranked(scored, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).drop("rank")
     both = top.unionByName(zero.withColumn("score", F.lit(0.0)))
     return _ranked(both, F.desc("score"), F.col("ord")).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
+def _asked_tokens(corpus: DataFrame, asked: list[str]) -> DataFrame:
+    """chunk_id, ord, dl (the number of its tokens) and toks (those among asked, with repeats) of every chunk, kept in the shared folder."""
+    toks = corpus.select("chunk_id", "ord", T.tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("dl", F.size("toks"))
+    own = F.filter("toks", lambda x: x.isin(asked)) if asked else F.array().cast("array<string>")
+    path = new_folder(corpus.sparkSession, "asked")
+    toks.select("chunk_id", "ord", "dl", own.alias("toks")).write.parquet(path)
+    return corpus.sparkSession.read.schema(f"chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, ord {corpus.select('ord').schema['ord'].dataType.simpleString()}, dl int, toks array<string>").parquet(path)
+
+
+class Texts:
+    """A corpus (chunk_id, ord, text) to ask as an index is: by bm25(), over its texts."""
+
+    def __init__(self, corpus: DataFrame):
+        self.corpus = corpus
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        return bm25(self.corpus, queries, k)
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, rrf_k: int = 60, alpha: float | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score: reciprocal rank fusion of two rankings (query_id, rank, chunk_id); ties in the order of
     the dense rank, then the sparse one. alpha: the dense ranking's share of the weight, the sparse one's is the rest; without it

@@ -221,3 +221,28 @@ def test_store(spark):
     assert sorted(r.id for r in kept.collect()) == [1, 3] and sorted(r.id for r in refused.collect()) == [2, 4]
     states = spark.createDataFrame([("a", "preprocessing", 40, 500), ("b", "ready", 40, 500)], "document_id string, status string, pages_done int, total_pages int")
     assert {r.document_id: (r.pages_done, r.total_pages) for r in store.job_status(states).collect()} == {"a": (40, 500), "b": (None, None)}
+
+
+def test_bm25_reads_texts_once_and_sums_where_a_chunk_lies(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 50, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for i in range(200)] + [(900, 7, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, ord long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b a"), (2, "h"), (3, "zz"), (4, "!")], "query_id long, question string")
+    got = retrieval.bm25(df, asked, 300)
+    assert "text#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = retrieval.bm25(df, asked, 300, postings=retrieval.token_index(df))
+    key = lambda r: (r.query_id, r.chunk_id, round(r.score, 8))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert retrieval.Texts(df.limit(0)).search(asked, 3).count() == 0
+
+
+def test_containing_meets_on_a_word(spark, monkeypatch):
+    texts = ["xa b cy", "a b", "a  c d", "b longer c", None, "", "say a longer c", "one a b c two", "a\nb c d"]
+    asked = ["a b c", "a  c", "a b", "", None, "a longer c", " b ", "b c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    want = sorted((i, j) for i, a in enumerate(asked) for j, t in enumerate(texts) if a is not None and t is not None and a in t)
+    for most in (2000, 2):
+        monkeypatch.setattr(evaluation, "QUERY_BLOCK", most)
+        found = evaluation.containing(docs, q)
+        assert sorted(map(tuple, found.collect())) == want
