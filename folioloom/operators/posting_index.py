@@ -1,7 +1,9 @@
 """A posting index that is kept: blocks of postings with what bounds their scores, segments for what is added or replaced.
 
-A segment holds chunks and, for each term and range of RANGE chunks, one block: their entries, the largest count and the shortest
-length among them. An update writes one more segment, with the chunks of earlier ones that it makes void and what that takes off the
+A segment holds chunks and, for each term and range of RANGE chunks, a block: the places in the range of those that have the term,
+its counts there, the largest count and the shortest length among them. (A range that two tasks read has two.) What a chunk is
+called and how long it is stands in the table of chunks, not in every entry. Texts are shuffled once, when chunks are put in order;
+what else is shuffled are blocks. An update writes one more segment, with the chunks of earlier ones that it makes void and what that takes off the
 document frequencies; no text of an earlier segment is read for it. Versions are pointers to lists of segments, as in
 sources.versions. A search reads the blocks of the asked terms alone: first what bounds each range's score, then the entries of
 the best ranges, then of those others whose bound reaches the k-th score.
@@ -9,8 +11,13 @@ the best ranges, then of those others whose bound reaches the k-th score.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,18 +72,20 @@ class Postings:
         if documents is not None:
             wanted = documents.distinct()
             places = [r.bucket for r in wanted.select(self._place("document_id", many)).distinct().collect()]  # many at most
-            old = self._live(segments, "chunks", places).join(wanted, "document_id", "left_semi")
-            self._write(old.select("chunk_id", "dl", "terms"), f"{name}/gone")
+            old = self._live(segments, places).join(wanted, "document_id", "left_semi")
+            self._write(old.select("chunk_id", "dl", "terms", "range", "place"), f"{name}/gone")
             gone = self._read([name], "gone")
             count = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
             n, length = n - count.n, length - count.length
             deltas.append(gone.select(F.explode("terms").alias("term"), F.lit(-1).alias("df")))
         if rows is not None:
-            self._write(self._chunks(rows, name, many), f"{name}/chunks", "bucket")
+            self._write(self._chunks(rows, name, many), f"{name}/chunks", "bucket", dealt=True)
             made = self._read([name], "chunks")
             if made is not None:
-                self._write(self._blocks(rows, made, many), f"{name}/blocks", "bucket", sort="term")
-                deltas.append(made.select(F.explode("terms").alias("term"), F.lit(1).alias("df")))
+                self._write(self._blocks(made, many), f"{name}/blocks", "bucket", sort="term")
+                held = self._read([name], "blocks")
+                if held is not None:
+                    deltas.append(held.select("term", F.size("places").alias("df")))
                 count = made.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
                 n, length = n + count.n, length + count.length
         if deltas:
@@ -88,28 +97,61 @@ class Postings:
         return facts
 
     def _chunks(self, rows: DataFrame, name: str, many: int) -> DataFrame:
-        """chunk_id, ord, document_id, dl, terms, range, bucket: neighbours in the order of document and ord are of one range."""
-        toks = rows.select("chunk_id", F.col("ord").cast("long").alias("ord"), "document_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-        near = toks.select("chunk_id", "ord", "document_id", F.size("toks").alias("dl"), F.array_distinct("toks").alias("terms"))
+        """chunk_id, ord, document_id, dl, terms (distinct), tfs, range, place, bucket: neighbours in the order of bucket, document
+        and ord are of one range, and a bucket lies in few tasks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task, at = TaskContext.get().partitionId(), 0
+            for b in batches:
+                toks = b.column(3)
+                dl = np.diff(toks.offsets.to_numpy()).astype(np.int32)
+                coded = toks.flatten().dictionary_encode()
+                words = max(1, len(coded.dictionary))
+                pair, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * words + coded.indices.to_numpy(), return_counts=True)
+                ends = pa.array(np.searchsorted(pair, np.arange(len(dl) + 1) * words).astype(np.int32))
+                k, place = np.divmod(at + np.arange(len(dl)), RANGE)
+                own = {x: int.from_bytes(hashlib.blake2b(f"{name}:{task}:{x}".encode(), digest_size=8).digest(), "little", signed=True) for x in np.unique(k).tolist()}
+                at += len(dl)
+                made = [pa.array(dl), pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pair % words))), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))]
+                made += [pa.array([own[x] for x in k.tolist()], pa.int64()), pa.array(place.astype(np.int32)), b.column(4)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["chunk_id", "ord", "document_id", "dl", "terms", "tfs", "range", "place", "bucket"])
+
+        kind = lambda c: rows.schema[c].dataType.simpleString()
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        by = near.repartitionByRange(parts, "document_id", "ord").sortWithinPartitions("document_id", "ord")
-        return by.withColumn("range", F.xxhash64(F.lit(name), F.floor(F.monotonically_increasing_id() / RANGE))).withColumn("bucket", self._place("document_id", many))
-
-    def _blocks(self, rows: DataFrame, made: DataFrame, many: int) -> DataFrame:
-        """term, range, entries, max_tf, min_dl, bucket."""
-        words = rows.select("chunk_id", F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("term"))
-        counts = words.groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"))
-        entry = F.struct("chunk_id", "ord", "tf", "dl")
-        own = counts.join(made.select("chunk_id", "ord", "dl", "range"), "chunk_id")
-        blocks = own.groupBy("term", "range").agg(F.collect_list(entry).alias("entries"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        return blocks.withColumn("bucket", self._place("term", many))
-
-    def _write(self, rows: DataFrame, folder: str, by: str | None = None, sort: str | None = None) -> None:
+        near = rows.select("chunk_id", F.col("ord").cast("long").alias("ord"), "document_id", "text", self._place("document_id", many))
+        by = near.repartitionByRange(parts, "bucket", "document_id", "ord").sortWithinPartitions("bucket", "document_id", "ord")
+        toks = by.select("chunk_id", "ord", "document_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"), "bucket")
+        return toks.mapInArrow(run, f"chunk_id {kind('chunk_id')}, ord long, document_id {kind('document_id')}, dl int, terms array<string>, tfs array<int>, range long, place int, bucket int")
+
+    def _blocks(self, made: DataFrame, many: int) -> DataFrame:
+        """term, range, places, tfs, max_tf, min_dl, bucket, of chunks as they lie."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                coded = b.column(3).flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                row = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+                term, tf = coded.indices.to_numpy(), b.column(4).flatten().to_numpy()
+                span, place, dl = (b.column(i).to_numpy()[row] for i in range(3))
+                order = np.lexsort((place, term, span))
+                span, term, place, tf, dl = (x[order] for x in (span, term, place, tf, dl))
+                heads = np.flatnonzero(np.r_[True, (span[1:] != span[:-1]) | (term[1:] != term[:-1])])
+                ends = pa.array(np.r_[heads, len(span)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(t))) for x, t in ((place, np.int16), (tf, np.int32))]
+                most = [pa.array(np.maximum.reduceat(tf, heads)), pa.array(np.minimum.reduceat(dl, heads))]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[heads])), pa.array(span[heads]), *lists, *most], names=["term", "range", "places", "tfs", "max_tf", "min_dl"])
+
+        own = made.select("range", "place", "dl", "terms", "tfs").mapInArrow(run, "term string, range long, places array<smallint>, tfs array<int>, max_tf int, min_dl int")
+        return own.withColumn("bucket", self._place("term", many))
+
+    def _write(self, rows: DataFrame, folder: str, by: str | None = None, sort: str | None = None, dealt: bool = False) -> None:
+        """dealt: a bucket's rows lie in few tasks already."""
         if by:
             # the terms of a bucket lie together, so that a reader passes over row groups; a large bucket is split
-            rows = rows.hint("rebalance", by)
+            rows = rows if dealt else rows.hint("rebalance", by)
             rows = rows.sortWithinPartitions(by, sort) if sort else rows
-        writer = rows.write.partitionBy(by) if by else rows.write
+        writer = (rows.write.partitionBy(by) if by else rows.write).option("compression", "zstd")
         writer.parquet(f"{self.path}/{folder}")
 
     def _read(self, segments: list[str], name: str, places: list[int] | None = None) -> DataFrame | None:
@@ -126,16 +168,13 @@ class Postings:
                 out = one if out is None else out.unionByName(one)
         return out
 
-    def _live(self, segments: list[str], name: str, places: list[int] | None = None, rows: DataFrame | None = None) -> DataFrame:
-        """The rows of a table that no later segment has made void."""
-        rows = self._read(segments, name, places) if rows is None else rows
+    def _live(self, segments: list[str], places: list[int] | None = None) -> DataFrame:
+        """The chunks that no later segment has made void."""
+        rows = self._read(segments, "chunks", places)
         if rows is None:
-            return self.spark.createDataFrame([], "chunk_id long, ord long, document_id string, dl int, terms array<string>, seg int")
+            return self.spark.createDataFrame([], "chunk_id long, ord long, document_id string, dl int, terms array<string>, tfs array<int>, range long, place int, seg int")
         gone = self._read(segments, "gone")
-        if gone is None:
-            return rows
-        g = gone.select(F.col("chunk_id").alias("_c"), F.col("seg").alias("_s"))
-        return rows.join(g, (F.col("chunk_id") == F.col("_c")) & (F.col("seg") < F.col("_s")), "left_anti")
+        return rows if gone is None else rows.join(gone.select("range", "place"), ["range", "place"], "left_anti")
 
     def due(self) -> bool:
         """Whether there are so many segments that compact() pays."""
@@ -147,14 +186,19 @@ class Postings:
         facts, name = self.facts(), f"seg-{uuid.uuid4().hex}"
         many = max(facts["many"], 1 << max(3, min(12, (facts["n"] // self.chunks_per_bucket).bit_length())))
         segments = facts["segments"]
-        chunks = self._live(segments, "chunks").drop("seg").withColumn("bucket", self._place("document_id", many))
-        self._write(chunks, f"{name}/chunks", "bucket")
-        blocks = self._read(segments, "blocks")
+        same = many == facts["many"]  # then what lies in a bucket stays there
+        chunks = self._live(segments).drop("seg").withColumn("bucket", self._place("document_id", many))
+        self._write(chunks, f"{name}/chunks", "bucket", sort="document_id", dealt=same)
+        blocks, gone = (self._read(segments, x) for x in ("blocks", "gone"))
         if blocks is not None:
-            one = blocks.select("term", "range", "seg", F.explode("entries").alias("e")).select("term", "range", "seg", "e", F.col("e.chunk_id").alias("chunk_id"))
-            live = self._live(segments, "blocks", rows=one)
-            again = live.groupBy("term", "range").agg(F.collect_list("e").alias("entries"), F.max("e.tf").alias("max_tf"), F.min("e.dl").alias("min_dl"))
-            self._write(again.withColumn("bucket", self._place("term", many)), f"{name}/blocks", "bucket", sort="term")
+            if gone is not None:
+                dead = gone.groupBy("range").agg(F.collect_set("place").alias("dead"))
+                left = F.filter(F.arrays_zip("places", "tfs"), lambda e: ~F.array_contains("dead", e.places.cast("int")))
+                blocks = blocks.join(dead, "range", "left").withColumn("left", F.when(F.col("dead").isNotNull(), left))
+                # the shortest length stays: it bounds those that are left too
+                blocks = blocks.where("left is null or size(left) > 0").withColumns({"places": F.coalesce("left.places", "places"), "tfs": F.coalesce("left.tfs", "tfs")}).withColumn("max_tf", F.array_max("tfs"))
+            again = blocks.select("term", "range", "places", "tfs", "max_tf", "min_dl", self._place("term", many))
+            self._write(again, f"{name}/blocks", "bucket", sort="term", dealt=same)
             terms = self._read(segments, "terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
             self._write(terms.withColumn("bucket", self._place("term", many)), f"{name}/terms", "bucket", sort="term")
         made = {"segments": [name], "many": many, "n": facts["n"], "length": facts["length"]}
@@ -187,13 +231,13 @@ class Postings:
     def _asked(self, facts: dict, terms: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
         """(what search() gives, turn: query_id, range, bound and whether it's due)."""
         segments, n = facts["segments"], facts["n"]
-        schema = self._live(segments, "chunks")
+        live = self._live(segments)
         known = [r.term for r in terms.select("term").distinct().collect()]  # of QUERY_BLOCK questions
         wanted = self.spark.createDataFrame([(x,) for x in known], "term string")
         places = sorted({r.bucket for r in wanted.select(self._place("term", facts["many"])).distinct().collect()})
         few = F.col("term").isin(known) if len(known) <= 500 else F.lit(True)  # is pushed down to row groups
         blocks, df = (self._read(segments, name, places) for name in ("blocks", "terms"))
-        first = schema.select("chunk_id", "ord").orderBy("ord").limit(2 * k)
+        first = live.select("chunk_id", "ord").orderBy("ord").limit(2 * k)
         asks = terms.select("query_id").distinct()
         empty = asks.join(F.broadcast(first)).withColumn("score", F.lit(0.0))
         if blocks is None or df is None or not n:
@@ -204,15 +248,16 @@ class Postings:
         weighed = counts.join(F.broadcast(terms), "term").select("query_id", "term", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
         part = lambda tf, dl: F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
         own = blocks.where(few)
-        bounds = own.select("term", "range", "max_tf", "min_dl").join(F.broadcast(weighed), "term").groupBy("query_id", "range").agg(F.sum(part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
+        bounds = own.select("term", "range", "max_tf", "min_dl").groupBy("term", "range").agg(F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+        bounds = bounds.join(F.broadcast(weighed), "term").groupBy("query_id", "range").agg(F.sum(part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
         turn = bounds.withColumn("turn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "range")))
 
         def scored(due: DataFrame) -> DataFrame:
             """query_id, chunk_id, ord, score of the live chunks of due (query_id, range)."""
             hits = own.join(F.broadcast(weighed), "term").join(due.select("query_id", "range"), ["query_id", "range"])
-            each = hits.select("query_id", "w", "seg", F.explode("entries").alias("e")).select("query_id", "w", "seg", "e.*")
-            live = self._live(segments, "blocks", rows=each)
-            return live.groupBy("query_id", "chunk_id", "ord").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), 9).alias("score"))
+            each = hits.select("query_id", "w", "range", F.explode(F.arrays_zip("places", "tfs")).alias("e")).select("query_id", "w", "range", F.col("e.places").cast("int").alias("place"), F.col("e.tfs").alias("tf"))
+            known = each.join(live.select("range", "place", "chunk_id", "ord", "dl"), ["range", "place"])
+            return known.groupBy("query_id", "chunk_id", "ord").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), 9).alias("score"))
 
         begun = _ranked(scored(turn.where(F.col("turn") <= FIRST)), F.desc("score"), F.col("ord")).where(F.col("rank") <= k)
         least = begun.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))

@@ -76,3 +76,25 @@ def test_empty_index(spark, tmp_path, asked):
     assert held.search(asked, 3).count() == 0
     held.replace(spark.createDataFrame([(1, 1, "d", "a1")], SCHEMA))
     assert [(r.query_id, r.chunk_id, r.score > 0) for r in held.search(asked.where("query_id in (1, 3)"), 3).orderBy("query_id").collect()] == [(1, 1, True), (3, 1, False)]
+
+
+def test_blocks_are_made_where_chunks_lie(spark, tmp_path, asked, monkeypatch):
+    """Nothing is shuffled to make them; a range that lies in two batches has two blocks a term, and its bound is that of both."""
+    monkeypatch.setattr(posting_index, "RANGE", 12)
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    held = posting_index.Postings(spark, f"{tmp_path}/p")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        name = held.build(df)["segments"][0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    blocks = held._read([name], "blocks")
+    assert blocks.groupBy("term", "range").count().where("count > 1").count() > 0
+    assert "Exchange" not in held._blocks(held._read([name], "chunks"), 8)._jdf.queryExecution().executedPlan().toString()
+    assert found(held.search(asked, 6)) == found(retrieval.bm25(df, asked, 6))
+    held.remove(spark.createDataFrame([("d3",), ("odd",)], "document_id string"))
+    want = found(retrieval.bm25(df.where("document_id is null or document_id not in ('d3', 'odd')"), asked, 6))
+    assert found(held.search(asked, 6)) == want
+    held.compact()
+    assert found(held.search(asked, 6)) == want
