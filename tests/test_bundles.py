@@ -51,3 +51,13 @@ def test_missing_options(spark):
     bundles.register(spark)
     with pytest.raises(Exception, match="no path"):
         spark.read.format("bundles").schema(SCHEMA).load().collect()
+
+
+def test_folders_share_partitions(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i:03d}").mkdir()
+        (tmp_path / f"d{i:03d}" / "chunks.json").write_text(json.dumps([{"chunk_id": str(i)}]))
+    bundles.register(spark)
+    df = spark.read.format("bundles").option("path", str(tmp_path)).option("artifact", "chunks").schema(SCHEMA).load()
+    assert df.rdd.getNumPartitions() == 60
+    assert sorted((r.document_id, r.chunk_id) for r in df.collect()) == [(f"d{i:03d}", str(i)) for i in range(300)]
