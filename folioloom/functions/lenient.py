@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +19,17 @@ def unfenced_lines(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(raw), r"(?dm)^```(?:json)?\s*", ""), r"(?dm)\s*```$", "")
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), where value is found once however often made uses it."""
+    return F.transform(F.array(value), made)[0]
+
+
 def json_object(raw: Column, unfence=unfenced) -> Column:
     """The text of the JSON object in raw: all of it without code fences if that is one, else from the first opening to the
     last closing brace; null if neither is."""
-    whole = unfence(raw)
-    part = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
-    is_object = lambda c: F.try_parse_json(c).isNotNull() & F.ltrim(c).startswith("{")
-    return F.when(is_object(whole), whole).when(is_object(part), part)
+    is_object = lambda c: F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull()
+    part = lambda whole: F.when(whole.contains("{"), F.regexp_extract(whole, r"(?s)\{.*\}", 0))
+    return once(unfence(raw), lambda whole: F.when(is_object(whole), whole).otherwise(once(part(whole), lambda c: F.when(is_object(c), c))))
 
 
 def recovered(raw: Column) -> Column:
@@ -90,13 +96,10 @@ FAITHFULNESS = "claims array<string>, overall_verdict string, confidence_score d
 def faithfulness(raw: Column) -> Column:
     """struct<claims: array<CLAIM>, overall_verdict, confidence_score, recommended_action> with their defaults; claims that
     are no objects are passed over; a confidence of 0 counts as missing, so as 1."""
-    got = F.from_json(F.coalesce(json_object(raw, unfenced_lines), F.lit("{}")), FAITHFULNESS)
     none = F.array().cast("array<string>")
     text = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
-    objects = F.filter(F.coalesce(got.claims, none), lambda c: F.coalesce(c.startswith("{"), F.lit(False)))
 
-    def claim(c: Column) -> Column:
-        own = F.from_json(c, CLAIM)
+    def claim(own: Column) -> Column:
         return F.struct(
             F.coalesce(own.claim_text, F.lit("")).alias("claim_text"),
             text(own.status, "UNSUPPORTED").alias("status"),
@@ -104,12 +107,16 @@ def faithfulness(raw: Column) -> Column:
             F.coalesce(own.note, F.lit("")).alias("note"),
         )
 
-    return F.struct(
-        F.transform(objects, claim).alias("claims"),
-        text(got.overall_verdict, "FAITHFUL").alias("overall_verdict"),
-        F.coalesce(F.nullif(got.confidence_score, F.lit(0.0)), F.lit(1.0)).alias("confidence_score"),
-        text(got.recommended_action, "return_as_is").alias("recommended_action"),
-    )
+    def made(got: Column) -> Column:
+        objects = F.filter(F.coalesce(got.claims, none), lambda c: F.coalesce(c.startswith("{"), F.lit(False)))
+        return F.struct(
+            F.transform(F.transform(objects, lambda c: F.from_json(c, CLAIM)), claim).alias("claims"),
+            text(got.overall_verdict, "FAITHFUL").alias("overall_verdict"),
+            F.coalesce(F.nullif(got.confidence_score, F.lit(0.0)), F.lit(1.0)).alias("confidence_score"),
+            text(got.recommended_action, "return_as_is").alias("recommended_action"),
+        )
+
+    return once(F.from_json(F.coalesce(json_object(raw, unfenced_lines), F.lit("{}")), FAITHFULNESS), made)
 
 
 def needs_correction(checked: Column) -> Column:

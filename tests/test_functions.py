@@ -113,3 +113,10 @@ def test_small_store_functions(spark):
     at = lambda s: F.expr(f"timestamp'{s}'")
     r = one(spark, a=store.recency(at("2024-01-05 01:00:00"), at("2024-01-05 23:00:00")), b=store.recency(at("2024-01-03 22:00:00"), at("2024-01-05 03:00:00")), c=store.recency(at("2024-01-01 00:00:00"), at("2024-01-05 03:00:00")), d=store.recency(at("2023-01-01 00:00:00"), at("2024-01-05 03:00:00")))
     assert tuple(r) == ("Today", "Yesterday", "4 days ago", "2023-01-01")
+
+
+def test_answers_are_parsed_once(spark):
+    """However many fields are read from an answer."""
+    df = spark.createDataFrame([("{}",)], "raw string").select(L.faithfulness(F.col("raw")).alias("f"), L.needs_correction(L.faithfulness(F.col("raw"))).alias("n"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") <= 4 and plan.count("overall_verdict,StringType") <= 2
