@@ -170,7 +170,8 @@ def model_reading_order(
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            for doc, page, ids, scores in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for i in range(b.num_rows):  # a page's matrix at a time: as Python floats it's several times its size
+                doc, page, ids, scores = (b.column(k)[i].as_py() for k in range(4))
                 n = len(ids)
                 fine = scores is not None and len(scores) >= n and all(r is not None and len(r) >= n for r in scores[:n])
                 at = permutation(np.array([r[:n] for r in scores[:n]], float).reshape(n, n)).tolist() if fine else [None] * n
