@@ -458,7 +458,7 @@ def label_histogram(spark, d):
 @query(f"""WITH {base._BLOCKS}, pg AS (SELECT document_id, page_number, string_agg(body, chr(10) ORDER BY o) AS t FROM bn GROUP BY ALL)
   SELECT document_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY page_number)) AS text_md5, count(*) AS n_pages FROM pg GROUP BY document_id""")
 def document_text(spark, d):
-    made = layout.blocks(layout.reading_order(layout.best_regions(_items(spark, d), _regions(spark, d))))
+    made = base._made_blocks(spark, d, _regions(spark, d))
     own = layout.page_texts(made)
     whole = layout.document_texts(own)
     return whole.join(pages.index_summary(own), "document_id").select("document_id", F.md5("full_ordered_text").alias("text_md5"), F.col("n_chunks").alias("n_pages"))
@@ -491,7 +491,7 @@ def crop_images(spark, d):
   SELECT r.document_id, n_regions, coalesce(n_blocks, 0) AS n_blocks, coalesce(n, 0) AS n_issues, coalesce(w, 0) AS n_warnings, coalesce(e, 0) AS n_errors FROM (SELECT document_id, count(*) AS n_regions FROM regions GROUP BY ALL) r LEFT JOIN (SELECT document_id, count(*) AS n_blocks FROM bn GROUP BY ALL) b USING (document_id) LEFT JOIN iss USING (document_id)""")
 def processing_summary(spark, d):
     regions = _regions(spark, d)
-    made = layout.blocks(layout.reading_order(layout.best_regions(_items(spark, d), regions)))
+    made = base._made_blocks(spark, d, regions)
     level = F.when(F.col("reading_order") % 3 == 0, "warning").when(F.col("reading_order") % 3 == 1, "error").otherwise("info")
     return pages.processing_summary(regions.select("document_id").distinct(), regions=regions, blocks=made, issues=made.select("document_id", level.alias("level")))
 
