@@ -7,6 +7,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioloom.functions.text import blank, strip
+from folioloom.operators import layout
+
+
+def _cuts(lens: Column, target: int, overlap: int) -> Column:
+    """Chunks of a page's blocks of lens, array<int>, as array<struct<at, n>>: n blocks from the place at on, from 0. A fold, in the
+    JVM."""
+    cut = "array<struct<at:int,n:int>>"
+    state = lambda done, at, n, length: F.struct(done.alias("done"), at.cast("int").alias("at"), n.cast("int").alias("n"), length.cast("int").alias("len"))
+    open_ = lambda s: F.concat(s.done, F.array(F.struct(s.at.alias("at"), s.n.alias("n"))))
+    back = lambda k, n, length: F.struct(k.cast("int").alias("k"), n.cast("int").alias("n"), length.cast("int").alias("len"))
+
+    def flushed(s: Column, x: Column) -> Column:
+        """The chunk is done; the next opens with its last blocks, up to overlap."""
+        reopened = lambda a: state(open_(s), s.at + s.n - a.k, a.k + 1, a.len + x + 2)
+        none = back(F.lit(0), F.lit(0), F.lit(0))
+        if overlap <= 0:
+            return state(open_(s), s.at + s.n, F.lit(1), x + 2)
+        step = lambda a, y: F.when(a.n >= overlap, a).otherwise(back(a.k + 1, a.n + y, a.len + y + 2))
+        return F.aggregate(F.reverse(F.slice(lens, s.at + 1, s.n)), none, step, reopened)
+
+    def add(s: Column, x: Column) -> Column:
+        return F.when((s.n > 0) & (s.len + x > target), flushed(s, x)).otherwise(state(s.done, s.at, s.n + 1, s.len + x + 2))
+
+    return F.aggregate(lens, state(F.array().cast(cut), F.lit(0), F.lit(0), F.lit(0)), add, lambda s: F.when(s.n > 0, open_(s)).otherwise(s.done))
 
 
 def pack_blocks(made: DataFrame, target: int, overlap: int) -> DataFrame:
@@ -15,40 +39,23 @@ def pack_blocks(made: DataFrame, target: int, overlap: int) -> DataFrame:
     until their texts joined by blank lines would pass target. Region ids are sorted; the text is stripped. No block is split; a chunk opens with the last blocks of the one before whose lengths reach overlap.
 
     A fold over a page's blocks, in the JVM; pages are the unit of work. Blank blocks count toward the length but not the text.
+    Lengths alone say how many chunks a page has, so chunks are numbered over the document without being dealt out by it.
     """
-    kind = "struct<pos:int,id:string,len:int,text:string,items:array<string>,regions:array<string>,box:array<double>>"
-    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
     text = F.coalesce("text", F.lit(""))
     strings = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")) if "bbox" in made.columns else F.lit(None).cast("array<double>")
-    block = F.struct(
-        F.col("reading_order").cast("int").alias("pos"),
-        F.col("block_id").alias("id"),
-        F.length(text).alias("len"),
-        text.alias("text"),
-        strings("item_ids").alias("items"),
-        strings("region_ids").alias("regions"),
-        box.alias("box"),
-    ).cast(kind)
-    pages = made.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(block)).alias("b"))
-
-    def carried(cur: Column) -> Column:
-        if overlap <= 0:
-            return none
-        step = lambda a, x: F.when(a.n >= overlap, a).otherwise(F.struct((a.n + x.len).cast("int").alias("n"), F.concat(F.array(x), a.out).alias("out")))
-        return F.aggregate(F.reverse(cur), F.struct(F.lit(0).alias("n"), none.alias("out")), step, lambda a: a.out)
-
-    def add(acc: Column, x: Column) -> Column:
-        whole = F.aggregate(acc.cur, F.lit(0), lambda n, y: n + y.len + 2) + x.len
-        flush = (F.size(acc.cur) > 0) & (whole > target)
-        return F.when(
-            flush,
-            F.struct(F.concat(acc.done, F.array(acc.cur)).alias("done"), F.concat(carried(acc.cur), F.array(x)).alias("cur")),
-        ).otherwise(F.struct(acc.done.alias("done"), F.concat(acc.cur, F.array(x)).alias("cur")))
-
-    packed = F.aggregate("b", F.struct(nothing.alias("done"), none.alias("cur")), add, lambda a: F.when(F.size(a.cur) > 0, F.concat(a.done, F.array(a.cur))).otherwise(a.done))
-    one = pages.select("document_id", "page_number", F.posexplode(packed).alias("pos", "c"))
-    numbered = one.withColumn("chunk_no", F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "pos")))
+    place = (F.col("reading_order").cast("int").alias("pos"), F.col("block_id").alias("id"), F.length(text).alias("len"))
+    block = F.struct(*place, text.alias("text"), strings("item_ids").alias("items"), strings("region_ids").alias("regions"), box.alias("box"))
+
+    def pages(of: Column) -> DataFrame:
+        one = made.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(of)).alias("b"))
+        return one.withColumn("_lens", F.transform("b", lambda x: x.len)).withColumn("_cuts", _cuts(F.col("_lens"), target, overlap))
+
+    before = layout.rows_before(pages(F.struct(*place)).select("document_id", "page_number", F.size("_cuts").alias("n")))
+    # a null page is the first of its document, with none before
+    whole = pages(block).join(before, ["document_id", "page_number"], "left")
+    cut = whole.select("document_id", "page_number", "b", F.coalesce("_before", F.lit(0)).alias("_before"), F.posexplode("_cuts").alias("pos", "cut"))
+    numbered = cut.select("document_id", "page_number", (F.col("_before") + F.col("pos") + 1).cast("int").alias("chunk_no"), F.slice("b", F.col("cut.at") + 1, F.col("cut.n")).alias("c"))
     joined = strip(F.array_join(F.filter(F.col("c.text"), lambda t: F.length(strip(t)) > 0), "\n\n"))
     regions = F.sort_array(F.array_distinct(F.flatten("c.regions")))
     return numbered.select(

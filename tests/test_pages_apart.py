@@ -5,7 +5,7 @@ import random
 
 import pytest
 from folioloom.functions.geometry import BOX
-from folioloom.operators import layout
+from folioloom.operators import chunking, layout
 from folioloom.plans import ingest
 from pyspark.sql import functions as F
 
@@ -22,8 +22,8 @@ def partitions_as_set(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def parts(df):
-    return df.select("reading_order", F.spark_partition_id().alias("p")).where("reading_order > 0").select("p").distinct().count()
+def parts(df, number="reading_order"):
+    return df.select(number, F.spark_partition_id().alias("p")).where(f"{number} > 0").select("p").distinct().count()
 
 
 def overlap(a, b):
@@ -82,3 +82,28 @@ def test_rows_of_one_item_share_its_region(spark):
     ordered = layout.reading_order(matched)
     exchanges = ordered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert exchanges == 2  # items once and regions; items went three times
+
+
+def test_chunks_of_one_document_lie_by_page(spark):
+    rows = [("d", 1 + i % 30, i, f"b{i}", "x" * (1 + i * 7 % 50)) for i in range(600)]
+    made = spark.createDataFrame(rows, "document_id string, page_number int, reading_order int, block_id string, text string").withColumns({"item_ids": F.array("block_id"), "region_ids": F.array("block_id")})
+    with partitions_as_set(spark):
+        packed = chunking.pack_blocks(made, 120, 20)
+        assert parts(packed, "chunk_no") > 1  # all were in one, as the numbers were a window over the document
+        got = sorted(packed.collect(), key=lambda r: r.chunk_no)
+    assert [r.chunk_no for r in got] == list(range(1, len(got) + 1))
+    want = []
+    for page in range(1, 31):
+        cur = []
+        for x in [r for r in rows if r[1] == page]:
+            if cur and sum(len(y[4]) + 2 for y in cur) + len(x[4]) > 120:
+                want.append((page, [y[3] for y in cur]))
+                back, n = [], 0
+                for y in reversed(cur):
+                    if n >= 20:
+                        break
+                    back, n = [y, *back], n + len(y[4])
+                cur = back
+            cur = [*cur, x]
+        want.append((page, [y[3] for y in cur]))
+    assert [(r.page_number, r.block_ids) for r in got] == want
