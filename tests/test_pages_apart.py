@@ -107,3 +107,12 @@ def test_chunks_of_one_document_lie_by_page(spark):
             cur = [*cur, x]
         want.append((page, [y[3] for y in cur]))
     assert [(r.page_number, r.block_ids) for r in got] == want
+
+
+def test_summaries_neither_shuffle_nor_sort_pairs(spark):
+    regions = spark.createDataFrame([("d", "r", "table", 1, (0.0, 0.0, 9.0, 9.0), 1), ("d", "s", "figure", 2, (0.0, 0.0, 9.0, 9.0), 2)], REGION)
+    made = spark.createDataFrame([("d", 1, "b1", 1, None, (0.0, 0.0, 5.0, 5.0)), ("d", 1, "b2", 2, "two", (0.0, 6.0, 5.0, 8.0))], f"document_id string, page_number int, block_id string, reading_order int, text string, bbox {BOX}")
+    chunks = spark.createDataFrame([("d", "c", 1, "chunk", ["s"])], "document_id string, chunk_id string, ord int, text string, source_region_ids array<string>")
+    got = layout.visual_summaries(regions, made, chunks)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.region_id, r.linked_block_ids, r.linked_chunk_ids, r.summary_text) for r in got.collect()) == [("r", ["b1", "b2"], [], "two"), ("s", [], ["c"], "chunk")]
